@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import packing, pii, quality, secrets, simhash, token_files
+from geoweave.llm import hnsw, language, packing, pii, quality, secrets, sentencepiece, sentences, simhash, token_files
 from geoweave.llm.common import table
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
@@ -31,12 +36,25 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op8_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secrets, op3_token_files, op4_packing, op5_quality, op6_pii, op9_simhash)}
+    every = (op1_hnsw, op2_secrets, op3_token_files, op4_packing, op5_quality, op6_pii, op7_language, op8_sentence_dedup, op9_simhash, op10_sentencepiece)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
