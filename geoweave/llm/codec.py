@@ -165,11 +165,12 @@ def _encode_lanes(grid: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarra
         out[at[over] - 1] += 1
     out[at] = low >> _U(48)
     sizes = at + 1 - first
-    words = out.reshape(lanes, room)
-    while (carry := words >> np.uint32(16)).any():
-        words &= np.uint32(0xFFFF)
-        words[:, :-1] += carry[:, 1:]
-    return words[np.arange(room) < sizes[:, None]].astype("<u2"), sizes.astype("<u4")
+    words = np.concatenate([out[a : a + n] for a, n in zip(first.tolist(), sizes.tolist())])
+    del out
+    while (over := np.flatnonzero(words >> np.uint32(16))).size:  # a block's first word has no carry
+        words[over] &= np.uint32(0xFFFF)
+        words[over - 1] += np.uint32(1)
+    return words.astype("<u2"), sizes.astype("<u4")
 
 
 def _decode_lanes(words: np.ndarray, sizes: np.ndarray, steps: int, symbols: int) -> np.ndarray:

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import as_bytes, prepare, stored
-from geoweave.llm.tokens import tokenizer_path, word_tokenizer
+from geoweave.llm.common import prepare, stored
+from geoweave.llm.tokens import lots, tokenizer_path, word_tokenizer
 
 CAPACITY = 2048
 END_ID = 0
@@ -171,9 +171,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
 
         key = TaskContext.get().partitionId() << 40
         words = word_tokenizer(path)
-        for batch in batches:
+        for doc_ids, texts in lots(batches):
             rows = []
-            for doc_id, coded in zip(batch.column(0).to_pylist(), words.encode(as_bytes(batch.column(1)))):
+            for doc_id, coded in zip(doc_ids.to_pylist(), words.encode(texts)):
                 coded += end
                 for i, a in enumerate(range(0, len(coded), width)):
                     ids = coded[a : a + width]

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoweave.llm.codec import BLOCK, decode_frame, encode_frame
-from geoweave.llm.common import as_bytes, prepare, stored
-from geoweave.llm.tokens import tokenizer_path, word_tokenizer
+from geoweave.llm.common import prepare, stored
+from geoweave.llm.tokens import lots, tokenizer_path, word_tokenizer
 
 END_ID = 1
 #: Ids from which a frame is closed.
@@ -51,8 +51,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
             )
 
         words = word_tokenizer(path)
-        for batch in batches:
-            for doc_id, coded in zip(batch.column(0).to_pylist(), words.encode(as_bytes(batch.column(1)))):
+        for doc_ids, texts in lots(batches):
+            for doc_id, coded in zip(doc_ids.to_pylist(), words.encode(texts)):
                 ids.append(doc_id)
                 held.append(coded + end)
                 n_ids += len(coded) // 4 + 1

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import os
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct words that a worker remembers; the memo is emptied when it is full.
-MEMO_WORDS = 1 << 20
+#: Distinct words that a worker remembers; when they are full, those of the texts at hand stay.
+MEMO_WORDS = 1 << 19
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -27,6 +29,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 #: ASCII punctuation that is always a piece of its own behind a word; no apostrophe, for the sake of 's and the like.
 _TAIL = b".,;:!?()[]{}|#*$%&\"-_/\\=+~`^@<>"
 _PART = 2048
+_TEXTS = 256
+#: Bytes of text encoded together.
+LOT_BYTES = 6 << 20
 
 
 class WordTokenizer:
@@ -34,10 +39,15 @@ class WordTokenizer:
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         self._encode = tokenizer.encode_batch_fast
+        # For lower-case words of plain letters the file's normalizer and splitting pattern change nothing.
+        lean = Tokenizer.from_file(path)
+        lean.normalizer = normalizers.Sequence([])
+        lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._encode_plain = lean.encode_batch_fast
         self._last = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
         self._last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._memo: dict[bytes, bytes] = {}
@@ -53,7 +63,7 @@ class WordTokenizer:
         """Words of plain letters: encoded as one text and cut behind the ids that end a word."""
         for i in range(0, len(words), _PART):
             part = words[i : i + _PART]
-            ids = np.array(self._encode([" ".join(texts[i : i + _PART])], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self._encode_plain([" ".join(texts[i : i + _PART]).lower()], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self._last[ids]) + 1) * 4
             if len(ends) != len(part):
                 self._one_by_one(part)
@@ -65,8 +75,6 @@ class WordTokenizer:
 
     def _learn(self, words: set[bytes]) -> None:
         memo = self._memo
-        if len(memo) + 2 * len(words) > self._limit:
-            memo.clear()
         letters, texts, others, composed = [], [], [], []
         for word in words:
             core = word.rstrip(_TAIL)
@@ -92,19 +100,65 @@ class WordTokenizer:
         for word, core, tail in composed:
             memo[word] = memo[core] + memo[tail]
 
-    def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
-        """The ids of each text; a null text is empty."""
-        # Case does not change ids; of ASCII texts without special tokens it is removed first, for fewer words.
-        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() if t else [] for t in texts]
+    def encode(self, texts: pa.Array | Sequence[bytes | None]) -> list[bytes]:
+        """The ids of each text; a null text is empty.
+
+        Arrow splits the texts and finds the distinct words; Python sees each of those once."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
+        if texts.offset:  # ascii_lower misreads arrays that begin inside their buffers
+            texts = texts.take(pa.array(np.arange(len(texts))))
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return []
+        if not pa.types.is_large_string(texts.type):
+            texts = texts.cast(pa.large_string())
+        # Case doesn't change ids; of ASCII texts without special tokens it is removed first, for fewer words.
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        split = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
+        coded = split.flatten().dictionary_encode()
+        distinct = pc.cast(coded.dictionary, pa.large_binary()).to_pylist()
         memo = self._memo
-        unseen: set[bytes] = set()
-        for words in split:
-            unseen.update(w for w in set(words) if w not in memo)
+        unseen = {w for w in distinct if w not in memo}
+        if len(memo) + len(unseen) > self._limit:
+            memo = self._memo = {w: memo[w] for w in distinct if w in memo}
         if unseen:
             self._learn(unseen)
-            if emptied := {w for words in split for w in words if w not in memo}:
-                self._learn(emptied)
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        ids = list(map(memo.__getitem__, distinct))
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids), "<u4")
+        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+        ends = split.offsets.to_numpy()[1:]
+        words = coded.indices.to_numpy()
+        out: list[bytes] = []
+        first = 0
+        for i in range(0, len(texts), _TEXTS):  # word by word to ids, some texts at a time
+            last = int(ends[min(i + _TEXTS, len(texts)) - 1])
+            part = words[first:last]
+            n = sizes[part]
+            reach = np.cumsum(n, dtype=np.int64)
+            places = np.repeat(starts[part] - (reach - n).astype(np.int32), n)
+            places += np.arange(len(places), dtype=np.int32)
+            flat = table[places].tobytes()
+            reach = np.concatenate([[0], reach])
+            bounds = reach[np.concatenate([[first], ends[i : i + _TEXTS]]) - first] * 4
+            out += [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            first = last
+        return out
+
+
+def lots(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = LOT_BYTES) -> Iterator[list[pa.Array]]:
+    """The columns of a few batches together, until their texts have ``size`` bytes: words repeat more in larger lots."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column(text).nbytes
+        if total >= size:
+            yield [pa.concat_arrays([b.column(i) for b in held]) for i in range(batch.num_columns)]
+            held, total = [], 0
+    if held:
+        yield [pa.concat_arrays([b.column(i) for b in held]) for i in range(held[0].num_columns)]
 
 
 _held: dict[str, WordTokenizer] = {}
