@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from geoweave.llm.common import release_memory
+
 #: Distinct words that a worker remembers; when they are full, those of the texts at hand stay.
 MEMO_WORDS = 1 << 19
 TOKENIZER = "word_bpe_49k.json"
@@ -157,8 +159,11 @@ def lots(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = LOT_BYTES
         if total >= size:
             yield [pa.concat_arrays([b.column(i) for b in held]) for i in range(batch.num_columns)]
             held, total = [], 0
+            release_memory()
     if held:
         yield [pa.concat_arrays([b.column(i) for b in held]) for i in range(held[0].num_columns)]
+        del held
+        release_memory()
 
 
 _held: dict[str, WordTokenizer] = {}
