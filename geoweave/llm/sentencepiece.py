@@ -38,7 +38,9 @@ from geoweave.llm.common import prepare
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 MEMO_WORDS = 1 << 19
+_ONE = [1]
 _WORDS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+_LINES = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -60,11 +62,16 @@ class Pieces:
         self.ids = {t: i for i, t in enumerate(self.texts) if not special[i]}
         self.scores = {t: model.get_score(i) for t, i in self.ids.items()}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self._byte_of = {i: b for b, i in enumerate(self.bytes)}
-        self._control = {i for i in range(n) if model.is_control(i)}
-        self.longest = max(map(len, self.ids))
+        byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self._content = [bytes([byte_of[i]]) if i in byte_of else b"" if model.is_control(i) else t.encode("utf-8") for i, t in enumerate(self.texts)]
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("a piece has a mark inside, so words can't be encoded by themselves")
+        # A character that no piece holds merges with nothing, so words may be cut around it as well.
+        self._split = (_WORDS if any("\n" in t for t in self.ids) else _LINES).findall
+        self._lengths: dict[str, list[int]] = {}
+        for t in self.ids:
+            self._lengths.setdefault(t[-1], []).append(len(t))
+        self._lengths = {c: sorted(set(n), reverse=True) for c, n in self._lengths.items()}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         self._memo: dict[str, bytes] = {}
@@ -72,16 +79,20 @@ class Pieces:
 
     def _merge(self, text: str) -> list[str]:
         """Pieces that merging the best-scored neighbours first, leftmost among equals, leaves."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
+        parts, scores = list(text), self.scores.get
+        low = float("-inf")
+        pairs = [scores(a + b, low) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == low:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = scores(parts[i] + parts[i + 1], low)
+            if i:
+                pairs[i - 1] = scores(parts[i - 1] + parts[i], low)
         return parts
 
     def _follows(self, last: str, piece: str) -> bool:
@@ -90,7 +101,7 @@ class Pieces:
         if known is None:
             if len(self._pairs) > 4 * self._limit:
                 self._pairs.clear()
-            known = self._pairs[key] = self._merge(last + piece) == [last, piece]
+            known = self._pairs[key] = last + piece not in self.ids and self._merge(last + piece) == [last, piece]
         return known
 
     def _reachable(self, piece: str) -> bool:
@@ -101,11 +112,22 @@ class Pieces:
 
     def _extend(self, word: str, table: list[str]) -> None:
         """Complete ``table``: its entry ``i`` is the last piece of the first ``i`` characters."""
-        ids = self.ids
+        ids, pairs = self.ids, self._pairs
         for end in range(len(table), len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for length in self._lengths.get(word[end - 1], _ONE):
+                start = end - length
+                if start < 0:
+                    continue
                 piece = word[start:end]
-                if (piece in ids or end - start == 1) and (self._follows(table[start], piece) if start else self._reachable(piece)):
+                if piece not in ids and length > 1:
+                    continue
+                if start:
+                    last = table[start]
+                    known = pairs.get((last, piece))
+                    if self._follows(last, piece) if known is None else known:
+                        table.append(piece)
+                        break
+                elif self._reachable(piece):
                     table.append(piece)
                     break
             else:
@@ -141,23 +163,17 @@ class Pieces:
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        unseen = {w for words in split for w in words}.difference(self._memo)
-        if unseen and len(self._memo) + len(unseen) > self._limit:
-            self._memo.clear()
-            unseen = {w for words in split for w in words}
+        split = [self._split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        distinct = set().union(*split)
+        unseen = distinct.difference(self._memo)
+        if len(self._memo) + len(unseen) > self._limit:
+            self._memo = {w: self._memo[w] for w in distinct if w in self._memo}
         self.learn(unseen)
         return [b"".join(map(self._memo.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; byte pieces that are not UTF-8 become U+FFFD."""
-        out: list[bytes] = []
-        for i in memoryview(ids).cast("I"):
-            if i in self._byte_of:
-                out.append(bytes([self._byte_of[i]]))
-            elif i not in self._control:
-                out.append(self.texts[i].encode("utf-8"))
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self._content.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
