@@ -116,6 +116,7 @@ def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     held = stored(texts.mapInArrow(hashes, "key long, doc_id long, hashes array<long>"), "sentence-runs")
     runs = held.select("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.posexplode("hashes").alias("place", "hash")).where("hash IS NOT NULL")
     repeated = runs.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "place")).alias("first")).where("n > 1").select("hash", "first")
+    repeated = stored(repeated, "sentence-repeats")  # a side of its own, so that Spark can split a hot hash on the other
     later = runs.join(repeated, "hash").where(F.struct("doc", "key", "place") != F.col("first"))
     return later.groupBy("key").agg(F.collect_set("place").alias("places"))
 
