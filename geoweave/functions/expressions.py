@@ -20,6 +20,11 @@ def lookup(column: Column, values: Mapping[int, int], other: object = None) -> C
     return out.otherwise(F.lit(other))
 
 
+def at_code(values: Mapping[int, int], code: Column) -> Column:
+    """A dictionary of small non-negative codes as a constant array; 0 for codes that it lacks and for null."""
+    return F.coalesce(F.get(F.array(*(F.lit(values.get(c, 0)) for c in range(max(values) + 1))), code), F.lit(0))
+
+
 def to_l1(unified: Column) -> Column:
     return lookup(unified, dims.UNIFIED_TO_L1, 0)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweave.functions import dims
-from geoweave.functions.expressions import first_equal, lookup, to_l1, truncated_percent
+from geoweave.functions.expressions import at_code, first_equal, to_l1, truncated_percent
 
 
 def widen(votes: DataFrame, keys: Sequence[str] = ("pix", "year"), products: Sequence[int] = tuple(dims.PRODUCTS)) -> DataFrame:
@@ -50,14 +50,18 @@ def constant_logs(delta: float = 0.0, floor: float = dims.SUB_ERROR_FLOOR) -> Lo
 
 
 def _posterior(priors: Mapping[int, Column], votes: Sequence[tuple[int, Column]], logs: Logs, second: bool, name: str) -> list[Column]:
-    """Log posteriors of the classes: votes are (product, vote or null)."""
+    """Log posteriors of the classes up to a constant; votes are (product, vote or 0).
+
+    What a wrong vote costs is the same for all other classes, so a vote adds the difference
+    between right and wrong to its own class only. Written as products of non-null values: the
+    generated code stays below the size from which the virtual machine doesn't compile it."""
     out = []
     for cls, prior in priors.items():
         terms = []
         for p, vote in votes:
             right, wrong = logs(p, len(priors), second)
-            terms.append(F.when(vote.isNull(), 0.0).when(vote == cls, right).otherwise(wrong))
-        out.append(reduce(lambda a, b: a + b, terms, F.ln(prior + 1e-12)).alias(f"{name}{cls}"))
+            terms.append((vote == cls).cast("double") * (right - wrong))
+        out.append(reduce(lambda a, b: a + b, terms, prior).alias(f"{name}{cls}"))
     return out
 
 
@@ -72,21 +76,21 @@ def _best(df: DataFrame, name: str, classes: Sequence[int], label: str, share: s
 
 def level1(rows: DataFrame, logs: Logs) -> DataFrame:
     """Adds map_l1, post_l1 and agreement to wide votes with priors. Specialists vote in their super-classes only."""
-    rows = rows.withColumns({f"u{p}": to_l1(F.col(f"v{p}")) for p in dims.PRODUCTS})
-    votes = []
+    counted = {}
     for p, (*_, spec) in dims.PRODUCTS.items():
-        counts = F.col(f"u{p}").isin(*spec) if spec else F.col(f"u{p}") > 0
-        votes.append((p, F.when(counts, F.col(f"u{p}"))))
-    rows = rows.select("*", *_posterior({k: F.col(f"l1_{k}") for k in dims.L1_CLASSES}, votes, logs, False, "a"))
+        u = F.col(f"u{p}")
+        counted[f"c{p}"] = (u == spec[0]).cast("int") * spec[0] if spec else u
+    rows = rows.withColumns({f"u{p}": at_code(dims.UNIFIED_TO_L1, F.col(f"v{p}")) for p in dims.PRODUCTS}).withColumns(counted)
+    rows = rows.select("*", *_posterior({k: F.col(f"l1_{k}") for k in dims.L1_CLASSES}, [(p, F.col(f"c{p}")) for p in dims.PRODUCTS], logs, False, "a"))
     rows = _best(rows, "a", dims.L1_CLASSES, "map_l1", "post_l1")
-    agree = reduce(lambda a, b: a + b, (F.coalesce((F.col(f"u{p}") == F.col("map_l1")).cast("int"), F.lit(0)) for p in dims.PRODUCTS))
-    return rows.withColumn("agreement", agree).drop(*(f"u{p}" for p in dims.PRODUCTS))
+    agree = reduce(lambda a, b: a + b, ((F.col(f"u{p}") == F.col("map_l1")).cast("int") for p in dims.PRODUCTS))
+    return rows.withColumn("agreement", agree).drop(*(f"{c}{p}" for c in "uc" for p in dims.PRODUCTS))
 
 
 def level2(rows: DataFrame, logs: Logs) -> DataFrame:
     """Adds sub and post_l2: the second decision within grassland and bare, by the authorities; null and 1 elsewhere."""
     for group, members in dims.SUBCLASSES.items():
-        votes = [(p, F.when(F.col(f"v{p}").isin(*members), F.col(f"v{p}"))) for p in dims.AUTHORITIES[group]]
+        votes = [(p, F.col(f"v{p}")) for p in dims.AUTHORITIES[group]]
         rows = rows.select("*", *_posterior({m: F.col(f"l2_{m}") for m in members}, votes, logs, True, f"b{group}_"))
         rows = _best(rows, f"b{group}_", members, f"sub{group}", f"share{group}")
     pick = lambda name, other: F.when(F.col("map_l1") == 3, F.col(f"{name}3")).when(F.col("map_l1") == 8, F.col(f"{name}8")).otherwise(F.lit(other))
@@ -97,7 +101,7 @@ def assemble(rows: DataFrame) -> DataFrame:
     """Adds the fused class, the confidences in per cent and the decision entropy (100 less the joint confidence)."""
     return rows.withColumns(
         {
-            "fused": F.coalesce(F.col("sub"), lookup(F.col("map_l1"), dims.L1_DIRECT)).cast("int"),
+            "fused": F.coalesce(F.col("sub"), at_code(dims.L1_DIRECT, F.col("map_l1"))),
             "conf_joint": truncated_percent(F.col("post_l1") * F.col("post_l2")),
             "conf_l1": truncated_percent(F.col("post_l1")),
             "conf_l2": truncated_percent(F.col("post_l2")),
@@ -106,8 +110,11 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def with_priors(votes: DataFrame, cells: DataFrame, prior: DataFrame) -> DataFrame:
-    """Wide votes of every cell beside the one row of priors: one shuffle of the votes and one join."""
-    return cells.join(widen(votes), ["pix", "year"], "left").crossJoin(F.broadcast(prior))
+    """Wide votes of every cell beside the one row of logarithms of the priors: one shuffle of the votes and one join.
+    Products without a vote have 0."""
+    wide = cells.join(widen(votes), ["pix", "year"], "left").na.fill(0, [f"v{p}" for p in dims.PRODUCTS])
+    logs = prior.select(*(F.coalesce(F.ln(F.col(c) + 1e-12), F.lit(math.log(1e-12))).alias(c) for c in prior.columns))
+    return wide.crossJoin(F.broadcast(logs))
 
 
 def fuse(votes: DataFrame, cells: DataFrame, prior: DataFrame, delta: float = 0.0, floor: float = dims.SUB_ERROR_FLOOR) -> DataFrame:
