@@ -117,8 +117,9 @@ def links(distinct: DataFrame) -> DataFrame:
     Connected exactly as all such pairs are; not every pair of a group has a row."""
     near, far = F.array(*map(F.lit, NEAR)), F.array(*map(F.lit, [*NEAR, *FAR]))
     masks = F.when(F.bit_count("fp") % 2 == 0, near).otherwise(far)
-    balls = distinct.select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few bytes of fingerprints become many of variants: spread them over all tasks first (by another key than theirs, by which few tasks may hold them).
+    balls = distinct.select("fp").repartition(parts, F.hash("fp")).select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
     met = balls.repartition(parts, "variant").sortWithinPartitions("variant").mapInArrow(_links, "u long, v long")
     return met.distinct()
 
