@@ -29,11 +29,14 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.llm.common import prepare
+from geoweave.llm.tokens import gathered, lots
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -49,6 +52,10 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _text(value: str) -> pa.Scalar:
+    return pa.scalar(value, pa.large_string())
+
+
 class Pieces:
     """A model's vocabulary and the shared-prefix pass over sorted words."""
 
@@ -67,7 +74,8 @@ class Pieces:
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("a piece has a mark inside, so words can't be encoded by themselves")
         # A character that no piece holds merges with nothing, so words may be cut around it as well.
-        self._split = (_WORDS if any("\n" in t for t in self.ids) else _LINES).findall
+        self._lines = not any("\n" in t for t in self.ids)
+        self._split = (_LINES if self._lines else _WORDS).findall
         self._lengths: dict[str, list[int]] = {}
         for t in self.ids:
             self._lengths.setdefault(t[-1], []).append(len(t))
@@ -161,15 +169,30 @@ class Pieces:
             self._memo[word] = self._ids_of(word, table)
             before = word
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self._split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        distinct = set().union(*split)
-        unseen = distinct.difference(self._memo)
+    def encode(self, texts: pa.Array | Sequence[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Arrow cuts texts without runs of spaces into words and finds the distinct ones; others are cut in Python."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if texts.offset:
+            texts = texts.take(pa.array(range(len(texts))))
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        runs = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.match_substring(texts, MARK)) if self._lines else pc.is_valid(texts)
+        plain = pc.replace_substring(pc.replace_substring(pc.binary_join_element_wise(_text(MARK), texts, _text("")), " ", f" {MARK}"), "\n", " \n ")
+        split = pc.split_pattern(pc.if_else(pc.or_(runs, pc.equal(texts, _text(""))), _text(""), plain), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        others = {i: self._split(MARK + t.replace(" ", MARK)) for i, t in zip(np.flatnonzero(runs.to_numpy(zero_copy_only=False)).tolist(), texts.filter(runs).to_pylist()) if t}
+        needed = set(distinct).union(*others.values())
+        unseen = needed.difference(self._memo)
         if len(self._memo) + len(unseen) > self._limit:
-            self._memo = {w: self._memo[w] for w in distinct if w in self._memo}
+            self._memo = {w: self._memo[w] for w in needed if w in self._memo}
         self.learn(unseen)
-        return [b"".join(map(self._memo.__getitem__, words)) for words in split]
+        out = gathered(split, coded, list(map(self._memo.__getitem__, distinct)))
+        for i, words in others.items():
+            out[i] = b"".join(map(self._memo.__getitem__, words))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; byte pieces that are not UTF-8 become U+FFFD."""
@@ -187,38 +210,43 @@ def pieces_of(path: str) -> Pieces:
     return _held[path]
 
 
-def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True, check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, ids, n_ids, ids_crc32, round_trip) of every document; one pass, no shuffle.
 
-    ``round_trip``: decoding the ids gives the text again (its marks read as spaces)."""
+    ``ids`` are little-endian unsigned 16-bit integers where the vocabulary allows it, else
+    32-bit ones; the checksum is of 32-bit ones. ``round_trip``: decoding gives the text again
+    (its marks read as spaces)."""
     prepare(docs.sparkSession)
     path = model or model_path()
-    kinds = [("doc_id", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids + [("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            coded = pieces.encode(texts)
-            same = [pieces.decode(c) == (t or "").replace(MARK, " ") if check else None for c, t in zip(coded, texts)]
-            columns = {"doc_id": batch.column(0), "n_ids": [len(c) // 4 for c in coded], "ids_crc32": list(map(zlib.crc32, coded)), "round_trip": same}
-            if with_ids:
-                columns["ids"] = [memoryview(c).cast("I").tolist() for c in coded]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[n], k) for n, k in kinds], names=[n for n, _ in kinds])
+        narrow = len(pieces.texts) <= 1 << 16
+        for doc_ids, column in lots(batches):
+            coded = pieces.encode(column)
+            same = [pieces.decode(c) == (t or "").replace(MARK, " ") for c, t in zip(coded, column.to_pylist())]
+            held = [np.frombuffer(c, "<u4").astype("<u2").tobytes() for c in coded] if narrow else coded
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array(held, pa.binary()), pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array(map(zlib.crc32, coded), pa.int64()), pa.array(same, pa.bool_())],
+                names=["doc_id", "ids", "n_ids", "ids_crc32", "round_trip"],
+            )
 
-    schema = "doc_id long, " + "ids array<int>, " * with_ids + "n_ids long, ids_crc32 long, round_trip boolean"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, n_ids long, ids_crc32 long, round_trip boolean")
 
 
 def decode(coded: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids array<int>); null ids give a null text."""
+    """(doc_id, text) of rows (doc_id, ids, n_ids) as :func:`encode` gives them; null ids give a null text."""
     prepare(coded.sparkSession)
     path = model or model_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path)
         for batch in batches:
-            texts = [None if ids is None else pieces.decode(array("I", ids).tobytes()) for ids in batch.column(1).to_pylist()]
+            texts = []
+            for ids, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                wide = None if ids is None else ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+                texts.append(None if wide is None else pieces.decode(wide))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return coded.select("doc_id", "ids", "n_ids").mapInArrow(run, "doc_id long, text string")

@@ -126,27 +126,32 @@ class WordTokenizer:
             memo = self._memo = {w: memo[w] for w in distinct if w in memo}
         if unseen:
             self._learn(unseen)
-        ids = list(map(memo.__getitem__, distinct))
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        table = np.frombuffer(b"".join(ids), "<u4")
-        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
-        ends = split.offsets.to_numpy()[1:]
-        words = coded.indices.to_numpy()
-        out: list[bytes] = []
-        first = 0
-        for i in range(0, len(texts), _TEXTS):  # word by word to ids, some texts at a time
-            last = int(ends[min(i + _TEXTS, len(texts)) - 1])
-            part = words[first:last]
-            n = sizes[part]
-            reach = np.cumsum(n, dtype=np.int64)
-            places = np.repeat(starts[part] - (reach - n).astype(np.int32), n)
-            places += np.arange(len(places), dtype=np.int32)
-            flat = table[places].tobytes()
-            reach = np.concatenate([[0], reach])
-            bounds = reach[np.concatenate([[first], ends[i : i + _TEXTS]]) - first] * 4
-            out += [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            first = last
-        return out
+        return gathered(split, coded, list(map(memo.__getitem__, distinct)))
+
+
+def gathered(split: pa.ListArray, coded: pa.DictionaryArray, ids: list[bytes]) -> list[bytes]:
+    """The ids of each text from those of its words: ``split`` are the texts' words, ``coded`` all of them by their
+    dictionary, ``ids`` those of the dictionary's words."""
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+    table = np.frombuffer(b"".join(ids), "<u4")
+    starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+    ends = split.offsets.to_numpy()[1:]
+    words = coded.indices.to_numpy()
+    out: list[bytes] = []
+    first = 0
+    for i in range(0, len(split), _TEXTS):  # word by word to ids, some texts at a time
+        last = int(ends[min(i + _TEXTS, len(split)) - 1])
+        part = words[first:last]
+        n = sizes[part]
+        reach = np.cumsum(n, dtype=np.int64)
+        places = np.repeat(starts[part] - (reach - n).astype(np.int32), n)
+        places += np.arange(len(places), dtype=np.int32)
+        flat = table[places].tobytes()
+        reach = np.concatenate([[0], reach])
+        bounds = reach[np.concatenate([[first], ends[i : i + _TEXTS]]) - first] * 4
+        out += [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        first = last
+    return out
 
 
 def lots(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = LOT_BYTES) -> Iterator[list[pa.Array]]:
