@@ -32,14 +32,14 @@ import numpy as np
 
 MAGIC = b"GWTOKEN1"
 _HEAD = struct.Struct("<8sQQIIII")
-BLOCK = 2048
+BLOCK = 1024
 _BITS = 10
 _TOTAL = 1 << _BITS
-_ORDER2 = 2048
-_ORDER1 = 1024
+_ORDER2 = 512
+_ORDER1 = 256
 _SYMBOLS = 128
 #: Blocks coded in lockstep.
-LANES = 2048
+LANES = 4096
 _U = np.uint64
 _KEEP = _U(1 << 48)
 _WHOLE = _U((1 << 64) - 1)
@@ -72,6 +72,8 @@ class _Model:
         self.a = np.zeros(lanes, np.uint32)
         self.b = np.zeros(lanes, np.uint32)
         self._next = np.array([1, 2, 3, 3], np.uint32)
+        self.edges = np.zeros((4, lanes), np.uint64)  # ends of the flags' intervals, before and behind each
+        self.edges[3] = _TOTAL
         self.rebuild(inverse=True)
 
     def rebuild(self, inverse: bool) -> None:
@@ -94,14 +96,15 @@ class _Model:
 
     def predict(self) -> None:
         h = self.a * np.uint32(2654435761) ^ self.b * np.uint32(2246822519)
-        self.at2 = self.row2 + (h >> np.uint32(21))
+        self.at2 = self.row2 + (h >> np.uint32(23))
         self.at1 = self.row1 + (self.b & np.uint32(_ORDER1 - 1))
         self.v2, self.v1 = self.t2[self.at2], self.t1[self.at1]
         self.p2, self.p1 = self.v2 >> np.uint32(2), self.v1 >> np.uint32(2)
         self.c2, self.c1 = self.v2 & np.uint32(3), self.v1 & np.uint32(3)
         self.context = self.row_flag + (self.c2 * np.uint32(4) + self.c1)
         packed = self.flags[self.context]
-        self.f0, self.f1 = packed & np.uint32(0xFFFF), packed >> np.uint32(16)
+        self.edges[1] = packed & np.uint32(0xFFFF)
+        self.edges[2] = packed >> np.uint32(16)
 
     def learn(self, rank: np.ndarray, flag: np.ndarray, missed: np.ndarray, bucket: np.ndarray) -> None:
         top = rank << np.uint32(2)
@@ -113,15 +116,15 @@ class _Model:
 
 
 def _due(step: int) -> bool:
-    return step in (8, 16, 32) or step % 64 == 0 and step > 0
+    return step in (8, 16, 32, 64) or step % 128 == 0 and step > 0
 
 
 def _symbols(ranks: int) -> int:
     return int(_bucket(np.array([max(0, ranks - 1)]))[0]) + 1
 
 
-def _encode_lanes(grid: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each column of ``grid`` (step, lane) of ranks: (words end to end, words of each)."""
+def _encode_lanes(grid: np.ndarray, buckets: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each column of ``grid`` (step, lane) of ranks and their ``buckets``: (words end to end, words of each)."""
     steps, lanes = grid.shape
     model = _Model(lanes, symbols)
     low, width = np.zeros(lanes, _U), np.full(lanes, _WHOLE, _U)
@@ -134,15 +137,15 @@ def _encode_lanes(grid: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarra
             model.rebuild(inverse=False)
         model.predict()
         rank = grid[step]
-        hit2 = model.p2 == rank
-        flag = np.where(hit2, 0, np.where(model.p1 == rank, 1, 2))
-        start = np.where(hit2, 0, np.where(flag == 1, model.f0, model.f1)).astype(_U)
-        end = np.where(hit2, model.f0, np.where(flag == 1, model.f1, _TOTAL)).astype(_U)
+        no2, no1 = model.p2 != rank, model.p1 != rank
+        missing = no2 & no1
+        flag = (no2.view(np.int8) + missing.view(np.int8)).astype(np.int64)
+        start = model.edges[flag, model.lane]
         unit = width >> _U(_BITS)
         more = unit * start
-        width = unit * (end - start)
-        missed = np.flatnonzero(flag == 2)
-        bucket = _bucket(rank[missed])
+        width = unit * (model.edges[flag + 1, model.lane] - start)
+        missed = np.flatnonzero(missing)
+        bucket = buckets[step][missed].astype(np.int64)
         packed = model.buckets[model.row_symbol[missed] + bucket]
         w = width[missed] >> _U(_BITS)
         w2 = w * (packed >> np.uint32(16)) >> _EXTRA[bucket]
@@ -196,12 +199,11 @@ def _decode_lanes(words: np.ndarray, sizes: np.ndarray, steps: int, symbols: int
         model.predict()
         unit = width >> _U(_BITS)
         value = np.minimum(code // unit, top)
-        past0, past1 = value >= model.f0, value >= model.f1
-        flag = past0.astype(np.int64) + past1
-        start = np.where(past1, model.f1, np.where(past0, model.f0, 0)).astype(_U)
-        end = np.where(past1, _TOTAL, np.where(past0, model.f1, model.f0)).astype(_U)
+        past0, past1 = value >= model.edges[1], value >= model.edges[2]
+        flag = (past0.view(np.int8) + past1.view(np.int8)).astype(np.int64)
+        start = model.edges[flag, model.lane]
         code -= unit * start
-        width = unit * (end - start)
+        width = unit * (model.edges[flag + 1, model.lane] - start)
         rank = np.where(past0, model.p1, model.p2)
         missed = np.flatnonzero(past1)
         w = width[missed] >> _U(_BITS)
@@ -249,7 +251,11 @@ def encode_frame(doc_ids: Sequence[int | None], documents: Sequence[bytes], bloc
     padded = np.zeros(blocks * block, np.uint32)
     padded[: len(ids)] = ranks
     rows = padded.reshape(blocks, block)
-    coded = [_encode_lanes(np.ascontiguousarray(rows[i : i + LANES].T), symbols) for i in range(0, blocks, LANES)]
+    bucket_of = _bucket(np.arange(len(order))).astype(np.uint8)
+    coded = []
+    for i in range(0, blocks, LANES):
+        grid = np.ascontiguousarray(rows[i : i + LANES].T)
+        coded.append(_encode_lanes(grid, bucket_of[grid], symbols))
     sums = np.array([zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, len(ids), block)], "<u4")
     rest = b"".join(
         [
