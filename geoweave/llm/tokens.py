@@ -36,6 +36,12 @@ _TEXTS = 256
 LOT_BYTES = 6 << 20
 
 
+def _plain(word: bytes) -> bool:
+    """Whether a word has letters below U+0100 only, which no normalisation but lower case changes."""
+    text = word.decode("utf-8")
+    return text.isalpha() and max(text) < "\u0100"
+
+
 class WordTokenizer:
     """Encodes UTF-8 texts to ids as little-endian unsigned 32-bit integers."""
 
@@ -61,11 +67,11 @@ class WordTokenizer:
             for word, e in zip(part, self._encode([w.decode("utf-8") for w in part], add_special_tokens=False)):
                 self._memo[word] = array("I", e.ids).tobytes()
 
-    def _together(self, words: list[bytes], texts: list[str]) -> None:
+    def _together(self, words: list[bytes]) -> None:
         """Words of plain letters: encoded as one text and cut behind the ids that end a word."""
         for i in range(0, len(words), _PART):
             part = words[i : i + _PART]
-            ids = np.array(self._encode_plain([" ".join(texts[i : i + _PART]).lower()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self._encode_plain([b" ".join(part).decode("utf-8").lower()], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self._last[ids]) + 1) * 4
             if len(ends) != len(part):
                 self._one_by_one(part)
@@ -77,27 +83,21 @@ class WordTokenizer:
 
     def _learn(self, words: set[bytes]) -> None:
         memo = self._memo
-        letters, texts, others, composed = [], [], [], []
+        letters, others, composed = [], [], []
         for word in words:
+            if word.isalpha() or _plain(word):
+                letters.append(word)
+                continue
             core = word.rstrip(_TAIL)
-            if len(core) < len(word) and core:
-                text = core.decode("utf-8")
-                if text.isalpha() and max(text) < "\u0100":
-                    composed.append((word, core, word[len(core) :]))
-                    if core in memo or core in words:
-                        continue
+            if len(core) < len(word) and (core.isalpha() or _plain(core)):
+                composed.append((word, core, word[len(core) :]))
+                if core not in memo and core not in words:
                     memo[core] = b""
                     letters.append(core)
-                    texts.append(text)
-                    continue
-            text = word.decode("utf-8")
-            if text.isalpha() and max(text) < "\u0100":
-                letters.append(word)
-                texts.append(text)
             else:
                 others.append(word)
         tails = {t for _, _, t in composed if t not in memo and t not in words}
-        self._together(letters, texts)
+        self._together(letters)
         self._one_by_one([*others, *tails])
         for word, core, tail in composed:
             memo[word] = memo[core] + memo[tail]
@@ -115,18 +115,21 @@ class WordTokenizer:
             return []
         if not pa.types.is_large_string(texts.type):
             texts = texts.cast(pa.large_string())
-        # Case doesn't change ids; of ASCII texts without special tokens it is removed first, for fewer words.
-        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
-        split = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
+        # Case doesn't change ids. For fewer words, that of ASCII letters is removed first, but for texts with special
+        # tokens or with characters from U+0300 on, where combining marks begin.
+        odd = pc.or_(pc.match_substring_regex(texts, r"[^\x{0}-\x{2ff}]"), pc.match_substring(texts, "<|"))
+        split = pc.ascii_split_whitespace(pc.if_else(odd, texts, pc.ascii_lower(texts)))
         coded = split.flatten().dictionary_encode()
-        distinct = pc.cast(coded.dictionary, pa.large_binary()).to_pylist()
+        distinct = pc.cast(coded.dictionary, pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self._memo.get, distinct))
+        missing = [i for i, known in enumerate(ids) if known is None]
+        if len(self._memo) + len(missing) > self._limit:
+            self._memo = {w: known for w, known in zip(distinct, ids) if known is not None}
+        self._learn({distinct[i] for i in missing})
         memo = self._memo
-        unseen = {w for w in distinct if w not in memo}
-        if len(memo) + len(unseen) > self._limit:
-            memo = self._memo = {w: memo[w] for w in distinct if w in memo}
-        if unseen:
-            self._learn(unseen)
-        return gathered(split, coded, list(map(memo.__getitem__, distinct)))
+        for i in missing:
+            ids[i] = memo[distinct[i]]
+        return gathered(split, coded, ids)
 
 
 def gathered(split: pa.ListArray, coded: pa.DictionaryArray, ids: list[bytes]) -> list[bytes]:
