@@ -81,14 +81,14 @@ def granger_lag1_f(spark, view):
     return _granger(view).select("zone", "driver", "n", F.round("f_stat", 6).alias("f_stat"))
 
 
-_P = "SELECT o_orderkey AS test, CASE WHEN o_orderkey % 10 <> 3 THEN CAST((o_orderkey * 7919) % 9973 + 1 AS DOUBLE) / 10000 END AS p_value FROM orders WHERE o_orderkey < 400"
+_P = "SELECT o_orderkey AS test, CASE WHEN o_orderkey % 10 <> 3 THEN CAST((o_orderkey * 7919) % 99991 + 1 AS DOUBLE) / 100000 END AS p_value FROM orders"
 
 
-@query(f"""WITH p AS ({_P}), r AS (SELECT *, row_number() OVER (ORDER BY p_value, test) AS k, count(*) OVER () AS n FROM p WHERE p_value IS NOT NULL)
-SELECT p.test AS test, CASE WHEN p.p_value IS NOT NULL THEN round(least(1.0, (SELECT min(x.p_value * x.n / x.k) FROM r x WHERE x.k >= r.k)), 9) END AS q_value FROM p LEFT JOIN r ON r.test = p.test""")
+@query(f"""WITH p AS ({_P}), r AS (SELECT *, row_number() OVER (ORDER BY p_value, test) AS k, count(*) OVER () AS n FROM p WHERE p_value IS NOT NULL),
+q AS (SELECT test, round(least(1.0, min(p_value * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q_value FROM r) SELECT p.test AS test, q_value FROM p LEFT JOIN q ON q.test = p.test""")
 def bh_qvalues(spark, view):
     k = F.col("o_orderkey")
-    p = view("orders").where("o_orderkey < 400").select(k.alias("test"), F.when(k % 10 != 3, ((k * 7919) % 9973 + 1).cast("double") / 10000).alias("p_value"))
+    p = view("orders").select(k.alias("test"), F.when(k % 10 != 3, ((k * 7919) % 99991 + 1).cast("double") / 100000).alias("p_value"))
     return causal.benjamini_hochberg(p, order=("test",)).select("test", F.round("q_value", 9).alias("q_value"))
 
 
@@ -254,7 +254,7 @@ def ccm_per_pixel(spark, view):
 
 
 def _training(view):
-    t = view("v_pairs").where("from_class > 0 AND to_class > 0 AND from_year = 2015").select("pix", "from_class", "to_class", "conf_from")
+    t = view("v_pairs").where("from_class > 0 AND to_class > 0").select("pix", "from_year", "from_class", "to_class", "conf_from")
     return t.join(evaluate.spatial_folds(view("v_grid")), "pix").withColumn("label", F.col("to_class") - 1)
 
 
@@ -267,8 +267,8 @@ def rf_spatial_cv(spark, view):
 def tree_shap(spark, view):
     data = _training(view)
     model = models.train_forest(data, ["from_class", "conf_from", "x"], "label", 3, 3)
-    sample = evaluate.stratified_sample(data, "label", "pix", 5)
-    return models.attribution_summary(models.attributions(sample, model, ["from_class", "conf_from", "x"], "pix"))
+    sample = evaluate.stratified_sample(data.withColumn("row", F.col("pix") * 10000 + F.col("from_year")), "label", "row", 5)
+    return models.attribution_summary(models.attributions(sample, model, ["from_class", "conf_from", "x"], "row"))
 
 
 @query()

@@ -16,10 +16,10 @@ def _height(view) -> int:
 
 
 @query("""SELECT target, source_year FROM (SELECT t.year AS target, a.year AS source_year, row_number() OVER (PARTITION BY t.year ORDER BY abs(a.year - t.year), a.year) AS rn
-FROM (SELECT CAST(1988 + range * 3 AS INT) AS year FROM range(13)) t CROSS JOIN (SELECT DISTINCT year FROM v_annual WHERE year % 3 <> 1) a) WHERE rn = 1""")
+FROM (SELECT CAST(1988 + range * 3 AS INT) AS year FROM range(13)) t CROSS JOIN (SELECT year FROM v_annual UNION SELECT year FROM v_anchor) a) WHERE rn = 1""")
 def nearest_year_asof(spark, view):
     targets = spark.range(13).select((F.col("id") * 3 + 1988).cast("int").alias("year"))
-    return features.nearest_year(targets, view("v_annual").where("year % 3 <> 1"))
+    return features.nearest_year(targets, view("v_annual").select("year").union(view("v_anchor").select("year")))
 
 
 def _slope_sql(years: int, least: int, listed: int) -> str:
@@ -166,11 +166,11 @@ def road_distance(spark, view):
 
 
 @query("""SELECT a.pix AS pix, a.year AS year, a.class AS lulc_class, a.conf AS conf_joint, coalesce(p.class, 0) AS lulc_class_prev, coalesce(s.n, 0) AS n_months, round(s.m, 6) AS spei_annual_mean, round(sin(radians(CAST(a.pix % 360 AS DOUBLE))), 9) + 0.0 AS aspect_sin
-FROM v_map a LEFT JOIN v_map p ON p.pix = a.pix AND p.year = a.year - 5 LEFT JOIN (SELECT pixel, 2000 AS year, count(*) AS n, avg(z) AS m FROM v_monthly WHERE year = 2000 GROUP BY 1) s ON s.pixel = a.pix AND s.year = a.year""")
+FROM v_map a LEFT JOIN v_map p ON p.pix = a.pix AND p.year = a.year - 5 LEFT JOIN (SELECT pixel, year, count(*) AS n, avg(z) AS m FROM v_monthly GROUP BY 1, 2) s ON s.pixel = a.pix AND s.year = a.year""")
 def feature_table(spark, view):
     cells = view("v_map").select("pix", "year", F.col("class").alias("lulc_class"), F.col("conf").alias("conf_joint"))
     before = view("v_map").select("pix", (F.col("year") + 5).alias("year"), F.col("class").alias("lulc_class_prev"))
-    spei = view("v_monthly").where("year = 2000").groupBy(F.col("pixel").alias("pix"), "year").agg(F.count("*").alias("n_months"), F.round(F.avg("z"), 6).alias("spei_annual_mean"))
+    spei = view("v_monthly").groupBy(F.col("pixel").alias("pix"), "year").agg(F.count("*").alias("n_months"), F.round(F.avg("z"), 6).alias("spei_annual_mean"))
     aspect = view("v_grid").select("pix", (F.round(aspect_sin((F.col("pix") % 360).cast("double")), 9) + 0.0).alias("aspect_sin"))
     return features.feature_table(cells, [before, spei, aspect]).na.fill(0, ["lulc_class_prev", "n_months"])
 
