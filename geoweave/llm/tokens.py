@@ -8,8 +8,8 @@ part of what the tokenizer splits at, and kept in a bounded memo in each Python
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,49 +58,65 @@ class WordTokenizer:
         self._encode_plain = lean.encode_batch_fast
         self._last = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
         self._last[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self._memo: dict[bytes, bytes] = {}
         self._limit = memo_words
+        self._reset({}, np.empty(0, "<u4"), np.empty(0, np.int32))
+
+    def _reset(self, rows: dict[bytes, int], pool: np.ndarray, sizes: np.ndarray) -> None:
+        """The memo: word to row; the ids of row ``r`` are ``sizes[r]`` ids of the pool, row after row."""
+        self._memo, self._pools, self._sizes = rows, [pool], [sizes]
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool, sizes, starts) of all rows."""
+        if len(self._pools) > 1:
+            self._pools, self._sizes = [np.concatenate(self._pools)], [np.concatenate(self._sizes)]
+        pool, sizes = self._pools[0], self._sizes[0]
+        return pool, sizes, np.cumsum(sizes, dtype=np.int64) - sizes
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self._memo.update(zip(words, range(len(self._memo), len(self._memo) + len(words))))
+        self._pools.append(ids)
+        self._sizes.append(sizes)
 
     def _one_by_one(self, words: list[bytes]) -> None:
         for i in range(0, len(words), _PART):
             part = words[i : i + _PART]
-            for word, e in zip(part, self._encode([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                self._memo[word] = array("I", e.ids).tobytes()
+            found = [e.ids for e in self._encode([w.decode("utf-8") for w in part], add_special_tokens=False)]
+            self._add(part, np.array([x for ids in found for x in ids], "<u4"), np.fromiter(map(len, found), np.int32, len(found)))
 
     def _together(self, words: list[bytes]) -> None:
         """Words of plain letters: encoded as one text and cut behind the ids that end a word."""
         for i in range(0, len(words), _PART):
             part = words[i : i + _PART]
             ids = np.array(self._encode_plain([b" ".join(part).decode("utf-8").lower()], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self._last[ids]) + 1) * 4
-            if len(ends) != len(part):
+            ends = np.flatnonzero(self._last[ids]) + 1
+            if len(ends) == len(part):
+                self._add(part, ids, np.diff(ends, prepend=0).astype(np.int32))
+            else:
                 self._one_by_one(part)
-                continue
-            whole, a = ids.tobytes(), 0
-            for word, b in zip(part, ends.tolist()):
-                self._memo[word] = whole[a:b]
-                a = b
 
-    def _learn(self, words: set[bytes]) -> None:
-        memo = self._memo
-        letters, others, composed = [], [], []
+    def _learn(self, words: list[bytes]) -> None:
+        """Add distinct words that the memo lacks."""
+        letters, others, composed, cores, tails = [], [], [], [], []
         for word in words:
             if word.isalpha() or _plain(word):
                 letters.append(word)
                 continue
             core = word.rstrip(_TAIL)
             if len(core) < len(word) and (core.isalpha() or _plain(core)):
-                composed.append((word, core, word[len(core) :]))
-                if core not in memo and core not in words:
-                    memo[core] = b""
-                    letters.append(core)
+                composed.append(word)
+                cores.append(core)
+                tails.append(word[len(core) :])
             else:
                 others.append(word)
-        tails = {t for _, _, t in composed if t not in memo and t not in words}
-        self._together(letters)
-        self._one_by_one([*others, *tails])
-        for word, core, tail in composed:
-            memo[word] = memo[core] + memo[tail]
+        memo = self._memo
+        self._together([*letters, *(set(cores).difference(letters) - memo.keys())])
+        self._one_by_one([*others, *(set(tails).difference(others) - memo.keys())])
+        if composed:
+            pool, sizes, starts = self._merged()
+            both = np.empty((len(composed), 2), np.int64)
+            both[:, 0] = [memo[w] for w in cores]
+            both[:, 1] = [memo[w] for w in tails]
+            self._add(composed, _pick(pool, starts[both.reshape(-1)], sizes[both.reshape(-1)]), sizes[both].sum(axis=1).astype(np.int32))
 
     def encode(self, texts: pa.Array | Sequence[bytes | None]) -> list[bytes]:
         """The ids of each text; a null text is empty.
@@ -121,36 +137,47 @@ class WordTokenizer:
         split = pc.ascii_split_whitespace(pc.if_else(odd, texts, pc.ascii_lower(texts)))
         coded = split.flatten().dictionary_encode()
         distinct = pc.cast(coded.dictionary, pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(self._memo.get, distinct))
-        missing = [i for i, known in enumerate(ids) if known is None]
+        rows = np.fromiter(map(self._memo.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(rows < 0).tolist()
         if len(self._memo) + len(missing) > self._limit:
-            self._memo = {w: known for w, known in zip(distinct, ids) if known is not None}
-        self._learn({distinct[i] for i in missing})
-        memo = self._memo
-        for i in missing:
-            ids[i] = memo[distinct[i]]
-        return gathered(split, coded, ids)
+            pool, sizes, starts = self._merged()
+            held = np.flatnonzero(rows >= 0)
+            kept = rows[held]
+            self._reset(dict(zip([distinct[i] for i in held.tolist()], range(len(held)))), _pick(pool, starts[kept], sizes[kept]), sizes[kept])
+            rows[held] = np.arange(len(held))
+        if missing:
+            unseen = [distinct[i] for i in missing]
+            self._learn(unseen)
+            rows[missing] = [self._memo[w] for w in unseen]
+        pool, sizes, starts = self._merged()
+        return _gathered(split, coded.indices.to_numpy(), pool, starts[rows], sizes[rows])
+
+
+def _pick(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of the pool, one behind the other."""
+    reach = np.cumsum(sizes, dtype=np.int64)
+    places = np.repeat((starts - reach + sizes).astype(np.int32), sizes)
+    places += np.arange(len(places), dtype=np.int32)
+    return pool[places]
 
 
 def gathered(split: pa.ListArray, coded: pa.DictionaryArray, ids: list[bytes]) -> list[bytes]:
     """The ids of each text from those of its words: ``split`` are the texts' words, ``coded`` all of them by their
     dictionary, ``ids`` those of the dictionary's words."""
     sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-    table = np.frombuffer(b"".join(ids), "<u4")
-    starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+    return _gathered(split, coded.indices.to_numpy(), np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+
+
+def _gathered(split: pa.ListArray, words: np.ndarray, pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     ends = split.offsets.to_numpy()[1:]
-    words = coded.indices.to_numpy()
     out: list[bytes] = []
     first = 0
     for i in range(0, len(split), _TEXTS):  # word by word to ids, some texts at a time
         last = int(ends[min(i + _TEXTS, len(split)) - 1])
         part = words[first:last]
         n = sizes[part]
-        reach = np.cumsum(n, dtype=np.int64)
-        places = np.repeat(starts[part] - (reach - n).astype(np.int32), n)
-        places += np.arange(len(places), dtype=np.int32)
-        flat = table[places].tobytes()
-        reach = np.concatenate([[0], reach])
+        flat = _pick(pool, starts[part], n).tobytes()
+        reach = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         bounds = reach[np.concatenate([[first], ends[i : i + _TEXTS]]) - first] * 4
         out += [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         first = last
