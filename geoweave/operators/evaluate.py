@@ -115,7 +115,7 @@ def log_quotas(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
 
 def quota_sample(df: DataFrame, quotas: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(draw(key), key)
-    ranked = df.withColumn("_n", F.row_number().over(order)).join(F.broadcast(quotas.select(*keys, "quota")), list(keys))
+    ranked = df.withColumn("_n", F.row_number().over(order)).join(quotas.select(*keys, "quota"), list(keys))
     return ranked.where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -146,20 +148,50 @@ def distance_squared(cells: DataFrame, roads: DataFrame, height: int, width: int
     """(r, c, d2): squared distance in cells to the nearest road cell; null if there are no roads.
 
     Exact and separable. Along each column the nearest road above and below gives the
-    vertical distance; then each row takes the least of (horizontal distance)^2 +
-    (vertical distance)^2. The second pass meets the columns of a row only."""
-    from pyspark.sql import Window
-
+    vertical distance, in windows. Then every row takes the lower envelope of the parabolas
+    (horizontal distance)^2 + (vertical distance)^2 of its columns, in time linear in its
+    length, one row of the grid at a time."""
     marked = cells.select("r", "c", F.lit(None).cast("int").alias("road")).unionAll(roads.select("r", "c", F.col("r").alias("road")))
     marked = marked.groupBy("r", "c").agg(F.max("road").alias("road"))
     up = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("c").orderBy("r").rowsBetween(0, Window.unboundedFollowing)
     vertical = marked.select("r", "c", F.least(F.col("r") - F.last("road", True).over(up), F.first("road", True).over(down) - F.col("r")).alias("v"))
-    near = vertical.where("v IS NOT NULL").select("r", F.col("c").alias("c2"), "v")
-    best = cells.select("r", "c").join(near, "r").groupBy("r", "c").agg(F.min((F.col("c") - F.col("c2")) * (F.col("c") - F.col("c2")) + F.col("v") * F.col("v")).alias("d2"))
+
+    def row(rows: pd.DataFrame) -> pd.DataFrame:
+        near = rows.dropna(subset=["v"]).sort_values("c")
+        if near.empty:
+            return pd.DataFrame({"r": [], "c": [], "d2": []})
+        d2 = lower_envelope(near["c"].to_numpy(np.int64), near["v"].to_numpy(np.int64) ** 2, rows["c"].to_numpy(np.int64))
+        return pd.DataFrame({"r": rows["r"], "c": rows["c"], "d2": d2})
+
+    best = vertical.groupBy("r").applyInPandas(row, "r int, c int, d2 long")
     return cells.select("r", "c").join(best, ["r", "c"], "left")
 
 
+def lower_envelope(centres: np.ndarray, heights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Least of (x - centre)^2 + height over the parabolas, for every x of ``at``; centres ascend."""
+    kept: list[int] = []
+    begins: list[float] = []
+    for i, (c, h) in enumerate(zip(centres.tolist(), heights.tolist())):
+        begin = -np.inf
+        while kept:
+            j = kept[-1]
+            begin = (h + c * c - int(heights[j]) - int(centres[j]) ** 2) / (2 * (c - int(centres[j])))
+            if begin > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+            begin = -np.inf
+        kept.append(i)
+        begins.append(begin)
+    k = np.searchsorted(begins, at, "right") - 1
+    found = np.full(len(at), np.iinfo(np.int64).max)
+    for step in (-1, 0, 1):  # rounding of a border may name the parabola beside
+        i = np.array(kept)[np.clip(k + step, 0, len(kept) - 1)]
+        found = np.minimum(found, (at - centres[i]) ** 2 + heights[i])
+    return found
+
+
 def zone_means(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Means of the given values by zone (and more keys); NaN counts as missing."""
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value))

@@ -260,7 +260,7 @@ def _training(view):
 
 @query()
 def rf_spatial_cv(spark, view):
-    return models.spatial_cv(_training(view), ["from_class", "conf_from", "x", "y"], "label", 14, folds=3, trees=5, depth=4)
+    return models.spatial_cv(_training(view), ["from_class", "conf_from", "x", "y"], "label", 14, trees=5, depth=4)
 
 
 @query()
