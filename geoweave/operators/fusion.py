@@ -53,8 +53,8 @@ def _posterior(priors: Mapping[int, Column], votes: Sequence[tuple[int, Column]]
     """Log posteriors of the classes up to a constant; votes are (product, vote or 0).
 
     What a wrong vote costs is the same for all other classes, so a vote adds the difference
-    between right and wrong to its own class only. Written as products of non-null values: the
-    generated code stays below the size from which the virtual machine doesn't compile it."""
+    between right and wrong to its own class only. Written as products of non-null values,
+    which need less generated code than cases do."""
     out = []
     for cls, prior in priors.items():
         terms = []
