@@ -66,6 +66,38 @@ def test_quality_rejects_repeats_and_noise():
     assert not quality.judge(rows)[6]
 
 
+def in_words(rng, alphabet, n):
+    return " ".join("".join(rng.choice(alphabet) for _ in range(9)) for _ in range(n // 10)).encode()
+
+
+@pytest.mark.parametrize("size", [600, 720, 1500, 3300, 7000])
+def test_quality_bands_reject_base64(size):
+    rng = random.Random(size)
+    noise = in_words(rng, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", size)
+    assert not quality.judge(noise)[5] and not quality.judge(noise)[6]
+
+
+@pytest.mark.parametrize(("alphabet", "size"), [("0123456789abcdef", 3300), ("0123456789abcdef", 7000), ("0123456789", 14000)])
+def test_quality_bands_reject_hex_and_digits(alphabet, size):
+    noise = in_words(random.Random(size), alphabet, size)
+    assert not quality.judge(noise)[5] and not quality.judge(noise)[6]
+
+
+def test_quality_bands_reject_mild_repetition_and_keep_labelled_text(spark, data):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data.rsplit('/', 1)[0]}/sf0.01/labels.parquet").collect()}
+    docs = texts(spark, f"{data.rsplit('/', 1)[0]}/sf0.01")
+    verdicts = {d: quality.judge((docs[d] or "").encode()) for d in labels}
+    good = [v[6] for d, v in verdicts.items() if labels[d] == 1 and not v[5]]
+    assert len(good) > 200 and all(good)
+    long = [v[6] for d, v in verdicts.items() if labels[d] == 0 and not v[5] and len(docs[d].encode()) >= 4096]
+    assert long and not any(long)
+    words = sorted({w for t in docs.values() for w in (t or "").split() if w.isalpha()})[:3000]
+    rng = random.Random(3)
+    few = rng.sample(words, 130)  # words recur, but hardly any three in a row
+    mild = " ".join(rng.choice(few) for _ in range(900)).encode()
+    assert not quality.judge(mild)[5] and not quality.judge(mild)[6]
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     got = quality.quality(odd).collect()
     assert len(got) == len(ODD)
