@@ -1,9 +1,11 @@
 """Substring deduplication with sliding sentence spans.
 
 A text is cut into sentences: behind . ! ? … and their closing quotes where white space
-follows, and at line ends. A sentence of more than ``MAX_WORDS`` words is cut again behind
-every word whose CRC-32 is divisible by ``CUT``, so that a passage without punctuation has
-boundaries too, and the same ones wherever it begins. A span starts at every sentence and
+follows, and at line ends. Where ``WINDOW`` words hold no such end, the text is also cut
+behind the word of the least CRC-32 among them (winnowing). Every cut follows from at most
+``WINDOW`` - 1 words on either side of it, and no two are farther apart than ``WINDOW``
+words, so a passage is cut alike wherever it begins, and 50 words of it hold a whole span.
+A span starts at every sentence and
 holds the next ``RUN`` sentences, and more until it has ``MIN_WORDS`` words; its words, with
 ASCII letters in lower case, are hashed. Equal hashes anywhere in the corpus are one
 repeated span. The first occurrence, by doc_id and place, stays; a sentence that any later
@@ -24,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,29 +35,43 @@ from geoweave.llm.common import prepare, stored
 
 RUN = 3
 MIN_WORDS = 12
-MAX_WORDS = 10
-CUT = 8
+#: Words of which one at least is followed by a cut. RUN of them, the words until the first cut and
+#: WINDOW - 1 at either edge of a passage, where its surroundings have a say, are under 50.
+WINDOW = 8
 
 _END = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[^\S\n]*\n\s*")
-_WORD = re.compile(r"\S+\s*")
+_GAP = re.compile(r"\s+")
 
 
-def sentences(text: str, max_words: int = MAX_WORDS) -> list[tuple[int, int]]:
+def _least(keys: list[int], window: int) -> np.ndarray:
+    """Places of the least key of every window, the last one among equals."""
+    n = len(keys)
+    if n < window:
+        return np.empty(0, np.int64)
+    low = (np.array(keys, np.int64) << 31) + np.arange(n, 0, -1)
+    width = 1
+    while width < window:
+        step = min(width, window - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    return np.unique(n - (low & (1 << 31) - 1))
+
+
+def sentences(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Spans of the sentences, white space behind each included; together they are the text."""
-    out: list[tuple[int, int]] = []
-    at = 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if end == at:
-            continue
-        words = text[at:end].split()
-        if len(words) > max_words and any(marked := [zlib.crc32(w.encode("utf-8")) % CUT == 0 for w in words[:-1]]):
-            for m, cut in zip(_WORD.finditer(text, at, end), marked):
-                if cut:
-                    out.append((at, m.end()))
-                    at = m.end()
-        out.append((at, end))
-        at = end
-    return out
+    cuts = {m.end() for m in _END.finditer(text)}
+    words = text.lower().split()
+    ends = [m.end() for m in _GAP.finditer(text)]
+    if ends and text[0].isspace():
+        del ends[0]
+    if len(ends) < len(words):
+        ends.append(len(text))
+    keys = [0 if e in cuts else (zlib.crc32(w.encode("utf-8")) >> 1) + 1 for w, e in zip(words, ends)]
+    cuts.update(ends[i] for i in _least(keys, window).tolist())
+    cuts.add(len(text))
+    cuts.discard(0)
+    edges = sorted(cuts)
+    return list(zip([0, *edges], edges))
 
 
 def _runs(counts: list[int], run: int, min_words: int) -> list[int | None]:
@@ -70,11 +87,11 @@ def _runs(counts: list[int], run: int, min_words: int) -> list[int | None]:
     return out
 
 
-def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> list[int | None]:
+def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> list[int | None]:
     """Hash of the span that starts at each sentence, as signed 64-bit integers; None where there is none."""
     from xxhash import xxh64_intdigest
 
-    parts = [text[a:b].encode("utf-8").lower().split() for a, b in sentences(text or "", max_words)]
+    parts = [text[a:b].encode("utf-8").lower().split() for a, b in sentences(text or "", window)]
     keys = [b" ".join(p) for p in parts]
     out: list[int | None] = []
     for i, end in enumerate(_runs(list(map(len, parts)), run, min_words)):
@@ -83,9 +100,9 @@ def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, max
     return out
 
 
-def without(text: str, places: Iterable[int], run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> tuple[str, int, list[tuple[int, int]]]:
+def without(text: str, places: Iterable[int], run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> tuple[str, int, list[tuple[int, int]]]:
     """(the text without the spans that start at these sentences, sentences removed, removed spans)."""
-    parts = sentences(text, max_words)
+    parts = sentences(text, window)
     ends = _runs([len(text[a:b].split()) for a, b in parts], run, min_words)
     gone = {k for p in places for k in range(p, ends[p])}
     kept, spans = [], []
@@ -103,13 +120,13 @@ def _key(docs: DataFrame) -> F.Column:
     return F.xxhash64("doc_id", F.col("text").cast("string"))
 
 
-def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
+def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """(key, places) of documents with a non-first occurrence: the sentences at which one starts."""
     prepare(docs.sparkSession)
 
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [run_hashes(t, run, min_words, max_words) for t in batch.column(2).to_pylist()]
+            found = [run_hashes(t, run, min_words, window) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["key", "doc_id", "hashes"])
 
     texts = docs.select(_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -121,17 +138,17 @@ def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     return later.groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
-def sentence_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
+def sentence_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """(doc_id, text, n_removed, removed) of every document: the text that stays, how many
     sentences went, and the removed spans of the input text (start:end in code points, comma-joined)."""
-    places = repeated_places(docs, run, min_words, max_words)
+    places = repeated_places(docs, run, min_words, window)
     joined = docs.select(_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(places, "key", "left").select("doc_id", "text", "places")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, spans = [], [], []
             for text, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                left, gone, removed = without(text, at, run, min_words, max_words) if at else (text, 0, [])
+                left, gone, removed = without(text, at, run, min_words, window) if at else (text, 0, [])
                 texts.append(left)
                 counts.append(gone)
                 spans.append(",".join(f"{a}:{b}" for a, b in removed))
@@ -140,18 +157,18 @@ def sentence_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     return joined.mapInArrow(apply, "doc_id long, text string, n_removed long, removed string")
 
 
-def drop_repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS) -> DataFrame:
+def drop_repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """The documents, all columns, without later occurrences in ``text``; ``n_chars`` follows where it exists."""
     names, schema = docs.columns, docs.schema
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    places = repeated_places(docs, run, min_words, max_words).withColumnRenamed("places", "_geoweave_places").withColumnRenamed("key", "_geoweave_key")
+    places = repeated_places(docs, run, min_words, window).withColumnRenamed("places", "_geoweave_places").withColumnRenamed("key", "_geoweave_key")
     joined = docs.withColumn("_geoweave_key", _key(docs)).join(places, "_geoweave_key", "left").select(*(docs[n] for n in names), "_geoweave_places")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns[:-1])
             texts = columns[at].to_pylist()
-            changed = [(t, without(t, p, run, min_words, max_words)[0]) if p else (t, t) for t, p in zip(texts, batch.column(len(columns)).to_pylist())]
+            changed = [(t, without(t, p, run, min_words, window)[0]) if p else (t, t) for t, p in zip(texts, batch.column(len(columns)).to_pylist())]
             columns[at] = pa.array([new for _, new in changed], columns[at].type)
             if size is not None:
                 columns[size] = pa.array([old if a is b else len(b) for (a, b), old in zip(changed, columns[size].to_pylist())], columns[size].type)

@@ -366,6 +366,34 @@ def test_planted_passages_go_and_clean_text_stays(spark, inside):
             assert sum(w in got[i].text for w in middle) < (0.6 if i // 3 % 2 else 0.4) * len(middle)
 
 
+@pytest.mark.parametrize("kind", ["prose", "bare", "line"])
+def test_any_51_shared_words_hold_a_whole_span(spark, data, kind):
+    rng = random.Random(kind)
+    docs = [w for t in texts(spark, data).values() if len(w := (t or "").split()) > 200]
+
+    def some(n):
+        words = rng.choice(docs)
+        at = rng.randrange(len(words) - n)
+        return words[at : at + n]
+
+    for _ in range(400):
+        passage = some(51)
+        if kind != "prose":
+            passage = [re.sub(r"\W", "", w) or "x" for w in passage]
+        gap = "\n" if kind == "line" else " "
+        one, two = (set(sentences.run_hashes(gap.join(" ".join(p) for p in (some(rng.randint(1, 40)), passage, some(rng.randint(1, 40)))))) - {None} for _ in range(2))
+        assert one & two
+
+
+def test_sentences_are_the_text_and_bounded():
+    rng = random.Random(8)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "bc", "dé.", " ", " ", "  ", "\n", "\xa0", "!) ", "x"]) for _ in range(rng.randint(0, 90)))
+        parts = sentences.sentences(text)
+        assert "".join(text[a:b] for a, b in parts) == text and all(a < b for a, b in parts)
+        assert all(len(text[a:b].split()) <= sentences.WINDOW for a, b in parts[1:-1])
+
+
 def test_sentences_of_odd_rows(spark, odd, empty):
     got = sentences.sentence_dedup(odd).collect()
     assert len(got) == len(ODD) and sum(r.text is None for r in got) == 1
