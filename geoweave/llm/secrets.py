@@ -8,7 +8,9 @@ of any depth are reported at document positions (code points, end exclusive).
 
 Defined results: a null text is empty and has no findings; repeated rows give equal rows;
 ``doc_id`` may be null; an empty table gives no rows. One pass, no shuffle. Escapes are
-unwrapped in windows around them, so a very long text costs its length.
+unwrapped in windows around them, which reach to the ends of the unbroken runs of value,
+base64 and escape characters that they touch, so no edge cuts a match, and the windows of a
+text don't overlap: a very long text costs its length.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ _UNPRINTABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffd]")
 _URL_SAFE = bytes.maketrans(b"-_", b"+/")
 #: Characters on either side of an escape that its layer holds, so that a keyword or a value beside it is seen.
 MARGIN = 96
+#: What a keyword, a value, base64 or an escape is made of; and such runs with signs and spaces between them.
+_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=%\\&#;{}:\"'-")
+_RUNS = re.compile(r"""\x20*+[A-Za-z0-9+/_.=%\\&#;{}:"'-]*+(?:\x20++[:=]\x20*+[A-Za-z0-9+/_.=%\\&#;{}:"'-]*+|(?<=[:=])\x20++[A-Za-z0-9+/_.=%\\&#;{}:"'-]++)*+""")
 
 Span = tuple[str, int, int]
 
@@ -61,15 +66,41 @@ class Layer:
         self.text, self.starts, self.ends = text, starts, ends
 
 
+def _run_start(text: str, at: int, least: int) -> int:
+    """Where the run that reaches to a place starts, over the spaces beside an assignment sign too."""
+    while at > least:
+        if text[at - 1] in _RUN:
+            at -= 1
+            continue
+        before = at
+        while before > least and text[before - 1] == " ":
+            before -= 1
+        if before == at or before == least or text[before - 1] not in ":=" and text[at : at + 1] not in (":", "=", " "):
+            break
+        at = before
+    return at
+
+
 def _windows(text: str, found: list[re.Match]) -> Iterator[tuple[int, int, list[re.Match]]]:
-    """Stretches of the text around escapes; escapes closer than the margin share one."""
+    """Stretches of the text around escapes: a margin, and on to the ends of the runs there; stretches that touch are one."""
     group: list[re.Match] = []
-    for m in [*found, None]:
-        if group and (m is None or m.start() - group[-1].end() > 2 * MARGIN):
-            yield max(0, group[0].start() - MARGIN), min(len(text), group[-1].end() + MARGIN), group
-            group = []
-        if m is not None:
+    start = end = 0
+    for m in found:
+        if group and m.start() <= end:
             group.append(m)
+        else:
+            low = max(end, m.start() - MARGIN)
+            low = _run_start(text, low, end)
+            if group and low <= end:
+                group.append(m)
+            else:
+                if group:
+                    yield start, end, group
+                start, group = low, [m]
+        if (edge := min(len(text), m.end() + MARGIN)) > end:
+            end = _RUNS.match(text, edge).end()
+    if group:
+        yield start, end, group
 
 
 def _percent(part: str) -> str | None:

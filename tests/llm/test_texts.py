@@ -164,6 +164,22 @@ def test_nested_layers_map_to_the_document(wrapped):
     assert all(start <= a < b <= start + len(wrapped) for _, a, b in added)
 
 
+@pytest.mark.parametrize("size", [150, 320, 900, 4000])
+def test_long_values_around_escapes_are_whole(size):
+    rng = random.Random(size)
+    for i in range(150):
+        body = gzip.compress(f"{''.join(rng.choice('abcdefgh ijklm') for _ in range(size))} password=hunter2secret{i}".encode())
+        text = f"Some words before {urllib.parse.quote(b64(body), safe='')} and after."
+        assert any(f[0] == "assign" for f in secrets.findings(text)[1])
+    jwt = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    text = f"a token%3D{jwt} b"
+    assert secrets.findings(text)[1] == [("assign", 2, 2 + len("token%3D") + size)]
+    text = "x" * size + "%20" + "y " * 300 + f"token={jwt}%41{jwt} end"
+    assert ("assign", text.index("token="), len(text) - 4) in secrets.findings(text)[1]
+    for text in (f"toke%6e{' ' * size}={' ' * size}{jwt}", f"token{' ' * size}={' ' * size}%41{jwt}"):
+        assert secrets.findings(text)[1] == [("assign", 0, len(text))]
+
+
 def test_layers_end():
     assert secrets.findings("%25" * 300 + "41")[0] == []
     assert secrets.findings("plain words only, nothing else here") == ([], [])
