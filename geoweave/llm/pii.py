@@ -41,17 +41,28 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}){1,6}", re.I | re.A)
+_MARKED = r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?"
+# Behind a plain " at " a dot with white space behind it only is the end of a sentence.
+_SPELLED = re.compile(
+    rf"[A-Za-z0-9._%+-]{{1,64}}(?:\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{{1,63}}(?:(?:{_MARKED}|\x20?\.\x20?)[A-Za-z0-9-]{{1,63}}){{1,6}}"
+    rf"|\x20{{1,2}}at\x20{{1,2}}[A-Za-z0-9-]{{1,63}}(?:(?:{_MARKED}|\.|\x20\.\x20?)[A-Za-z0-9-]{{1,63}}){{1,6}})",
+    re.I | re.A,
+)
+#: What every written-out address holds.
+_AT = re.compile(rf"(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{{1,63}}(?:{_MARKED}|\x20?\.\x20?)[A-Za-z0-9-]", re.I | re.A)
 _NATIONAL = re.compile(r"(?<![0-9.+-])\(?[0-9]{2,5}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])")
 _GROUPED = re.compile(r"(?<![0-9])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9])|(?<![0-9A-Za-z])[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}(?![0-9])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_NAME = re.compile(r"(?:(Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?\x20)?([A-Z][a-zà-ÿ]{1,20})\x20([A-Z][a-zà-ÿ]{1,20})(?![a-zà-ÿ])")
 
 # Fixed values of the gazetteers.
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co de fr es it uk us eu ch at nl be pl se no fi dk pt ru cn jp in br mx ca au".split())
 GIVEN_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Hans Peter Klaus Ursula Jürgen Monika Wolfgang Petra Jean Marie Pierre Michel Catherine Nathalie José Antonio Carmen Manuel Francisco Isabel".split())
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", "Señora")
+_PART = "[A-Z][a-zà-ÿ]{1,20}"
+_NAME = re.compile(rf"(?:(?:{'|'.join(TITLES)})\.?\x20{_PART}|(?:{'|'.join(sorted(GIVEN_NAMES))}))\x20{_PART}(?![a-zà-ÿ])")
+#: One of these is in every text with a name: they are the beginnings of the pattern.
+_NAMED = (*TITLES, *(f"{n} " for n in sorted(GIVEN_NAMES)))
 _POSITIVE = re.compile(r"e-?mail|mailto|contact|phone|tel\b|call|mobile|fax|whatsapp|card|visa|mastercard|credit|\bip\b|address|server|host|ssn|social security|name|kontakt|telefon|téléphone|teléfono|karte|carte|tarjeta|correo", re.I)
 _NEGATIVE = re.compile(r"isbn|issn|order|invoice|version|total|page|serial|model|article|doi|reference|build", re.I)
 
@@ -110,7 +121,7 @@ def candidates(text: str) -> list[Span]:
     """Spans of the looser patterns."""
     found: list[Span] = []
     low = text.lower()
-    if "(at)" in low or "[at]" in low or " dot " in low:
+    if ("(at)" in low or "[at]" in low or " at " in low) and _AT.search(text):
         found += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
     found += [("phone", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
     found += [("card", m.start(), m.end()) for m in _GROUPED.finditer(text)]
@@ -120,9 +131,8 @@ def candidates(text: str) -> list[Span]:
     if ":" in text:
         found += [("ip", m.start(), m.end()) for m in _IPV6.finditer(text)]
     found += [("id", m.start(), m.end()) for m in _ID.finditer(text)]
-    words = set(text.split())
-    if not GIVEN_NAMES.isdisjoint(words) or any(t in words or f"{t}." in words for t in TITLES):
-        found += [("name", m.start(), m.end()) for m in _NAME.finditer(text) if m[1] or m[2] in GIVEN_NAMES]
+    if any(n in text for n in _NAMED):
+        found += [("name", m.start(), m.end()) for m in _NAME.finditer(text)]
     return found
 
 

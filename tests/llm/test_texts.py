@@ -221,6 +221,21 @@ def test_base_spans_on_random_strings():
         assert pii.base_spans(t) == slow_pii(t), t
 
 
+@pytest.mark.parametrize("before", ["", "we met ", "Contact ", "Dear ", "("])
+@pytest.mark.parametrize(
+    ("kind", "form"),
+    [("email", f"jane.doe{at}host{dot}com") for at in (" at ", "(at)", " [at] ", " AT ") for dot in (".", " dot ", "[dot]", " (dot) ", " . ")]
+    + [("name", n) for n in ("John Miller", "James Smith", "José García", "Mr John Miller", "Dr. Quentin Miller", "Frau Weber Schmidt")],
+)
+def test_every_form_is_a_candidate(kind, form, before):
+    text = f"{before}{form}, they said."
+    assert (kind, len(before), len(before) + len(form)) in pii.candidates(text)
+
+
+def test_sentence_ends_are_no_addresses():
+    assert pii.candidates("we stayed at home. It was late") == []
+
+
 def test_reliabilities_are_found():
     rows = [(0, 1, 0, 1, 1, 1, 0, 300), (0, 0, 0, -1, 0, -1, 0, 300), (0, 0, 0, 1, 1, 1, 0, 40), (0, 0, 0, -1, 1, -1, 0, 20)]
     model = pii.fit(rows)
