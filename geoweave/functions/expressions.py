@@ -120,10 +120,6 @@ def truncated_percent(p: Column) -> Column:
     return F.floor(F.round(F.least(F.greatest(p * 100, F.lit(0.0)), F.lit(100.0)), 6)).cast("int")
 
 
-def half_open_share(part: Column, whole: Column, digits: int) -> Column:
-    return F.round(F.try_divide(part * F.lit(100.0), whole), digits)
-
-
 def any_prefix(column: Column, prefixes: Iterable[str]) -> Column:
     out = F.lit(False)
     for p in prefixes:
@@ -131,22 +127,36 @@ def any_prefix(column: Column, prefixes: Iterable[str]) -> Column:
     return out
 
 
-def feature_group(name: Column) -> Column:
-    """Group of a feature column, by its name."""
-    f = F.lower(name)
-    return (
-        F.when(f.startswith("ndvi"), "Vegetation productivity")
-        .when(f.startswith("phen"), "Phenology")
-        .when(f.startswith("spei"), "Drought (SPEI)")
-        .when(f.startswith("clim"), "Climate extremes")
-        .when(f.startswith("graz") | f.contains("glw") | f.contains("livestock"), "Livestock/grazing")
-        .when(f.contains("pop"), "Population")
-        .when(f.isin("elevation", "slope", "aspect") | f.contains("terrain"), "Terrain")
-        .when(f.contains("road"), "Infrastructure")
-        .when(f.startswith("from_"), "Prior class (autocorr.)")
-        .when(f.startswith("nbr"), "Neighbour class (autocorr.)")
-        .otherwise("Other")
-    )
+# How a feature's name tells its group, tried in this order: (kind of match, text, group).
+GROUP_RULES = (
+    ("prefix", "ndvi", "Vegetation productivity"),
+    ("prefix", "phen", "Phenology"),
+    ("prefix", "spei", "Drought (SPEI)"),
+    ("prefix", "clim", "Climate extremes"),
+    ("prefix", "graz", "Livestock/grazing"),
+    ("within", "glw", "Livestock/grazing"),
+    ("within", "livestock", "Livestock/grazing"),
+    ("within", "pop", "Population"),
+    ("whole", "elevation", "Terrain"),
+    ("whole", "slope", "Terrain"),
+    ("whole", "aspect", "Terrain"),
+    ("within", "terrain", "Terrain"),
+    ("within", "road", "Infrastructure"),
+    ("prefix", "from_", "Prior class (autocorr.)"),
+    ("prefix", "nbr", "Neighbour class (autocorr.)"),
+)
+_MATCH = {"prefix": Column.startswith, "within": Column.contains, "whole": Column.__eq__}
+
+
+def feature_group(name: Column, rules: Sequence[tuple[str, str, str]] = GROUP_RULES, other: str = "Other") -> Column:
+    """Group of a feature column: that of the first rule that its name satisfies."""
+    low = F.lower(name)
+    return F.coalesce(*(F.when(_MATCH[kind](low, text), group) for kind, text, group in rules), F.lit(other))
+
+
+def feature_label(name: Column) -> Column:
+    """A feature's name for readers: underscores as spaces, ``5y`` and ``10y`` as years."""
+    return F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), r"\b(slope)(5|10)y\b", "$1 over $2 years")
 
 
 def is_autocorrelated(name: Column) -> Column:

@@ -204,34 +204,44 @@ def granger_full(df: DataFrame, effect: str, causes: Sequence[str], keys: Sequen
     return long.groupBy(*keys, "driver").applyInPandas(test, schema)
 
 
-def phase_randomised(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A surrogate with the series' spectrum and random phases."""
-    spectrum = np.fft.rfft(x - x.mean())
-    phases = rng.uniform(0, 2 * np.pi, len(spectrum))
-    phases[0] = 0
-    if len(x) % 2 == 0:
-        phases[-1] = 0
-    return np.fft.irfft(np.abs(spectrum) * np.exp(1j * phases), n=len(x)) + x.mean()
+def surrogates(x: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarray:
+    """(count, len(x)): series with the spectrum of ``x``, each of whose waves is turned by a random angle.
 
+    The mean, and of even lengths the wave of highest frequency, have no angle and stay."""
+    spectrum = np.fft.rfft(x)
+    waves = slice(1, (len(x) + 1) // 2)
+    many = np.repeat(spectrum[None], count, axis=0)
+    many[:, waves] *= np.exp(2j * np.pi * rng.random((count, waves.stop - waves.start)))
+    return np.fft.irfft(many, n=len(x), axis=1)
 
-def cross_map(effect: np.ndarray, cause: np.ndarray, dims: int = 3, tau: int = 1) -> float:
-    """Skill with the whole series as library: the NumPy form of ``ccm_full``."""
+
+def cross_maps(effect: np.ndarray, causes: np.ndarray, dims: int = 3, tau: int = 1) -> np.ndarray:
+    """Skill for each row of ``causes`` with the whole series as library: the NumPy form of ``ccm_full``.
+
+    Neighbours and weights come from the effect alone, so they serve all causes; NaN where there is no skill."""
     first = (dims - 1) * tau
     m = np.stack([effect[first - j * tau : len(effect) - j * tau] for j in range(dims)], axis=1)
-    y = cause[first:]
+    y = causes[:, first:]
+    if m.shape[0] < dims + 2:
+        return np.full(len(causes), np.nan)
     d = np.sqrt(((m[:, None] - m[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     near = np.argsort(d, axis=1, kind="stable")[:, : dims + 1]
-    if near.shape[1] < dims + 1 or len(y) < dims + 2:
-        return math.nan
     dist = np.take_along_axis(d, near, axis=1)
     w = np.exp(-dist / np.maximum(dist[:, :1], 1e-12))
-    estimate = (w * y[near]).sum(axis=1) / w.sum(axis=1)
-    return float(np.corrcoef(y, estimate)[0, 1]) if min(np.std(y), np.std(estimate)) >= 1e-12 else math.nan
+    estimate = (w * y[:, near]).sum(axis=2) / w.sum(axis=1)
+    a, b = y - y.mean(axis=1, keepdims=True), estimate - estimate.mean(axis=1, keepdims=True)
+    spread = np.sqrt((a * a).mean(axis=1)), np.sqrt((b * b).mean(axis=1))
+    good = (spread[0] >= 1e-12) & (spread[1] >= 1e-12)
+    return np.where(good, (a * b).mean(axis=1) / np.where(good, spread[0] * spread[1], 1), np.nan)
+
+
+def cross_map(effect: np.ndarray, cause: np.ndarray, dims: int = 3, tau: int = 1) -> float:
+    return float(cross_maps(effect, cause[None], dims, tau)[0])
 
 
-def surrogate_p(df: DataFrame, effect: str, causes: Sequence[str], keys: Sequence[str], surrogates: int = 200, seed: int = 42, time: str = "t", dims: int = 3) -> DataFrame:
-    """(keys, driver, rho, p_value): share of phase-randomised causes that do as well, (hits + 1) / (N + 1)."""
+def surrogate_p(df: DataFrame, effect: str, causes: Sequence[str], keys: Sequence[str], count: int = 200, seed: int = 42, time: str = "t", dims: int = 3) -> DataFrame:
+    """(keys, driver, rho, p_value): share of ``count`` surrogates of the cause that do as well, (hits + 1) / (count + 1)."""
     long = df.select(*keys, time, F.col(effect).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("driver"), F.col(c).cast("double").alias("x")) for c in causes))).alias("_d")).select(*keys, time, "y", "_d.driver", "_d.x")
 
     def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -243,8 +253,8 @@ def surrogate_p(df: DataFrame, effect: str, causes: Sequence[str], keys: Sequenc
             return pd.DataFrame()
         rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
         rho = cross_map(y, x, dims)
-        hits = sum(cross_map(y, phase_randomised(x, rng), dims) >= rho for _ in range(surrogates))
-        return pd.DataFrame([dict(zip([*keys, "driver"], key)) | {"rho": rho, "p_value": (hits + 1) / (surrogates + 1)}])
+        hits = int((cross_maps(y, surrogates(x, count, rng), dims) >= rho).sum())
+        return pd.DataFrame([dict(zip([*keys, "driver"], key)) | {"rho": rho, "p_value": (hits + 1) / (count + 1)}])
 
     kinds = dict(df.dtypes)
     return long.groupBy(*keys, "driver").applyInPandas(test, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", driver string, rho double, p_value double")
@@ -270,28 +280,35 @@ def per_pixel_ccm(df: DataFrame, pixel: str, effect: str, cause: str, time: str
     return series.mapInPandas(run, f"{pixel} {dict(df.dtypes)[pixel]}, rho double").withColumn("rho", F.nanvl("rho", F.lit(None)))
 
 
-#: Ranges of p-values.
-_RANGES = 1024
+def running_counts(counts: DataFrame, value: str, number: str, keys: Sequence[str], name: str = "_upto") -> DataFrame:
+    """Adds how many rows have at most this value, from one row for each distinct one.
+
+    Values are dealt into ranges of their logarithm, 1,024 to an octave (so values that pile up near
+    zero are told apart, too). Sums are made within a range and completed from one row for each
+    range: no task sees all values of a family."""
+    v = F.col(value).cast("double")
+    size = F.floor(F.log2(F.abs(v)) * 1024)
+    ranges = counts.withColumn("_b", F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size + 10_000_000).otherwise(-size - 10_000_000))
+    family = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    totals = ranges.groupBy(*keys, "_b").agg(F.sum(number).alias("_c"))
+    totals = totals.withColumns({"_before": F.sum("_c").over(family.orderBy("_b")) - F.col("_c"), "_all": F.sum("_c").over(family)}).drop("_c")
+    inside = F.sum(number).over(Window.partitionBy(*keys, "_b").orderBy(value))
+    return ranges.withColumn("_in", inside).join(totals, [*keys, "_b"]).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value", *, keys: Sequence[str] = (), order: Sequence[str] = (), name: str = "q_value") -> DataFrame:
+def benjamini_hochberg(df: DataFrame, p: str = "p_value", *, keys: Sequence[str] = (), name: str = "q_value") -> DataFrame:
     """Adds the false-discovery rate of each p-value; rows without one keep none and don't count.
 
-    P-values are dealt into ranges. Ranks and running minima are made within a range and
-    completed from one row for each range, so that no task sees a whole family of tests."""
-    given = df.where(F.col(p).isNotNull()).withColumn("_b", F.least(F.floor(F.col(p) * _RANGES), F.lit(_RANGES - 1)).cast("int"))
+    Equal p-values have equal rates, so the work is done on one row for each distinct p-value (however
+    many rows share it) in ranges; the running minimum from the largest on is completed as the ranks are."""
+    counts = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
+    ranked = running_counts(counts, p, "_c", keys).withColumn("_q", F.col(p) * F.col("_all") / F.col("_upto"))
     family = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    counts = given.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    counts = counts.withColumns({"_before": F.sum("_c").over(family.orderBy("_b")) - F.col("_c"), "_n": F.sum("_c").over(family)}).drop("_c")
-    inside = Window.partitionBy(*keys, "_b")
-    ranked = given.withColumn("_rank", F.row_number().over(inside.orderBy(p, *order))).join(counts, [*keys, "_b"])
-    ranked = ranked.withColumn("_q", F.col(p) * F.col("_n") / (F.col("_rank") + F.col("_before")))
     later = ranked.groupBy(*keys, "_b").agg(F.min("_q").alias("_least"))
-    later = later.withColumn("_later", F.min("_least").over(family.orderBy("_b").rowsBetween(1, Window.unboundedFollowing))).drop("_least")
-    least = F.min("_q").over(inside.orderBy("_rank").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    done = ranked.withColumn("_least", least).join(later, [*keys, "_b"])
-    done = done.withColumn(name, F.least("_least", "_later", F.lit(1.0))).drop("_b", "_rank", "_before", "_n", "_q", "_least", "_later")
-    return done.select(*df.columns, name).unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+    later = later.select(*keys, "_b", F.min("_least").over(family.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    least = F.min("_q").over(Window.partitionBy(*keys, "_b").orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rates = ranked.withColumn("_least", least).join(later, [*keys, "_b"]).select(*keys, p, F.least("_least", "_later", F.lit(1.0)).alias(name))
+    return df.where(F.col(p).isNotNull()).join(rates, [*keys, p]).select(*df.columns, name).unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def consensus(granger_rows: DataFrame, ccm_rows: DataFrame, keys: Sequence[str], alpha: float = 0.05, rho: float = 0.3, least_convergence: float = 0.05) -> DataFrame:
@@ -319,5 +336,32 @@ def coupled_logistic(n: int = 1200, rx: float = 3.7, ry: float = 3.7, bxy: float
     return out
 
 
+#: Fixed values of the regional screen: least pixels of a zone, least years of either test, and the years from which three dimensions are used.
+LEAST_PIXELS, LEAST_GRANGER, LEAST_CCM, LEAST_3D = 100, 12, 15, 18
+
+
 def causal_flag(rho: Column, converged: Column) -> Column:
     return (rho > 0.3) & (converged > 0.05)
+
+
+def regional_screen(series: DataFrame, pixels: DataFrame, effect: str, causes: Sequence[str], zone: str = "zone", time: str = "t", least_pixels: int = LEAST_PIXELS) -> DataFrame:
+    """(zone, driver, n_years, dims, rho, causal..) of every zone with enough pixels and every driver with enough years.
+
+    ``pixels`` has (zone, n). Whole-library skill in two or three dimensions by the number of years, skill
+    with a library of dims + 2 points (those of the least hash), and their difference as convergence."""
+    big = pixels.where(F.col("n") >= least_pixels).select(zone)
+    long = series.join(big, zone, "left_semi").select(zone, time, F.col(effect).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("driver"), F.col(c).cast("double").alias("x")) for c in causes))).alias("_d")).select(zone, time, "y", "_d.driver", "_d.x")
+    keys = [zone, "driver"]
+    held = aligned(long, keys, ["y", "x"], LEAST_CCM).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    out = None
+    for dims, some in ((2, held.where(F.col("_n") < LEAST_3D)), (3, held.where(F.col("_n") >= LEAST_3D))):
+        manifold = embed(some, "y", time, keys, dims).withColumn("target", F.col("x"))
+        order = Window.partitionBy(*keys).orderBy(F.pmod(F.col(time) * 7919 + 104729, F.lit(1_000_003)), time)
+        few = manifold.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= dims + 2).drop("_k")
+        whole = skill(simplex(manifold, manifold, keys, dims, time), keys).select(*keys, F.col("rho").alias("rho_max_lib"))
+        least = skill(simplex(few, manifold, keys, dims, time), keys).select(*keys, F.col("rho").alias("rho_min_lib"))
+        years = some.groupBy(*keys).agg(F.count("*").alias("n_years"), F.lit(dims).alias("dims"))
+        part = years.join(whole, keys, "left").join(least, keys, "left")
+        out = part if out is None else out.unionAll(part)
+    out = out.withColumn("convergence", F.col("rho_max_lib") - F.col("rho_min_lib"))
+    return out.withColumn("causal", F.coalesce(causal_flag(F.col("rho_max_lib"), F.col("convergence")), F.lit(False)))

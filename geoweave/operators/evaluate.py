@@ -35,21 +35,31 @@ def accuracy_by_class(matrix: DataFrame) -> DataFrame:
     return by.select("class", F.round(F.try_divide(F.col("hit").cast("double"), F.col("m")), 6).alias("user_accuracy"), F.round(F.try_divide(F.col("hit").cast("double"), F.col("r")), 6).alias("producer_accuracy"))
 
 
-def f1_by_class(df: DataFrame, label: str, predicted: str, *keys: str) -> DataFrame:
+def label_counts(df: DataFrame, label: str, predicted: str, *keys: str, weight: str | None = None) -> DataFrame:
+    """(keys, y, p, n): rows of each pair of classes, or the sum of their ``weight``."""
+    return df.groupBy(*keys, F.col(label).alias("y"), F.col(predicted).alias("p")).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
+
+
+def f1_by_class(df: DataFrame, label: str, predicted: str, *keys: str, weight: str | None = None) -> DataFrame:
     """(keys, class, support, f1) for every class seen on either side; 0 where undefined."""
-    cells = df.groupBy(*keys, F.col(label).alias("y"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    sides = cells.select(*keys, F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("called"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit"))
-    sides = sides.unionAll(cells.select(*keys, "p", F.lit(0).cast("long"), "n", F.lit(0).cast("long")))
-    by = sides.groupBy(*keys, "class").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hit").alias("hit"))
-    return by.withColumn("f1", F.coalesce(F.try_divide(F.lit(2.0) * F.col("hit"), F.col("support") + F.col("called")), F.lit(0.0))).drop("called", "hit")
+    return _f1(label_counts(df, label, predicted, *keys, weight=weight), keys)
+
+
+def _f1(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
+    sides = F.array(F.struct(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("called"), hit.alias("hit")), F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("called"), F.lit(0).cast("long").alias("hit")))
+    by = cells.select(*keys, F.inline(sides)).groupBy(*keys, "class").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hit").alias("hit"))
+    return by.withColumn("f1", F.coalesce(F.try_divide(F.lit(2.0) * F.col("hit"), F.col("support") + F.col("called")), F.lit(0.0)))
+
 
+def classification_scores(df: DataFrame, label: str, predicted: str, labels: int, *keys: str, weight: str | None = None) -> DataFrame:
+    """(keys, accuracy, macro_f1, weighted_f1). The macro mean is over ``labels`` classes, those absent counting 0.
 
-def classification_scores(df: DataFrame, label: str, predicted: str, labels: int, *keys: str) -> DataFrame:
-    """(keys, accuracy, macro_f1, weighted_f1). The macro mean is over ``labels`` classes, those absent counting 0."""
-    f1 = f1_by_class(df, label, predicted, *keys)
-    scores = f1.groupBy(*keys).agg(F.round(F.sum("f1") / labels, 6).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 6).alias("weighted_f1"))
-    accuracy = df.groupBy(*keys).agg(F.round(F.avg((F.col(label) == F.col(predicted)).cast("double")), 6).alias("accuracy"))
-    return accuracy.join(scores, list(keys)) if keys else accuracy.crossJoin(scores)
+    All scores come from the counts of pairs of classes: the rows are read once."""
+    f1 = _f1(label_counts(df, label, predicted, *keys, weight=weight), keys)
+    return f1.groupBy(*keys).agg(
+        F.round(F.sum("hit") / F.sum("support"), 6).alias("accuracy"), F.round(F.sum("f1") / labels, 6).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 6).alias("weighted_f1")
+    )
 
 
 def block_id(x: Column, y: Column, size: float = 100_000.0, truncate: bool = False) -> Column:
@@ -76,15 +86,16 @@ def persistence_baseline(pairs: DataFrame, labels: int) -> DataFrame:
 def markov_baseline(pairs: DataFrame, labels: int, folds: int = 5) -> DataFrame:
     """(fold, ...) of predicting the most frequent destination of the source class in the other folds.
 
-    Ties go to the least class, sources that the other folds lack to themselves. The other
-    folds' counts are all counts less the fold's own, so no fold is scanned twice."""
+    Ties go to the least class, sources that the other folds lack to themselves. Predictions and
+    scores come from the counts by fold and pair of classes, so the pairs are read once."""
     counts = pairs.groupBy("fold", "from_class", "to_class").agg(F.count("*").alias("n"))
     total = counts.groupBy("from_class", "to_class").agg(F.sum("n").alias("total"))
     every = total.crossJoin(F.broadcast(pairs.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))))
-    other = every.join(counts, ["fold", "from_class", "to_class"], "left").withColumn("rest", F.col("total") - F.coalesce("n", F.lit(0))).where("rest > 0")
-    mode = other.groupBy("fold", "from_class").agg(F.max_by("to_class", F.struct(F.col("rest"), -F.col("to_class"))).alias("predicted"))
-    joined = pairs.join(F.broadcast(mode), ["fold", "from_class"], "left").withColumn("predicted", F.coalesce("predicted", "from_class"))
-    return classification_scores(joined, "to_class", "predicted", labels, "fold")
+    cells = every.join(counts, ["fold", "from_class", "to_class"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rest = F.col("total") - F.col("n")
+    best = F.max_by(F.when(rest > 0, F.col("to_class")), F.when(rest > 0, F.struct(rest, -F.col("to_class")))).over(Window.partitionBy("fold", "from_class"))
+    scored = cells.withColumn("predicted", F.coalesce(best, F.col("from_class"))).where("n > 0")
+    return classification_scores(scored, "to_class", "predicted", labels, "fold", weight="n")
 
 
 def mean_of_folds(scores: DataFrame) -> DataFrame:
@@ -119,6 +130,17 @@ def quota_sample(df: DataFrame, quotas: DataFrame, keys: Sequence[str], key: str
     return ranked.where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
 
 
+def held_out(df: DataFrame, key: str, share: float = 0.1, least: int = 5000) -> DataFrame:
+    """Adds ``held``: a repeatable random part, ``share`` of the rows or about ``least``, whichever is more; all if there are fewer."""
+    n = df.agg(F.greatest(F.lit(share), F.least(F.lit(1.0), F.try_divide(F.lit(float(least)), F.count("*")))).alias("_share"))
+    return df.crossJoin(F.broadcast(n)).withColumn("held", draw(key) < F.col("_share") * 1_000_003).drop("_share")
+
+
+def random_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
+    """Adds fold by the draw of a key, for rows without coordinates."""
+    return df.withColumn("fold", F.pmod(draw(key), F.lit(folds)).cast("int"))
+
+
 def stride_sample(cells: DataFrame, stride: int, order: Sequence[str] = ("r", "c")) -> DataFrame:
     """Every ``stride``-th cell in row-major order. Ranks within rows are added to the cells before each row, so no task sees all cells."""
     row = order[0]

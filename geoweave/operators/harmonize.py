@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,23 @@ def remap(votes: DataFrame, crosswalk: DataFrame, keys: tuple[str, ...] = ("prod
 
 
 def histogram(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of each value, most frequent first in ``rank`` within all but the last key."""
+    """(keys, n): rows of each value."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def histogram_shares(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, value, n, pct, rank): rows of each value within ``keys``, its share in per cent (2 digits, halves to even), most frequent first, ties to the least value."""
+    counts = histogram(df, *keys, value)
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), value)
+    return counts.select(*keys, value, "n", F.bround(F.lit(100.0) * F.col("n") / total, 2).alias("pct"), F.row_number().over(order).alias("rank"))
+
+
+def most_frequent(df: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The ``k`` most frequent values, a report of that size; ties to the least."""
+    return histogram(df, *keys).orderBy(F.desc("n"), *keys).limit(k)
+
+
 def unknown_codes(votes: DataFrame, crosswalk: DataFrame, keys: tuple[str, ...] = ("product_id", "native")) -> DataFrame:
     """Codes outside the official legend, with their rows."""
     return histogram(votes.join(F.broadcast(crosswalk.select(*keys)), list(keys), "left_anti"), *keys)

@@ -10,13 +10,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.operators import evaluate
+from geoweave.operators import causal, evaluate
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -29,16 +29,43 @@ def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int
     return RandomForestClassifier(labelCol="_label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
 
 
-def spatial_cv(df: DataFrame, features: Sequence[str], label: str, labels: int, folds: int = 5, trees: int = 10, depth: int = 5) -> DataFrame:
-    """(fold, accuracy, macro_f1, weighted_f1): every fold predicted by a forest trained on the others."""
-    out = None
+def train_boosted(df: DataFrame, features: Sequence[str], label: str, rounds: int = 20, depth: int = 5, seed: int = 42):
+    """Boosted trees for many classes: one against the rest for each label, as MLlib's boosting knows two classes only."""
+    data = assemble(df, features).withColumn("_label", F.col(label).cast("double"))
+    one = GBTClassifier(labelCol="_label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)
+    return OneVsRest(classifier=one, labelCol="_label", featuresCol="features", parallelism=2).fit(data)
+
+
+def folds_predicted(df: DataFrame, features: Sequence[str], label: str, folds: int, train) -> tuple[DataFrame, list]:
+    """(out-of-fold predictions (fold, label, predicted), the folds' models): every fold predicted by a model of the others.
+
+    ``df`` is read once for each fold, so it should be a stored table."""
+    out, models = None, []
     for fold in range(folds):
-        model = train_forest(df.where(F.col("fold") != fold), features, label, trees, depth)
+        model = train(df.where(F.col("fold") != fold), features, label)
+        models.append(model)
         scored = model.transform(assemble(df.where(F.col("fold") == fold), features)).select("fold", label, F.col("prediction").cast("int").alias("predicted"))
         out = scored if out is None else out.unionAll(scored)
+    return out, models
+
+
+def spatial_cv(df: DataFrame, features: Sequence[str], label: str, labels: int, folds: int = 5, trees: int = 10, depth: int = 5) -> DataFrame:
+    """(fold, accuracy, macro_f1, weighted_f1) of each fold, predicted by a forest trained on the others."""
+    out, _ = folds_predicted(df, features, label, folds, lambda d, f, y: train_forest(d, f, y, trees, depth))
     return evaluate.classification_scores(out, label, "predicted", labels, "fold")
 
 
+def ablation(df: DataFrame, features: Sequence[str], without: Sequence[str], label: str, labels: int, folds: int, train) -> DataFrame:
+    """(features, accuracy, macro_f1, weighted_f1): means of folds with all features, and without those of the named prefixes."""
+    fewer = [f for f in features if not any(f.startswith(p) for p in without)]
+    out = None
+    for name, used in (("all", list(features)), ("without " + ", ".join(without), fewer)):
+        scored, _ = folds_predicted(df, used, label, folds, train)
+        one = evaluate.mean_of_folds(evaluate.classification_scores(scored, label, "predicted", labels, "fold")).select(F.lit(name).alias("features"), "*")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 class Tree:
     """A tree as arrays: children, feature, threshold (left if value <= threshold), cover, and values (node, class)."""
 
@@ -82,67 +109,47 @@ def exported_trees(model) -> list[Tree]:
     return out
 
 
-def tree_attributions(tree: Tree, x: Sequence[float], n_features: int) -> np.ndarray:
-    """Exact Shapley values (feature, class) of one tree for one row, by tracking how many subsets flow down each path.
-
-    A path holds for every feature on it the share of coverage that reaches the node when
-    the feature is unknown and whether the row goes there when it is known."""
-    phi = np.zeros((n_features, tree.values.shape[1]))
-
-    def unwound_sum(path: list[tuple[int, float, float]], weights: list[float], i: int) -> float:
-        depth = len(path) - 1
-        _, zero, one = path[i]
-        after, total = weights[depth], 0.0
-        for j in range(depth - 1, -1, -1):
-            if one:
-                w = after * (depth + 1) / ((j + 1) * one)
-                total += w
-                after = weights[j] - w * zero * (depth - j) / (depth + 1)
-            else:
-                total += weights[j] * (depth + 1) / (zero * (depth - j))
-        return total
-
-    def extend(path, weights, feature, zero, one):
-        depth = len(path)
-        path, weights = [*path, (feature, zero, one)], [*weights, 1.0 if depth == 0 else 0.0]
-        for i in range(depth - 1, -1, -1):
-            weights[i + 1] += one * weights[i] * (i + 1) / (depth + 1)
-            weights[i] = zero * weights[i] * (depth - i) / (depth + 1)
-        return path, weights
-
-    def unwind(path, weights, i):
-        depth = len(path) - 1
-        _, zero, one = path[i]
-        weights, after = list(weights), weights[depth]
-        for j in range(depth - 1, -1, -1):
-            if one:
-                kept = weights[j]
-                weights[j] = after * (depth + 1) / ((j + 1) * one)
-                after = kept - weights[j] * zero * (depth - j) / (depth + 1)
-            else:
-                weights[j] = weights[j] * (depth + 1) / (zero * (depth - j))
-        return path[:i] + path[i + 1 :], weights[:depth]
-
-    def walk(node, path, weights, zero, one, feature):
-        path, weights = extend(path, weights, feature, zero, one)
+def _leaves(tree: Tree) -> list[tuple[int, dict[int, float], list[tuple[int, float, bool]]]]:
+    """(leaf, share of coverage that each feature's splits let through, the splits: feature, threshold, left) of every leaf."""
+    out, work = [], [(0, {}, [])]
+    while work:
+        node, shares, splits = work.pop()
         if tree.left[node] < 0:
-            for i in range(1, len(path)):
-                f, z, o = path[i]
-                phi[f] += unwound_sum(path, weights, i) * (o - z) * tree.values[node]
-            return
+            out.append((node, shares, splits))
+            continue
         f = tree.feature[node]
-        goes_left = x[f] <= tree.threshold[node]
-        hot, cold = (tree.left[node], tree.right[node]) if goes_left else (tree.right[node], tree.left[node])
-        known_zero, known_one = 1.0, 1.0
-        for i in range(1, len(path)):
-            if path[i][0] == f:
-                known_zero, known_one = path[i][1], path[i][2]
-                path, weights = unwind(path, weights, i)
-                break
-        walk(hot, path, weights, known_zero * tree.cover[hot] / tree.cover[node], known_one, f)
-        walk(cold, path, weights, known_zero * tree.cover[cold] / tree.cover[node], 0.0, f)
+        for child, left in ((tree.left[node], True), (tree.right[node], False)):
+            work.append((child, shares | {f: shares.get(f, 1.0) * tree.cover[child] / tree.cover[node]}, [*splits, (f, tree.threshold[node], left)]))
+    return out
 
-    walk(0, [], [], 1.0, 1.0, -1)
+
+def tree_attributions(tree: Tree, x: np.ndarray, n_features: int) -> np.ndarray:
+    """Exact Shapley values (row, feature, class) of one tree for rows (row, feature), leaf by leaf and for all rows at once.
+
+    For a leaf, a feature on its path is either unknown, and lets its share of coverage through, or
+    known, and lets the row through or not. ``weights[k]`` sums, over the sets of ``k`` known features,
+    what comes through, each set by its part of all orders; taking one feature out again gives its value."""
+    x = np.atleast_2d(np.asarray(x, float))
+    phi = np.zeros((len(x), n_features, tree.values.shape[1]))
+    for leaf, shares, splits in _leaves(tree):
+        through = {f: np.ones(len(x)) for f in shares}
+        for f, threshold, left in splits:
+            through[f] *= (x[:, f] <= threshold) == left
+        n = len(shares)
+        weights = np.zeros((n + 1, len(x)))
+        weights[0] = 1.0
+        for d, (f, share) in enumerate(shares.items()):
+            for k in range(d, -1, -1):
+                weights[k + 1] += through[f] * weights[k] * (k + 1) / (d + 2)
+                weights[k] *= share * (d + 1 - k) / (d + 2)
+        for f, share in shares.items():
+            known = through[f] > 0
+            after, total = weights[n].copy(), np.zeros(len(x))
+            for k in range(n - 1, -1, -1):
+                part = after * (n + 1) / (k + 1)
+                total += np.where(known, part, weights[k] * (n + 1) / (share * (n - k)))
+                after = weights[k] - part * share * (n - k) / (n + 1)
+            phi[:, f] += (total * (through[f] - share))[:, None] * tree.values[leaf]
     return phi
 
 
@@ -152,11 +159,9 @@ def attributions(df: DataFrame, model, features: Sequence[str], key: str) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, x in zip(batch[key], batch[names].fillna(0.0).to_numpy(float)):
-                phi = sum(tree_attributions(t, x, len(names)) for t in trees) / len(trees)
-                rows += [(k, f, c, phi[i, c]) for i, f in enumerate(names) for c in range(phi.shape[1])]
-            yield pd.DataFrame(rows, columns=[key, "feature", "class", "phi"])
+            phi = sum(tree_attributions(t, batch[names].fillna(0.0).to_numpy(float), len(names)) for t in trees) / len(trees)
+            n, classes = len(batch), phi.shape[2]
+            yield pd.DataFrame({key: np.repeat(batch[key].to_numpy(), len(names) * classes), "feature": np.tile(np.repeat(names, classes), n), "class": np.tile(np.arange(classes), n * len(names)), "phi": phi.reshape(-1)})
 
     return df.select(key, *names).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, feature string, class int, phi double")
 
@@ -170,13 +175,11 @@ def attribution_summary(phi: DataFrame) -> DataFrame:
 def average_rank(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Adds the rank by falling value, ties sharing the mean of their ranks cut to an integer.
 
-    Ranks come from the counts of distinct values, not from a sort of all rows in one task."""
-    from pyspark.sql import Window
-
+    Ranks come from the counts of distinct values, summed in ranges of values."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(value, F.floor(F.coalesce(above, F.lit(0)) + (F.col("_n") + 1) / 2).cast("int").alias(name))
-    return df.join(ranks, value)
+    ranked = causal.running_counts(counts, value, "_n", ())
+    above = F.col("_all") - F.col("_upto")
+    return df.join(ranked.select(value, F.floor(above + (F.col("_n") + 1) / 2).cast("int").alias(name)), value)
 
 
 def importance(models: Sequence, features: Sequence[str]) -> list[tuple[str, float]]:

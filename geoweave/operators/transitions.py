@@ -52,27 +52,27 @@ def matrix(counts: DataFrame, legend: DataFrame) -> DataFrame:
 
 def matrix_percent(full: DataFrame) -> DataFrame:
     """Row-normalised per cent with two decimals; null for a class that is never a source."""
-    return full.select("from_class", "to_class", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.col("total_from")), 2).alias("pct"))
+    return full.select("from_class", "to_class", F.bround(F.try_divide(F.lit(100.0) * F.col("n"), F.col("total_from")), 2).alias("pct"))
 
 
 def change_rates(df: DataFrame) -> DataFrame:
     """(interval, n_valid_both, n_changed, change_rate_pct) of each interval."""
     by = valid(df).groupBy("from_year", "to_year").agg(F.count("*").alias("n_valid_both"), F.count_if(F.col("from_class") != F.col("to_class")).alias("n_changed"))
-    return by.select(F.concat_ws("-", "from_year", "to_year").alias("interval"), "n_valid_both", "n_changed", F.round(F.lit(100.0) * F.col("n_changed") / F.col("n_valid_both"), 2).alias("change_rate_pct"))
+    return by.select(F.concat_ws("-", "from_year", "to_year").alias("interval"), "n_valid_both", "n_changed", F.bround(F.lit(100.0) * F.col("n_changed") / F.col("n_valid_both"), 2).alias("change_rate_pct"))
 
 
 def candidates(counts: DataFrame, least: int = 5000, percent: float = 0.05) -> DataFrame:
     """Changes that are frequent over all windows: (from_class, to_class, total, pct of all rows)."""
     total = counts.groupBy("from_class", "to_class").agg(F.sum("n").alias("total"))
     every = total.agg(F.sum("total").alias("every"))
-    out = total.crossJoin(F.broadcast(every)).select("from_class", "to_class", "total", F.round(F.lit(100.0) * F.col("total") / F.col("every"), 4).alias("pct"))
+    out = total.crossJoin(F.broadcast(every)).select("from_class", "to_class", "total", F.bround(F.lit(100.0) * F.col("total") / F.col("every"), 4).alias("pct"))
     return out.where((F.col("from_class") != F.col("to_class")) & (F.col("total") >= least) & (F.col("pct") >= percent))
 
 
 def concentration(counts: DataFrame, share: float = 60.0) -> DataFrame:
     """Each change's window of most rows (ties to the earliest), its share in per cent, and whether it exceeds ``share``."""
     by = counts.where("from_class <> to_class").groupBy("from_class", "to_class").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("from_year", F.struct(F.col("n"), -F.col("from_year"))).alias("top_window"))
-    pct = F.round(F.lit(100.0) * F.col("most") / F.col("total"), 2)
+    pct = F.bround(F.lit(100.0) * F.col("most") / F.col("total"), 2)
     return by.select("from_class", "to_class", "total", "top_window", pct.alias("share"), (pct > share).alias("concentrated"))
 
 
@@ -91,7 +91,7 @@ def directions(counts: DataFrame, scheme: str = "gradient") -> DataFrame:
 def recovery_ratio(directed: DataFrame) -> DataFrame:
     """Recovery over degradation, the divisor at least 1."""
     part = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, F.col("n"))), F.lit(0))
-    return directed.agg(part("recovery").alias("recovery"), part("degradation").alias("degradation"), F.round(part("recovery") / F.greatest(part("degradation"), F.lit(1)), 6).alias("ratio"))
+    return directed.agg(part("recovery").alias("recovery"), part("degradation").alias("degradation"), F.bround(part("recovery") / F.greatest(part("degradation"), F.lit(1)), 6).alias("ratio"))
 
 
 def previous_class(maps: DataFrame, step: int = 5) -> DataFrame:

@@ -159,8 +159,8 @@ def zone_map(spark, view):
 
 def _sensitivity_sql() -> str:
     parts, ctes = [], []
-    for floor in (0.4, 0.5):
-        for delta in (-0.1, 0.0):
+    for floor in (0.3, 0.4, 0.5):
+        for delta in (-0.1, 0.0, 0.1):
             body = _fusion_sql(delta, floor, "SELECT fused AS class, count(*) AS n FROM fz GROUP BY fused").replace("SELECT pix, year FROM v_aoi CROSS JOIN v_anchor", "SELECT pix, 2020 AS year FROM v_aoi")
             parts.append(f"SELECT 'eps{floor}_dw{delta:+.2f}' AS setting, class, n FROM ({body})")
     ctes = " UNION ALL ".join(parts)
@@ -172,4 +172,4 @@ JOIN (SELECT class, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM ({_
 @query(_sensitivity_sql())
 def fusion_sensitivity(spark, view):
     cells = view("v_aoi").withColumn("year", F.lit(2020))
-    return fusion.sensitivity(view("v_unified"), cells, fusion.priors(view("v_unified")), (0.4, 0.5), (-0.1, 0.0))
+    return fusion.sensitivity(view("v_unified"), cells, fusion.priors(view("v_unified")))

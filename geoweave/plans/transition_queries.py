@@ -24,7 +24,7 @@ def _counts(view):
 
 
 @query("""SELECT CAST(from_year AS VARCHAR) || '-' || CAST(to_year AS VARCHAR) AS interval, count(*) AS n_valid_both, count(*) FILTER (from_class <> to_class) AS n_changed,
-round(100.0::DOUBLE * count(*) FILTER (from_class <> to_class) / count(*), 2) AS change_rate_pct FROM v_pairs WHERE from_class > 0 AND to_class > 0 GROUP BY from_year, to_year""")
+round_even(100.0::DOUBLE * count(*) FILTER (from_class <> to_class) / count(*), 2) AS change_rate_pct FROM v_pairs WHERE from_class > 0 AND to_class > 0 GROUP BY from_year, to_year""")
 def change_rate_per_interval(spark, view):
     return transitions.change_rates(_pairs(view))
 
@@ -38,7 +38,7 @@ def transition_matrix(spark, view):
     return transitions.matrix(_counts(view), view("v_legend"))
 
 
-@query(f"WITH {_MATRIX} SELECT from_class, to_class, CASE WHEN sum(n) OVER (PARTITION BY from_class) > 0 THEN round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY from_class), 2) END AS pct FROM f")
+@query(f"WITH {_MATRIX} SELECT from_class, to_class, CASE WHEN sum(n) OVER (PARTITION BY from_class) > 0 THEN round_even(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY from_class), 2) END AS pct FROM f")
 def transition_matrix_pct(spark, view):
     return transitions.matrix_percent(transitions.matrix(_counts(view), view("v_legend")))
 
@@ -55,13 +55,13 @@ def transition_rare_target(spark, view):
     return transitions.without_rare(transitions.valid(_pairs(view)), 3000, both_ends=False).groupBy("to_class").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT from_class, to_class, total, pct FROM (SELECT from_class, to_class, CAST(sum(n) AS BIGINT) AS total, round(100.0::DOUBLE * sum(n) / sum(sum(n)) OVER (), 4) AS pct FROM v_transitions GROUP BY 1, 2)
+@query("""SELECT from_class, to_class, total, pct FROM (SELECT from_class, to_class, CAST(sum(n) AS BIGINT) AS total, round_even(100.0::DOUBLE * sum(n) / sum(sum(n)) OVER (), 4) AS pct FROM v_transitions GROUP BY 1, 2)
 WHERE from_class <> to_class AND total >= 100 AND pct >= 0.05""")
 def transition_candidates(spark, view):
     return transitions.candidates(_counts(view), 100, 0.05)
 
 
-@query("""SELECT from_class, to_class, total, top_window, share, share > 60 AS concentrated FROM (SELECT from_class, to_class, CAST(sum(n) AS BIGINT) AS total, arg_max(from_year, n * 10000 - from_year) AS top_window, round(100.0::DOUBLE * max(n) / sum(n), 2) AS share
+@query("""SELECT from_class, to_class, total, top_window, share, share > 60 AS concentrated FROM (SELECT from_class, to_class, CAST(sum(n) AS BIGINT) AS total, arg_max(from_year, n * 10000 - from_year) AS top_window, round_even(100.0::DOUBLE * max(n) / sum(n), 2) AS share
 FROM v_transitions WHERE from_class <> to_class GROUP BY 1, 2)""")
 def transition_concentration(spark, view):
     return transitions.concentration(_counts(view))
@@ -87,7 +87,7 @@ def transition_direction_strict(spark, view):
     return transitions.directions(_counts(view), "strict")
 
 
-@query(f"SELECT CAST(r AS BIGINT) AS recovery, CAST(d AS BIGINT) AS degradation, round(CAST(r AS DOUBLE) / greatest(d, 1), 6) AS ratio FROM (SELECT sum(n) FILTER ({_B} < {_A}) AS r, sum(n) FILTER ({_B} > {_A}) AS d FROM v_transitions WHERE from_class <> to_class)")
+@query(f"SELECT CAST(r AS BIGINT) AS recovery, CAST(d AS BIGINT) AS degradation, round_even(CAST(r AS DOUBLE) / greatest(d, 1), 6) AS ratio FROM (SELECT sum(n) FILTER ({_B} < {_A}) AS r, sum(n) FILTER ({_B} > {_A}) AS d FROM v_transitions WHERE from_class <> to_class)")
 def recovery_ratio(spark, view):
     return transitions.recovery_ratio(transitions.directions(_counts(view), "gradient"))
 

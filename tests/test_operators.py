@@ -100,7 +100,7 @@ def test_matrix_sums_and_rates(spark):
 
 def test_benjamini_hochberg(spark):
     rows = frame(spark, [(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.2), (4, None)], "i int, p_value double")
-    got = {r.i: r.q_value for r in causal.benjamini_hochberg(rows, order=("i",)).collect()}
+    got = {r.i: r.q_value for r in causal.benjamini_hochberg(rows).collect()}
     assert got[4] is None
     assert [got[i] for i in range(4)] == pytest.approx([0.04, 0.16 / 3, 0.16 / 3, 0.2])
 
@@ -202,8 +202,12 @@ def test_granger(spark):
 
 def test_surrogates_keep_the_spectrum():
     x = np.random.default_rng(0).normal(size=31)
-    s = causal.phase_randomised(x, np.random.default_rng(1))
-    assert np.allclose(np.abs(np.fft.rfft(s - s.mean())), np.abs(np.fft.rfft(x - x.mean())))
+    for n in (31, 30):
+        many = causal.surrogates(x[:n], 5, np.random.default_rng(1))
+        assert np.allclose(np.abs(np.fft.rfft(many, axis=1)), np.abs(np.fft.rfft(x[:n]))) and np.allclose(many.mean(axis=1), x[:n].mean())
+        assert len({s.tobytes() for s in many}) == 5
+    effect = np.random.default_rng(2).normal(size=40).cumsum()
+    assert np.allclose(causal.cross_maps(effect, np.stack([effect, -effect])), causal.cross_map(effect, effect))
 
 
 def test_graph(spark):
@@ -240,7 +244,7 @@ def test_tree_attributions_add_up(spark):
     forest = models.train_forest(df, ["a", "b", "c"], "y", 3, 4)
     trees = models.exported_trees(forest)
     for row in x[:10]:
-        phi = sum(models.tree_attributions(t, row, 3) for t in trees)
+        phi = sum(models.tree_attributions(t, row, 3)[0] for t in trees)
         want = sum(t.predict(row) - t.expected() for t in trees)
         assert np.allclose(phi.sum(axis=0), want)
 
@@ -258,7 +262,7 @@ def test_tree_attributions_are_shapley_values():
 
     x = (-1.0, 1.0)
     want = [(value({0}, x) - value(set(), x) + value({0, 1}, x) - value({1}, x)) / 2, (value({1}, x) - value(set(), x) + value({0, 1}, x) - value({0}, x)) / 2]
-    assert np.allclose(models.tree_attributions(tree, x, 2)[:, 0], want)
+    assert np.allclose(models.tree_attributions(tree, x, 2)[0, :, 0], want)
 
 
 def test_recurrent_gradients_and_fit():
