@@ -42,8 +42,18 @@ def phenology(source: DataFrame, target: DataFrame, **steps: float) -> DataFrame
     return out.withColumn("value", F.when(F.col("value").between(low, high), F.col("value")))
 
 
+def population(source: DataFrame, target: DataFrame, **steps: float) -> DataFrame:
+    """Densities; the code for no data and the sentinels of floats are missing."""
+    return continuous(source.withColumn("value", features.no_data(F.col("value"), -99999)), target, {}, **steps)
+
+
+def cropping(source: DataFrame, target: DataFrame, **steps: float) -> DataFrame:
+    """Classes of cropping intensity, by the nearest cell; 255 is outside."""
+    return categorical(source, target, nodata=255, **steps)
+
+
 def plain(source: DataFrame, target: DataFrame, **steps: float) -> DataFrame:
-    """Variables without a range: grazing, population, livestock."""
+    """Variables without a range: grazing and livestock."""
     return continuous(source, target, {}, **steps)
 
 
@@ -91,9 +101,29 @@ def roads(cells: DataFrame, road_cells: DataFrame, height: int, width: int) -> D
     return d.select("r", "c", F.sqrt("d2").alias("road_distance_km"))
 
 
+def storms(cells: DataFrame, edges: DataFrame, days: DataFrame) -> DataFrame:
+    """(year, r, c, n): days on which a storm's polygon touched each cell. ``days`` has (poly, year, day)."""
+    return sandstorms(cells, grid.burn_touched(cells, edges).join(days, "poly"))
+
+
+def aligned(wanted: Sequence[str], sources: Mapping[str, DataFrame], target: DataFrame, years: Sequence[int] = (), **steps: float) -> DataFrame:
+    """(group, variable, year, r, c, value) of the raster groups asked for, those years only (all, if none are named).
+
+    A group without a source gives no rows; an unknown name raises ValueError."""
+    unknown = [g for g in wanted if g not in GROUPS]
+    if unknown:
+        raise ValueError(f"no such group: {unknown}; there are {sorted(GROUPS)}")
+    out = target.sparkSession.createDataFrame([], "group string, variable string, year int, r int, c int, value double")
+    for g in wanted:
+        if g in sources:
+            held = sources[g].where(F.col("year").isin(*years)) if years else sources[g]
+            out = out.unionByName(GROUPS[g](held, target, **steps).select(F.lit(g).alias("group"), "variable", F.col("year").cast("int").alias("year"), "r", "c", F.col("value").cast("double").alias("value")))
+    return out
+
+
 #: Groups by name, as the command line of a batch run would pick them.
 GROUPS: dict[str, Callable[..., DataFrame]] = {
-    "climate": climate, "grazing": plain, "phenology": phenology, "population": plain, "cropping": categorical,
+    "climate": climate, "grazing": plain, "phenology": phenology, "population": population, "cropping": cropping,
     "desertification": desertification, "sandstorm": sandstorms, "roads": roads, "livestock": plain,
     "vegetation": vegetation, "terrain": terrain, "drought": drought,
 }

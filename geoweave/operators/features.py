@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The columns of the feature table by group, and the prefixes of the groups with many.
 FEATURE_GROUPS = {
     "geometry": ("row", "col", "x", "y", "lon", "lat", "year"),
     "target": ("lulc_class", "conf_joint", "conf_l1", "conf_l2", "agreement_count"),
@@ -71,6 +73,72 @@ def scale_fixed_point(value: Column, factor: float = 0.0001, nodata: int | None
     return (value if nodata is None else F.nullif(value, F.lit(nodata))) * factor
 
 
+def no_data(value: Column, *codes: float, greatest: float = 3.0e38) -> Column:
+    """The value, or null for the given codes, NaN, infinities and the sentinels of floats from ``greatest`` on."""
+    v = value.cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < greatest) & ~v.isin(*[float(c) for c in codes] or [math.nan]), v)
+
+
+def long_features(long: DataFrame, anchors: Sequence[int], *, slopes: Sequence[tuple[int, int]] = (), baseline: tuple[int, int, int] | None = None, at_state: bool = False, key: str = "pix") -> DataFrame:
+    """(key, year, variable, state, slope<n>y.., anomaly): yearly layers (key, variable, year, value) at the anchor years.
+
+    The state is the value of the layer nearest to the anchor (ties to the earlier). A slope (years,
+    least listed) covers the years up to the anchor, or up to the state's year with ``at_state``; it
+    needs 3 values, and that many layers of the variable in the window. The anomaly is the state less
+    the mean over the ``baseline`` (first, last, least years with a value).
+
+    One aggregation by key and variable holds all anchors: the rows of a layer are neither joined nor
+    multiplied. Which layers exist is a table of variables x years, the only thing that is collected."""
+    listed: dict[str, list[int]] = {}
+    for r in long.select("variable", "year").distinct().collect():
+        listed.setdefault(r.variable, []).append(r.year)
+    variables = sorted(listed)
+    if not variables:
+        return long.sparkSession.createDataFrame([], ", ".join([f"{key} {dict(long.dtypes)[key]}", "year int", "variable string", "state double", *(f"slope{n}y double" for n, _ in slopes), *(["anomaly double"] if baseline else [])]))
+    by_variable = lambda f: F.create_map(*(F.lit(x) for v in variables for x in (v, f(v))))[F.col("variable")]
+    value, year = F.col("value").cast("double"), F.col("year").cast("double")
+    parts, rows = [], []
+    for a in anchors:
+        nearest = {v: min(listed[v], key=lambda y: (abs(y - a), y)) for v in variables}
+        source = by_variable(nearest.get)
+        parts.append(F.max(F.when(F.col("year") == source, value)).alias(f"_state{a}"))
+        fields = [F.lit(a).alias("year"), F.col(f"_state{a}").alias("state")]
+        for n, least in slopes:
+            last = source if at_state else F.lit(a)
+            inside = F.when(F.col("year").between(last - n + 1, last), value)
+            enough = by_variable(lambda v: sum((nearest[v] if at_state else a) - n < y <= (nearest[v] if at_state else a) for y in set(listed[v])) >= least)
+            parts.append(F.when((F.count(inside) >= 3) & F.first(enough), F.regr_slope(inside, year)).alias(f"_slope{n}_{a}"))
+            fields.append(F.col(f"_slope{n}_{a}").alias(f"slope{n}y"))
+        if baseline:
+            fields.append(F.when(F.col("_n") >= baseline[2], F.col(f"_state{a}") - F.col("_mean")).alias("anomaly"))
+        rows.append(F.struct(*fields))
+    if baseline:
+        inside = F.when(F.col("year").between(*baseline[:2]), value)
+        parts += [F.avg(inside).alias("_mean"), F.count(inside).alias("_n")]
+    made = long.groupBy(key, "variable").agg(*parts).select(key, "variable", F.inline(F.array(*rows)))
+    return made.select(key, "year", "variable", *made.columns[3:])
+
+
+def wide(long: DataFrame, names: Mapping[str, str], statistics: Mapping[str, str], keys: Sequence[str] = ("pix", "year")) -> DataFrame:
+    """(keys, columns): one column for each variable and statistic, ``{statistic column: suffix}``; one aggregation."""
+    columns = [F.max(F.when(F.col("variable") == v, F.col(c))).alias(name + suffix) for v, name in names.items() for c, suffix in statistics.items()]
+    return long.groupBy(*keys).agg(*columns)
+
+
+def previous_target(map_: DataFrame, step: int = 5) -> DataFrame:
+    """(pix, year, lulc_class_prev, lulc_change_flag): the class of the anchor before, and whether it changed (null where either is 0)."""
+    before = map_.select("pix", (F.col("year") + step).alias("year"), F.col("class").alias("lulc_class_prev"))
+    joined = map_.select("pix", "year", "class").join(before, ["pix", "year"])
+    flag = F.when((F.col("class") > 0) & (F.col("lulc_class_prev") > 0), (F.col("class") != F.col("lulc_class_prev")).cast("int"))
+    return joined.select("pix", "year", "lulc_class_prev", flag.alias("lulc_change_flag"))
+
+
+def neighbour_columns(fractions: DataFrame, classes: Sequence[int], cells: int = 9, keys: Sequence[str] = ("r", "c")) -> DataFrame:
+    """(keys, nbr3_class<k>_frac..) from the counts of :func:`grid.class_fractions`; 0 for classes that aren't there."""
+    share = lambda k: F.coalesce(F.max(F.when(F.col("class") == k, F.col("n"))), F.lit(0)) / F.lit(float(cells))
+    return fractions.groupBy(*keys).agg(*(share(k).alias(f"nbr3_class{k}_frac") for k in classes))
+
+
 def feature_table(cells: DataFrame, groups: Sequence[DataFrame], keys: Sequence[str] = ("pix", "year")) -> DataFrame:
     """Cells with the columns of every group that has rows for them; a missing group's columns are null."""
     out = cells

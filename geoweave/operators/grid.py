@@ -7,10 +7,11 @@ equi-joins on integers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,43 @@ def target_grid(spark, x0: float, y1: float, width: int, height: int, res: float
     return cells.withColumns({"x": F.lit(x0) + (F.col("c") + 0.5) * res, "y": F.lit(y1) - (F.col("r") + 0.5) * res})
 
 
+def overlaps(x0: Column, y0: Column, x1: Column, y1: Column, extent: tuple[float, float, float, float]) -> Column:
+    """Whether a rectangle and an extent (x0, y0, x1, y1) share an area."""
+    return ~((x1 <= extent[0]) | (x0 >= extent[2]) | (y1 <= extent[1]) | (y0 >= extent[3]))
+
+
+def snapped_extent(x0: float, y0: float, x1: float, y1: float, res: float) -> tuple[float, float, int, int]:
+    """(x0, y1, width, height) of the least grid of whole multiples of ``res`` that holds a rectangle."""
+    left, low, right, high = (f(v / res) * res for f, v in ((math.floor, x0), (math.floor, y0), (math.ceil, x1), (math.ceil, y1)))
+    return left, high, round((right - left) / res), round((high - low) / res)
+
+
+def north_up(points: DataFrame) -> DataFrame:
+    """(row, col, left, top, value): a grid of longitudes and latitudes of centres, in whatever order, from the north-west corner on.
+
+    ``left`` and ``top`` are the cell's edges, half a cell from its centre. Rows and columns come from
+    the distinct coordinates, which are few against the cells."""
+
+    def axis(name: str, index: str, sign: int) -> DataFrame:
+        order = Window.orderBy(F.col(name) * sign)
+        values = points.select(name).distinct()
+        step = (F.max(name).over(Window.partitionBy()) - F.min(name).over(Window.partitionBy())) / F.greatest(F.count("*").over(Window.partitionBy()) - 1, F.lit(1))
+        return values.select(name, (F.row_number().over(order) - 1).alias(index), (F.col(name) - sign * step / 2).alias("left" if sign > 0 else "top"))
+
+    return points.join(axis("lat", "row", -1), "lat").join(axis("lon", "col", 1), "lon").select("row", "col", "left", "top", "value")
+
+
+def segments_within(segments: DataFrame, extent: tuple[float, float, float, float], transform=None) -> DataFrame:
+    """Line segments (x1, y1, x2, y2) whose box meets an extent; then ``transform`` maps (x, y) columns to other coordinates."""
+    x0, x1 = F.least("x1", "x2"), F.greatest("x1", "x2")
+    y0, y1 = F.least("y1", "y2"), F.greatest("y1", "y2")
+    kept = segments.where((x1 >= extent[0]) & (x0 <= extent[2]) & (y1 >= extent[1]) & (y0 <= extent[3]))
+    if transform is None:
+        return kept
+    (a, b), (c, d) = transform(F.col("x1"), F.col("y1")), transform(F.col("x2"), F.col("y2"))
+    return kept.withColumns({"x1": a, "y1": b, "x2": c, "y2": d})
+
+
 def within(df: DataFrame, area: DataFrame, *keys: str) -> DataFrame:
     """Rows of cells inside an area: absence is outside."""
     return df.join(area.select(*keys), list(keys), "left_semi")
@@ -31,8 +69,8 @@ def _reflected(index: Column, size: int) -> Column:
     return F.when(index < 0, -index - 1).when(index >= size, 2 * size - 1 - index).otherwise(index)
 
 
-def class_fractions(cells: DataFrame, height: int, width: int, classes: Sequence[int], radius: int = 1, label: str = "class") -> DataFrame:
-    """(r, c, class, n): how many of the (2 radius + 1)^2 cells around a cell are of each class that occurs there.
+def class_fractions(cells: DataFrame, height: int, width: int, classes: Sequence[int], radius: int = 1, label: str = "class", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, r, c, class, n): how many of the (2 radius + 1)^2 cells around a cell are of each class that occurs there.
 
     The centre counts, edges are mirrored, cells without a class are of none. Mirroring is
     done by the sender: near an edge a cell stands for its image as well."""
@@ -48,8 +86,8 @@ def class_fractions(cells: DataFrame, height: int, width: int, classes: Sequence
         others = [c for c in df.columns if c not in (axis, "n")]
         return out.groupBy(*others, F.col("_to.t").alias(axis)).agg(F.sum(n).alias("n"))
 
-    one = cells.where(F.col(label).isin(*classes)).select("r", "c", F.col(label).alias("class"), F.lit(1).cast("long").alias("n"))
-    return spread(spread(one, "r", height, F.col("n")), "c", width, F.col("n")).select("r", "c", "class", "n")
+    one = cells.where(F.col(label).isin(*classes)).select(*keys, "r", "c", F.col(label).alias("class"), F.lit(1).cast("long").alias("n"))
+    return spread(spread(one, "r", height, F.col("n")), "c", width, F.col("n")).select(*keys, "r", "c", "class", "n")
 
 
 def _box(cells: DataFrame, value: str, radius: int) -> DataFrame:
@@ -139,6 +177,21 @@ def burn_polygons(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.where("n % 2 = 1").select("poly", "r", "c")
 
 
+def burn_touched(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """(poly, r, c): cells that a polygon's area or outline touches: those with their centre inside, and those that an edge crosses.
+
+    An edge is cut at the borders of the rows that it crosses; each part touches the columns between its ends."""
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
+    rows = F.sequence(F.floor(F.least(y1, y2)).cast("int"), F.floor(F.greatest(y1, y2)).cast("int"))
+    spread = edges.select("poly", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.explode(rows).alias("r"))
+    x1, y1, x2, y2, r = (F.col(c) for c in ("x1", "y1", "x2", "y2", "r"))
+    at = lambda y: F.when(y1 == y2, x1).otherwise(x1 + (F.greatest(F.least(y1, y2), F.least(F.greatest(y1, y2), y)) - y1) / F.nullif(y2 - y1, F.lit(0.0)) * (x2 - x1))
+    a, b = at(r.cast("double")), F.when(y1 == y2, x2).otherwise(at(r + F.lit(1.0)))
+    cut = spread.select("poly", "r", F.explode(F.sequence(F.floor(F.least(a, b)).cast("int"), F.floor(F.greatest(a, b)).cast("int"))).alias("c"))
+    touched = cut.join(cells.select("r", "c"), ["r", "c"]).select("poly", "r", "c")
+    return touched.union(burn_polygons(cells, edges)).distinct()
+
+
 def event_days(cells: DataFrame, touched: DataFrame, *keys: str) -> DataFrame:
     """(r, c, keys, n): on how many days an event touched each cell."""
     return cells.select("r", "c").join(touched, ["r", "c"]).groupBy("r", "c", *keys).agg(F.countDistinct("day").alias("n"))
@@ -150,21 +203,30 @@ def distance_squared(cells: DataFrame, roads: DataFrame, height: int, width: int
     Exact and separable. Along each column the nearest road above and below gives the
     vertical distance, in windows. Then every row takes the lower envelope of the parabolas
     (horizontal distance)^2 + (vertical distance)^2 of its columns, in time linear in its
-    length, one row of the grid at a time."""
+    length."""
     marked = cells.select("r", "c", F.lit(None).cast("int").alias("road")).unionAll(roads.select("r", "c", F.col("r").alias("road")))
     marked = marked.groupBy("r", "c").agg(F.max("road").alias("road"))
     up = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("c").orderBy("r").rowsBetween(0, Window.unboundedFollowing)
     vertical = marked.select("r", "c", F.least(F.col("r") - F.last("road", True).over(up), F.first("road", True).over(down) - F.col("r")).alias("v"))
 
-    def row(rows: pd.DataFrame) -> pd.DataFrame:
-        near = rows.dropna(subset=["v"]).sort_values("c")
-        if near.empty:
-            return pd.DataFrame({"r": [], "c": [], "d2": []})
-        d2 = lower_envelope(near["c"].to_numpy(np.int64), near["v"].to_numpy(np.int64) ** 2, rows["c"].to_numpy(np.int64))
-        return pd.DataFrame({"r": rows["r"], "c": rows["c"], "d2": d2})
-
-    best = vertical.groupBy("r").applyInPandas(row, "r int, c int, d2 long")
+    # A row of the grid is one array of columns and one of distances; its work is linear in its length.
+    rows = vertical.groupBy("r").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("line"))  # at most the grid's width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy()
+            c, v = (batch.column(1).values.field(i) for i in (0, 1))
+            c, known, v = c.to_numpy(), v.is_valid().to_numpy(zero_copy_only=False), v.fill_null(0).to_numpy().astype(np.int64)
+            found = np.full(len(c), -1, np.int64)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                near = known[a:b]
+                if near.any():
+                    found[a:b] = lower_envelope(c[a:b][near].astype(np.int64), v[a:b][near] ** 2, c[a:b].astype(np.int64))
+            r = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(c[ends[0] : ends[-1]], pa.int32()), pa.array(found[ends[0] : ends[-1]], pa.int64(), mask=found[ends[0] : ends[-1]] < 0)], names=["r", "c", "d2"])
+
+    best = rows.select("r", "line").mapInArrow(run, "r int, c int, d2 long")
     return cells.select("r", "c").join(best, ["r", "c"], "left")
 
 

@@ -25,6 +25,25 @@ _COUNTS = [(p, len(codes)) for p, codes in dims.CROSSWALK.items()]
 _YEARS = [(p, y) for p in dims.PRODUCTS for y in dims.ANCHORS if dims.available(p, y)]
 _MONTH = "CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INT)"
 
+#: Yearly layers on the site grid: (variable, first year, years, step).
+_LAYERS = [
+    ("CDD", 1985, 36, 1), ("Rx1day", 1985, 34, 1), ("TXx", 1986, 30, 1),
+    ("ndvi_annual_mean", 2001, 22, 1), ("ndvi_gs_mean", 2001, 22, 1), ("ndvi_gs_max", 2001, 22, 1),
+    ("sos", 2001, 20, 1), ("eos", 2001, 20, 1), ("los", 2003, 9, 2),
+    ("graz_total", 2000, 6, 3), ("graz_cattle", 2000, 6, 3), ("graz_sheep", 2001, 5, 4),
+    ("cropping", 2001, 19, 1), ("popdens", 2000, 21, 1), ("glw", 2010, 2, 10),
+    ("spei03_annual_mean", 1990, 30, 1), ("spei12_min", 1990, 30, 1),
+]
+#: Rasters: (group, variable, year, factor, shift).
+_BANDS = [
+    ("climate", "CDD", 2000, 9.5, 0.0), ("climate", "Rx1day", 2000, 25.0, -40.0), ("climate", "TNn", 2005, 4.0, -110.0),
+    ("grazing", "graz_total", 2000, 3.5, 1.0), ("grazing", "graz_goat", 2000, 0.5, 0.0), ("grazing", "graz_total", 2006, 2.0, 0.0),
+    ("phenology", "sos", 2001, 8.0, -20.0), ("phenology", "eos", 2001, 8.0, 10.0),
+    ("population", "popdens", 2000, 12.0, 0.0), ("population", "popdens", 2010, 13.0, 0.0),
+    ("cropping", "cropping_intensity", 2001, 1.0, 0.0), ("cropping", "cropping_intensity", 2002, 1.0, 0.0),
+    ("livestock", "glw_density", 2010, 1.5, 0.0), ("livestock", "glw_density", 2020, 1.25, 0.5),
+]
+
 VIEWS: dict[str, str] = {
     "v_anchor": _values(list(enumerate(dims.ANCHORS)), "idx, year"),
     "v_codes": _values(_CODES, "product_id, k, native, unified"),
@@ -76,6 +95,21 @@ VIEWS: dict[str, str] = {
     "v_rect": "SELECT CAST(n_nationkey % 5 * 25 AS INT) AS c0, CAST(n_nationkey % 5 * 25 + 25 AS INT) AS c1, CAST(n_nationkey {div} 5 * 24 AS INT) AS r0, CAST(n_nationkey {div} 5 * 24 + 24 AS INT) AS r1, n_regionkey + 1 AS code, n_nationkey AS seq FROM {nation}",
     "v_roads": "SELECT g.r AS r, g.c AS c FROM {v_grid} g JOIN {orders} o ON o.o_orderkey = g.pix WHERE o.o_orderpriority = '1-URGENT' AND o.o_custkey % 50 = 0",
     "v_raster": "SELECT CAST(p_partkey {div} 50 AS INT) AS r, CAST(p_partkey % 50 AS INT) AS c, CAST(p_size AS INT) AS code, p_retailprice AS value FROM {part}",
+    # A small site grid, and yearly layers of the driver variables on it, with years and cells missing.
+    "v_site": "SELECT s_suppkey AS pix, CAST(s_suppkey {div} 20 AS INT) AS r, CAST(s_suppkey % 20 AS INT) AS c, CAST((s_suppkey % 20 - 10) * 40000 + 20000 AS DOUBLE) AS x, CAST(4300000 - (s_suppkey {div} 20) * 40000 AS DOUBLE) AS y FROM {supplier}",
+    "v_layer": _values([(k, *row) for k, row in enumerate(_LAYERS)], "k, variable, first, n, step"),
+    "v_driver": """
+        SELECT l_suppkey AS pix, d.variable AS variable, CAST(d.first + d.step * ((l_partkey * 7 + l_orderkey) % d.n) AS INT) AS year,
+               CASE WHEN (l_suppkey * 3 + d.k + (l_partkey * 7 + l_orderkey) % d.n) % 13 = 0 THEN NULL ELSE CAST(sum(CAST(l_quantity AS DECIMAL(8,2))) AS DOUBLE) / count(*) END AS value
+        FROM {lineitem} JOIN {v_layer} d ON d.k = (l_partkey + l_linenumber * 5) % """ + str(len(_LAYERS)) + """
+        GROUP BY l_suppkey, d.variable, d.k, CAST(d.first + d.step * ((l_partkey * 7 + l_orderkey) % d.n) AS INT), (l_suppkey * 3 + d.k + (l_partkey * 7 + l_orderkey) % d.n) % 13""",
+    "v_target": "SELECT s.pix AS pix, a.year AS year, s.r AS r, s.c AS c, CAST((s.pix * 7 + a.idx * (s.pix % 4)) % 15 AS INT) AS class, CAST(60 + (s.pix * 13 + a.idx) % 41 AS INT) AS conf_joint, CAST(60 + (s.pix * 17 + a.idx) % 41 AS INT) AS conf_l1, CAST(100 - s.pix % 3 AS INT) AS conf_l2, CAST((s.pix + a.idx) % 8 AS INT) AS agreement_count FROM {v_site} s CROSS JOIN {v_anchor} a",
+    # Rasters of several variables and years on the cells of v_raster.
+    "v_band": _values(_BANDS, "grp, variable, year, factor, shift"),
+    "v_bands": "SELECT b.grp AS grp, b.variable AS variable, b.year AS year, r.r AS r, r.c AS c, CASE WHEN (r.r + r.c + b.year) % 17 = 0 THEN NULL WHEN b.grp = 'population' AND (r.r * 3 + r.c) % 19 = 0 THEN CAST(-99999 AS DOUBLE) WHEN b.grp = 'cropping' AND (r.r + r.c) % 7 = 0 THEN CAST(255 AS DOUBLE) WHEN b.grp = 'cropping' THEN CAST(r.code % 4 AS DOUBLE) ELSE CAST(r.code AS DOUBLE) * b.factor + b.shift END AS value FROM {v_raster} r CROSS JOIN {v_band} b",
+    # Triangles on the main grid: the edges of polygons with a code, an order and a day.
+    "v_triangle": "SELECT n_nationkey AS poly, CAST(n_nationkey % 5 * 23 AS DOUBLE) + 0.3 AS x, CAST(n_nationkey {div} 5 * 22 AS DOUBLE) + 0.6 AS y, n_regionkey + 1 AS code, (n_nationkey * 7) % 25 AS seq, CAST(2000 + n_nationkey % 3 AS INT) AS year, CAST(n_nationkey % 4 AS INT) AS day FROM {nation}",
+    "v_edge": "SELECT poly, x AS x1, y AS y1, x + 27.4 AS x2, y + 3.2 AS y2 FROM {v_triangle} UNION ALL SELECT poly, x + 27.4, y + 3.2, x + 6.1, y + 25.5 FROM {v_triangle} UNION ALL SELECT poly, x + 6.1, y + 25.5, x, y FROM {v_triangle}",
     "v_nodes": """
         SELECT br * 1000 + bc AS node, br, bc, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DOUBLE) / count(*) / 100000 AS value
         FROM {v_blocks} WHERE bc < 41 GROUP BY br, bc HAVING count(*) = 9""",
