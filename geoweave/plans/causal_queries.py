@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoweave.functions.expressions import feature_group, is_autocorrelated
-from geoweave.operators import causal, evaluate, features, graph, grid, models
+from geoweave.operators import causal, evaluate, features, graph, grid, models, networks
 from geoweave.plans.registry import query
+from geoweave.sources import catalog
 
 _DRIVERS = ("discount", "quantity", "price")
-#: Months that the pairwise screens use; a series' pairs grow with its square.
-_SERIES = "SELECT zone, t, ndvi, discount, quantity, price FROM v_series"
+_LAGS = tuple(range(-4, 5))
 
 
 @query("SELECT zone, t, round(ndvi, 9) AS ndvi, round(discount, 9) AS discount, round(quantity, 9) AS quantity, round(price, 6) AS price FROM v_series")
@@ -52,14 +52,14 @@ def ccm_full_library(spark, view):
     return causal.ccm_full(view("v_series"), "price", "ndvi", ["zone"]).select("zone", F.round("rho", 6).alias("rho"), "n")
 
 
-@query(f"WITH {_SIMPLEX}, g AS (SELECT * FROM (VALUES (-2), (0), (3)) t(lag)) SELECT s.zone AS zone, lag, round(corr(v.price, estimate), 6) AS rho, count(*) AS n FROM s CROSS JOIN g JOIN v_series v ON v.zone = s.zone AND v.t = s.t + lag GROUP BY 1, 2")
+@query(f"WITH {_SIMPLEX}, g AS (SELECT * FROM (VALUES {', '.join(f'({k})' for k in _LAGS)}) t(lag)) SELECT s.zone AS zone, lag, round(corr(v.price, estimate), 6) AS rho, count(*) AS n FROM s CROSS JOIN g JOIN v_series v ON v.zone = s.zone AND v.t = s.t + lag GROUP BY 1, 2")
 def ccm_lagged_full(spark, view):
-    return causal.ccm_lagged(view("v_series"), "price", "ndvi", ["zone"], (-2, 0, 3)).select("zone", "lag", F.round("rho", 6).alias("rho"), "n")
+    return causal.ccm_lagged(view("v_series"), "price", "ndvi", ["zone"], _LAGS).select("zone", "lag", F.round("rho", 6).alias("rho"), "n")
 
 
-@query(f"WITH {_SIMPLEX}, g AS (SELECT * FROM (VALUES (-2), (0), (3)) t(lag)), r AS (SELECT s.zone AS zone, lag, corr(v.price, estimate) AS rho FROM s CROSS JOIN g JOIN v_series v ON v.zone = s.zone AND v.t = s.t + lag GROUP BY 1, 2) SELECT zone, lag AS best_lag, round(rho, 6) AS best_lag_rho FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY rho DESC, lag) AS rn FROM r) WHERE rn = 1")
+@query(f"WITH {_SIMPLEX}, g AS (SELECT * FROM (VALUES {', '.join(f'({k})' for k in _LAGS)}) t(lag)), r AS (SELECT s.zone AS zone, lag, corr(v.price, estimate) AS rho FROM s CROSS JOIN g JOIN v_series v ON v.zone = s.zone AND v.t = s.t + lag GROUP BY 1, 2) SELECT zone, lag AS best_lag, round(rho, 6) AS best_lag_rho FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY rho DESC, lag) AS rn FROM r) WHERE rn = 1")
 def ccm_best_lag(spark, view):
-    lagged = causal.ccm_lagged(view("v_series"), "price", "ndvi", ["zone"], (-2, 0, 3))
+    lagged = causal.ccm_lagged(view("v_series"), "price", "ndvi", ["zone"], _LAGS)
     return causal.best_lag(lagged, ["zone"]).select("zone", "best_lag", F.round("best_lag_rho", 6).alias("best_lag_rho"))
 
 
@@ -89,7 +89,7 @@ q AS (SELECT test, round(least(1.0, min(p_value * n / k) OVER (ORDER BY k ROWS B
 def bh_qvalues(spark, view):
     k = F.col("o_orderkey")
     p = view("orders").select(k.alias("test"), F.when(k % 10 != 3, ((k * 7919) % 99991 + 1).cast("double") / 100000).alias("p_value"))
-    return causal.benjamini_hochberg(p, order=("test",)).select("test", F.round("q_value", 9).alias("q_value"))
+    return causal.benjamini_hochberg(p).select("test", F.round("q_value", 9).alias("q_value"))
 
 
 _PAIRS = "SELECT s_suppkey % 20 AS zone, s_nationkey AS driver, CAST(min(s_suppkey * 37 % 1000) AS DOUBLE) / 8000 AS p_value, CAST(max(s_suppkey * 91 % 1000) AS DOUBLE) / 1000 AS rho, CAST(max(s_suppkey * 17 % 100) AS DOUBLE) / 400 AS convergence FROM supplier GROUP BY 1, 2"
@@ -179,11 +179,12 @@ def influence_map(spark, view):
 
 
 @query(f"""WITH {_ADJ}, s1 AS (SELECT n.node, n.value * 0.6 + m.s * 0.3 + 0.05 AS value FROM v_nodes n JOIN (SELECT ad.src, sum(w * value) AS s FROM ad JOIN v_nodes v ON v.node = ad.dst GROUP BY 1) m ON m.src = n.node),
-s2 AS (SELECT n.node, n.value * 0.6 + m.s * 0.3 + 0.05 AS value FROM s1 n JOIN (SELECT ad.src, sum(w * value) AS s FROM ad JOIN s1 v ON v.node = ad.dst GROUP BY 1) m ON m.src = n.node)
-SELECT node, CAST(1 AS INT) AS step, round(value, 6) AS value FROM s1 UNION ALL SELECT node, 2, round(value, 6) FROM s2""")
+s2 AS (SELECT n.node, n.value * 0.6 + m.s * 0.3 + 0.05 AS value FROM s1 n JOIN (SELECT ad.src, sum(w * value) AS s FROM ad JOIN s1 v ON v.node = ad.dst GROUP BY 1) m ON m.src = n.node),
+s3 AS (SELECT n.node, n.value * 0.6 + m.s * 0.3 + 0.05 AS value FROM s2 n JOIN (SELECT ad.src, sum(w * value) AS s FROM ad JOIN s2 v ON v.node = ad.dst GROUP BY 1) m ON m.src = n.node)
+SELECT node, CAST(1 AS INT) AS step, round(value, 6) AS value FROM s1 UNION ALL SELECT node, 2, round(value, 6) FROM s2 UNION ALL SELECT node, 3, round(value, 6) FROM s3""")
 def forecast_roll_out(spark, view):
     nodes, edges = _graph(view)
-    return graph.roll_out(nodes, graph.normalised_adjacency(nodes, edges), 0.6, 0.3, 0.05, 2).withColumn("value", F.round("value", 6))
+    return graph.roll_out(nodes, graph.normalised_adjacency(nodes, edges), 0.6, 0.3, 0.05, 3).withColumn("value", F.round("value", 6))
 
 
 @query("""WITH p AS (SELECT zone, t, ndvi, lag(ndvi) OVER w AS a, (lag(ndvi) OVER w + lag(ndvi, 2) OVER w) / 2 AS f FROM v_series WINDOW w AS (PARTITION BY zone ORDER BY t)), q AS (SELECT * FROM p WHERE f IS NOT NULL)
@@ -228,18 +229,72 @@ def shap_rank_groups(spark, view):
     return models.average_rank(o, "overall").select("feature", "overall", "rank", feature_group(F.col("feature")).alias("group"), is_autocorrelated(F.col("feature")).alias("autocorrelated"))
 
 
+@query("""WITH m AS (SELECT l_suppkey AS pixel, CAST(year(l_shipdate) AS INT) AS year, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) / count(*) AS e, CAST(sum(CAST(l_quantity AS DECIMAL(8,2))) AS DOUBLE) / count(*) AS c FROM lineitem GROUP BY 1, 2),
+em AS (SELECT * FROM (SELECT *, lag(e) OVER (PARTITION BY pixel ORDER BY year) AS e1, count(*) OVER (PARTITION BY pixel) AS n FROM m) WHERE e1 IS NOT NULL AND n >= 5),
+d AS (SELECT a.pixel, a.year AS t, a.c AS y, b.year AS tl, b.c AS yl, sqrt((a.e - b.e) * (a.e - b.e) + (a.e1 - b.e1) * (a.e1 - b.e1)) AS d FROM em a JOIN em b ON a.pixel = b.pixel AND a.year <> b.year),
+k AS (SELECT *, row_number() OVER (PARTITION BY pixel, t ORDER BY d, tl) AS rn, min(d) OVER (PARTITION BY pixel, t) AS md FROM d),
+s AS (SELECT pixel, t, any_value(y) AS y, sum(exp(-d / greatest(md, 1e-12)) * yl) / sum(exp(-d / greatest(md, 1e-12))) AS est FROM k WHERE rn <= 3 GROUP BY 1, 2)
+SELECT p.pixel AS pixel, round(corr(y, est), 6) AS rho FROM (SELECT DISTINCT pixel FROM m) p LEFT JOIN s ON s.pixel = p.pixel GROUP BY 1""")
+def ccm_per_pixel(spark, view):
+    mean = lambda c, kind: F.sum(F.col(c).cast(kind)).cast("double") / F.count("*")
+    m = view("lineitem").groupBy(F.col("l_suppkey").alias("pixel"), F.year("l_shipdate").alias("year")).agg(mean("l_extendedprice", "decimal(14,2)").alias("e"), mean("l_quantity", "decimal(8,2)").alias("c"))
+    return causal.per_pixel_ccm(m, "pixel", "e", "c").withColumn("rho", F.round("rho", 6))
+
+
+@query("SELECT zone, t, round((ndvi - avg(ndvi) OVER (PARTITION BY zone)) / (stddev_pop(ndvi) OVER (PARTITION BY zone) + 1e-9), 6) AS z FROM v_series")
+def standardised_series(spark, view):
+    return features.standardise(view("v_series"), "ndvi", "zone").select("zone", "t", F.round("z", 6).alias("z"))
+
+
+@query("SELECT zone, t, round(ndvi - lag(ndvi) OVER (PARTITION BY zone ORDER BY t), 6) AS change FROM v_series")
+def first_difference(spark, view):
+    return graph.persistence(view("v_series"), "zone", "t", "ndvi").select("zone", "t", F.round("change", 6).alias("change"))
+
+
+@query("SELECT entity, year, round(coalesce(value, avg(value) OVER (PARTITION BY entity), 0), 7) AS value FROM v_annual")
+def series_filled(spark, view):
+    return features.fill_series(view("v_annual"), "entity", "value").select("entity", "year", F.round("value", 7).alias("value"))
+
+
+@query("""SELECT entity, year, round(value, 7) AS value FROM (SELECT entity, year, value, count(*) OVER (PARTITION BY entity) AS n FROM v_annual WHERE value IS NOT NULL) WHERE n >= 7""")
+def series_aligned(spark, view):
+    """Series with enough years where all is given."""
+    return causal.aligned(view("v_annual"), ["entity"], ["value"], 7).select("entity", "year", F.round("value", 7).alias("value"))
+
+
+def _regional_sql() -> str:
+    parts = []
+    for driver in _DRIVERS:
+        base = _SIMPLEX.replace("a.price", f"a.{driver}").replace("b.price", f"b.{driver}")
+        full = f"WITH {base} SELECT zone, corr(observed, estimate) AS rho FROM s GROUP BY 1"
+        # The small library: the five points of least hash.
+        few = base.replace("FROM e a JOIN e b ON a.zone = b.zone", "FROM e a JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY (t * 7919 + 104729) % 1000003, t) AS _k FROM e) WHERE _k <= 5) b ON a.zone = b.zone")
+        least = f"WITH {few} SELECT zone, corr(observed, estimate) AS rho FROM s GROUP BY 1"
+        parts.append(f"SELECT '{driver}' AS driver, y.zone AS zone, y.n AS n_years, f.rho AS hi, l.rho AS lo FROM (SELECT zone, count(*) AS n FROM v_series GROUP BY 1) y LEFT JOIN ({full}) f ON f.zone = y.zone LEFT JOIN ({least}) l ON l.zone = y.zone")
+    return f"""SELECT r.zone AS zone, driver, n_years, 3 AS dims, round(hi, 6) AS rho_max_lib, round(lo, 6) AS rho_min_lib, round(hi - lo, 6) AS convergence, coalesce(hi > 0.3 AND hi - lo > 0.05, false) AS causal
+FROM ({' UNION ALL '.join(parts)}) r JOIN (SELECT c_mktsegment AS zone, count(*) AS n FROM customer GROUP BY 1) p ON p.zone = r.zone AND p.n >= 295"""
+
+
+@query(_regional_sql())
+def regional_screen(spark, view):
+    """Every zone of enough pixels with every driver: skill of the whole and of a small library, and the verdict."""
+    pixels = view("customer").groupBy(F.col("c_mktsegment").alias("zone")).agg(F.count("*").alias("n"))
+    out = causal.regional_screen(view("v_series"), pixels, "ndvi", _DRIVERS, least_pixels=295)
+    return out.select("zone", "driver", "n_years", "dims", *(F.round(c, 6).alias(c) for c in ("rho_max_lib", "rho_min_lib", "convergence")), "causal")
+
+
 # Random or iterative: rows only.
 
 
 @query()
 def ccm_bootstrap(spark, view):
-    by = causal.ccm_bootstrap(view("v_series"), "price", "ndvi", ["zone"], (10, 30, 60), 3)
+    by = causal.ccm_bootstrap(view("v_series"), "price", "ndvi", ["zone"], (10, 30, 60), 30)
     return by.join(causal.convergence(by, ["zone"]).select("zone", "convergence"), "zone")
 
 
 @query()
 def ccm_surrogate_p(spark, view):
-    return causal.surrogate_p(view("v_series"), "ndvi", _DRIVERS, ["zone"], 50)
+    return causal.surrogate_p(view("v_series"), "ndvi", _DRIVERS, ["zone"])
 
 
 @query()
@@ -247,25 +302,38 @@ def granger_full(spark, view):
     return causal.granger_full(view("v_series"), "ndvi", _DRIVERS, ["zone"])
 
 
+def _training(spark, view):
+    """Transitions with their folds, stored: every fold of a model reads them again."""
+    t = view("v_pairs").where("from_class > 0 AND to_class > 0").select("pix", "from_year", "from_class", "to_class", "conf_from")
+    nearby = view("v_class2020").select("pix", F.coalesce(F.col("class"), F.lit(0)).alias("nbr3_class"))
+    rows = t.join(evaluate.spatial_folds(view("v_grid")), "pix").join(nearby, "pix", "left").withColumn("label", F.col("to_class") - 1)
+    path = f"{catalog.scratch(spark)}/training"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 @query()
-def ccm_per_pixel(spark, view):
-    m = view("lineitem").groupBy(F.col("l_suppkey").alias("pixel"), F.year("l_shipdate").alias("year")).agg(F.avg("l_extendedprice").alias("e"), F.avg("l_quantity").alias("c"))
-    return causal.per_pixel_ccm(m, "pixel", "e", "c")
+def rf_spatial_cv(spark, view):
+    return models.spatial_cv(_training(spark, view), ["from_class", "conf_from", "x", "y"], "label", 14, trees=5, depth=4)
 
 
-def _training(view):
-    t = view("v_pairs").where("from_class > 0 AND to_class > 0").select("pix", "from_year", "from_class", "to_class", "conf_from")
-    return t.join(evaluate.spatial_folds(view("v_grid")), "pix").withColumn("label", F.col("to_class") - 1)
+@query()
+def rf_importance(spark, view):
+    """Shares of impurity gained by each feature, over the folds' forests."""
+    names = ["from_class", "conf_from", "x", "y"]
+    _, held = models.folds_predicted(_training(spark, view), names, "label", 3, lambda d, f, y: models.train_forest(d, f, y, 5, 4))
+    return spark.createDataFrame(models.importance(held, names), "feature string, importance double")
 
 
 @query()
-def rf_spatial_cv(spark, view):
-    return models.spatial_cv(_training(view), ["from_class", "conf_from", "x", "y"], "label", 14, trees=5, depth=4)
+def ablation_without_neighbours(spark, view):
+    train = lambda d, f, y: models.train_forest(d, f, y, 5, 4)
+    return models.ablation(_training(spark, view), ["from_class", "conf_from", "nbr3_class"], ["nbr3_"], "label", 14, 3, train)
 
 
 @query()
 def tree_shap(spark, view):
-    data = _training(view)
+    data = _training(spark, view)
     model = models.train_forest(data, ["from_class", "conf_from", "x"], "label", 3, 3)
     sample = evaluate.stratified_sample(data.withColumn("row", F.col("pix") * 10000 + F.col("from_year")), "label", "row", 5)
     return models.attribution_summary(models.attributions(sample, model, ["from_class", "conf_from", "x"], "row"))
@@ -278,6 +346,31 @@ def spillover_gap(spark, view):
     return models.spillover(rows.where("node % 5 > 0"), rows.where("node % 5 = 0"), ["lagged"], ["nbr_lagged"], "value")
 
 
+_PANEL = "SELECT node, t, value * (1.0::DOUBLE + (node * 7 + t * 13) % 11 / 20.0::DOUBLE) AS value FROM v_nodes CROSS JOIN range(10) g(t)"
+
+
+def _panel(spark, view):
+    t = spark.range(10).select(F.col("id").alias("t"))
+    return view("v_nodes").crossJoin(F.broadcast(t)).select("node", "t", (F.col("value") * (F.lit(1.0) + (F.col("node") * 7 + F.col("t") * 13) % 11 / F.lit(20.0))).alias("value"))
+
+
+@query(f"""WITH p AS ({_PANEL}), z AS (SELECT node, t, value, (value - avg(value) OVER ()) / (stddev_pop(value) OVER () + 1e-9) AS z FROM p)
+SELECT node, t, round(value, 11) AS value, round(a, 6) AS value_3, round(b, 6) AS value_2, round(c, 6) AS value_1 FROM (SELECT node, t, value, lag(z, 3) OVER w AS a, lag(z, 2) OVER w AS b, lag(z, 1) OVER w AS c FROM z WINDOW w AS (PARTITION BY node ORDER BY t)) WHERE a IS NOT NULL""")
+def node_windows(spark, view):
+    """Standardised values of the three steps before each one: what the networks see."""
+    out = networks.windows(_panel(spark, view), "node", "t", ["value"], "value", 3)
+    return out.select("node", "t", F.round("value", 11).alias("value"), *(F.round(c, 6).alias(c) for c in ("value_3", "value_2", "value_1")))
+
+
+@query(f"""WITH {_ADJ}, p AS ({_PANEL}) SELECT p.node AS node, p.t AS t, round(p.value, 11) AS value, round(m.s, 9) AS nbr_value FROM p JOIN (SELECT ad.src, q.t, sum(w * q.value) AS s FROM ad JOIN p q ON q.node = ad.dst GROUP BY 1, 2) m ON m.src = p.node AND m.t = p.t""")
+def panel_propagated(spark, view):
+    nodes, edges = _graph(view)
+    out = networks.with_propagated(graph.normalised_adjacency(nodes, edges), _panel(spark, view), ["value"])
+    return out.select("node", "t", F.round("value", 11).alias("value"), F.round("nbr_value", 9).alias("nbr_value"))
+
+
 @query()
-def standardised_series(spark, view):
-    return features.standardise(view("v_series"), "ndvi", "zone").select("zone", "t", F.round("z", 6).alias("z"))
+def graph_models(spark, view):
+    """Dense, recurrent and attentive networks without and with neighbours."""
+    nodes, edges = _graph(view)
+    return networks.compared(_panel(spark, view), graph.normalised_adjacency(nodes, edges), ["value"], "value", 8, rounds=12)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import tempfile
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +21,30 @@ def read_pixels(spark: SparkSession, path: str, *, columns: Sequence[str] = (),
     return df.select(*columns) if columns else df
 
 
-def read_years(spark: SparkSession, path: str, variable: str, first: int, last: int) -> DataFrame:
+def years_between(layers: DataFrame, variable: str, first: int, last: int) -> DataFrame:
     """All years of a variable in a range that exist; a missing year is no error."""
-    return spark.read.parquet(path).where((F.col("variable") == variable) & F.col("year").between(first, last))
+    return layers.where((F.col("variable") == variable) & F.col("year").between(first, last))
+
+
+def resolved(df: DataFrame, names: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The wanted columns, each by the first of its possible names that the table has, whatever their case.
+
+    Raises ValueError where a table has none of a column's names."""
+    have = {c.lower(): c for c in df.columns}
+    found = {want: next((have[n.lower()] for n in options if n.lower() in have), None) for want, options in names.items()}
+    if missing := [n for n, c in found.items() if c is None]:
+        raise ValueError(f"none of {[names[n] for n in missing]} among {df.columns}")
+    return df.select(*(F.col(f"`{c}`").alias(n) for n, c in found.items()))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a local one only on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="geoweave-")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
 def available_years(df: DataFrame, *keys: str) -> DataFrame:
