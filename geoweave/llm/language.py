@@ -4,7 +4,8 @@ Features are hashed character 1- to 3-grams of the whole text (lower case, runs
 but letters as one space), weighted by relative frequency times inverse document frequency.
 Document frequencies cover all learning documents. The regression is fitted by
 follow-the-regularised-leader-proximal with L1 and L2 penalties on a sample of labelled
-documents that is bounded by ``SAMPLE`` rows, shared equally among the languages and drawn
+documents that is bounded by ``SAMPLE`` rows (twice that at most, by the chance of the draw)
+and the ``GRAMS`` most frequent n-grams of each, shared equally among the languages and drawn
 by a hash of doc_id; a fifth of the sample is held back to calibrate the temperature.
 The model is a table of BUCKETS x languages, whatever the corpus.
 
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import per_document, prepare
+from geoweave.llm.common import per_document, picked, prepare
 
 BUCKETS = 1 << 16
 SAMPLE = 3000
+#: Most frequent n-grams of a sampled row that the fit sees; with ``SAMPLE``, the bound of what the driver holds.
+GRAMS = 4096
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 #: Brings mean feature values near one.
@@ -188,7 +191,7 @@ def fit(rows: list[tuple[int, str, np.ndarray, np.ndarray]], frequencies: np.nda
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit the model on the documents that are not held out and have a lang."""
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where(~_held_out() & F.col("lang").isNotNull())
+    rows = picked(docs, "doc_id", "text", "lang").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~_held_out() & F.col("lang").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     frequencies, documents = document_frequencies(rows.select("text"))
     share = sample / max(1, len(counts))
@@ -201,11 +204,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             for text in batch.column(2).to_pylist():
                 parts = list(grams(text))
                 at, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
-                found.append((at.astype("<u4").tobytes(), (n / max(1, n.sum())).astype("<f4").tobytes()))
+                most = np.sort(np.argsort(-n, kind="stable")[:GRAMS])
+                found.append((at[most].astype("<u4").tobytes(), (n[most] / max(1, n.sum())).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["draw", "lang", "at", "share"])
 
+    # The limits leave about ``sample`` rows; the least draws of them are taken where one doc_id has very many rows.
     drawn = rows.select(draw.alias("draw"), "lang", "text").where(F.col("draw") < limits)
-    held = drawn.mapInArrow(featurise, "draw long, lang string, at binary, share binary").limit(2 * sample).collect()
+    held = drawn.mapInArrow(featurise, "draw long, lang string, at binary, share binary").orderBy("draw", "lang", "at", "share").limit(2 * sample).collect()
     return fit([(r.draw, r.lang, np.frombuffer(r.at, "<u4").astype(np.int64), np.frombuffer(r["share"], "<f4").astype(float)) for r in held], frequencies, documents)
 
 

@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from geoweave.llm.common import as_bytes, per_document, prepare
+from geoweave.llm.common import as_bytes, passed_through, per_document
 
 LEVEL = 3
 #: Bytes of a chunk; a shorter last chunk is judged by the band of its own length.
@@ -126,12 +126,15 @@ def quality(docs: DataFrame, chunk: int = CHUNK, bands: Sequence[tuple[float, fl
 
 
 def keep_good(docs: DataFrame, chunk: int = CHUNK, bands: Sequence[tuple[float, float, float]] = BANDS) -> DataFrame:
-    """The documents that :func:`quality` keeps, all columns as they were."""
-    prepare(docs.sparkSession)
-    at = docs.schema.fieldNames().index("text")
+    """The documents that :func:`quality` keeps, all columns as they were.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Null, empty and blank texts go with the base rule; rows that agree are judged alike, so all or
+    none of them stay; a null ``doc_id`` or other columns, of any name and type, have no say; an empty
+    table stays empty."""
+    bands = tuple(tuple(b) for b in bands)
+
+    def run(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([judge(t, chunk, bands)[6] for t in as_bytes(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return passed_through(docs, run, "text")

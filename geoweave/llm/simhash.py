@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import per_document, stored
+from geoweave.llm.common import numbered, per_document, place, stored
 from geoweave.llm.components import components
 
 SEED = 42
 WIDTH = 3
 RADIUS = 3
 _STEP = 1 << 16
+#: Variants that a task sorts.
+TASK_VARIANTS = 1 << 21
 
 
 def _signed(x: int) -> int:
@@ -117,7 +119,8 @@ def links(distinct: DataFrame) -> DataFrame:
     Connected exactly as all such pairs are; not every pair of a group has a row."""
     near, far = F.array(*map(F.lit, NEAR)), F.array(*map(F.lit, [*NEAR, *FAR]))
     masks = F.when(F.bit_count("fp") % 2 == 0, near).otherwise(far)
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # As many tasks as the variants need, which are 561 for each fingerprint on average.
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() * (len(NEAR) + len(FAR) // 2) // TASK_VARIANTS + 1)
     # Few bytes of fingerprints become many of variants: spread them over all tasks first (by another key than theirs, by which few tasks may hold them).
     balls = distinct.select("fp").repartition(parts, F.hash("fp")).select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
     met = balls.repartition(parts, "variant").sortWithinPartitions("variant").mapInArrow(_links, "u long, v long")
@@ -132,7 +135,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     never a component's id unless the component has no other; repeated rows stay repeated;
     an empty table gives no rows."""
     docs_fp = stored(fingerprints(docs), "simhash")
-    one = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    one = stored(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(one.select("fp")), "simhash-links")
     of = one.join(roots, one.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -141,9 +144,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each group the one with the least doc_id stays.
-
-    Identical rows count as one. Rows without a doc_id can't be named by a group and stay.
-    The join and the removal of identical rows share one shuffle by doc_id."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates().union(docs.where("doc_id IS NULL"))
+    """The documents, all columns, without near-duplicates: of each group the one with the least doc_id stays.
+
+    Rows that agree in doc_id and text are one document and leave one row (any, where they differ in
+    other columns, which may have any name and type). Rows of one doc_id with other texts are kept or
+    dropped together, as the id is all that a group names. Rows without a doc_id can't be named by a
+    group and stay. Null, empty and blank texts have fingerprint zero and are one group. An empty table
+    stays empty. The join and the removal of rows that agree share one shuffle by doc_id."""
+    held, id_, text = numbered(docs), f"_{place(docs, 'doc_id')}", f"_{place(docs, 'text')}"
+    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(id_)).distinct()
+    named = held.join(kept, id_, "left_semi").dropDuplicates([id_, text])
+    return named.union(held.where(F.col(id_).isNull())).toDF(*docs.columns)
