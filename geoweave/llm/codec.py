@@ -1,25 +1,36 @@
 """Token-id files: an adaptive context-mixing range coder.
 
-**Model.** For the next id, an order-2 context (hash of the last two ids) and an order-1
-context (the last id) each predict one id with a confidence of 0 to 3. A flag says which
-prediction holds (order 2, order 1, none); its probability mixes the counts seen under the
-pair of confidences with those under all pairs, weighted by the evidence. If none holds,
-the order-0 model codes the id's frequency rank: an adaptive bucket (about a quarter of an
-octave of ranks), then the place in it with equal probabilities.
-
-**Blocks.** Ids are cut into blocks of a fixed length. Every block starts from an empty
-model and coder and carries the CRC-32 of its ids. As blocks are independent, many are
+**Predictions.** The next id is predicted by three orders:
+
+* *order 2*: the id that followed the last two ids when they last stood in the block;
+* *order 1*: the frequencies of the ids behind the class of the last id;
+* *order 0*: the frequencies of the ids, by buckets of their frequency ranks (about a quarter
+  of an octave of ranks), all places of a bucket alike.
+
+Their shares are learnt in the block. That of order 2 mixes two estimates of how often it holds:
+one for the confidence of the prediction (0 to 3, growing with every success) and the last two
+outcomes, one for all together; the evidence behind the first decides how much it counts. The
+rest is shared by orders 1 and 0 as they were needed so far. The share of a distribution is
+spread by it; an id is coded by the highest order that knows it.
+
+**Blocks.** Ids are cut into blocks of a fixed length. Every block starts from empty tables,
+even shares and a new coder, and carries the CRC-32 of its ids. What all blocks start with is
+in the head of the frame: the ids by falling frequency, the classes (ids with like successors,
+found by k-means), and the frequencies behind each class. As blocks are independent, many are
 coded in lockstep: each step handles one id of every block with array operations.
 
 **Frame** (one row of the container, whole documents): little-endian
 
-    magic 8s | documents u64 | ids u64 | block length u32 | blocks u32 | ranks u32 | crc32 of the rest u32
+    magic 8s | documents u64 | ids u64 | block length u32 | slots of order 2 u32 | blocks u32 | ranks u32 | classes u32 | pairs u32 | bytes of the tables u32 | crc32 of all else u32
     doc ids i64[documents] | null flags u8[documents] | lengths u64[documents]
     ids by falling frequency u32[ranks] | words of each block u32[blocks] | crc32 of each block u32[blocks]
+    tables (zstandard): weights of the buckets u8[128] | class of each rank u8[ranks] | pairs of each class u32[classes]
+        | ranks of a class as differences u32[pairs], by byte planes | their weights u8[pairs]
     words of the blocks u16[...]
 
-Coder: the low end and the width of the interval, the width kept from 2**48 to 2**64;
-16-bit words leave at the top, and carries are added to the earlier words at the end.
+Weights are quarter octaves of counts. Coder: the low end and the width of the interval, the
+width kept from 2**32 to 2**48, so that divisions are exact in double precision; 16-bit words
+leave at the top, and carries are added to the earlier words at the end.
 """
 
 from __future__ import annotations
@@ -30,19 +41,27 @@ from collections.abc import Sequence
 
 import numpy as np
 
-MAGIC = b"GWTOKEN1"
-_HEAD = struct.Struct("<8sQQIIII")
-BLOCK = 1024
-_BITS = 10
-_TOTAL = 1 << _BITS
-_ORDER2 = 512
-_ORDER1 = 256
+MAGIC = b"GWTOKEN2"
+_HEAD = struct.Struct("<8sQQIIIIIIII")
+BLOCK = 2048
+#: Slots of a block's order-2 table, a power of two; one slot means no order 2.
+SLOTS = 2048
+#: Bits of the shares' total and of the total of a class or of the buckets.
+_SHARE = 12
+_TOTAL = 13
 _SYMBOLS = 128
+#: Greatest number of classes, ids for each of them, and pairs of a class with a weight of their own.
+CLASSES = 64
+IDS_PER_CLASS = 1 << 14
+LISTED = 1 << 12
 #: Blocks coded in lockstep.
 LANES = 4096
-_U = np.uint64
-_KEEP = _U(1 << 48)
-_WHOLE = _U((1 << 64) - 1)
+_CHANCE = 1 << 16  # where probabilities of 22 bits start
+#: Weight of what a context has seen against all contexts, in 256ths, and how far one outcome moves it, in 65,536ths.
+_EVIDENCE = (256 * np.arange(64) / (np.arange(64) + 3.0)).astype(np.int64)
+_RATE = (65536 / (np.arange(64) + 1.5)).astype(np.int64)
+_KEEP = 1 << 32
+_WHOLE = 1 << 48
 
 
 def _bucket(rank: np.ndarray) -> np.ndarray:
@@ -53,122 +72,218 @@ def _bucket(rank: np.ndarray) -> np.ndarray:
 
 
 _B = np.arange(_SYMBOLS)
-_EXTRA = (_B // 4).astype(np.uint64)  # bits that tell the place in a bucket
-_FIRST = (((4 + _B % 4).astype(np.int64) << np.minimum(_B // 4, 40)) - 4).astype(np.int64)
+_EXTRA = _B // 4  # bits that tell the place in a bucket
+_FIRST = ((4 + _B % 4).astype(np.int64) << np.minimum(_B // 4, 40)) - 4
+
+
+def _frequencies(weights: np.ndarray, total: int = 1 << _TOTAL) -> np.ndarray:
+    """Integers from 1 with the given sum, in proportion to the counts that weights stand for."""
+    n = _FIRST[weights] + 1
+    whole = int(n.sum())
+    room = total - len(n)
+    freq = 1 + (n.astype(object) * room // whole if whole > 1 << 46 else n * room // whole).astype(np.int64)
+    freq[np.argmax(freq)] += total - int(freq.sum())
+    return freq
+
+
+class Tables:
+    """What all blocks of a frame start with: order 0 and order 1 by class."""
+
+    def __init__(self, buckets: np.ndarray, class_of: np.ndarray, listed: np.ndarray, symbols: np.ndarray, weights: np.ndarray):
+        self.buckets, self.class_of, self.listed, self.symbols, self.weights = buckets, class_of, listed, symbols, weights
+        used = np.flatnonzero(buckets)
+        self.bucket_freq = np.zeros(_SYMBOLS, np.int64)
+        if len(used):
+            self.bucket_freq[used] = _frequencies(buckets[used] - 1)
+        self.bucket_start = np.cumsum(self.bucket_freq) - self.bucket_freq
+        self.bucket_at = np.repeat(np.arange(_SYMBOLS), self.bucket_freq)
+        ends = np.cumsum(listed)
+        freq = [_frequencies(weights[e - n : e]) for e, n in zip(ends.tolist(), listed.tolist()) if n]
+        self.freq = np.concatenate([*freq, np.empty(0, np.int64)])
+        owner = np.repeat(np.arange(len(listed)), listed)
+        self.start = np.cumsum(self.freq) - self.freq & (1 << _TOTAL) - 1
+        self.owner = owner
+        self.empty = listed == 0
+
+    @classmethod
+    def of(cls, ranks: np.ndarray, block: int, n_ranks: int, classes: int) -> tuple[Tables, np.ndarray]:
+        """The tables, and the class before each id and the id as one number."""
+        counts = np.bincount(ranks, minlength=n_ranks)
+        b = _bucket(np.arange(n_ranks))
+        held = np.bincount(b, counts, _SYMBOLS).astype(np.int64)
+        buckets = np.where(held > 0, _bucket(np.maximum(held - 1, 0)) + 1, 0).astype(np.uint8)
+        before = np.concatenate([np.zeros(1, ranks.dtype), ranks[:-1]])
+        before[::block] = 0  # a block doesn't know the id before it
+        class_of = _classes(before, ranks, counts, classes)
+        classes = int(class_of.max()) + 1 if len(class_of) else 1
+        key = class_of[before].astype(np.int32 if classes * n_ranks < 1 << 31 else np.int64) * n_ranks + ranks.astype(np.int32 if n_ranks < 1 << 31 else np.int64)
+        if classes * n_ranks <= 1 << 23:
+            n = np.bincount(key, minlength=classes * n_ranks)
+            pairs = np.flatnonzero(n > 1)
+            n = n[pairs]
+        else:
+            pairs, n = np.unique(key, return_counts=True)
+            pairs, n = pairs[n > 1], n[n > 1]
+        of, symbol = pairs // n_ranks, pairs % n_ranks
+        order = np.lexsort((symbol, -n, of))
+        starts = np.searchsorted(of, np.arange(classes))
+        place = np.empty(len(of), np.int64)
+        place[order] = np.arange(len(of)) - starts[of[order]]
+        chosen = place < LISTED
+        of, symbol, n = of[chosen], symbol[chosen], n[chosen]
+        return cls(buckets, class_of, np.bincount(of, minlength=classes), symbol, _bucket(n - 1).astype(np.uint8)), key
+
+    def to_bytes(self) -> bytes:
+        import zstandard
+
+        ends = np.cumsum(self.listed)
+        steps = np.diff(self.symbols, prepend=0)
+        first = (ends - self.listed)[self.listed > 0]
+        steps[first] = self.symbols[first]
+        parts = [self.buckets.astype("u1"), self.class_of.astype("u1"), self.listed.astype("<u4"), steps.astype("<u4").view(np.uint8).reshape(-1, 4).T, self.weights.astype("u1")]
+        return zstandard.ZstdCompressor(level=9).compress(b"".join(p.tobytes() for p in parts))
+
+    @classmethod
+    def from_bytes(cls, data: bytes, ranks: int, classes: int, pairs: int) -> Tables:
+        import zstandard
+
+        size = _SYMBOLS + ranks + 4 * classes + 5 * pairs
+        raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+        if len(raw) != size:
+            raise ValueError("the tables of the frame are damaged")
+        buckets, class_of = np.frombuffer(raw, "u1", _SYMBOLS), np.frombuffer(raw, "u1", ranks, _SYMBOLS)
+        at = _SYMBOLS + ranks
+        listed = np.frombuffer(raw, "<u4", classes, at).astype(np.int64)
+        steps = np.frombuffer(raw, "u1", 4 * pairs, at + 4 * classes).reshape(4, pairs).T.copy().view("<u4").reshape(-1).astype(np.int64)
+        weights = np.frombuffer(raw, "u1", pairs, at + 4 * classes + 4 * pairs)
+        if listed.sum() != pairs or len(class_of) and class_of.max() >= classes:
+            raise ValueError("the tables of the frame are damaged")
+        symbols = np.cumsum(steps)
+        first = np.cumsum(listed) - listed
+        base = np.where(listed > 0, symbols[np.minimum(first, max(0, pairs - 1))] - steps[np.minimum(first, max(0, pairs - 1))], 0) if pairs else np.zeros(classes, np.int64)
+        return cls(buckets.astype(np.int64), class_of, listed, symbols - np.repeat(base, listed), weights.astype(np.int64))
+
+
+def _classes(before: np.ndarray, ranks: np.ndarray, counts: np.ndarray, classes: int) -> np.ndarray:
+    """A class for each rank: ranks with like successors, by k-means from the most frequent ones. Rare ranks are in class 0."""
+    n = len(counts)
+    out = np.zeros(n, np.uint8)
+    rows = min(n, LISTED, int(np.count_nonzero(counts >= 16)))
+    classes = min(classes, rows)
+    if classes < 2:
+        return out
+    column = np.arange(n)
+    column[96:] = 96 + column[96:] % 32
+    some = before < rows
+    x = np.bincount(before[some].astype(np.int64) * 128 + column[ranks[some]], minlength=rows * 128).reshape(rows, 128).astype(np.float32)
+    x = np.sqrt(x / np.maximum(1, x.sum(axis=1, keepdims=True)))
+    weight = counts[:rows].astype(np.float32)
+    centres = x[:classes].copy()
+    for _ in range(8):
+        label = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+        member = np.zeros((classes, rows), np.float32)
+        member[label, np.arange(rows)] = weight
+        held = member.sum(axis=1)
+        centres[held > 0] = (member @ x)[held > 0] / held[held > 0, None]
+    out[:rows] = np.unique(label, return_inverse=True)[1]
+    return out
 
 
 class _Model:
-    """State of the predictions of many blocks at once; the same steps in both directions."""
-
-    def __init__(self, lanes: int, symbols: int):
-        self.lanes, self.symbols = lanes, symbols
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.t2 = np.zeros(lanes * _ORDER2, np.uint32)
-        self.t1 = np.zeros(lanes * _ORDER1, np.uint32)
-        self.row2, self.row1 = self.lane * _ORDER2, self.lane * _ORDER1
-        self.row_flag, self.row_symbol = self.lane * 16, self.lane * symbols
-        self.flag_counts = np.zeros(lanes * 16 * 3, np.int32)
-        self.symbol_counts = np.zeros(lanes * symbols, np.int32)
-        self.a = np.zeros(lanes, np.uint32)
-        self.b = np.zeros(lanes, np.uint32)
-        self._next = np.array([1, 2, 3, 3], np.uint32)
-        self.edges = np.zeros((4, lanes), np.uint64)  # ends of the flags' intervals, before and behind each
-        self.edges[3] = _TOTAL
-        self.rebuild(inverse=True)
-
-    def rebuild(self, inverse: bool) -> None:
-        """Frequencies of the flags and buckets from the counts so far."""
-        counts = self.flag_counts.reshape(self.lanes, 16, 3).astype(np.float32)
-        pooled = counts.sum(axis=1, keepdims=True) + np.array([0.3, 0.2, 0.5], np.float32)
-        pooled /= pooled.sum(axis=2, keepdims=True)
-        seen = counts.sum(axis=2, keepdims=True)
-        mixed = (counts + 4 * pooled) / (seen + 4)  # the pooled share falls as evidence of the context grows
-        ends = np.cumsum(1 + mixed[:, :, :2] * (_TOTAL - 3), axis=2).astype(np.uint32)
-        self.flags = (ends[:, :, 0] | ends[:, :, 1] << np.uint32(16)).reshape(-1)
-        n = self.symbol_counts.reshape(self.lanes, self.symbols).astype(np.float32) + 0.25
-        room = _TOTAL - self.symbols
-        freq = 1 + (n * (room / n.sum(axis=1, keepdims=True))).astype(np.int32)
-        freq[:, 0] += _TOTAL - freq.sum(axis=1)
-        starts = np.cumsum(freq, axis=1) - freq
-        self.buckets = (starts.astype(np.uint32) | freq.astype(np.uint32) << np.uint32(16)).reshape(-1)
-        if inverse:
-            self.inverse = np.repeat(np.tile(np.arange(self.symbols, dtype=np.uint8), self.lanes), freq.reshape(-1))
+    """What many blocks learn, all at once; the same steps in both directions."""
+
+    def __init__(self, lanes: int, ranks: int, slots: int):
+        self.kind = np.uint16 if ranks <= 1 << 14 else np.uint32
+        lane = np.arange(lanes, dtype=np.int64)
+        self.table, self.row, self.shift = np.zeros(lanes * slots, self.kind), lane * slots, np.uint32(33 - slots.bit_length())
+        self.held = slots > 1
+        #: Probability that order 2 holds, in 22 bits, and how often it was asked, in 6; by confidence and last two outcomes.
+        self.states, self.state_row = np.full(lanes * 16, _CHANCE << 6, np.int64), lane * 16
+        self.pooled = np.full(lanes, _CHANCE, np.int64)
+        self.unknown = np.full(lanes, _CHANCE, np.int64)  # probability that order 1 doesn't know an id either
+        self.last = np.zeros(lanes, np.int64)
+        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self._next = np.array([1, 2, 3, 3], self.kind)
 
     def predict(self) -> None:
+        """Order 2's id, and where the shares of orders 2 and 1 end."""
         h = self.a * np.uint32(2654435761) ^ self.b * np.uint32(2246822519)
-        self.at2 = self.row2 + (h >> np.uint32(23))
-        self.at1 = self.row1 + (self.b & np.uint32(_ORDER1 - 1))
-        self.v2, self.v1 = self.t2[self.at2], self.t1[self.at1]
-        self.p2, self.p1 = self.v2 >> np.uint32(2), self.v1 >> np.uint32(2)
-        self.c2, self.c1 = self.v2 & np.uint32(3), self.v1 & np.uint32(3)
-        self.context = self.row_flag + (self.c2 * np.uint32(4) + self.c1)
-        packed = self.flags[self.context]
-        self.edges[1] = packed & np.uint32(0xFFFF)
-        self.edges[2] = packed >> np.uint32(16)
-
-    def learn(self, rank: np.ndarray, flag: np.ndarray, missed: np.ndarray, bucket: np.ndarray) -> None:
-        top = rank << np.uint32(2)
-        self.t2[self.at2] = top | self._next[self.c2] * (self.p2 == rank)
-        self.t1[self.at1] = top | self._next[self.c1] * (self.p1 == rank)
-        self.flag_counts[self.context * 3 + flag] += 1
-        self.symbol_counts[self.row_symbol[missed] + bucket] += 1
-        self.a, self.b = self.b, rank
-
-
-def _due(step: int) -> bool:
-    return step in (8, 16, 32, 64) or step % 128 == 0 and step > 0
-
-
-def _symbols(ranks: int) -> int:
-    return int(_bucket(np.array([max(0, ranks - 1)]))[0]) + 1
-
-
-def _encode_lanes(grid: np.ndarray, buckets: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each column of ``grid`` (step, lane) of ranks and their ``buckets``: (words end to end, words of each)."""
+        self.at = self.row + (h >> self.shift)
+        value = self.table[self.at]
+        self.guess, self.confidence = value >> 2, value & 3
+        self.state_at = self.state_row + (self.confidence << 2 | self.last)
+        state = self.states[self.state_at]
+        self.seen, self.chance = state & 63, state >> 6
+        mixed = self.pooled + ((self.chance - self.pooled) * _EVIDENCE[self.seen] >> 8)
+        self.end2 = 1 + (mixed * ((1 << _SHARE) - 3) >> 22)
+        rest = (1 << _SHARE) - self.end2
+        self.end1 = self.end2 + rest - 1 - (rest * self.unknown >> 23)
+
+    def learn(self, rank: np.ndarray, hit: np.ndarray, unknown: np.ndarray) -> None:
+        """``rank`` in the table's type; whether order 2 held; lanes that order 0 coded."""
+        if self.held:
+            self.table[self.at] = rank << 2 | self._next[self.confidence] * hit
+        target = hit * np.int64((1 << 22) - 1)
+        self.states[self.state_at] = (self.chance + ((target - self.chance) * _RATE[self.seen] >> 16)) << 6 | np.minimum(self.seen + 1, 62)
+        self.pooled += (target - self.pooled) >> 5
+        self.unknown -= self.unknown >> 6
+        self.unknown[unknown] += (1 << 22) >> 6
+        self.last = self.last << 1 & 3 | hit
+        self.a, self.b = self.b, rank.astype(np.uint32)
+
+
+def _encode_lanes(grid: np.ndarray, pair: np.ndarray, tables: Tables, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each column of ``grid`` (step, lane) of ranks and their ``pair``s (-1: none): (words end to end, words of each)."""
     steps, lanes = grid.shape
-    model = _Model(lanes, symbols)
-    low, width = np.zeros(lanes, _U), np.full(lanes, _WHOLE, _U)
-    room = 3 * steps + 8
-    out = np.zeros(lanes * room, np.uint32)
-    at = np.arange(lanes, dtype=np.int64) * room
-    first = at.copy()
+    model = _Model(lanes, len(tables.class_of), slots)
+    # Where order 1 puts each id; one that it doesn't know takes all of order 0's share first.
+    start_of, freq_of = np.append(tables.start, 0).astype(np.int16), np.append(tables.freq, 1 << _TOTAL).astype(np.int16)
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, _WHOLE, np.int64)
+    out = np.zeros((3 * steps + 8) * lanes, np.uint32)
+    at = np.arange(lanes)
+
+    def emit(some: np.ndarray | None = None) -> None:
+        short = np.flatnonzero(width < _KEEP) if some is None else some[width[some] < _KEEP]
+        while len(short):
+            i, held, size = at[short], low[short], width[short] << 16
+            out[i] = held >> 32  # with the carry into the word before
+            at[short] = i + lanes
+            low[short] = (held & (_KEEP - 1)) << 16
+            width[short] = size
+            short = short[size < _KEEP]
+
     for step in range(steps):
-        if _due(step):
-            model.rebuild(inverse=False)
         model.predict()
-        rank = grid[step]
-        no2, no1 = model.p2 != rank, model.p1 != rank
-        missing = no2 & no1
-        flag = (no2.view(np.int8) + missing.view(np.int8)).astype(np.int64)
-        start = model.edges[flag, model.lane]
-        unit = width >> _U(_BITS)
-        more = unit * start
-        width = unit * (model.edges[flag + 1, model.lane] - start)
-        missed = np.flatnonzero(missing)
-        bucket = buckets[step][missed].astype(np.int64)
-        packed = model.buckets[model.row_symbol[missed] + bucket]
-        w = width[missed] >> _U(_BITS)
-        w2 = w * (packed >> np.uint32(16)) >> _EXTRA[bucket]
-        more[missed] += w * (packed & np.uint32(0xFFFF)) + w2 * (rank[missed] - _FIRST[bucket]).astype(_U)
-        width[missed] = w2
-        low += more
-        if (over := low < more).any():
-            out[at[over] - 1] += 1
-        model.learn(rank, flag, missed, bucket)
-        short = np.flatnonzero(width < _KEEP)
-        while len(short):
-            out[at[short]] = low[short] >> _U(48)
-            low[short] <<= _U(16)
-            width[short] <<= _U(16)
-            at[short] += 1
-            short = short[width[short] < _KEEP]
+        rank, index = grid[step], pair[step]
+        hit = model.guess == rank
+        unknown = np.flatnonzero((index < 0) & ~hit)
+        unit = width >> _SHARE
+        begin, size = model.end2 * ~hit, np.where(hit, model.end2, model.end1 - model.end2)
+        begin[unknown], size[unknown] = model.end1[unknown], (1 << _SHARE) - model.end1[unknown]
+        low += unit * begin
+        unit = unit * size >> _TOTAL
+        index = np.where(hit, -1, index)  # order 2 names one id: no more to tell
+        low += unit * start_of[index]
+        width = unit * freq_of[index]
+        if len(unknown):
+            emit(unknown)
+            r = rank[unknown].astype(np.int64)
+            b = _bucket(r)
+            unit = width[unknown] >> _TOTAL
+            low[unknown] += unit * tables.bucket_start[b]
+            width[unknown] = unit * tables.bucket_freq[b]
+            emit(unknown)
+            unit = width[unknown] >> _EXTRA[b]
+            low[unknown] += unit * (r - _FIRST[b])
+            width[unknown] = unit
+        model.learn(rank, hit, unknown)
+        emit()
     # One more word lies inside the last interval, whatever is read after it.
-    low += _KEEP - _U(1)
-    if (over := low < _KEEP - _U(1)).any():
-        out[at[over] - 1] += 1
-    out[at] = low >> _U(48)
-    sizes = at + 1 - first
-    words = np.concatenate([out[a : a + n] for a, n in zip(first.tolist(), sizes.tolist())])
+    low += _KEEP - 1
+    out[at] = low >> 32
+    sizes = at // lanes + 1
+    most = int(sizes.max())
+    words = out[: most * lanes].reshape(most, lanes).T[np.arange(most) < sizes[:, None]]
     del out
     while (over := np.flatnonzero(words >> np.uint32(16))).size:  # a block's first word has no carry
         words[over] &= np.uint32(0xFFFF)
@@ -176,62 +291,77 @@ def _encode_lanes(grid: np.ndarray, buckets: np.ndarray, symbols: int) -> tuple[
     return words.astype("<u2"), sizes.astype("<u4")
 
 
-def _decode_lanes(words: np.ndarray, sizes: np.ndarray, steps: int, symbols: int) -> np.ndarray:
+def _decode_lanes(words: np.ndarray, sizes: np.ndarray, steps: int, tables: Tables, slots: int) -> np.ndarray:
     """The grid (step, lane) of ranks that ``_encode_lanes`` got. Past its end a block's words are zero."""
     lanes = len(sizes)
-    model = _Model(lanes, symbols)
-    ends = np.cumsum(sizes.astype(np.int64))
-    spread = np.zeros(len(words) + 4 * lanes, np.uint64)  # four zero words after each block
-    spread[np.arange(len(words)) + np.repeat(np.arange(lanes) * 4, sizes)] = words
-    last = ends + np.arange(lanes) * 4
-    at = last - sizes
-    code = np.zeros(lanes, _U)
-    for _ in range(4):
-        code = code << _U(16) | spread[at]
-        at += 1
-    width = np.full(lanes, _WHOLE, _U)
-    grid = np.empty((steps, lanes), np.uint32)
-    top = _U(_TOTAL - 1)
-    last += 3
+    model = _Model(lanes, len(tables.class_of), slots)
+    most = int(sizes.max()) + 4
+    spread = np.zeros((lanes, most), np.uint16)
+    spread[np.arange(most) < sizes[:, None]] = words
+    spread = np.ascontiguousarray(spread.T).reshape(-1)
+    lane = np.arange(lanes)
+    spread = np.append(spread, np.uint16(0))
+    end = most * lanes  # behind all words: zero
+    at = lane.copy()
+    code = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        code = code << 16 | spread[at]
+        at += lanes
+    width = np.full(lanes, _WHOLE, np.int64)
+    grid = np.empty((steps, lanes), model.kind)
+    # Place in the total of a class: its pair. What a class without pairs finds is never used.
+    inverse = np.append(np.repeat(np.arange(len(tables.freq), dtype=np.int32), tables.freq), np.zeros(1 << _TOTAL, np.int32))
+    first = (np.where(tables.empty, (~tables.empty).sum(), np.cumsum(~tables.empty) - 1) << _TOTAL)[tables.class_of]
+    packed = np.append(tables.symbols << 30 | tables.start << 15 | tables.freq, 0)
+    top = (1 << _TOTAL) - 1
+
+    def take(some: np.ndarray | None = None) -> None:
+        short = np.flatnonzero(width < _KEEP) if some is None else some[width[some] < _KEEP]
+        while len(short):
+            i, size = at[short], width[short] << 16
+            code[short] = code[short] << 16 | spread[np.minimum(i, end)]
+            at[short] = i + lanes
+            width[short] = size
+            short = short[size < _KEEP]
+
     for step in range(steps):
-        if _due(step):
-            model.rebuild(inverse=True)
         model.predict()
-        unit = width >> _U(_BITS)
-        value = np.minimum(code // unit, top)
-        past0, past1 = value >= model.edges[1], value >= model.edges[2]
-        flag = (past0.view(np.int8) + past1.view(np.int8)).astype(np.int64)
-        start = model.edges[flag, model.lane]
-        code -= unit * start
-        width = unit * (model.edges[flag + 1, model.lane] - start)
-        rank = np.where(past0, model.p1, model.p2)
-        missed = np.flatnonzero(past1)
-        w = width[missed] >> _U(_BITS)
-        c = code[missed]
-        value = np.minimum(c // w, top).astype(np.int64)
-        bucket = model.inverse[missed * _TOTAL + value].astype(np.int64)
-        packed = model.buckets[model.row_symbol[missed] + bucket]
-        extra = _EXTRA[bucket]
-        w2 = w * (packed >> np.uint32(16)) >> extra
-        c -= w * (packed & np.uint32(0xFFFF))
-        place = np.minimum(c // w2, (_U(1) << extra) - _U(1))
-        code[missed] = c - w2 * place
-        width[missed] = w2
-        rank[missed] = _FIRST[bucket] + place.astype(np.int64)
+        unit = width >> _SHARE
+        past2, past1 = code >= unit * model.end2, code >= unit * model.end1
+        unknown = np.flatnonzero(past1)
+        begin, size = model.end2 * past2, np.where(past2, model.end1 - model.end2, model.end2)
+        begin[unknown], size[unknown] = model.end1[unknown], (1 << _SHARE) - model.end1[unknown]
+        code -= unit * begin
+        unit = unit * size >> _TOTAL
+        value = np.minimum((code / unit).astype(np.int64), top)
+        found = packed[inverse[first[model.b] + value]]
+        known = past2 ^ past1
+        found = np.where(known, found, 1 << _TOTAL)  # order 2 names one id, and order 0 has its own step
+        code -= unit * (found >> 15 & top)
+        width = unit * (found & 0x7FFF)
+        rank = np.where(known, (found >> 30).astype(model.kind), model.guess)
+        if len(unknown):
+            take(unknown)
+            unit = width[unknown] >> _TOTAL
+            b = tables.bucket_at[np.minimum((code[unknown] / unit).astype(np.int64), top)]
+            code[unknown] -= unit * tables.bucket_start[b]
+            width[unknown] = unit * tables.bucket_freq[b]
+            take(unknown)
+            unit = width[unknown] >> _EXTRA[b]
+            place = np.minimum((code[unknown] / unit).astype(np.int64), (1 << _EXTRA[b]) - 1)
+            code[unknown] -= unit * place
+            width[unknown] = unit
+            rank[unknown] = _FIRST[b] + place
         grid[step] = rank
-        model.learn(rank, flag, missed, bucket)
-        short = np.flatnonzero(width < _KEEP)
-        while len(short):
-            i = at[short]
-            code[short] = code[short] << _U(16) | spread[np.minimum(i, last[short])]
-            at[short] = i + 1
-            width[short] <<= _U(16)
-            short = short[width[short] < _KEEP]
+        model.learn(rank, ~past2, unknown)
+        take()
     return grid
 
 
-def encode_frame(doc_ids: Sequence[int | None], documents: Sequence[bytes], block: int = BLOCK) -> bytes:
-    """A frame of whole documents; each has its ids as little-endian unsigned 32-bit integers."""
+def encode_frame(doc_ids: Sequence[int | None], documents: Sequence[bytes], block: int = BLOCK, classes: int | None = None, slots: int = SLOTS) -> bytes:
+    """A frame of whole documents; each has its ids as little-endian unsigned 32-bit integers.
+
+    One of ``classes`` leaves order 1 without a context, one of ``slots`` leaves out order 2."""
     ids = np.frombuffer(b"".join(documents), "<u4")
     lengths = np.array([len(d) // 4 for d in documents], "<u8")
     if len(ids) and ids.max() < 1 << 22:
@@ -247,16 +377,28 @@ def encode_frame(doc_ids: Sequence[int | None], documents: Sequence[bytes], bloc
         ranks = np.argsort(by).astype(np.uint32)[inverse]
     block = max(1, min(block, len(ids)))
     blocks = -(-len(ids) // block)
-    symbols = _symbols(len(order))
     padded = np.zeros(blocks * block, np.uint32)
     padded[: len(ids)] = ranks
-    rows = padded.reshape(blocks, block)
-    bucket_of = _bucket(np.arange(len(order))).astype(np.uint8)
+    if classes is None:
+        classes = min(CLASSES, len(ids) // IDS_PER_CLASS)
+    tables, key = Tables.of(padded, block, max(1, len(order)), classes)
+    n = len(tables.class_of)
+    pair_keys = tables.owner * n + tables.symbols
+    if len(tables.listed) * n <= 1 << 23:
+        place = np.full(len(tables.listed) * n, -1, np.int32)
+        place[pair_keys] = np.arange(len(pair_keys))
+        pair = place[key]
+    else:
+        at = np.minimum(np.searchsorted(pair_keys, key), max(0, len(pair_keys) - 1))
+        pair = np.where(pair_keys[at] == key, at, -1).astype(np.int32) if len(pair_keys) else np.full(len(key), -1, np.int32)
+    del key
+    kind = np.uint16 if n <= 1 << 14 else np.uint32
+    rows, pair = padded.astype(kind).reshape(blocks, block), pair.reshape(blocks, block)
     coded = []
     for i in range(0, blocks, LANES):
-        grid = np.ascontiguousarray(rows[i : i + LANES].T)
-        coded.append(_encode_lanes(grid, bucket_of[grid], symbols))
+        coded.append(_encode_lanes(np.ascontiguousarray(rows[i : i + LANES].T), np.ascontiguousarray(pair[i : i + LANES].T), tables, slots))
     sums = np.array([zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, len(ids), block)], "<u4")
+    packed = tables.to_bytes()
     rest = b"".join(
         [
             np.array([i or 0 for i in doc_ids], "<i8").tobytes(),
@@ -265,17 +407,21 @@ def encode_frame(doc_ids: Sequence[int | None], documents: Sequence[bytes], bloc
             order.tobytes(),
             b"".join(s.tobytes() for _, s in coded),
             sums.tobytes(),
+            packed,
             b"".join(w.tobytes() for w, _ in coded),
         ]
     )
-    return _HEAD.pack(MAGIC, len(documents), len(ids), block, blocks, len(order), zlib.crc32(rest)) + rest
+    head = _HEAD.pack(MAGIC, len(documents), len(ids), block, slots, blocks, len(order), len(tables.listed), len(tables.symbols), len(packed), 0)[:-4]
+    return head + zlib.crc32(rest, zlib.crc32(head)).to_bytes(4, "little") + rest
 
 
 def decode_frame(data: bytes) -> tuple[list[int | None], list[bytes]]:
     """The documents of a frame; raises ValueError if a checksum does not hold."""
-    magic, n_docs, n_ids, block, blocks, ranks, crc = _HEAD.unpack_from(data)
+    if len(data) < _HEAD.size:
+        raise ValueError("not a token frame, or a damaged one")
+    magic, n_docs, n_ids, block, slots, blocks, ranks, classes, pairs, packed, crc = _HEAD.unpack_from(data)
     rest = memoryview(data)[_HEAD.size :]
-    if magic != MAGIC or zlib.crc32(rest) != crc:
+    if magic != MAGIC or zlib.crc32(rest, zlib.crc32(data[: _HEAD.size - 4])) != crc:
         raise ValueError("not a token frame, or a damaged one")
     at = 0
 
@@ -287,10 +433,10 @@ def decode_frame(data: bytes) -> tuple[list[int | None], list[bytes]]:
 
     doc_ids, nulls, lengths = take("<i8", n_docs), take("u1", n_docs), take("<u8", n_docs).astype(np.int64)
     order, sizes, sums = take("<u4", ranks), take("<u4", blocks), take("<u4", blocks)
+    tables = Tables.from_bytes(take("u1", packed).tobytes(), max(1, ranks), classes, pairs)
     words = take("<u2", int(sizes.sum()))
-    symbols = _symbols(ranks)
     begins = np.r_[0, np.cumsum(sizes.astype(np.int64))]
-    parts = [_decode_lanes(words[begins[i] : begins[min(i + LANES, blocks)]], sizes[i : i + LANES].astype(np.int64), block, symbols).T for i in range(0, blocks, LANES)]
+    parts = [_decode_lanes(words[begins[i] : begins[min(i + LANES, blocks)]], sizes[i : i + LANES].astype(np.int64), block, tables, slots).T for i in range(0, blocks, LANES)]
     grid = np.concatenate(parts).reshape(-1)[:n_ids] if parts else np.empty(0, np.uint32)
     if len(grid) and grid.max() >= ranks:
         raise ValueError("a block of the frame is damaged")

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoweave.llm.codec import BLOCK, decode_frame, encode_frame
-from geoweave.llm.common import prepare, stored
+from geoweave.llm.common import picked, prepare, stored
 from geoweave.llm.tokens import lots, tokenizer_path, word_tokenizer
 
 END_ID = 1
 #: Ids from which a frame is closed.
-FRAME_IDS = 1 << 22
+FRAME_IDS = 1 << 23
 FRAME_SCHEMA = "part int, frame int, n_docs long, n_ids long, data binary"
 
 
@@ -63,7 +63,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
             yield close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = picked(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, FRAME_SCHEMA)
 
 

@@ -8,6 +8,7 @@ part of what the tokenizer splits at, and kept in a bounded memo in each Python
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import repeat
 
@@ -30,6 +31,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 #: ASCII punctuation that is always a piece of its own behind a word; no apostrophe, for the sake of 's and the like.
 _TAIL = b".,;:!?()[]{}|#*$%&\"-_/\\=+~`^@<>"
+_SIGNS = re.escape(_TAIL.decode())
+#: What may stand beside such a run for it to be one: ASCII letters, digits and white space, and letters below U+02B0 but U+0130, of which lower case makes two characters.
+_BESIDE = r"A-Za-z0-9\t\n\f\r \x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{2af}"
+_ENTANGLED = f"[^{_BESIDE}{_SIGNS}][{_SIGNS}]|[{_SIGNS}][^{_BESIDE}{_SIGNS}]"
 _PART = 2048
 _TEXTS = 256
 #: Bytes of text encoded together.
@@ -134,7 +139,10 @@ class WordTokenizer:
         # Case doesn't change ids. For fewer words, that of ASCII letters is removed first, but for texts with special
         # tokens or with characters from U+0300 on, where combining marks begin.
         odd = pc.or_(pc.match_substring_regex(texts, r"[^\x{0}-\x{2ff}]"), pc.match_substring(texts, "<|"))
-        split = pc.ascii_split_whitespace(pc.if_else(odd, texts, pc.ascii_lower(texts)))
+        lowered = pc.if_else(odd, texts, pc.ascii_lower(texts))
+        # Runs of these signs are pieces of their own, so spaces around them change no id and leave fewer distinct words.
+        entangled = pc.or_(odd, pc.match_substring_regex(lowered, _ENTANGLED))
+        split = pc.ascii_split_whitespace(pc.if_else(entangled, lowered, pc.replace_substring_regex(lowered, f"([{_SIGNS}]+)", r" \1 ")))
         coded = split.flatten().dictionary_encode()
         distinct = pc.cast(coded.dictionary, pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         rows = np.fromiter(map(self._memo.get, distinct, repeat(-1)), np.int64, len(distinct))
