@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import hnsw, language, packing, pii, quality, secrets, sentencepiece, sentences, simhash, token_files
+from geoweave.llm import base_sql, hnsw, language, packing, pii, quality, secrets, sentencepiece, sentences, simhash, token_files
 from geoweave.llm.common import table
 
 
@@ -52,10 +52,26 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
 
+# The base columns of three operators once more, as SQL can express these.
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_hnsw, op2_secrets, op3_token_files, op4_packing, op5_quality, op6_pii, op7_language, op8_sentence_dedup, op9_simhash, op10_sentencepiece)
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in (*every, quality_base, secrets_base, personal_data_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the base columns; that of the operators' own parts (models, graphs, hashes, decoders) can't be written."""
+    return {"quality_base": base_sql.QUALITY, "secrets_base": base_sql.SECRETS, "personal_data_base": base_sql.PERSONAL}
