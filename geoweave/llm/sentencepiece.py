@@ -5,21 +5,25 @@ marks before it) are sorted, which lays them out as the depth-first order of the
 Walking it, the forward table of the common prefix with the word before is kept and only
 the rest of the word is computed.
 
-The forward table is that of a Viterbi pass: for every position the best last piece, from
-which the pieces are traced back. For a unigram model best means the greatest sum of
-scores. The public model is a BPE model, where the pieces of a prefix are those that
-merging by score would leave. There a piece may follow the last piece of its prefix only if
-merging the two texts alone gives just these two pieces, and exactly one piece may end at
-each position; the test of a pair is kept. The table of a prefix doesn't depend on what
-follows it, which is what lets words share it.
+The forward table is that of a Viterbi pass: for every position the greatest forward score and
+the last piece that gives it, from which the pieces are traced back. For a unigram model
+(``kind="unigram"``) the score of a path is the sum of its pieces' scores, and an unknown
+character costs ``UNKNOWN`` more than the least piece. The public model is a BPE model, whose scores only rank
+merges: the path of greatest sum is another one than merging leaves. Its paths are therefore
+restricted: a piece may follow the last piece of its prefix only if merging the two texts alone
+gives just these two pieces. Exactly one path to each position satisfies that, which is the one
+that merging leaves, so the maximum is over one path and its score is carried along; the test of
+a pair is kept. The table of a prefix doesn't depend on what follows it, which is what lets words
+share it. (A word to which no path leads, of a model that breaks these rules, is merged as a whole.)
 
 Words are split where a mark follows something else; the model has no piece across such a
 place (checked when it is loaded). Characters outside the vocabulary become byte pieces.
 Decoding joins the pieces, byte pieces as UTF-8, and drops the mark put in front.
 
 Defined results: a null text is empty and has no ids; repeated rows give equal rows;
-``doc_id`` may be null; an empty table gives no rows. A mark in the text itself decodes to
-a space, as with the library.
+``doc_id`` may be null; of two unigram paths of one score the one whose last piece is longer
+counts; a very long text costs its length; other columns may have any name and type; an empty
+table gives no rows. A mark in the text itself decodes to a space, as with the library.
 """
 
 from __future__ import annotations
@@ -35,12 +39,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import prepare
+from geoweave.llm.common import picked, prepare
 from geoweave.llm.tokens import gathered, lots
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 MEMO_WORDS = 1 << 19
+#: What an unknown character's score is below that of the least piece of a unigram model.
+UNKNOWN = 10.0
 _ONE = [1]
 _WORDS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 _LINES = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -59,7 +65,7 @@ def _text(value: str) -> pa.Scalar:
 class Pieces:
     """A model's vocabulary and the shared-prefix pass over sorted words."""
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS, kind: str = "bpe"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -80,6 +86,8 @@ class Pieces:
         for t in self.ids:
             self._lengths.setdefault(t[-1], []).append(len(t))
         self._lengths = {c: sorted(set(n), reverse=True) for c, n in self._lengths.items()}
+        self._unigram = kind == "unigram"
+        self._unknown = min(self.scores.values(), default=0.0) - UNKNOWN
         self._pairs: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
         self._memo: dict[str, bytes] = {}
@@ -118,10 +126,25 @@ class Pieces:
             known = self._whole[piece] = self._merge(piece) == [piece]
         return known
 
-    def _extend(self, word: str, table: list[str]) -> None:
-        """Complete ``table``: its entry ``i`` is the last piece of the first ``i`` characters."""
-        ids, pairs = self.ids, self._pairs
+    def _best(self, word: str, end: int, forward: list[float]) -> tuple[float, str]:
+        """The greatest forward score at a position, and its last piece: the longest of those that give it."""
+        best, last = float("-inf"), ""
+        for length in (*self._lengths.get(word[end - 1], ()), 1):
+            piece = word[max(0, end - length) : end]
+            score = self.scores.get(piece, self._unknown if length == 1 else None) if length <= end else None
+            if score is not None and forward[end - length] + score > best:
+                best, last = forward[end - length] + score, piece
+        return best, last
+
+    def _extend(self, word: str, table: list[str], forward: list[float]) -> bool:
+        """Complete the tables: the entries ``i`` are the last piece of the first ``i`` characters and its forward score. False if no path leads on."""
+        ids, pairs, scores, unknown = self.ids, self._pairs, self.scores, self._unknown
         for end in range(len(table), len(word) + 1):
+            if self._unigram:
+                score, piece = self._best(word, end, forward)
+                table.append(piece)
+                forward.append(score)
+                continue
             for length in self._lengths.get(word[end - 1], _ONE):
                 start = end - length
                 if start < 0:
@@ -132,22 +155,27 @@ class Pieces:
                 if start:
                     last = table[start]
                     known = pairs.get((last, piece))
-                    if self._follows(last, piece) if known is None else known:
-                        table.append(piece)
-                        break
-                elif self._reachable(piece):
-                    table.append(piece)
-                    break
+                    if not (self._follows(last, piece) if known is None else known):
+                        continue
+                elif not self._reachable(piece):
+                    continue
+                table.append(piece)
+                forward.append(forward[start] + scores.get(piece, unknown))
+                break
             else:
-                raise ValueError(f"no piece ends at {end} of {word!r}")
+                return False
+        return True
 
-    def _ids_of(self, word: str, table: list[str]) -> bytes:
-        out, at = [], len(word)
+    def _traced(self, table: list[str], at: int) -> list[str]:
+        out = []
         while at:
             out.append(table[at])
             at -= len(table[at])
+        return out[::-1]
+
+    def _ids_of(self, pieces: list[str]) -> bytes:
         ids = array("I")
-        for piece in reversed(out):
+        for piece in pieces:
             if piece in self.ids:
                 ids.append(self.ids[piece])
             else:
@@ -156,7 +184,7 @@ class Pieces:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words in the depth-first order of their trie."""
-        table: list[str] = [""]
+        table, forward = [""], [0.0]
         before = ""
         for word in sorted(words):
             same = 0
@@ -164,10 +192,13 @@ class Pieces:
                 if x != y:
                     break
                 same += 1
-            del table[same + 1 :]
-            self._extend(word, table)
-            self._memo[word] = self._ids_of(word, table)
-            before = word
+            del table[same + 1 :], forward[same + 1 :]
+            if self._extend(word, table, forward):
+                pieces = self._traced(table, len(word))
+            else:
+                pieces = self._merge(word)
+            self._memo[word] = self._ids_of(pieces)
+            before = word[: len(table) - 1]
 
     def encode(self, texts: pa.Array | Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -231,7 +262,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 names=["doc_id", "ids", "n_ids", "ids_crc32", "round_trip"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary, n_ids long, ids_crc32 long, round_trip boolean")
 
 
