@@ -11,13 +11,18 @@ ASCII letters in lower case, are hashed. Equal hashes anywhere in the corpus are
 repeated span. The first occurrence, by doc_id and place, stays; a sentence that any later
 occurrence covers is removed with the white space behind it.
 
-Hashes of a run are 64 bits wide and pre-aggregated before they are shuffled; the runs are
+Hashes of a run are 96 bits wide (two functions), so that even 10**13 spans are expected to hold
+less than one false repeat, and pre-aggregated before they are shuffled; the runs are
 joined to the repeated hashes only, so no group of occurrences is ever gathered, and a run
 that a third of the documents share is a skewed join key that Spark splits.
 
-Defined results: a null text stays null and an empty one empty; rows that agree in doc_id
-and text count as one document and are treated alike; documents without doc_id come first;
-an empty table gives no rows.
+White space is Unicode's everywhere. Removal is by these pieces of sentences, not by whole
+sentences only, where a passage begins or ends inside a sentence without an end of its own.
+
+Defined results: a null text stays null and an empty or blank one as it is; rows that agree in
+doc_id and text count as one document and are treated alike; documents without doc_id come
+first; of spans that overlap in one document, the later occurrences go; a very long text costs
+its length; other columns may have any name and type; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import prepare, stored
+from geoweave.llm.common import numbered, place, prepare, size_column, stored, with_texts
 
 RUN = 3
-MIN_WORDS = 12
-#: Words of which one at least is followed by a cut. RUN of them, the words until the first cut and
-#: WINDOW - 1 at either edge of a passage, where its surroundings have a say, are under 50.
+#: More than one common sentence or licence line has.
+MIN_WORDS = 20
+#: Words of which one at least is followed by a cut. In a passage of 50 words, cuts behind the words 8 to 43
+#: don't depend on its surroundings, the first of them stands behind word 15 at the latest, and a span from
+#: there ends within MIN_WORDS + WINDOW - 1 (or RUN * WINDOW) words, which is by word 42.
 WINDOW = 8
 
 _END = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[^\S\n]*\n\s*")
@@ -87,24 +94,34 @@ def _runs(counts: list[int], run: int, min_words: int) -> list[int | None]:
     return out
 
 
-def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> list[int | None]:
-    """Hash of the span that starts at each sentence, as signed 64-bit integers; None where there is none."""
+def _cut(text: str, window: int) -> tuple[list[tuple[int, int]], list[list[str]]]:
+    """The sentences and the words of each."""
+    parts = sentences(text, window)
+    return parts, [text[a:b].split() for a, b in parts]
+
+
+def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> list[tuple[int, int] | None]:
+    """Hash of the span that starts at each sentence, as signed integers of 64 and 32 bits; None where there is none."""
     from xxhash import xxh64_intdigest
 
-    parts = [text[a:b].encode("utf-8").lower().split() for a, b in sentences(text or "", window)]
-    keys = [b" ".join(p) for p in parts]
-    out: list[int | None] = []
-    for i, end in enumerate(_runs(list(map(len, parts)), run, min_words)):
-        h = None if end is None else xxh64_intdigest(b" ".join(keys[i:end]))
-        out.append(h if h is None or not h >> 63 else h - (1 << 64))
+    words = _cut(text or "", window)[1]
+    keys = [" ".join(w).encode("utf-8").lower() for w in words]  # of bytes: ASCII only
+    out: list[tuple[int, int] | None] = []
+    for i, end in enumerate(_runs(list(map(len, words)), run, min_words)):
+        if end is None:
+            out.append(None)
+        else:
+            span = b" ".join(k for k in keys[i:end] if k)
+            h, check = xxh64_intdigest(span), zlib.crc32(span)
+            out.append((h - (1 << 64) if h >> 63 else h, check - (1 << 32) if check >> 31 else check))
     return out
 
 
 def without(text: str, places: Iterable[int], run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> tuple[str, int, list[tuple[int, int]]]:
     """(the text without the spans that start at these sentences, sentences removed, removed spans)."""
-    parts = sentences(text, window)
-    ends = _runs([len(text[a:b].split()) for a, b in parts], run, min_words)
-    gone = {k for p in places for k in range(p, ends[p])}
+    parts, words = _cut(text, window)
+    ends = _runs(list(map(len, words)), run, min_words)
+    gone = {k for p in places for k in range(p, ends[p] or p)}
     kept, spans = [], []
     for i, (a, b) in enumerate(parts):
         if i not in gone:
@@ -116,33 +133,43 @@ def without(text: str, places: Iterable[int], run: int = RUN, min_words: int = M
     return "".join(kept), len(gone), spans
 
 
-def _key(docs: DataFrame) -> F.Column:
-    return F.xxhash64("doc_id", F.col("text").cast("string"))
+#: Stands for a missing doc_id, before all others.
+_NO_ID = -(1 << 63)
+
+
+def _keys(docs: DataFrame) -> list[F.Column]:
+    """What tells documents apart: the id, and a hash of id and text."""
+    id_, text = f"_{place(docs, 'doc_id')}", F.col(f"_{place(docs, 'text')}").cast("string")
+    return [F.coalesce(F.col(id_).cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(id_, text).alias("key")]
 
 
 def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """(key, places) of documents with a non-first occurrence: the sentences at which one starts."""
+    """(doc, key, places) of documents with a non-first occurrence: the sentences at which one starts."""
     prepare(docs.sparkSession)
 
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [run_hashes(t, run, min_words, window) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["key", "doc_id", "hashes"])
-
-    texts = docs.select(_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = stored(texts.mapInArrow(hashes, "key long, doc_id long, hashes array<long>"), "sentence-runs")
-    runs = held.select("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.posexplode("hashes").alias("place", "hash")).where("hash IS NOT NULL")
-    repeated = runs.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "place")).alias("first")).where("n > 1").select("hash", "first")
+            first = pa.array([[h and h[0] for h in x] for x in found], pa.list_(pa.int64()))
+            second = pa.array([[h and h[1] for h in x] for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, second], names=["doc", "key", "hashes", "checks"])
+
+    texts = numbered(docs).select(*_keys(docs), F.col(f"_{place(docs, 'text')}").cast("string").alias("text"))
+    held = stored(texts.mapInArrow(hashes, "doc long, key long, hashes array<long>, checks array<int>"), "sentence-runs")
+    runs = held.select("doc", "key", F.posexplode(F.arrays_zip("hashes", "checks")).alias("place", "run"))
+    runs = runs.select("doc", "key", "place", F.col("run.hashes").alias("hash"), F.col("run.checks").alias("check")).where("hash IS NOT NULL")
+    repeated = runs.groupBy("hash", "check").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "place")).alias("first")).where("n > 1").select("hash", "check", "first")
     repeated = stored(repeated, "sentence-repeats")  # a side of its own, so that Spark can split a hot hash on the other
-    later = runs.join(repeated, "hash").where(F.struct("doc", "key", "place") != F.col("first"))
-    return later.groupBy("key").agg(F.collect_set("place").alias("places"))
+    later = runs.join(repeated, ["hash", "check"]).where(F.struct("doc", "key", "place") != F.col("first"))
+    return later.groupBy("doc", "key").agg(F.collect_set("place").alias("places"))
 
 
 def sentence_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
     """(doc_id, text, n_removed, removed) of every document: the text that stays, how many
     sentences went, and the removed spans of the input text (start:end in code points, comma-joined)."""
     places = repeated_places(docs, run, min_words, window)
-    joined = docs.select(_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(places, "key", "left").select("doc_id", "text", "places")
+    keyed = numbered(docs).select(F.col(f"_{place(docs, 'doc_id')}").cast("long").alias("doc_id"), F.col(f"_{place(docs, 'text')}").cast("string").alias("text"), *_keys(docs))
+    joined = keyed.join(places, ["doc", "key"], "left").select("doc_id", "text", "places")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,20 +185,17 @@ def sentence_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
 
 
 def drop_repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """The documents, all columns, without later occurrences in ``text``; ``n_chars`` follows where it exists."""
-    names, schema = docs.columns, docs.schema
-    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    places = repeated_places(docs, run, min_words, window).withColumnRenamed("places", "_geoweave_places").withColumnRenamed("key", "_geoweave_key")
-    joined = docs.withColumn("_geoweave_key", _key(docs)).join(places, "_geoweave_key", "left").select(*(docs[n] for n in names), "_geoweave_places")
+    """The documents, all columns, without later occurrences in ``text``; ``n_chars`` follows where a text changed.
+
+    All documents stay, even if nothing is left of a text (it is then empty); results for odd rows as above."""
+    at, size, width = place(docs, "text"), size_column(docs), len(docs.columns)
+    places = repeated_places(docs, run, min_words, window)
+    joined = numbered(docs).select("*", *_keys(docs)).join(places, ["doc", "key"], "left").select(*(f"_{i}" for i in range(width)), "places")
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(batch.columns[:-1])
-            texts = columns[at].to_pylist()
-            changed = [(t, without(t, p, run, min_words, window)[0]) if p else (t, t) for t, p in zip(texts, batch.column(len(columns)).to_pylist())]
-            columns[at] = pa.array([new for _, new in changed], columns[at].type)
-            if size is not None:
-                columns[size] = pa.array([old if a is b else len(b) for (a, b), old in zip(changed, columns[size].to_pylist())], columns[size].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return joined.mapInArrow(apply, schema)
+            starts = batch.column(width).to_pylist()
+            texts = [without(t, p, run, min_words, window)[0] if p else t for t, p in zip(batch.column(at).to_pylist(), starts)]
+            yield with_texts(list(batch.columns[:width]), at, size, texts, map(bool, starts))
+
+    return joined.mapInArrow(apply, numbered(docs).schema).toDF(*docs.columns)
