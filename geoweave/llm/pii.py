@@ -5,20 +5,26 @@ addresses, national phone numbers, other number groupings, IPv6, identity number
 or listed names). Five labelers vote on every candidate and base span: the strict pattern,
 a checksum, a gazetteer, the words before it, and the characters beside it.
 
-The votes of the whole corpus are counted by (kind, votes, shape): a table bounded by its
-few values and not by the corpus. On it the driver runs expectation-maximisation, which
-estimates how reliable each labeler is, and fits a logistic classifier of spans to the
-resulting probabilities. A second pass over the texts adds the candidates the classifier
-accepts; base spans always stay. No shuffle but that of the small counts.
+The votes of the whole corpus are counted together with what the classifier sees of a span:
+a table bounded by the values of its few small columns and not by the corpus. On it the driver
+runs expectation-maximisation, which estimates from the votes alone how reliable each labeler is,
+and fits a logistic classifier to the resulting probabilities. That classifier sees besides the
+votes the span's own characters (digits, length, signs) and its neighbours (a hash of the word
+before, the kind of character behind), so it also tells spans apart that get the same votes. A
+second pass over the texts adds the candidates that it accepts; base spans always stay. No
+shuffle but that of the small counts.
 
 Defined results: a null text is empty; repeated rows give equal rows; ``doc_id`` may be
-null; an empty table or one without candidates adds nothing.
+null; of candidates that overlap, the first and longest counts; a very long text costs its
+length; other columns may have any name and type; an empty table or one without candidates adds
+nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import per_document, prepare, replace_texts
+from geoweave.llm.common import per_document, picked, prepare, replace_texts
 
 KINDS = ("email", "ip", "card", "phone", "id", "name")
 BASE_KINDS = KINDS[:4]
@@ -55,17 +61,29 @@ _GROUPED = re.compile(r"(?<![0-9])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9])|(?<![0-9A
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])")
 _ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
-# Fixed values of the gazetteers.
-TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co de fr es it uk us eu ch at nl be pl se no fi dk pt ru cn jp in br mx ca au".split())
-GIVEN_NAMES = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Hans Peter Klaus Ursula Jürgen Monika Wolfgang Petra Jean Marie Pierre Michel Catherine Nathalie José Antonio Carmen Manuel Francisco Isabel".split())
+# Fixed values of the gazetteers: the generic top-level domains (RFC 920 and 1591, and those added until 2011);
+# country codes are two letters. Frequent given names of English, German, French and Spanish birth registers.
+GENERIC_DOMAINS = frozenset("com org net edu gov mil int arpa info biz name pro aero coop museum jobs mobi travel tel cat asia post xxx io".split())
+GIVEN_NAMES = frozenset(
+    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen "
+    "Christopher Lisa Daniel Nancy Matthew Betty Anthony Sandra Mark Margaret Donald Ashley Steven Kimberly Andrew Emily Paul Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa "
+    "Hans Peter Klaus Ursula Jürgen Monika Wolfgang Petra Günter Helga Werner Renate Dieter Ingrid Manfred Karin Uwe Sabine Andreas Susanne Stefan Birgit Jens Heike Matthias Anja Markus Katrin Sebastian Julia "
+    "Jean Marie Pierre Michel Catherine Nathalie Philippe Isabelle Alain Sylvie Bernard Monique Jacques Françoise Christophe Valérie Nicolas Sophie Laurent Sandrine Julien Céline Antoine Camille "
+    "José Antonio Carmen Manuel Francisco Isabel Juan Ana Javier Laura Carlos Cristina Jesús Marta Miguel Lucía Alejandro Elena Rafael Pilar Fernando Dolores Sergio Paula Pablo Rosa".split()
+)
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", "Señora")
-_PART = "[A-Z][a-zà-ÿ]{1,20}"
-_NAME = re.compile(rf"(?:(?:{'|'.join(TITLES)})\.?\x20{_PART}|(?:{'|'.join(sorted(GIVEN_NAMES))}))\x20{_PART}(?![a-zà-ÿ])")
-#: One of these is in every text with a name: they are the beginnings of the pattern.
-_NAMED = (*TITLES, *(f"{n} " for n in sorted(GIVEN_NAMES)))
+_CAPITALISED = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ]{0,20}")
+_PART = re.compile(r"\x20([A-Z][a-zà-ÿ]{1,20})(?![a-zà-ÿ])")
+_TITLED = re.compile(r"\.?\x20[A-Z][a-zà-ÿ]{1,20}")
 _POSITIVE = re.compile(r"e-?mail|mailto|contact|phone|tel\b|call|mobile|fax|whatsapp|card|visa|mastercard|credit|\bip\b|address|server|host|ssn|social security|name|kontakt|telefon|téléphone|teléfono|karte|carte|tarjeta|correo", re.I)
 _NEGATIVE = re.compile(r"isbn|issn|order|invoice|version|total|page|serial|model|article|doi|reference|build", re.I)
 
+#: Hash values of the word before a span.
+WORDS = 64
+#: What the classifier sees besides kind and votes, and how many values each has.
+SEEN = {"shape": 8, "length": 8, "signs": 4, "word": WORDS + 1, "after": 4}
+_WORD_BEFORE = re.compile(r"(\w+)\W{0,3}$")
+
 Span = tuple[str, int, int]
 Evidence = tuple[int, ...]
 
@@ -131,13 +149,31 @@ def candidates(text: str) -> list[Span]:
     if ":" in text:
         found += [("ip", m.start(), m.end()) for m in _IPV6.finditer(text)]
     found += [("id", m.start(), m.end()) for m in _ID.finditer(text)]
-    if any(n in text for n in _NAMED):
-        found += [("name", m.start(), m.end()) for m in _NAME.finditer(text)]
-    return found
+    return found + list(names(text))
+
+
+def names(text: str) -> Iterator[Span]:
+    """A title with two capitalised words, or a given name of the gazetteer with one, whatever stands before them."""
+    at = 0
+    for m in _CAPITALISED.finditer(text):
+        word = m.group()
+        if m.start() < at or word not in _FIRST:
+            continue
+        end = m.end()
+        if word in TITLES:
+            titled = _TITLED.match(text, end)
+            end = titled.end() if titled else -1
+        last = _PART.match(text, end) if end >= 0 else None
+        if last:
+            at = last.end()
+            yield "name", m.start(), at
+
+
+_FIRST = GIVEN_NAMES.union(TITLES)
 
 
 def evidence(text: str, span: Span, strict: bool) -> Evidence:
-    """(kind, the five votes, shape): small integers only. A vote is 1 (personal), -1 (not) or 0."""
+    """(kind, the five votes, what else the classifier sees): small integers only. A vote is 1 (personal), -1 (not) or 0."""
     kind, a, b = span
     body = text[a:b]
     digits = _digits(body)
@@ -149,7 +185,8 @@ def evidence(text: str, span: Span, strict: bool) -> Evidence:
         checksum = 1 if ":" in body or all(map(_small, body.split("."))) else -1
         gazetteer = -1 if body.startswith(("0.", "127.", "255.")) else 0
     elif kind == "email":
-        gazetteer = 1 if re.split(r"[^a-z]+", body.lower())[-1] in TOP_DOMAINS else -1
+        top = re.split(r"[^a-z]+", body.lower())[-1]
+        gazetteer = 1 if len(top) == 2 or top in GENERIC_DOMAINS else -1
     elif kind == "phone":
         checksum = 1 if 8 <= len(digits) <= 15 else -1
         gazetteer = 1 if strict or digits[:1] == "0" or "2" <= digits[:1] <= "9" and len(digits) == 10 else -1
@@ -164,7 +201,13 @@ def evidence(text: str, span: Span, strict: bool) -> Evidence:
     beside = text[max(0, a - 1) : a] + text[b : b + 1]
     neighbours = -1 if any(c.isalnum() or c in "_=/#" for c in beside) else 1
     shape = min(3, len(digits) // 5) * 2 + (" " in body or "-" in body or "(" in body)
-    return KINDS.index(kind), 1 if strict else 0, checksum, gazetteer, context, neighbours, shape
+    length = min(7, (b - a) // 4)
+    signs = min(3, sum(not c.isalnum() for c in body))
+    word = _WORD_BEFORE.search(before)
+    before_word = zlib.crc32(word.group(1).lower().encode("utf-8")) % WORDS if word else WORDS
+    behind = text[b : b + 1]
+    after = 0 if not behind else 1 if behind.isspace() else 2 if behind in ".,;:!?" else 3
+    return KINDS.index(kind), 1 if strict else 0, checksum, gazetteer, context, neighbours, shape, length, signs, before_word, after
 
 
 def spans_and_evidence(text: str) -> list[tuple[Span, Evidence, bool]]:
@@ -187,7 +230,7 @@ def spans_and_evidence(text: str) -> list[tuple[Span, Evidence, bool]]:
 def count_evidence(docs: DataFrame) -> DataFrame:
     """(evidence columns, n) over all spans of all texts; summed in every batch before the shuffle."""
     prepare(docs.sparkSession)
-    names = ["kind", *LABELERS, "shape"]
+    names = ["kind", *LABELERS, *SEEN]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -198,7 +241,7 @@ def count_evidence(docs: DataFrame) -> DataFrame:
         columns = list(zip(*((*e, n) for e, n in counts.items()))) or [[] for _ in [*names, "n"]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[*names, "n"])
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    counted = picked(docs, "text").select(F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
     return counted.groupBy(*names).agg(F.sum("n").alias("n"))
 
 
@@ -213,10 +256,11 @@ class Model:
 
 
 def _features(e: np.ndarray) -> np.ndarray:
-    """One-hot kind, one-hot votes, one-hot shape and a constant."""
+    """One-hot kind, votes and what else is seen, and a constant."""
     columns = [e[:, 0] == k for k in range(len(KINDS))]
     columns += [e[:, 1 + j] == v for j in range(len(LABELERS)) for v in (-1, 1)]
-    columns += [e[:, -1] == s for s in range(8)]
+    for j, n in enumerate(SEEN.values()):
+        columns += [e[:, 1 + len(LABELERS) + j] == v for v in range(n)]
     return np.stack([*columns, np.ones(len(e), bool)], axis=1).astype(float)
 
 
@@ -245,15 +289,17 @@ def expectation_maximisation(e: np.ndarray, n: np.ndarray, rounds: int = 50) ->
 
 
 def fit(rows: list[tuple[int, ...]]) -> Model:
-    """Model from rows of :func:`count_evidence`; their order has no effect."""
-    width = len(LABELERS) + 2
+    """Model from rows of :func:`count_evidence`; their order has no effect. Votes are pooled for the estimation."""
+    width = 1 + len(LABELERS) + len(SEEN)
     if not rows:
         weights = np.zeros(_features(np.zeros((1, width), int)).shape[1])
         weights[-1] = -20.0
         return Model(weights, np.full((len(LABELERS), 2, 3), 1 / 3), np.full(len(KINDS), 0.5))
     table = np.array(sorted(rows), dtype=np.int64)
     e, n = table[:, :-1], table[:, -1].astype(float)
-    p, reliability, prior = expectation_maximisation(e, n)
+    votes, of = np.unique(e[:, : 1 + len(LABELERS)], axis=0, return_inverse=True)
+    p, reliability, prior = expectation_maximisation(votes, np.bincount(of.reshape(-1), n))
+    p = p[of.reshape(-1)]
     x = _features(e)
     share = np.log1p(n)
     weights = np.zeros(x.shape[1])
@@ -317,6 +363,9 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The documents with personal data replaced in ``text``."""
+    """The documents, all columns, with personal data replaced in ``text``; ``n_chars`` follows where a text changed.
+
+    A null text stays null and one without findings as it is; rows that agree change alike; a null
+    ``doc_id`` or other columns, of any name and type, have no say; an empty table stays empty."""
     model, memo = train(docs), {}
     return replace_texts(docs, lambda t: redacted(t, find(t, model, accept, memo)[1]))
