@@ -36,7 +36,15 @@ def odd(spark):
     df = spark.createDataFrame(ODD, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
     for name in ("fp", "key", "hash", "place", "places", "component_id", "ids", "kept", "lot", "node", "root"):
         df = df.withColumn(name, F.lit("extra"))
-    return df
+    # Names with dots and of other case, and types that can't be compared.
+    df = df.withColumn("a.b", F.lit("extra")).withColumn("_0", F.lit("extra")).withColumn("tags", F.create_map(F.lit("k"), F.col("lang")))
+    return df.withColumn("parts", F.array(F.struct(F.lit(1).alias("x.y"), F.col("source").alias("z"))))
+
+
+@pytest.fixture(scope="session")
+def twins(odd):
+    """The odd rows with columns whose names differ from those needed in case only."""
+    return odd.toDF(*[{"key": "TEXT", "hash": "Doc_Id", "place": "N_CHARS"}.get(c, c) for c in odd.columns])
 
 
 @pytest.fixture(scope="session")
