@@ -157,19 +157,42 @@ def zone_map(spark, view):
     return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("t")))).select("zone", "n", F.round(F.lit(100.0) * F.col("n") / F.col("t"), 3).alias("pct"))
 
 
-def _sensitivity_sql() -> str:
+def _year_2020(sql: str) -> str:
+    """The fusion of one year only; priors are those of all years."""
+    sql = sql.replace("SELECT pix, year FROM v_aoi CROSS JOIN v_anchor", "SELECT pix, 2020 AS year FROM v_aoi")
+    return sql.replace("FROM v_unified GROUP BY pix, year", "FROM v_unified WHERE year = 2020 GROUP BY pix, year")
+
+
+def _sensitivity_sql(floor: float) -> str:
     parts, ctes = [], []
-    for floor in (0.3, 0.4, 0.5):
-        for delta in (-0.1, 0.0, 0.1):
-            body = _fusion_sql(delta, floor, "SELECT fused AS class, count(*) AS n FROM fz GROUP BY fused").replace("SELECT pix, year FROM v_aoi CROSS JOIN v_anchor", "SELECT pix, 2020 AS year FROM v_aoi")
-            parts.append(f"SELECT 'eps{floor}_dw{delta:+.2f}' AS setting, class, n FROM ({body})")
+    for delta in (-0.1, 0.0, 0.1):
+        body = _year_2020(_fusion_sql(delta, floor, "SELECT fused AS class, count(*) AS n FROM fz GROUP BY fused"))
+        parts.append(f"SELECT 'eps{floor}_dw{delta:+.2f}' AS setting, class, n FROM ({body})")
     ctes = " UNION ALL ".join(parts)
     return f"""SELECT setting, round(max(dev), 3) AS max_dev, round(avg(dev), 3) AS mean_dev, round(max(dev) FILTER (class IN (3, 4, 5, 6)), 3) AS steppe_dev, round(max(dev) FILTER (class IN (11, 12, 13)), 3) AS bare_dev
 FROM (SELECT s.setting, s.class, abs(s.pct - b.pct) AS dev FROM (SELECT setting, class, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY setting), 6) AS pct FROM ({ctes})) s
-JOIN (SELECT class, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM ({_fusion_sql(0.0, 0.4, "SELECT fused AS class, count(*) AS n FROM fz GROUP BY fused").replace("SELECT pix, year FROM v_aoi CROSS JOIN v_anchor", "SELECT pix, 2020 AS year FROM v_aoi")})) b ON b.class = s.class) GROUP BY setting"""
+JOIN (SELECT class, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM ({_year_2020(_fusion_sql(0.0, 0.4, "SELECT fused AS class, count(*) AS n FROM fz GROUP BY fused"))})) b ON b.class = s.class) GROUP BY setting"""
 
 
-@query(_sensitivity_sql())
-def fusion_sensitivity(spark, view):
+# The sweep of three floors and three weight changes, a floor a query.
+
+
+def _sensitivity(view, floor: float):
     cells = view("v_aoi").withColumn("year", F.lit(2020))
-    return fusion.sensitivity(view("v_unified"), cells, fusion.priors(view("v_unified")))
+    out = fusion.sensitivity(view("v_unified"), cells, fusion.priors(view("v_unified")), floors=tuple(sorted({0.4, floor})))
+    return out.where(F.col("setting").startswith(f"eps{floor}_"))
+
+
+@query(_sensitivity_sql(0.4))
+def fusion_sensitivity(spark, view):
+    return _sensitivity(view, 0.4)
+
+
+@query(_sensitivity_sql(0.3))
+def fusion_sensitivity_low_floor(spark, view):
+    return _sensitivity(view, 0.3)
+
+
+@query(_sensitivity_sql(0.5))
+def fusion_sensitivity_high_floor(spark, view):
+    return _sensitivity(view, 0.5)

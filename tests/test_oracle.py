@@ -9,7 +9,6 @@ from geoweave.plans.queries import ORACLES, QUERIES
 from geoweave.plans.views import TABLES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-SLOW = {"fusion_sensitivity", "forecast_roll_out"}
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -34,7 +33,7 @@ def _rows(rows):
     return sorted(tuple(map(cell, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
     got = QUERIES[name](spark, DATA)
     want = duck.sql(ORACLES[name])
@@ -47,5 +46,5 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_rows_only_queries_give_rows(spark):
-    for name in ("ccm_bootstrap", "granger_full", "tree_shap", "standardised_series"):
+    for name in sorted(set(QUERIES) - set(ORACLES)):
         assert QUERIES[name](spark, DATA).count() > 0
