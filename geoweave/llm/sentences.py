@@ -21,7 +21,7 @@ sentences only, where a passage begins or ends inside a sentence without an end
 
 Defined results: a null text stays null and an empty or blank one as it is; rows that agree in
 doc_id and text count as one document and are treated alike; documents without doc_id come
-first; of spans that overlap in one document, the later occurrences go; a very long text costs
+before those with ids from 0 on; of spans that overlap in one document, the later occurrences go; a very long text costs
 its length; other columns may have any name and type; an empty table gives no rows.
 """
 
@@ -106,12 +106,18 @@ def run_hashes(text: str | None, run: int = RUN, min_words: int = MIN_WORDS, win
 
     words = _cut(text or "", window)[1]
     keys = [" ".join(w).encode("utf-8").lower() for w in words]  # of bytes: ASCII only
+    whole = b" ".join(filter(None, keys))
+    starts, ends, at = [], [], 0  # of each sentence's words in all words; of one without any, where the next ones start and the last ones end
+    for k in keys:
+        starts.append(at + (at > 0))
+        at += len(k) + (at > 0 and len(k) > 0)
+        ends.append(at)
     out: list[tuple[int, int] | None] = []
-    for i, end in enumerate(_runs(list(map(len, words)), run, min_words)):
+    for start, end in zip(starts, _runs(list(map(len, words)), run, min_words)):
         if end is None:
             out.append(None)
         else:
-            span = b" ".join(k for k in keys[i:end] if k)
+            span = whole[start : ends[end - 1]]
             h, check = xxh64_intdigest(span), zlib.crc32(span)
             out.append((h - (1 << 64) if h >> 63 else h, check - (1 << 32) if check >> 31 else check))
     return out
@@ -133,14 +139,12 @@ def without(text: str, places: Iterable[int], run: int = RUN, min_words: int = M
     return "".join(kept), len(gone), spans
 
 
-#: Stands for a missing doc_id, before all others.
-_NO_ID = -(1 << 63)
-
-
 def _keys(docs: DataFrame) -> list[F.Column]:
-    """What tells documents apart: the id, and a hash of id and text."""
-    id_, text = f"_{place(docs, 'doc_id')}", F.col(f"_{place(docs, 'text')}").cast("string")
-    return [F.coalesce(F.col(id_).cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(id_, text).alias("key")]
+    """What tells documents apart: the id, and 32 bits of a hash of id and text for rows of one id.
+
+    Without an id, a hash of the text with the sign bit set stands for it: before all ids from 0 on."""
+    id_, text = F.col(f"_{place(docs, 'doc_id')}"), F.col(f"_{place(docs, 'text')}").cast("string")
+    return [F.coalesce(id_.cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(1 << 63)))).alias("doc"), F.hash(id_, text).alias("key")]
 
 
 def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
@@ -155,7 +159,7 @@ def repeated_places(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first, second], names=["doc", "key", "hashes", "checks"])
 
     texts = numbered(docs).select(*_keys(docs), F.col(f"_{place(docs, 'text')}").cast("string").alias("text"))
-    held = stored(texts.mapInArrow(hashes, "doc long, key long, hashes array<long>, checks array<int>"), "sentence-runs")
+    held = stored(texts.mapInArrow(hashes, "doc long, key int, hashes array<long>, checks array<int>"), "sentence-runs")
     runs = held.select("doc", "key", F.posexplode(F.arrays_zip("hashes", "checks")).alias("place", "run"))
     runs = runs.select("doc", "key", "place", F.col("run.hashes").alias("hash"), F.col("run.checks").alias("check")).where("hash IS NOT NULL")
     repeated = runs.groupBy("hash", "check").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "place")).alias("first")).where("n > 1").select("hash", "check", "first")
