@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import base_sql, hnsw, language, packing, pii, quality, secrets, sentencepiece, sentences, simhash, token_files
+from geoweave.llm import base_sql, divergence, hnsw, language, negatives, packing, pii, quality, secrets, sentencepiece, sentences, shards, simhash, token_files
 from geoweave.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 # The base columns of three operators once more, as SQL can express these.
 
 
@@ -68,10 +80,10 @@ def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_hnsw, op2_secrets, op3_token_files, op4_packing, op5_quality, op6_pii, op7_language, op8_sentence_dedup, op9_simhash, op10_sentencepiece)
+    every = (op1_hnsw, op2_secrets, op3_token_files, op4_packing, op5_quality, op6_pii, op7_language, op8_sentence_dedup, op9_simhash, op10_sentencepiece, op11_divergence, op12_shards, op13_negatives)
     return {f.__name__: f for f in (*every, quality_base, secrets_base, personal_data_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the base columns; that of the operators' own parts (models, graphs, hashes, decoders) can't be written."""
-    return {"quality_base": base_sql.QUALITY, "secrets_base": base_sql.SECRETS, "personal_data_base": base_sql.PERSONAL}
+    """SQL of what is exact arithmetic; that of models, graphs, hashes, decoders and propagation can't be written."""
+    return {"op11_divergence": base_sql.DIVERGENCE, "op13_negatives": base_sql.NEGATIVES, "quality_base": base_sql.QUALITY, "secrets_base": base_sql.SECRETS, "personal_data_base": base_sql.PERSONAL}
