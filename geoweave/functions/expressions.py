@@ -161,3 +161,79 @@ def feature_label(name: Column) -> Column:
 
 def is_autocorrelated(name: Column) -> Column:
     return any_prefix(F.lower(name), ("from_", "nbr"))
+
+
+#: Lanczos' approximation of the gamma function, g = 7 (fixed values).
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of numbers from 0.5 on."""
+    z = x - 1
+    series = sum((F.lit(c) / (z + i) for i, c in enumerate(_LANCZOS) if i), F.lit(_LANCZOS[0]))
+    base = z + 7.5
+    return F.lit(0.9189385332046727) + (z + 0.5) * F.log(base) - base + F.log(series)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, terms: int = 200) -> Column:
+    """Continued fraction of the incomplete beta function, forwards with both parts kept from zero."""
+    kept = lambda v: let(v, lambda w: F.when(F.abs(w) > 1e-300, w).otherwise(F.lit(1e-300)))
+
+    def half(s: Column, top: Column) -> Column:
+        parts = F.struct((1 / kept(1 + top * s["d"])).alias("d"), kept(1 + top / s["c"]).alias("c"))
+        return let(parts, lambda p: F.struct(p["c"].alias("c"), p["d"].alias("d"), (s["h"] * p["c"] * p["d"]).alias("h")))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return let(half(s, even), lambda t: half(t, odd))
+
+    first = let(1 / kept(1 - (a + b) * x / (a + 1)), lambda d: F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), lambda m: m.cast("double")), first, step, lambda s: s["h"])
+
+
+def f_tail(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F > f) with d1 and d2 degrees of freedom; 1 for an f that isn't positive."""
+    f, d1, d2 = (c.cast("double") for c in (f, d1, d2))
+
+    def tail(v: Column) -> Column:
+        a, b, x = v["a"], v["b"], v["x"]
+        front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(v["rest"]))
+        return let(front, lambda w: F.when(x < (a + 1) / (a + b + 2), w * _beta_fraction(a, b, x) / a).otherwise(1 - w * _beta_fraction(b, a, v["rest"]) / b))
+
+    held = F.struct((d2 / 2).alias("a"), (d1 / 2).alias("b"), (d2 / (d2 + d1 * f)).alias("x"), (d1 * f / (d2 + d1 * f)).alias("rest"))
+    return F.when(f > 0, let(held, tail)).when(f.isNotNull(), F.lit(1.0))
+
+
+def centred_moments(rows: Column, width: Column | int) -> Column:
+    """Matrix (array of arrays) of sums of products of centred columns; ``rows`` is an array of equally long arrays of doubles."""
+    columns = F.sequence(F.lit(0), (F.lit(width) if isinstance(width, int) else width) - 1)
+
+    def centred(r: Column) -> Column:
+        means = F.transform(columns, lambda i: F.aggregate(r, F.lit(0.0), lambda s, v: s + F.get(v, i)) / F.size(r))
+        return let(means, lambda m: F.transform(r, lambda v: F.zip_with(v, m, lambda x, y: x - y)))
+
+    products = lambda c: F.transform(columns, lambda i: F.transform(columns, lambda j: F.aggregate(c, F.lit(0.0), lambda s, v: s + F.get(v, i) * F.get(v, j))))
+    return let(let(rows, centred), products)
+
+
+def swept(matrix: Column, at: Column) -> Column:
+    """A symmetric matrix swept at one column: what is left of the others after a regression on it, its own place minus the inverse.
+
+    A column that the ones before explain wholly has no variance left and gives nulls."""
+    over = lambda v, pivot: F.when(pivot > 1e-12, v / pivot)
+
+    def cell(v: Column, i: Column, j: Column, row: Column, pivots: Column) -> Column:
+        pivot = F.get(pivots, at)
+        return (
+            F.when((i == at) & (j == at), -over(F.lit(1.0), pivot))
+            .when((i == at) | (j == at), over(v, pivot))
+            .otherwise(v - F.get(row, at) * over(F.get(pivots, j), pivot))
+        )
+
+    return let(F.get(matrix, at), lambda pivots: F.transform(matrix, lambda row, i: F.transform(row, lambda v, j: cell(v, i, j, row, pivots))))

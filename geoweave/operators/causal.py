@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweave.functions.expressions import safe_corr
+from geoweave.functions.expressions import centred_moments, f_tail as f_tail_of, let, safe_corr, swept
 
 
 def embed(df: DataFrame, value: str, time: str, keys: Sequence[str], dims: int = 3, tau: int = 1) -> DataFrame:
@@ -78,6 +78,62 @@ def ccm_bootstrap(df: DataFrame, cause: str, effect: str, keys: Sequence[str], s
     return rho.groupBy(*keys, "size").agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_boot"))
 
 
+def library_draw(time: Column, size: Column, boot: Column) -> Column:
+    """Integer by whose order a library of a size draws its points: another order for each size and draw."""
+    return F.pmod((time + 1).cast("long") * (7919 + 2 * (size * 1000 + boot).cast("long")), F.lit(1_000_003))
+
+
+def ccm_libraries(df: DataFrame, cause: str, effect: str, keys: Sequence[str], boots: int = 30, time: str = "t", dims: int = 3, tau: int = 1) -> DataFrame:
+    """(keys, size, rho, n_boot): mean skill over ``boots`` libraries of each of the sizes dims + 2, a quarter, a half, three quarters and all of a
+    series' points. Draws go by :func:`library_draw`; the whole series is one library.
+
+    Distances are taken and sorted once for each point. A library is a filter over its neighbours in that order, so
+    all sizes and draws share one pass, and no pair of points is joined again."""
+    points = embed(df, effect, time, keys, dims, tau).where(F.col(cause).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1)
+    names = [f"x{j}" for j in range(dims)]
+    other = points.select(*keys, F.col(time).alias("_t"), F.col("_i").alias("_j"), F.col(cause).cast("double").alias("_y"), *(F.col(x).alias(f"_{x}") for x in names))
+    distance = F.sqrt(sum((F.col(x) - F.col(f"_{x}")) * (F.col(x) - F.col(f"_{x}")) for x in names))
+    both = points.join(other, list(keys)).where(F.col(time) != F.col("_t"))
+    near = both.groupBy(*keys, time).agg(F.first(cause).cast("double").alias("observed"), F.array_sort(F.collect_list(F.struct(distance.alias("d"), F.col("_t").alias("t"), F.col("_j").alias("i"), F.col("_y").alias("y")))).alias("near"))
+    few = dims + 2
+    n = F.size("_points")
+    quarters = [F.greatest(F.lit(few), F.floor(n * q / 4).cast("int")) for q in (1, 2, 3)]
+    sizes = F.array_sort(F.array_distinct(F.transform(F.array(F.lit(few), *quarters, n), lambda s: F.least(s, n))))
+
+    def drawn(size: Column, boot: Column) -> Column:
+        order = F.array_sort(F.transform("_points", lambda t, i: F.struct(library_draw(t, size, boot).alias("h"), t.alias("t"), i.alias("i"))))
+        chosen = lambda first: F.transform("_points", lambda t, i: F.array_contains(first, i))
+        return F.struct(size.alias("size"), boot.alias("boot"), let(F.transform(F.slice(order, 1, size), lambda o: o["i"]), chosen).alias("in"))
+
+    libraries = F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(1), F.when(s == n, F.lit(1)).otherwise(F.lit(boots))), lambda b: drawn(s, b))))
+    drawn_of = points.groupBy(*keys).agg(F.array_sort(F.collect_list(time)).alias("_points")).select(*keys, libraries.alias("_libraries"))
+
+    def estimate(k: Column) -> Column:
+        weight = lambda x: F.exp(-x["d"] / F.greatest(F.get(k, 0)["d"], F.lit(1e-12)))
+        total = lambda term: F.aggregate(k, F.lit(0.0), lambda s, x: s + term(x))
+        return F.when(F.size(k) == dims + 1, total(lambda x: weight(x) * x["y"]) / total(weight))
+
+    found = F.transform("_libraries", lambda l: F.struct(l["size"].alias("size"), l["boot"].alias("boot"), let(F.slice(F.filter("near", lambda x: F.get(l["in"], x["i"])), 1, dims + 1), estimate).alias("estimate")))
+    rows = near.join(drawn_of, list(keys)).select(*keys, time, "observed", F.inline(found)).where("estimate IS NOT NULL")
+    rho = skill(rows, [*keys, "size", "boot"])
+    return rho.groupBy(*keys, "size").agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_boot"))
+
+
+def regional_links(df: DataFrame, effect: str, causes: Sequence[str], keys: Sequence[str], time: str = "t", *, boots: int = 30, surrogates: int = 200, alpha: float = 0.05, rho: float = 0.3, least_convergence: float = 0.05) -> DataFrame:
+    """(keys, driver, n, best_lag, p_value, q_value, rho, convergence, surrogate_p, surrogate_q, link): the whole regional run. Every
+    series is tested by Granger's test and by cross mapping with growing libraries and surrogates, both families of p-values are
+    controlled for false discoveries, and a link is what both methods find (uncorrected Granger p, skill and convergence)."""
+    by = [*keys, "driver"]
+    tests = benjamini_hochberg(granger_full(df, effect, causes, keys, time), "p_value")
+    long = _long(df, effect, causes, keys, time)
+    mapped = convergence(ccm_libraries(long, "x", "y", by, boots, time), by).select(*by, F.col("rho_max_lib").alias("rho"), "convergence")
+    chance = surrogate_p(df, effect, causes, keys, surrogates, time=time).select(*by, F.col("p_value").alias("surrogate_p"))
+    chance = benjamini_hochberg(chance, "surrogate_p", name="surrogate_q")
+    out = tests.join(mapped, by, "left").join(chance, by, "left")
+    link = (F.col("p_value") < alpha) & (F.col("rho") > rho) & (F.col("convergence") > least_convergence)
+    return out.select(*by, "n", "best_lag", "p_value", "q_value", "rho", "convergence", "surrogate_p", "surrogate_q", F.coalesce(link, F.lit(False)).alias("link"))
+
+
 def convergence(by_size: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Skill at the largest less that at the smallest library."""
     return by_size.groupBy(*keys).agg((F.max_by("rho", "size") - F.min_by("rho", "size")).alias("convergence"), F.max_by("rho", "size").alias("rho_max_lib"), F.min_by("rho", "size").alias("rho_min_lib"))
@@ -189,19 +245,102 @@ def granger(y: np.ndarray, x: np.ndarray, most: int = 3) -> dict:
     return best
 
 
-def granger_full(df: DataFrame, effect: str, causes: Sequence[str], keys: Sequence[str], time: str = "t", most: int = 3, least: int = 12) -> DataFrame:
-    """(keys, driver, n, best_lag, f_stat, p_value, differenced), one series at a time."""
-    long = df.select(*keys, time, F.col(effect).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("driver"), F.col(c).cast("double").alias("x")) for c in causes))).alias("_d")).select(*keys, time, "y", "_d.driver", "_d.x")
+def _long(df: DataFrame, effect: str, causes: Sequence[str], keys: Sequence[str], time: str) -> DataFrame:
+    """(keys, driver, time, y, x) of rows where both are given."""
+    pairs = F.inline(F.array(*(F.struct(F.lit(c).alias("driver"), F.col(c).cast("double").alias("x")) for c in causes)))
+    return df.select(*keys, time, F.col(effect).cast("double").alias("y"), pairs).where("y IS NOT NULL AND x IS NOT NULL AND NOT isnan(y) AND NOT isnan(x)")
 
-    def test(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["y", "x"]).sort_values(time)
-        if len(rows) < least:
-            return pd.DataFrame()
-        return pd.DataFrame([dict(zip([*keys, "driver"], key)) | granger(rows["y"].to_numpy(float), rows["x"].to_numpy(float), most)])[[*keys, "driver", "n", "best_lag", "f_stat", "p_value", "differenced"]]
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", driver string, n long, best_lag int, f_stat double, p_value double, differenced boolean"
-    return long.groupBy(*keys, "driver").applyInPandas(test, schema)
+def adf_of(series: Column) -> Column:
+    """(n, stat): the statistic of :func:`adf_statistic` of an array of values, as an expression.
+
+    The moments of the level and all its lagged changes are taken once; sweeping them in one lag after the other gives
+    every model's squared error, level coefficient and its variance, among which the information criterion chooses."""
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        most = F.greatest(F.lit(0), F.least(F.floor(12 * F.pow(n / 100.0, 0.25)).cast("int"), F.floor((n - 1) / 2).cast("int") - 2))
+        change = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get(x, i) - F.get(x, i - 1))
+        return let(F.struct(x.alias("x"), n.alias("n"), most.alias("most"), change.alias("change")), chosen)
+
+    def chosen(v: Column) -> Column:
+        most, n = v["most"], v["n"]
+        # One row for each change that has all lags: the level, the lagged changes, and the change itself.
+        row = lambda t: F.concat(F.array(F.get(v["x"], t)), F.reverse(F.slice(v["change"], t - most + 1, most)), F.array(F.get(v["change"], t)))
+        rows = F.transform(F.sequence(most, n - 2), row)
+        count, last = (n - 1 - most).cast("double"), most + 1
+        start = F.struct(centred_moments(rows, most + 2).alias("m"), F.lit(float("inf")).alias("aic"), F.lit(None).cast("double").alias("t"))
+
+        def judged(s: Column, k: Column, m: Column) -> Column:
+            error, level = F.greatest(F.get(F.get(m, last), last), F.lit(1e-300)), F.get(m, 0)
+            free = count - k - 2
+            aic = count * F.log(error / count) + 2 * (k + 2)
+            t = F.get(level, last) / F.sqrt(F.greatest(-F.get(level, 0) * error / free, F.lit(1e-300)))
+            return let(F.struct(aic.alias("aic"), t.alias("t")), lambda w: let((free > 0) & (w["aic"] < s["aic"]) & w["t"].isNotNull(), lambda better: F.struct(m.alias("m"), F.when(better, w["aic"]).otherwise(s["aic"]).alias("aic"), F.when(better, w["t"]).otherwise(s["t"]).alias("t"))))
+
+        return F.aggregate(F.sequence(F.lit(0), most), start, lambda s, k: let(swept(s["m"], k), lambda m: judged(s, k, m)), lambda s: s["t"])
+
+    return F.struct(F.size(series).alias("n"), let(series, of).alias("stat"))
+
+
+def stationary_of(series: Column) -> Column:
+    """Whether the test with a constant rejects a unit root at 5 per cent; short and constant series count as stationary."""
+
+    def of(x: Column) -> Column:
+        n = F.size(x)
+        mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+        squares = let(mean, lambda m: F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)))
+        limit = sum((F.lit(c) / F.pow(n.cast("double"), i) for i, c in enumerate(ADF_5) if i), F.lit(ADF_5[0]))
+        return F.when((n < 8) | (F.sqrt(squares / n) < 1e-12), F.lit(True)).otherwise(F.coalesce(adf_of(x)["stat"] < limit, F.lit(False)))
+
+    return let(series, of)
+
+
+def _errors(matrix: Column, k: int) -> Column:
+    """Squared errors of the last column after the first ``k`` and after twice as many are swept in."""
+    error = lambda m: F.get(F.get(m, 2 * k), 2 * k)
+    by = lambda m, lo, hi: F.aggregate(F.sequence(F.lit(lo), F.lit(hi - 1)), m, swept)
+    return let(by(matrix, 0, k), lambda own: F.struct(error(own).alias("own"), error(by(own, k, 2 * k)).alias("both")))
+
+
+def granger_lags(long: DataFrame, keys: Sequence[str], time: str = "t", lags: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """(keys, lag, n, f_stat, p_value): F tests that ``lag`` values of x before help to predict y beyond as many of its own.
+
+    One aggregation takes the moments of y and its and x's lagged values, for every lag over the rows that have it;
+    sweeping y's own lags and then x's gives both squared errors. A lag is tested where more rows than parameters are left;
+    where the lagged values determine each other there is no result."""
+    order, deepest = Window.partitionBy(*keys).orderBy(time), max(lags)
+    rows = long.withColumns({f"{v}{k}": F.lag(v, k).over(order) for v in "yx" for k in range(1, deepest + 1)})
+    sums, tests = [F.count("*").alias("_rows")], []
+    for k in lags:
+        names = [*(f"y{j}" for j in range(1, k + 1)), *(f"x{j}" for j in range(1, k + 1)), "y"]
+        there, n = F.col(f"y{k}").isNotNull(), f"_n{k}"
+        sums.append(F.count(F.when(there, 1)).alias(n))
+        sums += [F.covar_pop(F.when(there, F.col(a)), F.col(b)).alias(f"_{k}{a}{b}") for i, a in enumerate(names) for b in names[i:]]
+        at = {(a, b): f"_{k}{a}{b}" for i, a in enumerate(names) for b in names[i:]}
+        matrix = F.array(*(F.array(*(F.col(at.get((a, b)) or at[b, a]) * F.col(n) for b in names)) for a in names))
+        tests.append(F.struct(F.lit(k).alias("lag"), F.col(n).alias("n"), _errors(matrix, k).alias("e")))
+    out = rows.groupBy(*keys).agg(*sums).select(*keys, "_rows", F.explode(F.array(*tests)).alias("t")).select(*keys, "_rows", "t.lag", "t.n", "t.e.own", "t.e.both")
+    free = F.col("n") - 1 - 2 * F.col("lag")
+    f = F.greatest(F.lit(0.0), (F.col("own") - F.col("both")) / F.col("lag") / (F.col("both") / free))
+    kept = out.where((free > 0) & (F.col("lag") <= F.floor((F.col("_rows") - 1) / 3))).withColumn("f_stat", F.when(F.col("both") > 1e-300, f))
+    return kept.select(*keys, "lag", "n", "f_stat", f_tail_of(F.col("f_stat"), F.col("lag"), free).alias("p_value"))
+
+
+def granger_full(df: DataFrame, effect: str, causes: Sequence[str], keys: Sequence[str], time: str = "t", most: int = 3, least: int = 12) -> DataFrame:
+    """(keys, driver, n, best_lag, f_stat, p_value, differenced) of series with ``least`` rows or more: the lag of least p (ties to the
+    fewest lags). Both series are differenced once if either isn't stationary. Expressions only; a series (years or
+    months of one key) is gathered by one aggregation for the stationarity test."""
+    long, by = _long(df, effect, causes, keys, time), [*keys, "driver"]
+    series = long.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(time, "y", "x"))).alias("s"))
+    flags = series.where(F.size("s") >= least).select(*by, (~(stationary_of(F.col("s.y")) & stationary_of(F.col("s.x")))).alias("differenced"))
+    order = Window.partitionBy(*by).orderBy(time)
+    change = {v: F.when(F.col("differenced"), F.col(v) - F.lag(v).over(order)).otherwise(F.col(v)) for v in "yx"}
+    used = long.join(flags, by).withColumns(change).where("y IS NOT NULL AND x IS NOT NULL")
+    tests = granger_lags(used, by, time, range(1, most + 1))
+    best = tests.where("p_value IS NOT NULL").groupBy(*by).agg(F.min(F.struct("p_value", "lag", "f_stat")).alias("b"))
+    sizes = used.groupBy(*by).agg(F.count("*").alias("n"), F.first("differenced").alias("differenced"))
+    return sizes.join(best, by, "left").select(*by, "n", F.col("b.lag").alias("best_lag"), "b.f_stat", "b.p_value", "differenced")
 
 
 def surrogates(x: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarray:

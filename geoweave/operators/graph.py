@@ -55,12 +55,12 @@ def persistence(df: DataFrame, node: str, time: str, value: str) -> DataFrame:
     return df.withColumn("persisted", F.lag(value).over(order)).withColumn("change", F.col(value) - F.col("persisted"))
 
 
-def forecast_scores(df: DataFrame, value: str, predicted: str, baseline: str = "persisted") -> DataFrame:
-    """(n, rmse, r2, persistence_r2, skill): skill is one less the ratio of squared errors to the baseline's."""
+def forecast_scores(df: DataFrame, value: str, predicted: str, baseline: str = "persisted", *by: str) -> DataFrame:
+    """(by.., n, rmse, r2, persistence_r2, skill): skill is one less the ratio of squared errors to the baseline's."""
     rows = df.where(f"{value} IS NOT NULL AND {predicted} IS NOT NULL AND {baseline} IS NOT NULL")
     v, e, b = F.col(value), F.col(value) - F.col(predicted), F.col(value) - F.col(baseline)
     total = F.var_pop(v) * F.count("*")
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), total)).alias("r2"),
         (1 - F.try_divide(F.sum(b * b), total)).alias("persistence_r2"), (1 - F.try_divide(F.sum(e * e), F.sum(b * b))).alias("skill"),
     )

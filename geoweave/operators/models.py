@@ -201,6 +201,23 @@ def spillover(train: DataFrame, test: DataFrame, own: Sequence[str], neighbour:
     return train.sparkSession.createDataFrame([*rows, ("gap", gap), ("spillover", float(gap is not None and gap > threshold))], "model string, r2 double")
 
 
+class Adam:
+    """Steps of Adam on named parameters, changed in place, with gradients clipped to a norm."""
+
+    def __init__(self, p: dict[str, np.ndarray], rate: float, clip: float):
+        self.p, self.rate, self.clip, self.t = p, rate, clip, 0
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def step(self, g: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        norm = np.sqrt(sum((v * v).sum() for v in g.values()))
+        for k, v in g.items():
+            v = v * min(1.0, self.clip / (norm + 1e-12))
+            self.m[k] = 0.9 * self.m[k] + 0.1 * v
+            self.s[k] = 0.999 * self.s[k] + 0.001 * v * v
+            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.999**self.t)) + 1e-8)
+
+
 class RecurrentNode:
     """A gated recurrent unit with a linear head, trained by Adam with clipped gradients; NumPy, for one bounded series table."""
 
@@ -246,21 +263,14 @@ class RecurrentNode:
         return float(((out - y) ** 2).mean() / 2), g
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.02, clip: float = 2.0, patience: int = 40) -> RecurrentNode:
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        best, held, waited = np.inf, None, 0
-        for t in range(1, rounds + 1):
+        best, held, waited, adam = np.inf, None, 0, Adam(self.p, rate, clip)
+        for _ in range(rounds):
             loss, g = self.gradients(x, y)
             if loss < best - 1e-9:
                 best, held, waited = loss, {k: v.copy() for k, v in self.p.items()}, 0
             elif (waited := waited + 1) >= patience:
                 break
-            norm = np.sqrt(sum((v * v).sum() for v in g.values()))
-            for k, v in g.items():
-                v = v * min(1.0, clip / (norm + 1e-12))
-                m[k] = 0.9 * m[k] + 0.1 * v
-                s[k] = 0.999 * s[k] + 0.001 * v * v
-                self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+            adam.step(g)
         if held:
             self.p = held
         return self

@@ -1,9 +1,9 @@
-"""Small networks for node series: dense, recurrent and attentive; fitted on a bounded sample of windows, applied to all of them.
+"""Small networks for node series: dense, recurrent and attentive; fitted on all windows, where they lie.
 
 Graph convolution is linear, so the neighbours' part of a window is propagated by the graph
 operators (a distributed join) before it gets here, and the network's input weights are the
-convolution's. Fitting is NumPy on the driver, on at most ``SAMPLE`` windows drawn by an integer
-hash; scoring runs in Arrow batches on the executors.
+convolution's. A round of a fit is one pass: tasks add up the gradients of their windows, Spark adds
+those, and the driver takes a step from one number for each parameter.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweave.operators import evaluate, features, graph
-from geoweave.operators.models import RecurrentNode
-
-#: Windows that a fit sees at most.
-SAMPLE = 20_000
+from geoweave.operators import features, graph
+from geoweave.operators.models import Adam, RecurrentNode
+from geoweave.sources import catalog
 
 
 class DenseNode(RecurrentNode):
@@ -116,41 +114,126 @@ def with_propagated(adjacency: DataFrame, panel: DataFrame, columns: Sequence[st
 KINDS = {"dense": DenseNode, "recurrent": RecurrentNode, "attentive": AttentiveNode}
 
 
-def train(rows: DataFrame, columns: Sequence[str], label: str, length: int, kind: str = "recurrent", hidden: int = 8, rounds: int = 200, seed: int = 0, key: str = "node", time: str = "t"):
-    """A fitted network of a kind of ``KINDS`` on at most ``SAMPLE`` of the windows."""
-    names = [f"{c}_{k}" for k in range(length, 0, -1) for c in columns]
-    sample = rows.orderBy(evaluate.draw(key, time, seed=seed), key, time).limit(SAMPLE).select(*names, label).toPandas()
-    x = sample[names].to_numpy(float).reshape(len(sample), length, len(columns))
-    model = KINDS[kind](length * len(columns) if kind == "dense" else len(columns), hidden, seed)
-    return model.fit(x, sample[label].to_numpy(float), rounds)
+def _names(columns: Sequence[str], length: int) -> list[str]:
+    return [f"{c}_{k}" for k in range(length, 0, -1) for c in columns]
+
 
+def fitted(rows: DataFrame, specs: dict[str, tuple[str, Sequence[str]]], label: str, length: int, *, judged: str | None = None, hidden: int = 8, rounds: int = 200, rate: float = 0.02, clip: float = 2.0, patience: int = 40, seed: int = 0) -> tuple[dict, list[dict[str, float]]]:
+    """(fitted networks by name, losses of each round). ``specs`` names networks: a kind of ``KINDS`` and the columns it sees.
 
-def predicted(rows: DataFrame, model, columns: Sequence[str], length: int) -> DataFrame:
-    """Adds ``predicted``, in Arrow batches."""
-    names = [f"{c}_{k}" for k in range(length, 0, -1) for c in columns]
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", predicted double"
+    All networks are fitted side by side: a round is one pass over all windows, in which every task adds up the gradients of
+    its rows, and Spark adds those of the tasks. The driver gets one number for each parameter. ``rows`` is read in every round, so it
+    should be a stored table. Rows where the column ``judged`` holds don't take part in the gradients; their loss (else that of
+    the others) tells when a network has ``patience`` rounds without gain and which state is kept."""
+    columns = {n: _names(c, length) for n, (_, c) in specs.items()}
+    models = {n: KINDS[kind](length * len(c) if kind == "dense" else len(c), hidden, seed) for n, (kind, c) in specs.items()}
+    order = {n: sorted(m.p) for n, m in models.items()}
+    steps = {n: Adam(m.p, rate, clip) for n, m in models.items()}
+    used = list(dict.fromkeys(x for names in columns.values() for x in names))
+    inputs = rows.select(*used, F.col(label).cast("double").alias("_y"), (F.coalesce(F.col(judged), F.lit(False)) if judged else F.lit(False)).alias("_judged"))
+    best, held, waited, history = dict.fromkeys(models, np.inf), {}, dict.fromkeys(models, 0), []
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {n: np.zeros(4 + sum(v.size for v in m.p.values())) for n, m in models.items()}
+        for batch in batches:
+            away = batch["_judged"].to_numpy(bool)
+            for n, m in models.items():
+                x = batch[columns[n]].to_numpy(float).reshape(len(batch), length, -1)
+                y = batch["_y"].to_numpy(float)
+                if (~away).any():
+                    loss, g = m.gradients(x[~away], y[~away])
+                    k = int((~away).sum())
+                    sums[n][:2] += k, k * loss
+                    sums[n][4:] += k * np.concatenate([g[i].ravel() for i in order[n]])
+                if away.any():
+                    sums[n][2:4] += away.sum(), ((m.predict(x[away]) - y[away]) ** 2).sum() / 2
+        for i, (n, v) in enumerate(sums.items()):
+            yield pd.DataFrame({"network": i, "at": np.arange(len(v)), "v": v})
+
+    for _ in range(rounds):
+        found = inputs.mapInPandas(totals, "network int, at int, v double").groupBy("network", "at").agg(F.sum("v").alias("v")).toPandas()
+        losses = {}
+        for i, (n, m) in enumerate(models.items()):
+            v = np.zeros(4 + sum(x.size for x in m.p.values()))
+            one = found[found["network"] == i]
+            v[one["at"].to_numpy()] = one["v"].to_numpy()
+            if not v[0]:
+                continue
+            losses[n] = float(v[3] / v[2] if v[2] else v[1] / v[0])
+            if waited[n] >= patience:
+                continue
+            if losses[n] < best[n] - 1e-9:
+                best[n], waited[n], held[n] = losses[n], 0, {k: x.copy() for k, x in m.p.items()}
+            else:
+                waited[n] += 1
+            ends = np.cumsum([m.p[k].size for k in order[n]])
+            parts = np.split(v[4:] / v[0], ends[:-1])
+            steps[n].step({k: part.reshape(m.p[k].shape) for k, part in zip(order[n], parts)})
+        history.append(losses)
+        if not losses or all(w >= patience for w in waited.values()):
+            break
+    for n, p in held.items():
+        models[n].p = p
+    return models, history
+
+
+def predicted(rows: DataFrame, models: dict, specs: dict[str, tuple[str, Sequence[str]]], length: int) -> DataFrame:
+    """``rows`` under each other for each network, with its name as ``model`` and its ``predicted``, in Arrow batches."""
+    columns = {n: _names(c, length) for n, (_, c) in specs.items()}
+    names = rows.columns
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", model string, predicted double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[names].to_numpy(float).reshape(len(batch), length, len(columns))
-            yield batch.assign(predicted=model.predict(x) if len(batch) else np.empty(0))
+            for n, m in models.items():
+                x = batch[columns[n]].to_numpy(float).reshape(len(batch), length, -1)
+                yield batch[names].assign(model=n, predicted=m.predict(x) if len(batch) else np.empty(0))
 
     return rows.mapInPandas(run, schema)
 
 
+def _prepared(panel: DataFrame, neighbours: DataFrame, columns: Sequence[str], label: str, length: int, first_test: int, change: bool) -> DataFrame:
+    """Stored windows with the target, the value before, and whether the row judges the fit (the last step before the test)."""
+    both = panel.join(neighbours, ["node", "t"], "left").na.fill(0.0, [f"nbr_{c}" for c in columns])
+    rows = windows(both, "node", "t", [*columns, *(f"nbr_{c}" for c in columns)], label, length)
+    persisted = graph.persistence(panel, "node", "t", label).select("node", "t", "persisted")
+    target = F.col(label) - F.col("persisted") if change else F.col(label)
+    return catalog.stored(rows.join(persisted, ["node", "t"]).withColumn("_target", target).withColumn("_judged", F.col("t") == first_test - 1).where("_target IS NOT NULL"), "windows")
+
+
 def compared(panel: DataFrame, adjacency: DataFrame, columns: Sequence[str], label: str, first_test: int, kinds: Sequence[str] = ("dense", "recurrent", "attentive"), length: int = 3, rounds: int = 150, threshold: float = 0.03) -> DataFrame:
     """(model, r2, rmse, skill, gap, spillover): each kind without and with the neighbours' columns, on the times from ``first_test`` on.
 
     ``gap`` is what neighbours add to the explained share; above ``threshold`` it counts as spillover."""
-    both = with_propagated(adjacency, panel, columns)
-    rows, out = windows(both, "node", "t", [*columns, *(f"nbr_{c}" for c in columns)], label, length), []
-    persisted = graph.persistence(panel, "node", "t", label).select("node", "t", "persisted")
-    for kind in kinds:
-        found = {}
-        for name, used in (("own", list(columns)), ("neighbours", [*columns, *(f"nbr_{c}" for c in columns)])):
-            model = train(rows.where(F.col("t") < first_test), used, label, length, kind, rounds=rounds)
-            scored = predicted(rows.where(F.col("t") >= first_test), model, used, length).join(persisted, ["node", "t"])
-            found[name] = graph.forecast_scores(scored, label, "predicted").first()
-        gap = found["neighbours"].r2 - found["own"].r2
-        out += [(f"{kind}, {name}", float(s.r2), float(s.rmse), float(s.skill), float(gap), bool(gap > threshold)) for name, s in found.items()]
-    return panel.sparkSession.createDataFrame(out, "model string, r2 double, rmse double, skill double, gap double, spillover boolean")
+    near = with_propagated(adjacency, panel, columns).select("node", "t", *(f"nbr_{c}" for c in columns))
+    rows = _prepared(panel, near, columns, label, length, first_test, False)
+    seen = {"own": list(columns), "neighbours": [*columns, *(f"nbr_{c}" for c in columns)]}
+    specs = {f"{kind}, {name}": (kind, used) for kind in kinds for name, used in seen.items()}
+    models, _ = fitted(rows.where(F.col("t") < first_test), specs, "_target", length, judged="_judged", rounds=rounds)
+    scores = graph.forecast_scores(predicted(rows.where(F.col("t") >= first_test), models, specs, length), "_target", "predicted", "persisted", "model")
+    kind = F.split("model", ", ")[0]
+    both = Window.partitionBy(kind)
+    of = lambda name: F.max(F.when(F.col("model").endswith(f", {name}"), F.col("r2"))).over(both)
+    out = scores.withColumn("gap", of("neighbours") - of("own"))
+    return out.select("model", "r2", "rmse", "skill", "gap", (F.col("gap") > threshold).alias("spillover"))
+
+
+def neighbour_means(panel: DataFrame, edges: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(node, t, nbr_<column>..): the mean over a node's neighbours at the same time."""
+    return graph.both_ways(edges).join(panel.select(F.col("node").alias("dst"), "t", *columns), "dst").groupBy(F.col("src").alias("node"), "t").agg(*(F.avg(c).alias(f"nbr_{c}") for c in columns))
+
+
+def spillover_test(panel: DataFrame, edges: DataFrame, columns: Sequence[str], label: str, first_test: int, *, length: int = 3, hidden: int = 8, rounds: int = 150, threshold: float = 0.01) -> DataFrame:
+    """(model, n, r2, skill, gap, spillover) of one recurrent network that sees own values, and of the same network that sees the
+    neighbours' means, too. The target is the change from the step before, so persistence explains none of it; ``r2`` is the share of
+    the change explained on the times from ``first_test`` on, and ``skill`` the share of persistence's squared error taken away.
+
+    Only the inputs differ, so the gap is what neighbours tell; up to ``threshold`` it is no spillover."""
+    rows = _prepared(panel, neighbour_means(panel, edges, columns), columns, label, length, first_test, True)
+    specs = {"own": ("recurrent", list(columns)), "own and neighbours": ("recurrent", [*columns, *(f"nbr_{c}" for c in columns)])}
+    models, _ = fitted(rows.where(F.col("t") < first_test), specs, "_target", length, judged="_judged", hidden=hidden, rounds=rounds)
+    tested = predicted(rows.where(F.col("t") >= first_test), models, specs, length).withColumn("_none", F.lit(0.0))
+    scores = graph.forecast_scores(tested, "_target", "predicted", "_none", "model")
+    of = lambda name: F.max(F.when(F.col("model") == name, F.col("r2"))).over(Window.partitionBy(F.lit(0)))
+    out = scores.withColumn("gap", of("own and neighbours") - of("own"))
+    return out.select("model", "n", "r2", "skill", "gap", (F.col("gap") > threshold).alias("spillover"))

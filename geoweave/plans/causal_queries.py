@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoweave.functions.expressions import feature_group, is_autocorrelated
-from geoweave.operators import causal, evaluate, features, graph, grid, models, networks
+from geoweave.operators import boosting, causal, evaluate, features, graph, grid, models, networks
 from geoweave.plans.registry import query
 from geoweave.sources import catalog
 
@@ -283,9 +283,74 @@ def regional_screen(spark, view):
     return out.select("zone", "driver", "n_years", "dims", *(F.round(c, 6).alias(c) for c in ("rho_max_lib", "rho_min_lib", "convergence")), "causal")
 
 
+def _moments_sql(driver: str, k: int) -> str:
+    """Squared errors of lag k: centred sums of products, and one elimination after the other."""
+    names = [*(f"y{j}" for j in range(1, k + 1)), *(f"x{j}" for j in range(1, k + 1)), "y"]
+    lags = ", ".join(f"lag(ndvi, {j}) OVER w AS y{j}, lag({driver}, {j}) OVER w AS x{j}" for j in range(1, k + 1))
+    cells = ", ".join(f"covar_pop({a}, {b}) * count(*) AS m0_{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names) if j >= i)
+    text = f"(SELECT zone, count(*) AS n, {cells} FROM (SELECT zone, ndvi AS y, {lags} FROM v_series WINDOW w AS (PARTITION BY zone ORDER BY t)) WHERE y{k} IS NOT NULL GROUP BY zone)"
+    for p in range(2 * k):
+        left = ", ".join(f"m{p}_{i}_{j} - m{p}_{p}_{i} * m{p}_{p}_{j} / m{p}_{p}_{p} AS m{p + 1}_{i}_{j}" for i in range(p + 1, 2 * k + 1) for j in range(i, 2 * k + 1))
+        own = f", m{p}_{2 * k}_{2 * k} AS own" if p == k else ", own" if p > k else ""
+        text = f"(SELECT zone, n, {left}{own} FROM {text})"
+    return f"SELECT zone, '{driver}' AS driver, {k} AS lag, n, n - 1 - 2 * {k} AS free, greatest(0, (own - m{2 * k}_{2 * k}_{2 * k}) / {k} / (m{2 * k}_{2 * k}_{2 * k} / (n - 1 - 2 * {k}))) AS f FROM {text}"
+
+
+# The tail of F as an integral: with x = sin^2 the incomplete beta function is smooth, and Simpson's rule over 2,000 steps is exact enough.
+_LAGS_SQL = f"""l AS ({' UNION ALL '.join(_moments_sql(d, k) for d in _DRIVERS for k in (1, 2, 3))}),
+i AS (SELECT zone, driver, lag, sum(w * pow(sin(top * s / 2000), free - 1) * pow(cos(top * s / 2000), lag - 1)) * top / 2000 / 3 AS part
+      FROM (SELECT *, asin(sqrt(free / (free + lag * f))) AS top FROM l) CROSS JOIN (SELECT s, CASE WHEN s IN (0, 2000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(2001) g(s)) GROUP BY zone, driver, lag, top),
+g AS (SELECT l.*, 2 * part * exp(lgamma((free + lag) / 2.0) - lgamma(free / 2.0) - lgamma(lag / 2.0)) AS p FROM l JOIN i USING (zone, driver, lag))"""
+
+
+def _granger_lags(view):
+    return causal.granger_lags(causal._long(view("v_series"), "ndvi", _DRIVERS, ["zone"], "t"), ["zone", "driver"])
+
+
+@query(f"WITH {_LAGS_SQL} SELECT zone, driver, CAST(lag AS INT) AS lag, n, round(f, 6) AS f_stat, round(p, 8) AS p_value FROM g")
+def granger_lags(spark, view):
+    """F tests of lags 1 to 3, from moments of one aggregation."""
+    return _granger_lags(view).select("zone", "driver", "lag", "n", F.round("f_stat", 6).alias("f_stat"), F.round("p_value", 8).alias("p_value"))
+
+
+@query(f"WITH {_LAGS_SQL} SELECT zone, driver, CAST(lag AS INT) AS best_lag, round(p, 8) AS p_value FROM g QUALIFY row_number() OVER (PARTITION BY zone, driver ORDER BY p, lag) = 1")
+def granger_best_lag(spark, view):
+    """The lag of least p."""
+    best = _granger_lags(view).groupBy("zone", "driver").agg(F.min(F.struct("p_value", "lag")).alias("b"))
+    return best.select("zone", "driver", F.col("b.lag").alias("best_lag"), F.round("b.p_value", 8).alias("p_value"))
+
+
+_LIBRARIES = f"""{_EMBED}, c AS (SELECT *, count(*) OVER (PARTITION BY zone) AS n FROM e),
+z AS (SELECT DISTINCT zone, n, least(n, greatest(5, CASE q WHEN 0 THEN 5 WHEN 4 THEN n ELSE n * q // 4 END)) AS size FROM c CROSS JOIN range(5) g(q)),
+b AS (SELECT zone, n, size, boot FROM z CROSS JOIN range(1, 9) g(boot) WHERE size < n OR boot = 1),
+lib AS (SELECT * FROM (SELECT b.zone, b.size, b.boot, c.t, c.price, c.x0, c.x1, c.x2, row_number() OVER (PARTITION BY b.zone, b.size, b.boot ORDER BY ((c.t + 1) * (7919 + 2 * (b.size * 1000 + b.boot))) % 1000003, c.t) AS k FROM b JOIN c ON c.zone = b.zone) WHERE k <= size),
+d AS (SELECT a.zone, lib.size, lib.boot, a.t, a.price AS y, lib.price AS yl, lib.t AS tl, sqrt((a.x0 - lib.x0) * (a.x0 - lib.x0) + (a.x1 - lib.x1) * (a.x1 - lib.x1) + (a.x2 - lib.x2) * (a.x2 - lib.x2)) AS d FROM c a JOIN lib ON lib.zone = a.zone AND lib.t <> a.t),
+k AS (SELECT *, min(d) OVER (PARTITION BY zone, size, boot, t) AS m FROM d QUALIFY row_number() OVER (PARTITION BY zone, size, boot, t ORDER BY d, tl) <= 4),
+s AS (SELECT zone, size, boot, t, any_value(y) AS observed, sum(exp(-d / greatest(m, 1e-12)) * yl) / sum(exp(-d / greatest(m, 1e-12))) AS estimate FROM k GROUP BY ALL HAVING count(*) = 4),
+r AS (SELECT zone, size, boot, corr(observed, estimate) AS rho FROM s GROUP BY ALL)"""
+
+
+@query(f"WITH {_LIBRARIES} SELECT zone, CAST(size AS INT) AS size, round(avg(rho), 6) AS rho, count(rho) AS n_boot FROM r GROUP BY zone, size")
+def ccm_library_sizes(spark, view):
+    """Skill with libraries of five sizes, eight draws each, from one pass over the distances."""
+    return causal.ccm_libraries(view("v_series"), "price", "ndvi", ["zone"], 8).select("zone", "size", F.round("rho", 6).alias("rho"), "n_boot")
+
+
+@query(f"WITH {_LIBRARIES}, a AS (SELECT zone, size, avg(rho) AS rho FROM r GROUP BY ALL) SELECT zone, round(max_by(rho, size) - min_by(rho, size), 6) AS convergence, round(max_by(rho, size), 6) AS rho_max_lib, round(min_by(rho, size), 6) AS rho_min_lib FROM a GROUP BY zone")
+def ccm_convergence(spark, view):
+    by = causal.ccm_libraries(view("v_series"), "price", "ndvi", ["zone"], 8)
+    return causal.convergence(by, ["zone"]).select("zone", *(F.round(c, 6).alias(c) for c in ("convergence", "rho_max_lib", "rho_min_lib")))
+
+
 # Random or iterative: rows only.
 
 
+@query()
+def regional_links(spark, view):
+    """The regional run from series to links: Granger, cross mapping, surrogates, false discoveries, consensus."""
+    return causal.regional_links(view("v_series"), "ndvi", _DRIVERS, ["zone"])
+
+
 @query()
 def ccm_bootstrap(spark, view):
     by = causal.ccm_bootstrap(view("v_series"), "price", "ndvi", ["zone"], (10, 30, 60), 30)
@@ -303,13 +368,11 @@ def granger_full(spark, view):
 
 
 def _training(spark, view):
-    """Transitions with their folds, stored: every fold of a model reads them again."""
+    """Transitions with their folds, stored: every pass of a model reads them again."""
     t = view("v_pairs").where("from_class > 0 AND to_class > 0").select("pix", "from_year", "from_class", "to_class", "conf_from")
     nearby = view("v_class2020").select("pix", F.coalesce(F.col("class"), F.lit(0)).alias("nbr3_class"))
     rows = t.join(evaluate.spatial_folds(view("v_grid")), "pix").join(nearby, "pix", "left").withColumn("label", F.col("to_class") - 1)
-    path = f"{catalog.scratch(spark)}/training"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return catalog.stored(rows, "training")
 
 
 @query()
@@ -325,6 +388,29 @@ def rf_importance(spark, view):
     return spark.createDataFrame(models.importance(held, names), "feature string, importance double")
 
 
+_BOOSTED = boosting.Settings(rounds=10, depth=5, rate=0.3, patience=3)
+_FEATURES = ["from_class", "conf_from", "nbr3_class", "x", "y"]
+
+
+def _boosted(spark, view, features=_FEATURES):
+    data = _training(spark, view).withColumn("row", F.col("pix") * 10000 + F.col("from_year"))
+    return data, boosting.fit(data, features, "to_class", "row", fold="fold", held_out=range(5), settings=_BOOSTED)
+
+
+@query()
+def boosted_spatial_cv(spark, view):
+    """Scores of each spatial fold by one multiclass boosted model a fold, all fitted in the same passes."""
+    data, model = _boosted(spark, view)
+    return evaluate.classification_scores(model.predicted(data, "fold"), "to_class", "predicted", 15, "fold")
+
+
+@query()
+def boosted_importance(spark, view):
+    """Share of gain and cover of each feature, over the folds' boosted models."""
+    _, model = _boosted(spark, view)
+    return spark.createDataFrame(model.importance(), "feature string, gain double, cover double")
+
+
 @query()
 def ablation_without_neighbours(spark, view):
     train = lambda d, f, y: models.train_forest(d, f, y, 5, 4)
@@ -373,4 +459,11 @@ def panel_propagated(spark, view):
 def graph_models(spark, view):
     """Dense, recurrent and attentive networks without and with neighbours."""
     nodes, edges = _graph(view)
-    return networks.compared(_panel(spark, view), graph.normalised_adjacency(nodes, edges), ["value"], "value", 8, rounds=12)
+    return networks.compared(_panel(spark, view), graph.normalised_adjacency(nodes, edges), ["value"], "value", 8, rounds=40)
+
+
+@query()
+def spillover_recurrent(spark, view):
+    """One recurrent network without and with the neighbours' means, on the change from step to step."""
+    _, edges = _graph(view)
+    return networks.spillover_test(_panel(spark, view), edges, ["value"], "value", 8, rounds=40)

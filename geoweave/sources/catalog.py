@@ -47,6 +47,23 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new shared folder and read back: its lineage ends there. :func:`discard` deletes it."""
+    path = f"{scratch(df.sparkSession)}-{name}"
+    df.write.parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._stored_path = path
+    return held
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame from :func:`stored` that nothing reads any more."""
+    path = getattr(df, "_stored_path", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def available_years(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "year").where("year IS NOT NULL").distinct()
 

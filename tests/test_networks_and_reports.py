@@ -48,6 +48,47 @@ def test_neighbours_help_where_they_drive(spark):
     assert got["recurrent, neighbours"].r2 > got["recurrent, own"].r2 + 0.1 and got["recurrent, own"].spillover
 
 
+def _ring(neighbours: float, own: float, seed: int = 3, n: int = 40, steps: int = 14):
+    """Values that follow the ring neighbours' and the own last values."""
+    rng = np.random.default_rng(seed)
+    s = rng.normal(size=(steps, n))
+    for t in range(1, steps):
+        s[t] = neighbours * (np.roll(s[t - 1], 1) + np.roll(s[t - 1], -1)) / 2 + own * s[t - 1] + 0.3 * rng.normal(size=n)
+    return [(i, t, float(s[t, i])) for t in range(steps) for i in range(n)], [(i, (i + 1) % n) for i in range(n)]
+
+
+def test_gradients_of_tasks_add_up_to_those_of_all_windows(spark):
+    panel, _ = _ring(0.5, 0.3)
+    rows = networks.windows(spark.createDataFrame(panel, "node int, t int, value double"), "node", "t", ["value"], "value", 3).repartition(5)
+    local = rows.toPandas()
+    x = local[["value_3", "value_2", "value_1"]].to_numpy(float).reshape(len(local), 3, 1)
+    for kind in networks.KINDS:
+        fitted, losses = networks.fitted(rows, {"one": (kind, ["value"])}, "value", 3, rounds=6)
+        plain = networks.KINDS[kind](3 if kind == "dense" else 1, 8, 0)
+        assert losses[0]["one"] == pytest.approx(plain.gradients(x, local["value"].to_numpy(float))[0], rel=1e-9)
+        plain.fit(x, local["value"].to_numpy(float), 6)
+        assert all(np.allclose(fitted["one"].p[k], plain.p[k], atol=1e-8) for k in plain.p)
+        assert losses[-1]["one"] < losses[0]["one"]
+
+
+def test_judging_rows_stop_a_fit_and_give_no_gradients(spark):
+    panel, _ = _ring(0.5, 0.3)
+    rows = networks.windows(spark.createDataFrame(panel, "node int, t int, value double"), "node", "t", ["value"], "value", 3)
+    noisy = rows.withColumn("late", F.col("t") > 9).withColumn("value", F.when(F.col("t") > 9, -3 * F.col("value_1")).otherwise(F.col("value_1"))).cache()
+    models_, losses = networks.fitted(noisy, {"one": ("dense", ["value"])}, "value", 3, judged="late", rounds=30, patience=3)
+    assert len(losses) < 30 and losses[-1]["one"] >= min(x["one"] for x in losses)
+    none, nothing = networks.fitted(noisy.limit(0), {"one": ("dense", ["value"])}, "value", 3, rounds=5)
+    assert len(nothing) == 1 and set(none) == {"one"}
+
+
+def test_spillover_is_found_where_it_is_and_not_elsewhere(spark):
+    for neighbours, own, want in ((0.8, 0.0, True), (0.0, 0.8, False)):
+        panel, edges = _ring(neighbours, own, n=150)
+        got = networks.spillover_test(spark.createDataFrame(panel, "node int, t int, value double"), spark.createDataFrame(edges, "src int, dst int"), ["value"], "value", 11, rounds=60).collect()
+        assert {r.model for r in got} == {"own", "own and neighbours"} and {r.n for r in got} == {450}
+        assert {r.spillover for r in got} == {want}, got
+
+
 def test_boosted_trees_and_ablation(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i % 3), float(a), float(b), int(a > 0) + int(b > 0.5)) for i, (a, b) in enumerate(rng.normal(size=(240, 2)))]
