@@ -15,9 +15,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ LEAST_DOCUMENTS = 10
 RANKS = 10
 #: Counters (term and source) that a task holds before its tries are sent on.
 COUNTERS = 1 << 19
-#: Leaves in a block of a merged trie.
+#: Leaves in a block of a merged trie, and leaves that are merged at once.
 BLOCK = 1024
+LOT = 1 << 16
 #: Numbers in one tile of sources by terms, and in a matrix of pairs that a task keeps.
 TILE = 1 << 20
 
@@ -82,7 +85,8 @@ class Trie:
         leaf = self.at(term)
         leaf.docs += docs
         if leaf.counts is None:
-            leaf.counts = {}
+            leaf.counts = dict(counts)
+            return
         for source, n in counts:
             leaf.counts[source] = leaf.counts.get(source, 0) + n
 
@@ -109,20 +113,26 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     having: dict[str, Counter] = defaultdict(Counter)
 
+    def rows(leaves: list[tuple[bytes, int, dict[str, int]]], lang: str) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *(len(c) for _, _, c in leaves)]), pa.int32())
+        names, numbers = (pa.array(list(chain.from_iterable(x)), t) for x, t in (((c for _, _, c in leaves), pa.string()), ((c.values() for _, _, c in leaves), pa.int64())))
+        columns = [pa.repeat(pa.scalar(lang, pa.string()), len(leaves)), pa.array([t for t, _, _ in leaves], pa.binary()), pa.array([d for _, d, _ in leaves], pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, numbers)], schema=schema)
+
     def out() -> Iterator[pa.RecordBatch]:
         for lang, by in held.items():
-            trie = Trie()
+            found: dict[bytes, list[tuple[str, int]]] = {}
+            for source, counter in by.items():
+                for term, n in counter.items():
+                    found.setdefault(term, []).append((source, n))
+            trie, docs = Trie(), having[lang]
             trie.add(b"", 0, [(source, 0) for source in by])
-            for term, docs in having[lang].items():
-                trie.add(term, docs, [(source, c[term]) for source, c in by.items() if term in c])
-            rows: list[tuple] = []
-            for term, docs, counts in trie.leaves():
-                rows.append((lang, term, docs, list(counts), list(counts.values())))
-                if len(rows) == 1 << 14:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for term, counts in found.items():
+                trie.add(term, docs[term], counts)
+            found.clear()
+            leaves = trie.leaves()
+            while part := list(islice(leaves, 1 << 14)):
+                yield rows(part, lang)
         held.clear()
         having.clear()
 
@@ -141,48 +151,68 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of kept leaves of a range, whose leaves come in the order of (lang, term). A block without terms tells which sources there are."""
-    schema = pa.schema([("lang", pa.string()), ("terms", pa.list_(pa.binary())), ("names", pa.list_(pa.string())), ("sums", pa.list_(pa.int64())), ("leaf", pa.list_(pa.int32())), ("name", pa.list_(pa.int32())), ("count", pa.list_(pa.int64()))])
-    kept: list[tuple[bytes, dict[str, int]]] = []
-
-    def block(lang: str) -> pa.RecordBatch:
-        names: dict[str, int] = {}
-        leaf, name, count = [], [], []
-        for k, (_, counts) in enumerate(kept):
-            for source, n in counts.items():
-                leaf.append(k)
-                name.append(names.setdefault(source, len(names)))
-                count.append(n)
-        sums = [0] * len(names)
-        for i, n in zip(name, count):
-            sums[i] += n
-        row = (lang, [t for t, _ in kept if t], list(names), sums, leaf, name, count)
-        kept.clear()
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
-
-    lang = term = None
-    docs, counts = 0, {}
-
-    def close() -> None:
-        if term is not None and (docs >= least or term == b""):
-            kept.append((term, counts))
+    """Blocks of kept leaves of a range, whose leaves come in the order of (lang, term). A block without terms tells which sources there are.
 
+    Leaves are taken in lots; those of a lot's last term go on to the next lot as one leaf, so a term that comes from every task takes no more room."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        langs, found, many = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        sources, numbers = batch.column(3), batch.column(4)
-        ends, names, flat = sources.offsets.to_pylist(), sources.values.to_pylist(), numbers.values.to_pylist()
-        for k, (new_lang, new_term, n) in enumerate(zip(langs, found, many)):
-            if new_term != term or new_lang != lang:
-                close()
-                if kept and (new_lang != lang or len(kept) == BLOCK or term == b""):
-                    yield block(lang)
-                lang, term, docs, counts = new_lang, new_term, 0, {}
-            docs += n
-            for i in range(ends[k], ends[k + 1]):
-                counts[names[i]] = counts.get(names[i], 0) + flat[i]
-    close()
-    if kept:
-        yield block(lang)
+        held.append(batch)
+        size += batch.num_rows
+        if size >= LOT:
+            last, blocks = _merged(pa.Table.from_batches(held), least, False)
+            yield from blocks
+            held, size = [last], 1
+    if size:
+        yield from _merged(pa.Table.from_batches(held), least, True)[1]
+
+
+def _merged(leaves: pa.Table, least: int, whole: bool) -> tuple[pa.RecordBatch, Iterator[pa.RecordBatch]]:
+    """The last term's leaves as one, and the blocks of all terms (without the last one, unless the table is ``whole``)."""
+    lang, term, docs, sources, counts = (leaves.column(i).combine_chunks() for i in range(5))
+    n = len(lang)
+    same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, n - 1)), pc.equal(term.slice(1), term.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.r_[True, ~same])
+    group = np.cumsum(np.r_[True, ~same]) - 1
+    in_docs = np.add.reduceat(docs.to_numpy(), starts)
+    # Counters by (term, source), added up.
+    coded = sources.flatten().dictionary_encode()
+    names, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    of = np.repeat(group, np.diff(np.asarray(sources.offsets)))
+    key = of * max(1, len(names)) + codes
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    number = np.add.reduceat(counts.flatten().to_numpy()[order], first)
+    of, codes = of[order][first], codes[order][first]
+    ends = np.searchsorted(of, np.arange(len(starts) + 1))
+    lo = int(ends[-2])
+    last = pa.RecordBatch.from_arrays(
+        [lang.slice(n - 1), term.slice(n - 1), pa.array(in_docs[-1:]), pa.ListArray.from_arrays([0, len(of) - lo], names.take(pa.array(codes[lo:]))), pa.ListArray.from_arrays([0, len(of) - lo], pa.array(number[lo:]))], schema=leaves.schema
+    )
+    at = starts if whole else starts[:-1]
+    root = pc.binary_length(term.take(pa.array(at))).to_numpy(zero_copy_only=False) == 0
+    kept = np.flatnonzero((in_docs[: len(at)] >= least) | root)
+    new_lang = np.r_[True, ~pc.equal(lang.slice(1), lang.slice(0, n - 1)).to_numpy(zero_copy_only=False)]
+    language = np.cumsum(new_lang)[at]
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        i = 0
+        while i < len(kept):
+            j = i + 1
+            if not root[kept[i]]:
+                j = i + min(BLOCK, int(np.searchsorted(language[kept[i:]], language[kept[i]], "right")))
+            groups = kept[i:j]
+            entries = np.concatenate([np.arange(ends[g], ends[g + 1]) for g in groups])
+            used, name = np.unique(codes[entries], return_inverse=True)
+            leaf, many = np.repeat(np.arange(len(groups)), ends[groups + 1] - ends[groups]), number[entries]
+            sums = _exact_sums(name, many, len(used))
+            texts = term.take(pa.array(starts[groups])) if not root[kept[i]] else term.slice(0, 0)
+            lists = [texts, names.take(pa.array(used)), pa.array(sums), pa.array(leaf.astype(np.int32)), pa.array(name.astype(np.int32)), pa.array(many)]
+            columns = [lang.slice(int(starts[groups[0]]), 1), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "terms", "names", "sums", "leaf", "name", "count"])
+            i = j
+
+    return last, blocks()
 
 
 def share(count: np.ndarray, whole: np.ndarray | int) -> np.ndarray:

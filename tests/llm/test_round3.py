@@ -56,7 +56,7 @@ def test_divergence_of_odd_rows(spark, odd, twins, empty):
 def test_divergence_in_small_tries_blocks_and_tiles(spark, data, monkeypatch):
     docs = spark.read.parquet(f"{data}/documents.parquet").repartition(5)
     want = plain_divergence([(r.text, r.lang, r.source) for r in docs.select("text", "lang", "source").collect()])
-    for name, value in (("COUNTERS", 500), ("BLOCK", 7), ("TILE", 20)):
+    for name, value in (("COUNTERS", 500), ("BLOCK", 7), ("LOT", 50), ("TILE", 20)):
         monkeypatch.setattr(divergence, name, value)
     assert rows_of(divergence.divergence(docs)) == want
 
