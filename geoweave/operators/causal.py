@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweave.functions.expressions import centred_moments, f_tail as f_tail_of, let, safe_corr, swept
+from geoweave.operators.quantiles import log_range
 
 
 def embed(df: DataFrame, value: str, time: str, keys: Sequence[str], dims: int = 3, tau: int = 1) -> DataFrame:
@@ -425,9 +426,7 @@ def running_counts(counts: DataFrame, value: str, number: str, keys: Sequence[st
     Values are dealt into ranges of their logarithm, 1,024 to an octave (so values that pile up near
     zero are told apart, too). Sums are made within a range and completed from one row for each
     range: no task sees all values of a family."""
-    v = F.col(value).cast("double")
-    size = F.floor(F.log2(F.abs(v)) * 1024)
-    ranges = counts.withColumn("_b", F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size + 10_000_000).otherwise(-size - 10_000_000))
+    ranges = counts.withColumn("_b", log_range(F.col(value).cast("double")))
     family = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     totals = ranges.groupBy(*keys, "_b").agg(F.sum(number).alias("_c"))
     totals = totals.withColumns({"_before": F.sum("_c").over(family.orderBy("_b")) - F.col("_c"), "_all": F.sum("_c").over(family)}).drop("_c")

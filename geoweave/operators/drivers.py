@@ -101,6 +101,15 @@ def roads(cells: DataFrame, road_cells: DataFrame, height: int, width: int) -> D
     return d.select("r", "c", F.sqrt("d2").alias("road_distance_km"))
 
 
+def roads_from_lines(cells: DataFrame, lines: DataFrame, left: float, top: float, res: float, height: int, width: int) -> DataFrame:
+    """(r, c, road_distance_km) from road segments (id, x1, y1, x2, y2, in the grid's projection): every cell that a segment passes is a road
+    cell. ``left`` and ``top`` are the grid's corner and ``res`` the size of a cell."""
+    x, y = (lambda c: (F.col(c) - left) / res), (lambda c: (top - F.col(c)) / res)
+    in_cells = lines.select("id", x("x1").alias("x1"), y("y1").alias("y1"), x("x2").alias("x2"), y("y2").alias("y2"))
+    crossed = grid.cells_crossed(in_cells, grid.extent_of(cells), "id").select("r", "c").distinct()
+    return roads(cells, crossed, height, width)
+
+
 def storms(cells: DataFrame, edges: DataFrame, days: DataFrame) -> DataFrame:
     """(year, r, c, n): days on which a storm's polygon touched each cell. ``days`` has (poly, year, day)."""
     return sandstorms(cells, grid.burn_touched(cells, edges).join(days, "poly"))

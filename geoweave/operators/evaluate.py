@@ -148,3 +148,73 @@ def stride_sample(cells: DataFrame, stride: int, order: Sequence[str] = ("r", "c
     starts = starts.select(row, (F.sum("_n").over(Window.orderBy(row)) - F.col("_n")).alias("_before"))
     ranked = cells.withColumn("_rank", F.row_number().over(Window.partitionBy(row).orderBy(*order[1:])) - 1)
     return ranked.join(starts, row).where((F.col("_rank") + F.col("_before")) % stride == 0).drop("_rank", "_before")
+
+
+def area_weighted_accuracy(matrix: DataFrame, areas: DataFrame) -> DataFrame:
+    """(class, area, area_se, user, user_se, producer, producer_se) of a stratified sample whose strata are the mapped classes.
+
+    ``matrix`` has (mapped, reference, n), ``areas`` (class, area) of the map. A point of a stratum stands for its share of the map, so
+    areas and producers' accuracies are estimated with those shares, with the standard errors of stratified sampling. A stratum with one
+    point has no error of its own and counts as certain; classes without points in the map's stratum have no user's accuracy."""
+    total = areas.agg(F.sum("area").alias("_total"))
+    strata = matrix.groupBy("mapped").agg(F.sum("n").alias("_m")).join(areas.select(F.col("class").alias("mapped"), "area"), "mapped").join(F.broadcast(total), how="cross")
+    cells = matrix.join(strata.select("mapped", "_m", (F.col("area") / F.col("_total")).alias("w"), "_total"), "mapped").withColumn("p", F.col("n") / F.col("_m"))
+    spread = F.coalesce(F.try_divide(F.col("p") * (1 - F.col("p")), F.col("_m") - 1), F.lit(0.0))
+    cells = cells.withColumns({"share": F.col("w") * F.col("p"), "part": F.col("w") * F.col("w") * spread, "own": F.col("mapped") == F.col("reference"), "spread": spread})
+    only = lambda c: F.sum(F.when(F.col("own"), F.col(c)))
+    reference = cells.groupBy(F.col("reference").alias("class")).agg(
+        F.sum("share").alias("share"), F.sum("part").alias("variance"), only("share").alias("hit"), only("w").alias("w"), only("spread").alias("spread"),
+        F.sum(F.when(~F.col("own"), F.col("part"))).alias("others"), F.first("_total").alias("_total"),
+    )
+    user = cells.groupBy(F.col("mapped").alias("class")).agg(F.coalesce(only("p"), F.lit(0.0)).alias("user"), F.sqrt(F.coalesce(only("spread"), F.lit(0.0))).alias("user_se"))
+    hit = F.coalesce("hit", F.lit(0.0))
+    producer = F.try_divide(hit, F.col("share"))
+    w, s, others = (F.coalesce(c, F.lit(0.0)) for c in ("w", "spread", "others"))
+    variance = F.try_divide(w * w * (1 - producer) * (1 - producer) * s + producer * producer * others, F.col("share") * F.col("share"))
+    by = reference.select("class", (F.col("share") * F.col("_total")).alias("area"), (F.sqrt("variance") * F.col("_total")).alias("area_se"), producer.alias("producer"), F.sqrt(variance).alias("producer_se"))
+    return by.join(user, "class", "full").select("class", "area", "area_se", "user", "user_se", "producer", "producer_se")
+
+
+def area_weighted_overall(matrix: DataFrame, areas: DataFrame, z: float = 1.96) -> DataFrame:
+    """(accuracy, se, low, high): the share of the mapped area that is right, and its interval of ``z`` standard errors."""
+    strata = matrix.groupBy(F.col("mapped").alias("class")).agg(F.sum("n").alias("m"), F.sum(F.when(F.col("mapped") == F.col("reference"), F.col("n")).otherwise(0)).alias("hit")).join(areas, "class")
+    total = strata.crossJoin(F.broadcast(areas.agg(F.sum("area").alias("_total"))))
+    w, u = F.col("area") / F.col("_total"), F.col("hit") / F.col("m")
+    one = total.agg(F.sum(w * u).alias("accuracy"), F.sqrt(F.sum(w * w * F.coalesce(F.try_divide(u * (1 - u), F.col("m") - 1), F.lit(0.0)))).alias("se"))
+    return one.select("accuracy", "se", (F.col("accuracy") - z * F.col("se")).alias("low"), (F.col("accuracy") + z * F.col("se")).alias("high"))
+
+
+#: Size of the ring in which keys are dealt for permutations, and its ranges.
+RING, RANGES = 1_000_003, 1_000
+
+
+def _placed(df: DataFrame, key: str, salt: int, name: str) -> DataFrame:
+    """Adds the place, from 0, in the order of an integer hash of the key; ranks are taken in ranges of the hash and completed by the ranges before."""
+    held = df.withColumn("_h", F.pmod(F.col(key) * (7919 + 2 * salt) + 104729 * salt, F.lit(RING))).withColumn("_r", F.floor(F.col("_h") * RANGES / RING).cast("int"))
+    sums = held.groupBy("_r").agg(F.count("*").alias("_c"))
+    before = sums.select("_r", (F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_r")) - F.col("_c")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_r").orderBy("_h", key)) - 1
+    return held.join(before, "_r").withColumn(name, F.col("_before") + rank).drop("_h", "_r", "_before")
+
+
+def permuted(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, permuted, columns..): every row once for each column with another row's value in that column, and once as it is (``permuted`` null).
+
+    Column i is shuffled by a keyed permutation: the row at place k of the order with salt 0 gets the value of the row at place k of the
+    order with salt i + 1. Values are moved by one join of all columns together; ``key`` is a unique integer."""
+    base = _placed(df.select(key, *columns), key, 0, "_k")
+    moved = None
+    for i, c in enumerate(columns):
+        one = _placed(df.select(key, F.col(c).cast("double").alias("_v")), key, i + 1, "_k").select("_k", F.lit(c).alias("permuted"), "_v")
+        moved = one if moved is None else moved.unionAll(one)
+    variants = base.join(moved, "_k").select(key, "permuted", *(F.when(F.col("permuted") == c, F.col("_v")).otherwise(F.col(c).cast("double")).alias(c) for c in columns))
+    return variants.unionByName(df.select(key, F.lit(None).cast("string").alias("permuted"), *(F.col(c).cast("double").alias(c) for c in columns)))
+
+
+def permutation_importance(df: DataFrame, key: str, columns: Sequence[str], label: str, predicted, *carried: str) -> DataFrame:
+    """(feature, accuracy, importance): what accuracy a model loses when a column is permuted. ``predicted`` takes a table with the columns, ``label``
+    and ``carried`` and adds ``predicted``; it is called once, for all variants together."""
+    variants = permuted(df, key, columns).join(df.select(key, label, *carried), key)
+    by = predicted(variants).groupBy("permuted").agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"))
+    base = by.where("permuted IS NULL").select(F.col("accuracy").alias("_all"))
+    return by.where("permuted IS NOT NULL").crossJoin(F.broadcast(base)).select(F.col("permuted").alias("feature"), "accuracy", (F.col("_all") - F.col("accuracy")).alias("importance"))

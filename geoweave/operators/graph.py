@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweave.operators.quantiles import exact_quantiles
+
 _FORWARD = ((0, 1), (1, -1), (1, 0), (1, 1))
 
 
@@ -88,8 +90,8 @@ def roll_out(state: DataFrame, adjacency: DataFrame, own: float, neighbours: flo
 def risk_index(df: DataFrame, before: str, after: str, percentile: float = 0.95, name: str = "risk") -> DataFrame:
     """Adds the decline (0 if it grows) over the 95th percentile of declines, at most 1; 0 if nothing declines."""
     decline = F.greatest(F.col(before) - F.col(after), F.lit(0.0))
-    limit = df.select(decline.alias("_d")).where("_d > 0").agg(F.percentile("_d", percentile).alias("_p"))
-    return df.crossJoin(F.broadcast(limit)).withColumn(name, F.coalesce(F.least(F.try_divide(decline, F.col("_p")), F.lit(1.0)), F.lit(0.0))).drop("_p")
+    limit = exact_quantiles(df.select(decline.alias("_d")).where("_d > 0"), "_d", [percentile]).select(F.col("q0").alias("_p"))
+    return df.join(F.broadcast(limit), how="left").withColumn(name, F.coalesce(F.least(F.try_divide(decline, F.col("_p")), F.lit(1.0)), F.lit(0.0))).drop("_p")
 
 
 def to_raster(cells: DataFrame, nodes: DataFrame, value: str, row: str = "br", column: str = "bc") -> DataFrame:

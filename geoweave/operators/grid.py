@@ -165,30 +165,51 @@ def burn_rectangles(cells: DataFrame, rects: DataFrame) -> DataFrame:
     return hit.groupBy("r", "c").agg(F.max_by("code", F.col("seq")).alias("code"))
 
 
-def burn_polygons(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """(poly, r, c): cells whose centre lies in a polygon, by the parity of its edges (poly, x1, y1, x2, y2, in cells) to the right.
+def scanline_spans(edges: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(poly, r, c0, c1): runs of cells, first and last, whose centres lie in a polygon, cut at ``bounds`` (one row: r0, r1, c0, c1).
 
-    Edges are spread over the rows whose centre line they cross: an equi-join on the row."""
-    e = edges.withColumns({"lo": F.least("y1", "y2"), "hi": F.greatest("y1", "y2")}).where("hi > lo")
-    first, last = F.ceil(F.col("lo") - 0.5).cast("int"), (F.ceil(F.col("hi") - 0.5) - 1).cast("int")
-    spread = e.where(last >= first).select("poly", "x1", "y1", "x2", "y2", F.explode(F.sequence(first, last)).alias("r"))
-    cross = spread.select("poly", "r", (F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("x"))
-    hits = cells.select("r", "c").join(cross, "r").where(F.col("x") > F.col("c") + 0.5).groupBy("poly", "r", "c").agg(F.count("*").alias("n"))
-    return hits.where("n % 2 = 1").select("poly", "r", "c")
+    Edges (poly, x1, y1, x2, y2, in cells) are spread over the rows whose centre line they cross. Along a row, a polygon's crossings
+    are sorted, and every other gap between them is inside. Holes and further parts are edges like any."""
+    e = edges.withColumns({"lo": F.least("y1", "y2"), "hi": F.greatest("y1", "y2")}).where("hi > lo").join(F.broadcast(bounds), how="cross")
+    first, last = F.greatest(F.ceil(F.col("lo") - 0.5).cast("int"), "r0"), F.least((F.ceil(F.col("hi") - 0.5) - 1).cast("int"), "r1")
+    spread = e.where(last >= first).select("poly", "x1", "y1", "x2", "y2", "c0", "c1", F.explode(F.sequence(first, last)).alias("r"))
+    cross = spread.select("poly", "r", "c0", "c1", (F.col("x1") + (F.col("r") + 0.5 - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("x"))
+    order = Window.partitionBy("poly", "r").orderBy("x")
+    gaps = cross.withColumns({"end": F.lead("x").over(order), "k": F.row_number().over(order)}).where("k % 2 = 1 AND end IS NOT NULL")
+    span = gaps.select("poly", "r", F.greatest(F.ceil(F.col("x") - 0.5).cast("int"), "c0").alias("c0"), F.least((F.ceil(F.col("end") - 0.5) - 1).cast("int"), "c1").alias("c1"))
+    return span.where("c1 >= c0")
 
 
-def burn_touched(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """(poly, r, c): cells that a polygon's area or outline touches: those with their centre inside, and those that an edge crosses.
+def extent_of(cells: DataFrame) -> DataFrame:
+    """One row (r0, r1, c0, c1): the first and last row and column."""
+    return cells.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+
+
+def burn_polygons(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """(poly, r, c): cells whose centre lies in a polygon: the cells of its runs, by an equi-join on row and column."""
+    inside = scanline_spans(edges, extent_of(cells)).select("poly", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    return inside.join(cells.select("r", "c"), ["r", "c"]).select("poly", "r", "c")
 
-    An edge is cut at the borders of the rows that it crosses; each part touches the columns between its ends."""
+
+def cells_crossed(edges: DataFrame, bounds: DataFrame, key: str = "poly") -> DataFrame:
+    """(key, r, c), distinct: every cell that a line segment (key, x1, y1, x2, y2, in cells) passes, within ``bounds`` (one row: r0, r1, c0, c1).
+
+    A segment is cut at the borders of the rows that it crosses; each part passes the columns between its ends."""
     x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
-    rows = F.sequence(F.floor(F.least(y1, y2)).cast("int"), F.floor(F.greatest(y1, y2)).cast("int"))
-    spread = edges.select("poly", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.explode(rows).alias("r"))
+    first, last = F.greatest(F.floor(F.least(y1, y2)).cast("int"), "r0"), F.least(F.floor(F.greatest(y1, y2)).cast("int"), "r1")
+    near = edges.select(key, x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).join(F.broadcast(bounds), how="cross")
+    spread = near.where(last >= first).select("*", F.explode(F.sequence(first, last)).alias("r"))
     x1, y1, x2, y2, r = (F.col(c) for c in ("x1", "y1", "x2", "y2", "r"))
     at = lambda y: F.when(y1 == y2, x1).otherwise(x1 + (F.greatest(F.least(y1, y2), F.least(F.greatest(y1, y2), y)) - y1) / F.nullif(y2 - y1, F.lit(0.0)) * (x2 - x1))
     a, b = at(r.cast("double")), F.when(y1 == y2, x2).otherwise(at(r + F.lit(1.0)))
-    cut = spread.select("poly", "r", F.explode(F.sequence(F.floor(F.least(a, b)).cast("int"), F.floor(F.greatest(a, b)).cast("int"))).alias("c"))
-    touched = cut.join(cells.select("r", "c"), ["r", "c"]).select("poly", "r", "c")
+    lo, hi = F.greatest(F.floor(F.least(a, b)).cast("int"), "c0"), F.least(F.floor(F.greatest(a, b)).cast("int"), "c1")
+    parts = spread.select(key, "r", lo.alias("lo"), hi.alias("hi")).where("hi >= lo")
+    return parts.select(key, "r", F.explode(F.sequence("lo", "hi")).alias("c")).distinct()
+
+
+def burn_touched(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """(poly, r, c): cells that a polygon's area or outline touches: those with their centre inside, and those that an edge crosses."""
+    touched = cells_crossed(edges, extent_of(cells)).join(cells.select("r", "c"), ["r", "c"]).select("poly", "r", "c")
     return touched.union(burn_polygons(cells, edges)).distinct()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweave.operators.quantiles import exact_quantiles
+
 
 def remap(votes: DataFrame, crosswalk: DataFrame, keys: tuple[str, ...] = ("product_id",), native: str = "native") -> DataFrame:
     """``votes`` with ``unified``; codes that the crosswalk lacks become 0. The crosswalk is a constant table and is broadcast."""
@@ -71,7 +73,7 @@ def resolve_files(files: DataFrame, keys: tuple[str, ...] = ("product", "year"),
 def describe_continuous(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Minimum, maximum, mean, population deviation, 5th and 95th percentile, given and missing rows. NaN counts as missing."""
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    return df.groupBy(*keys).agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
-        F.percentile(v, 0.05).alias("p5"), F.percentile(v, 0.95).alias("p95"), F.count(v).alias("n_valid"), (F.count("*") - F.count(v)).alias("n_null"),
-    )
+    by = df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count(v).alias("n_valid"), (F.count("*") - F.count(v)).alias("n_null"))
+    tails = exact_quantiles(df, value, (0.05, 0.95), *keys).withColumnsRenamed({"q0": "p5", "q1": "p95"})
+    out = by.join(tails, list(keys), "left") if keys else by.join(tails, how="left")
+    return out.select(*keys, "min", "max", "mean", "std", "p5", "p95", "n_valid", "n_null")

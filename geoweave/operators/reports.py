@@ -13,6 +13,8 @@ from importlib.util import find_spec
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoweave.operators.quantiles import exact_quantiles
+
 
 def without_water(df: DataFrame, label: str, value: str, water: Sequence[int], flag: str = "is_water") -> DataFrame:
     """Values of water cells become null; ``flag`` tells which they were."""
@@ -22,13 +24,14 @@ def without_water(df: DataFrame, label: str, value: str, water: Sequence[int], f
 
 def display_cap(df: DataFrame, value: str, share: float = 0.99, name: str = "shown") -> DataFrame:
     """Adds the value cut at the percentile ``share`` of all given ones, for maps with few very great ones."""
-    cap = df.agg(F.percentile(F.col(value), share).alias("_cap"))  # one row
-    return df.crossJoin(F.broadcast(cap)).withColumn(name, F.least(F.col(value), F.col("_cap"))).drop("_cap")
+    cap = exact_quantiles(df, value, [share]).select(F.col("q0").alias("_cap"))  # one row
+    return df.join(F.broadcast(cap), how="left").withColumn(name, F.least(F.col(value), F.col("_cap"))).drop("_cap")
 
 
 def centre(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """(keys, mean, median)."""
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"))
+    means = df.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    return means.join(exact_quantiles(df, value, [0.5], *keys).withColumnRenamed("q0", "median"), list(keys), "left")
 
 
 def shares_over(df: DataFrame, value: str, limits: Sequence[float]) -> DataFrame:

@@ -411,6 +411,23 @@ def boosted_importance(spark, view):
     return spark.createDataFrame(model.importance(), "feature string, gain double, cover double")
 
 
+@query()
+def boosted_permutation(spark, view):
+    """What accuracy each fold's boosted model loses where a column of the fold is permuted; all variants scored in one pass."""
+    data, model = _boosted(spark, view)
+    return evaluate.permutation_importance(data, "row", _FEATURES, "to_class", lambda d: model.predicted(d, "fold"), "fold")
+
+
+@query()
+def boosted_map(spark, view):
+    """The class that one boosted model of all transitions expects five years after 2020, and its probability, for every cell."""
+    data = _training(spark, view).withColumn("row", F.col("pix") * 10000 + F.col("from_year"))
+    model = boosting.fit(data, _FEATURES, "to_class", "row", settings=_BOOSTED)
+    now = view("v_class2020").select("pix", F.col("class").alias("from_class"), F.col("class").alias("nbr3_class"), "x", "y")
+    now = now.join(view("v_map").where("year = 2020").select("pix", F.col("conf").alias("conf_from")), "pix")
+    return model.predicted(now).select("pix", "from_class", "predicted", F.round("predicted_p", 6).alias("probability"))
+
+
 @query()
 def ablation_without_neighbours(spark, view):
     train = lambda d, f, y: models.train_forest(d, f, y, 5, 4)

@@ -137,6 +137,19 @@ def polygon_touched(spark, view):
     return grid.burn_touched(view("v_grid"), view("v_edge")).select("r", "c", "poly")
 
 
+_PARTS = "SELECT poly, x1, y1, x2, y2 FROM v_edge UNION ALL SELECT poly, x1 * 0.4 + hx * 0.6, y1 * 0.4 + hy * 0.6, x2 * 0.4 + hx * 0.6, y2 * 0.4 + hy * 0.6 FROM v_edge JOIN (SELECT poly AS hp, x + 11.2 AS hx, y + 9.6 AS hy FROM v_triangle) ON hp = poly UNION ALL SELECT poly, x1 * 0.25 + 30.5, y1 * 0.25 + 3.1, x2 * 0.25 + 30.5, y2 * 0.25 + 3.1 FROM v_edge"
+
+
+@query(_INSIDE.replace("v_edge", f"({_PARTS})"))
+def polygon_parts(spark, view):
+    """Polygons with a hole and a second part, by spans of scan lines."""
+    e, t = view("v_edge"), view("v_triangle").select("poly", (F.col("x") + 11.2).alias("hx"), (F.col("y") + 9.6).alias("hy"))
+    near = lambda c, h: (F.col(c) * 0.4 + F.col(h) * 0.6).alias(c)
+    hole = e.join(t, "poly").select("poly", near("x1", "hx"), near("y1", "hy"), near("x2", "hx"), near("y2", "hy"))
+    part = e.select("poly", *((F.col(c) * 0.25 + shift).alias(c) for c, shift in (("x1", 30.5), ("y1", 3.1), ("x2", 30.5), ("y2", 3.1))))
+    return grid.burn_polygons(view("v_grid"), e.union(hole).union(part)).select("r", "c", "poly")
+
+
 # -- Frames of grids.
 
 _EXTENT = (20.0, 10.0, 80.0, 60.0)
@@ -179,3 +192,22 @@ def segments_projected(spark, view):
     n, g = F.col("n_nationkey").cast("double"), F.col("n_regionkey") * F.lit(4.0)
     lines = view("nation").select(F.col("n_nationkey").alias("id"), (n + 95).alias("x1"), (g + 28).alias("y1"), (n + 97.5).alias("x2"), (g + 29.25).alias("y2"))
     return grid.segments_within(lines, (100.0, 30.0, 112.0, 41.0), Albers().forward).select("id", *(F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+_LINES = "SELECT n_nationkey AS id, 99.5 + n_nationkey % 11 AS x1, 44.2 + n_regionkey * 1.7 AS y1, 99.5 + n_nationkey % 11 + 2.4 AS x2, 45.6 + n_regionkey * 1.7 - n_nationkey % 3 AS y2 FROM nation"
+_ROAD_CELLS = f"""l AS (SELECT id, (({_X1}) + 625000.0) / 10000 AS x1, (5905000.0 - ({_Y1})) / 10000 AS y1, (({_X2}) + 625000.0) / 10000 AS x2, (5905000.0 - ({_Y2})) / 10000 AS y2 FROM ({_LINES})),
+cut AS (SELECT r, CASE WHEN y1 = y2 THEN x1 ELSE x1 + (greatest(least(y1, y2), least(greatest(y1, y2), r)) - y1) / (y2 - y1) * (x2 - x1) END AS a, CASE WHEN y1 = y2 THEN x2 ELSE x1 + (greatest(least(y1, y2), least(greatest(y1, y2), r + 1)) - y1) / (y2 - y1) * (x2 - x1) END AS b
+        FROM (SELECT *, unnest(range(CAST(floor(least(y1, y2)) AS INT), CAST(floor(greatest(y1, y2)) AS INT) + 1)) AS r FROM l)),
+w AS (SELECT DISTINCT r, unnest(range(CAST(floor(least(a, b)) AS INT), CAST(floor(greatest(a, b)) AS INT) + 1)) AS c FROM cut),
+k AS (SELECT w.r, w.c FROM w, (SELECT max(r) AS h, min(c) AS c0, max(c) AS c1 FROM v_grid) WHERE w.r BETWEEN 0 AND h AND w.c BETWEEN c0 AND c1)"""
+
+
+@query(f"WITH {_ROAD_CELLS} SELECT g.r AS r, g.c AS c, round(sqrt(CAST(min((g.r - k.r) * (g.r - k.r) + (g.c - k.c) * (g.c - k.c)) AS DOUBLE)), 9) AS road_distance_km FROM v_grid g CROSS JOIN k GROUP BY 1, 2")
+def driver_road_lines(spark, view):
+    """Road segments in degrees, projected, walked through the cells, and the distance of every cell to them."""
+    k = F.col("n_nationkey")
+    lines = view("nation").select(k.alias("id"), (F.lit(99.5) + k % 11).alias("x1"), (F.lit(44.2) + F.col("n_regionkey") * 1.7).alias("y1"), (F.lit(99.5) + k % 11 + 2.4).alias("x2"), (F.lit(45.6) + F.col("n_regionkey") * 1.7 - k % 3).alias("y2"))
+    projected = grid.segments_within(lines, (-180.0, -90.0, 180.0, 90.0), Albers().forward)
+    cells = view("v_grid")
+    out = drivers.roads_from_lines(cells, projected, -625000.0, 5905000.0, 10000.0, 0, 125)
+    return out.select("r", "c", F.round("road_distance_km", 9).alias("road_distance_km"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoweave.functions import dims
-from geoweave.operators import evaluate, transitions
+from geoweave.operators import evaluate, manifest, transitions
 from geoweave.plans.registry import query
+from geoweave.sources import bucketed, catalog
 
 _RANK = "CASE {0} " + " ".join(f"WHEN {c} THEN {r}" for c, r in dims.RANK.items()) + " END"
 
@@ -121,6 +122,64 @@ def accuracy_by_class(spark, view):
     return evaluate.accuracy_by_class(evaluate.confusion(evaluate.reference_points(view("v_points"))))
 
 
+_STRATA = """p AS (SELECT mapped, reference FROM v_points WHERE reference > 0), n AS (SELECT mapped, reference, count(*) AS n FROM p GROUP BY 1, 2), a AS (SELECT class, CAST(count(*) AS DOUBLE) AS area FROM v_map WHERE year = 2020 AND class > 0 GROUP BY 1),
+s AS (SELECT n.mapped, reference, n, sum(n) OVER (PARTITION BY n.mapped) AS m, area / (SELECT sum(area) FROM a) AS w FROM n JOIN a ON a.class = n.mapped),
+v AS (SELECT *, n / m AS q, CASE WHEN m > 1 THEN n / m * (1 - n / m) / (m - 1) ELSE 0 END AS sp FROM s)"""
+
+
+def _area_points(view):
+    """The confusion matrix of the reference points, and the map's area by class."""
+    areas = view("v_map").where("year = 2020 AND class > 0").groupBy("class").agg(F.count("*").cast("double").alias("area"))
+    return evaluate.confusion(evaluate.reference_points(view("v_points"))), areas
+
+
+@query(f"""WITH {_STRATA}, o AS (SELECT mapped, max(m) AS m, max(w) AS w, coalesce(sum(n) FILTER (mapped = reference), 0) / max(m) AS u FROM s GROUP BY 1), t AS (SELECT sum(w * u) AS acc, sqrt(sum(w * w * CASE WHEN m > 1 THEN u * (1 - u) / (m - 1) ELSE 0 END)) AS se FROM o)
+SELECT round(acc, 8) AS accuracy, round(se, 8) AS se, round(acc - 1.96 * se, 8) AS low, round(acc + 1.96 * se, 8) AS high FROM t""")
+def accuracy_area_weighted(spark, view):
+    """Overall accuracy by mapped area with its interval."""
+    return evaluate.area_weighted_overall(*_area_points(view)).select(*(F.round(c, 8).alias(c) for c in ("accuracy", "se", "low", "high")))
+
+
+@query(f"""WITH {_STRATA}, tot AS (SELECT sum(area) AS t FROM a), u AS (SELECT mapped AS class, coalesce(sum(q) FILTER (mapped = reference), 0) AS us, sqrt(coalesce(sum(sp) FILTER (mapped = reference), 0)) AS ue FROM v GROUP BY 1),
+r AS (SELECT reference AS class, sum(w * q) AS share, sum(w * w * sp) AS var, coalesce(sum(w * q) FILTER (mapped = reference), 0) AS hit, coalesce(sum(w * w * sp) FILTER (mapped = reference), 0) AS ownv, coalesce(sum(w * w * sp) FILTER (mapped <> reference), 0) AS oth FROM v GROUP BY 1)
+SELECT coalesce(r.class, u.class) AS class, round(share * t, 6) AS area, round(sqrt(var) * t, 6) AS area_se, round(us, 8) AS "user", round(ue, 8) AS user_se, round(hit / share, 8) AS producer,
+round(sqrt(((1 - hit / share) * (1 - hit / share) * ownv + hit / share * hit / share * oth) / (share * share)), 8) AS producer_se FROM r FULL JOIN u ON u.class = r.class CROSS JOIN tot""")
+def accuracy_area_by_class(spark, view):
+    """Estimated areas, users' and producers' accuracies with their standard errors."""
+    out = evaluate.area_weighted_accuracy(*_area_points(view))
+    return out.select("class", *(F.round(c, 6).alias(c) for c in ("area", "area_se")), *(F.round(c, 8).alias(c) for c in ("user", "user_se", "producer", "producer_se")))
+
+
+_SHUFFLED = "row_number() OVER (ORDER BY ({k} * {a} + {b}) % 1000003, {k}) - 1"
+
+
+@query(f"""WITH b AS (SELECT o_orderkey AS id, CAST(o_custkey AS DOUBLE) AS u, CAST(o_totalprice AS DOUBLE) AS v, {_SHUFFLED.format(k='o_orderkey', a=7919, b=0)} AS k0, {_SHUFFLED.format(k='o_orderkey', a=7921, b=104729)} AS k1, {_SHUFFLED.format(k='o_orderkey', a=7923, b=209458)} AS k2 FROM orders)
+SELECT id, NULL AS permuted, u, v FROM b UNION ALL SELECT x.id, 'u', y.u, x.v FROM b x JOIN b y ON y.k1 = x.k0 UNION ALL SELECT x.id, 'v', x.u, y.v FROM b x JOIN b y ON y.k2 = x.k0""")
+def columns_permuted(spark, view):
+    """Every order with one of two columns permuted, and as it is."""
+    rows = view("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("u"), F.col("o_totalprice").alias("v"))
+    return evaluate.permuted(rows, "id", ["u", "v"])
+
+
+@query("SELECT from_year, to_year, from_class, to_class, count(*) AS n, sum(conf_from + conf_to) AS conf FROM v_pairs GROUP BY 1, 2, 3, 4")
+def transition_pairs_bucketed(spark, view):
+    """Pairs of years of a map that is stored in buckets of pixels: joined without an exchange."""
+    name = bucketed.write(_maps(view), "pix", 8)
+    return bucketed.year_pairs(spark, name).groupBy("from_year", "to_year", "from_class", "to_class").agg(F.count("*").alias("n"), F.sum(F.col("conf_from") + F.col("conf_to")).alias("conf"))
+
+
+@query("""WITH k AS (SELECT product_id, year FROM v_unified GROUP BY 1, 2) SELECT 1 AS run, CAST(product_id AS VARCHAR) AS product, year FROM k UNION ALL SELECT 3, CAST(product_id AS VARCHAR), year FROM k WHERE product_id = 3""")
+def manifest_runs(spark, view):
+    """What three runs of a step make: everything at first, nothing when nothing changed, and one product's years when its rows changed."""
+    inputs = view("v_unified").select("pix", "year", F.col("product_id").alias("product"), "unified")
+    changed = inputs.withColumn("unified", F.when((F.col("product") == 3) & (F.col("pix") % 7 == 0), F.lit(0)).otherwise(F.col("unified")))
+    base, made = catalog.scratch(spark), []
+    counts = lambda d: d.groupBy("product", "year", "unified").agg(F.count("*").alias("n"))
+    for run, rows in enumerate((inputs, inputs, changed), 1):
+        made += [(run, *x) for x in manifest.refresh(spark, f"{base}-manifest", "histogram", rows, counts, f"{base}-histogram", {"by": "class"})]
+    return spark.createDataFrame(made, "run int, product string, year int")
+
+
 # Folds: blocks of the 10 km grid, dealt by an integer hash.
 
 _BLOCK = "CAST(floor(x / 100000) AS BIGINT) * 100000 + CAST(floor(y / 100000) AS BIGINT)"
