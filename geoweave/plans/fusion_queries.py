@@ -80,16 +80,30 @@ _PRIOR = (
 )
 
 
-def _fusion_sql(delta: float = 0.0, floor: float = dims.SUB_ERROR_FLOOR, tail: str = "") -> str:
-    """CTEs up to ``fz``: one row for each cell with the fused class and the posteriors."""
+def _errors(delta: float, floor: float) -> dict[str, float]:
+    """Logarithms of a right and a wrong vote by name: h<product> and s<product> of the first tier, x<group>_<product> and z<group>_<product> of the second."""
+    out = {}
+    for p, (_, weight, *_rest) in dims.PRODUCTS.items():
+        e = dims.error_rate(weight, delta)
+        out |= {f"h{p}": math.log(1 - e), f"s{p}": math.log(e / 8)}
+    for g, members in dims.SUBCLASSES.items():
+        for p in dims.AUTHORITIES[g]:
+            e = dims.error_rate(dims.PRODUCTS[p][1], delta)
+            e = max(floor, e) if p == dims.SOFT_PRODUCT else e
+            out |= {f"x{g}_{p}": math.log(1 - e), f"z{g}_{p}": math.log(e / (len(members) - 1))}
+    return out
+
+
+def _fusion_sql(delta: float = 0.0, floor: float = dims.SUB_ERROR_FLOOR, tail: str = "", settings: dict[str, tuple[float, float]] | None = None) -> str:
+    """CTEs up to ``fz``: one row for each cell with the fused class and the posteriors; with ``settings`` (name: delta and floor) one for each cell and setting."""
+    said = {n: n for n in _errors(delta, floor)} if settings else {n: repr(v) for n, v in _errors(delta, floor).items()}
     u = ", ".join(f"{_L1.format(f'v{p}')} AS u{p}" for p in _P)
     logs = []
     for k in dims.L1_CLASSES:
         terms = [f"ln(p{k} + 1e-12)"]
-        for p, (_, weight, *_, spec) in dims.PRODUCTS.items():
-            e = dims.error_rate(weight, delta)
+        for p, (*_, spec) in dims.PRODUCTS.items():
             ok = f"u{p} IN ({', '.join(map(str, spec))})" if spec else f"u{p} > 0"
-            terms.append(f"CASE WHEN v{p} IS NULL OR NOT ({ok}) THEN 0 WHEN u{p} = {k} THEN {math.log(1 - e)!r} ELSE {math.log(e / 8)!r} END")
+            terms.append(f"CASE WHEN v{p} IS NULL OR NOT ({ok}) THEN 0 WHEN u{p} = {k} THEN {said[f'h{p}']} ELSE {said[f's{p}']} END")
         logs.append(" + ".join(terms) + f" AS a{k}")
     best1 = "CASE " + " ".join(f"WHEN a{k} = m1 THEN {k}" for k in dims.L1_CLASSES) + " END"
     z1 = " + ".join(f"exp(a{k} - m1)" for k in dims.L1_CLASSES)
@@ -98,21 +112,23 @@ def _fusion_sql(delta: float = 0.0, floor: float = dims.SUB_ERROR_FLOOR, tail: s
         for m in members:
             terms = [f"ln(q{m} + 1e-12)"]
             for p in dims.AUTHORITIES[g]:
-                e = dims.error_rate(dims.PRODUCTS[p][1], delta)
-                e = max(floor, e) if p == dims.SOFT_PRODUCT else e
-                terms.append(f"CASE WHEN v{p} = {m} THEN {math.log(1 - e)!r} WHEN v{p} IN ({', '.join(map(str, members))}) THEN {math.log(e / (len(members) - 1))!r} ELSE 0 END")
+                terms.append(f"CASE WHEN v{p} = {m} THEN {said[f'x{g}_{p}']} WHEN v{p} IN ({', '.join(map(str, members))}) THEN {said[f'z{g}_{p}']} ELSE 0 END")
             subs.append(" + ".join(terms) + f" AS b{m}")
     pick = {g: "CASE " + " ".join(f"WHEN b{m} = greatest({', '.join(f'b{x}' for x in ms)}) THEN {m}" for m in ms) + " END" for g, ms in dims.SUBCLASSES.items()}
     share = {g: f"1.0 / ({' + '.join(f'exp(b{m} - greatest(' + ', '.join(f'b{x}' for x in ms) + '))' for m in ms)})" for g, ms in dims.SUBCLASSES.items()}
     direct = "CASE " + " ".join(f"WHEN map_l1 = {l} THEN {c}" for l, c in dims.L1_DIRECT.items()) + " END"
     agree = " + ".join(f"CASE WHEN u{p} = map_l1 THEN 1 ELSE 0 END" for p in _P)
     pct = lambda x: f"CAST(floor(round(least(greatest(100.0::DOUBLE * ({x}), 0.0), 100.0), 6)) AS INT)"
-    return f"""WITH {_WIDE}, {_CELLS}, {_COUNTS}, {_PRIOR},
-j AS (SELECT c.pix, c.year, w.* EXCLUDE (pix, year), pr.*, {u} FROM cells c LEFT JOIN w ON w.pix = c.pix AND w.year = c.year CROSS JOIN pr),
+    by = {n: _errors(*v) for n, v in (settings or {}).items()}
+    table = ", ".join("('" + n + "', " + ", ".join(map(repr, e.values())) + ")" for n, e in by.items())
+    swept = f"st AS (SELECT * FROM (VALUES {table}) t(setting, {', '.join(next(iter(by.values())))}))," if by else ""
+    also, from_j = ("setting, ", ", st.*") if by else ("", "")
+    return f"""WITH {_WIDE}, {_CELLS}, {_COUNTS}, {_PRIOR}, {swept}
+j AS (SELECT c.pix, c.year, w.* EXCLUDE (pix, year), pr.*{from_j}, {u} FROM cells c LEFT JOIN w ON w.pix = c.pix AND w.year = c.year CROSS JOIN pr{" CROSS JOIN st" if by else ""}),
 l AS (SELECT *, {", ".join(logs)} FROM j), l1 AS (SELECT *, greatest({", ".join(f"a{k}" for k in dims.L1_CLASSES)}) AS m1 FROM l),
 l2 AS (SELECT *, {best1} AS map_l1, 1.0 / ({z1}) AS post_l1, {", ".join(subs)} FROM l1),
 l3 AS (SELECT *, CASE map_l1 WHEN 3 THEN {pick[3]} WHEN 8 THEN {pick[8]} END AS sub, CASE map_l1 WHEN 3 THEN {share[3]} WHEN 8 THEN {share[8]} ELSE 1.0 END AS post_l2 FROM l2),
-fz AS (SELECT pix, year, map_l1, sub, post_l1, post_l2, CAST(coalesce(sub, {direct}) AS INT) AS fused, {pct("post_l1 * post_l2")} AS conf_joint, {pct("post_l1")} AS conf_l1, {pct("post_l2")} AS conf_l2, CAST({agree} AS INT) AS agreement FROM l3)
+fz AS (SELECT {also}pix, year, map_l1, sub, post_l1, post_l2, CAST(coalesce(sub, {direct}) AS INT) AS fused, {pct("post_l1 * post_l2")} AS conf_joint, {pct("post_l1")} AS conf_l1, {pct("post_l2")} AS conf_l2, CAST({agree} AS INT) AS agreement FROM l3)
 {tail}"""
 
 
@@ -164,14 +180,11 @@ def _year_2020(sql: str) -> str:
 
 
 def _sensitivity_sql(floor: float) -> str:
-    parts, ctes = [], []
-    for delta in (-0.1, 0.0, 0.1):
-        body = _year_2020(_fusion_sql(delta, floor, "SELECT fused AS class, count(*) AS n FROM fz GROUP BY fused"))
-        parts.append(f"SELECT 'eps{floor}_dw{delta:+.2f}' AS setting, class, n FROM ({body})")
-    ctes = " UNION ALL ".join(parts)
+    settings = {f"eps{floor}_dw{delta:+.2f}": (delta, floor) for delta in (-0.1, 0.0, 0.1)} | {"base": (0.0, 0.4)}
+    counts = "SELECT setting, fused AS class, count(*) AS n FROM fz GROUP BY setting, fused"
     return f"""SELECT setting, round(max(dev), 3) AS max_dev, round(avg(dev), 3) AS mean_dev, round(max(dev) FILTER (class IN (3, 4, 5, 6)), 3) AS steppe_dev, round(max(dev) FILTER (class IN (11, 12, 13)), 3) AS bare_dev
-FROM (SELECT s.setting, s.class, abs(s.pct - b.pct) AS dev FROM (SELECT setting, class, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY setting), 6) AS pct FROM ({ctes})) s
-JOIN (SELECT class, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct FROM ({_year_2020(_fusion_sql(0.0, 0.4, "SELECT fused AS class, count(*) AS n FROM fz GROUP BY fused"))})) b ON b.class = s.class) GROUP BY setting"""
+FROM (SELECT setting, class, abs(pct - max(pct) FILTER (setting = 'base') OVER (PARTITION BY class)) AS dev FROM (SELECT setting, class, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY setting), 6) AS pct FROM ({_year_2020(_fusion_sql(tail=counts, settings=settings))})))
+WHERE dev IS NOT NULL AND setting <> 'base' GROUP BY setting"""
 
 
 # The sweep of three floors and three weight changes, a floor a query.
