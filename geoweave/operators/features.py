@@ -121,7 +121,12 @@ def long_features(long: DataFrame, anchors: Sequence[int], *, slopes: Sequence[t
 
 def wide(long: DataFrame, names: Mapping[str, str], statistics: Mapping[str, str], keys: Sequence[str] = ("pix", "year")) -> DataFrame:
     """(keys, columns): one column for each variable and statistic, ``{statistic column: suffix}``; one aggregation."""
-    columns = [F.max(F.when(F.col("variable") == v, F.col(c))).alias(name + suffix) for v, name in names.items() for c, suffix in statistics.items()]
+    return wide_groups(long, [(names, statistics)], keys)
+
+
+def wide_groups(long: DataFrame, groups: Sequence[tuple[Mapping[str, str], Mapping[str, str]]], keys: Sequence[str] = ("pix", "year")) -> DataFrame:
+    """The columns of several groups, each with its variables and statistics, by one aggregation."""
+    columns = [F.max(F.when(F.col("variable") == v, F.col(c))).alias(name + suffix) for names, statistics in groups for v, name in names.items() for c, suffix in statistics.items()]
     return long.groupBy(*keys).agg(*columns)
 
 
@@ -139,6 +144,25 @@ def neighbour_columns(fractions: DataFrame, classes: Sequence[int], cells: int =
     return fractions.groupBy(*keys).agg(*(share(k).alias(f"nbr3_class{k}_frac") for k in classes))
 
 
+def assembled(cells: DataFrame, groups: Sequence[DataFrame], keys: Sequence[str] = ("pix", "year")) -> DataFrame:
+    """Cells with the columns of every group, as :func:`feature_table` gives them, by one shuffle instead of a join for each group.
+
+    Every row of a group becomes a short row (keys, group, its values as one struct), a group without the year one for each year of the
+    cells' (few) years. One aggregation brings the rows of a cell together. Groups have at most one row for a key; rows of no cell go."""
+    first, later = keys[0], keys[1:]
+    years = cells.select(*later).distinct()
+    columns = [[c for c in d.columns if c not in keys] for d in (cells, *groups)]
+    long = None
+    for i, d in enumerate((cells, *groups)):
+        missing = [k for k in later if k not in d.columns]
+        held = d.join(F.broadcast(years.select(*missing).distinct()), how="cross") if missing else d  # years are a small dimension
+        parts = [F.struct(*(F.col(f"`{c}`") for c in columns[j])) if j == i else F.lit(None) for j in range(len(columns))]
+        one = held.select(*keys, *(p.alias(f"_{j}") for j, p in enumerate(parts) if j == i))
+        long = one if long is None else long.unionByName(one, allowMissingColumns=True)
+    by = long.groupBy(*keys).agg(*(F.first(f"_{j}", ignorenulls=True).alias(f"_{j}") for j in range(len(columns))))
+    return by.where("_0 IS NOT NULL").select(*keys, *(F.col(f"_{j}.`{c}`").alias(c) for j, names in enumerate(columns) for c in names))
+
+
 def feature_table(cells: DataFrame, groups: Sequence[DataFrame], keys: Sequence[str] = ("pix", "year")) -> DataFrame:
     """Cells with the columns of every group that has rows for them; a missing group's columns are null."""
     out = cells
@@ -147,15 +171,22 @@ def feature_table(cells: DataFrame, groups: Sequence[DataFrame], keys: Sequence[
     return out
 
 
-def feature_metadata(df: DataFrame) -> DataFrame:
-    """(column, type, group) of a feature table, from its schema."""
+def given(df: DataFrame) -> DataFrame:
+    """(column, n_given): how many rows have a value, for every column; one aggregation."""
+    counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("n_given")) for i, c in enumerate(df.columns)))))
+
+
+def feature_metadata(df: DataFrame, counted: bool = False) -> DataFrame:
+    """(column, type, group) of a feature table, from its schema; with ``counted`` also how many rows have a value (n_given)."""
     rows = []
     for name, kind in df.dtypes:
         group = next((g for g, names in FEATURE_GROUPS.items() if name in names), None)
         if group is None and ("lulc_" in name and "prev" in name or name == "lulc_change_flag"):
             group = "prev_target"
         rows.append((name, kind, group or next((g for g, p in FEATURE_PREFIXES.items() if name.startswith(p)), "other")))
-    return df.sparkSession.createDataFrame(rows, "column string, type string, group string")
+    named = df.sparkSession.createDataFrame(rows, "column string, type string, group string")
+    return named.join(given(df), "column") if counted else named
 
 
 def split_features(df: DataFrame, target: str, drop: Sequence[str] = (), prefixes: Sequence[str] = ()) -> tuple[list[str], str]:

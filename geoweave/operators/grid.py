@@ -22,6 +22,12 @@ def target_grid(spark, x0: float, y1: float, width: int, height: int, res: float
     return cells.withColumns({"x": F.lit(x0) + (F.col("c") + 0.5) * res, "y": F.lit(y1) - (F.col("r") + 0.5) * res})
 
 
+def covering(spark, source: DataFrame, step_r: float, step_c: float) -> DataFrame:
+    """(r, c) of the target cells, each of ``step_r`` by ``step_c`` source cells, that cover the source from its corner on."""
+    h, w = source.agg(F.ceil((F.max("r") + 1) / step_r).cast("long"), F.ceil((F.max("c") + 1) / step_c).cast("long")).first()
+    return target_grid(spark, 0.0, 0.0, w or 0, h or 0, 1.0).select("r", "c")
+
+
 def overlaps(x0: Column, y0: Column, x1: Column, y1: Column, extent: tuple[float, float, float, float]) -> Column:
     """Whether a rectangle and an extent (x0, y0, x1, y1) share an area."""
     return ~((x1 <= extent[0]) | (x0 >= extent[2]) | (y1 <= extent[1]) | (y0 >= extent[3]))

@@ -9,24 +9,30 @@ from geoweave.functions.expressions import Albers
 from geoweave.operators import drivers, grid
 from geoweave.plans.registry import query
 
-# The target has 30 x 28 cells of 1.25 x 1.75 source cells, so bilinear weights and nearest cells are no identity.
-_H, _W, _STEPS = 30, 28, {"step_r": 1.25, "step_c": 1.75}
-_TARGET = f"SELECT CAST(range // {_W} AS INT) AS r, CAST(range % {_W} AS INT) AS c FROM range({_H * _W})"
+# A target cell is 1.25 x 1.75 source cells, so bilinear weights and nearest cells are no identity. The target covers the whole source.
+_STEPS = {"step_r": 1.25, "step_c": 1.75}
 
 
-def _target(spark):
-    return spark.range(_H * _W).select((F.col("id") / _W).cast("int").alias("r"), (F.col("id") % _W).cast("int").alias("c"))
+def _target_sql(source: str = "v_raster") -> str:
+    return f"SELECT CAST(k // w AS INT) AS r, CAST(k % w AS INT) AS c FROM (SELECT unnest(range(h * w)) AS k, w FROM (SELECT CAST(ceil((max(r) + 1) / 1.25) AS BIGINT) AS h, CAST(ceil((max(c) + 1) / 1.75) AS BIGINT) AS w FROM {source}))"
+
+
+_TARGET = _target_sql()
+
+
+def _target(spark, source):
+    return grid.covering(spark, source, **_STEPS)
 
 
 def _bands(view, *groups: str):
     return view("v_bands").where(F.col("grp").isin(*groups)).select("variable", "year", "r", "c", "value")
 
 
-def _bilinear(source: str, keys: str) -> str:
+def _bilinear(source: str, keys: str, target: str = _TARGET) -> str:
     """The bilinear mean of ``source`` (keys, r, c, value) on the target, as SQL."""
     return f"""SELECT {keys}, k.r AS r, k.c AS c, sum(w * value) / sum(w) AS value FROM (SELECT r, c, CAST(floor(y) AS INT) + i.d AS sr, CAST(floor(x) AS INT) + j.d AS sc,
 CASE i.d WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE j.d WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS w
-FROM (SELECT r, c, (r + 0.5::DOUBLE) * 1.25 - 0.5 AS y, (c + 0.5::DOUBLE) * 1.75 - 0.5 AS x FROM ({_TARGET})) CROSS JOIN (VALUES (0), (1)) i(d) CROSS JOIN (VALUES (0), (1)) j(d)) k
+FROM (SELECT r, c, (r + 0.5::DOUBLE) * 1.25 - 0.5 AS y, (c + 0.5::DOUBLE) * 1.75 - 0.5 AS x FROM ({target})) CROSS JOIN (VALUES (0), (1)) i(d) CROSS JOIN (VALUES (0), (1)) j(d)) k
 JOIN ({source}) s ON s.r = sr AND s.c = sc WHERE w > 0 AND value IS NOT NULL GROUP BY {keys}, k.r, k.c"""
 
 
@@ -39,27 +45,27 @@ _RANGES = " ".join(f"WHEN variable = '{v}' THEN CASE WHEN value BETWEEN {a} AND
 
 @query(f"SELECT variable, year, r, c, round(CASE {_RANGES} END, 10) AS value FROM ({_group('climate')})")
 def driver_climate_values(spark, view):
-    return drivers.climate(_bands(view, "climate"), _target(spark), **_STEPS).withColumn("value", F.round("value", 10))
+    return drivers.climate(_bands(view, "climate"), _target(spark, view("v_raster")), **_STEPS).withColumn("value", F.round("value", 10))
 
 
 @query(f"SELECT variable, year, r, c, round(value, 10) AS value FROM ({_group('grazing')})")
 def driver_grazing(spark, view):
-    return drivers.plain(_bands(view, "grazing"), _target(spark), **_STEPS).withColumn("value", F.round("value", 10))
+    return drivers.plain(_bands(view, "grazing"), _target(spark, view("v_raster")), **_STEPS).withColumn("value", F.round("value", 10))
 
 
 @query(f"SELECT variable, year, r, c, round(CASE WHEN value BETWEEN 1 AND 366 THEN value END, 10) AS value FROM ({_group('phenology')})")
 def driver_phenology(spark, view):
-    return drivers.phenology(_bands(view, "phenology"), _target(spark), **_STEPS).withColumn("value", F.round("value", 10))
+    return drivers.phenology(_bands(view, "phenology"), _target(spark, view("v_raster")), **_STEPS).withColumn("value", F.round("value", 10))
 
 
 @query(f"SELECT variable, year, r, c, round(value, 10) AS value FROM ({_group('population', 'value <> -99999')})")
 def driver_population(spark, view):
-    return drivers.population(_bands(view, "population"), _target(spark), **_STEPS).withColumn("value", F.round("value", 10))
+    return drivers.population(_bands(view, "population"), _target(spark, view("v_raster")), **_STEPS).withColumn("value", F.round("value", 10))
 
 
 @query(f"SELECT variable, year, r, c, round(value, 10) AS value FROM ({_group('livestock')})")
 def driver_livestock(spark, view):
-    return drivers.plain(_bands(view, "livestock"), _target(spark), **_STEPS).withColumn("value", F.round("value", 10))
+    return drivers.plain(_bands(view, "livestock"), _target(spark, view("v_raster")), **_STEPS).withColumn("value", F.round("value", 10))
 
 
 _NEAREST = f"SELECT variable, year, t.r AS r, t.c AS c, CASE WHEN value <> 255 THEN value END AS value FROM ({_TARGET}) t JOIN v_bands s ON s.r = CAST(floor((t.r + 0.5) * 1.25) AS INT) AND s.c = CAST(floor((t.c + 0.5) * 1.75) AS INT) WHERE grp = 'cropping'"
@@ -67,7 +73,7 @@ _NEAREST = f"SELECT variable, year, t.r AS r, t.c AS c, CASE WHEN value <> 255 T
 
 @query(_NEAREST)
 def driver_cropping(spark, view):
-    return drivers.cropping(_bands(view, "cropping"), _target(spark), **_STEPS)
+    return drivers.cropping(_bands(view, "cropping"), _target(spark, view("v_raster")), **_STEPS)
 
 
 _NDVI = "SELECT unnest(['ndvi_annual_mean', 'ndvi_gs_mean', 'ndvi_gs_max']) AS variable, 2001 AS year, r, c, unnest([code * 100, code * 150, code * 300]) * 0.0001::DOUBLE AS value FROM v_raster"
@@ -76,7 +82,7 @@ _NDVI = "SELECT unnest(['ndvi_annual_mean', 'ndvi_gs_mean', 'ndvi_gs_max']) AS v
 @query(f"SELECT variable, year, r, c, round(CASE WHEN value BETWEEN -0.2 AND 1.0 THEN value END, 10) AS value FROM ({_bilinear(_NDVI, 'variable, year')})")
 def driver_vegetation_values(spark, view):
     bands = view("v_raster").select(F.lit(2001).alias("year"), "r", "c", (F.col("code") * 100).alias("band1"), (F.col("code") * 150).alias("band2"), (F.col("code") * 300).alias("band3"))
-    return drivers.vegetation(bands, _target(spark), **_STEPS).withColumn("value", F.round("value", 10))
+    return drivers.vegetation(bands, _target(spark, view("v_raster")), **_STEPS).withColumn("value", F.round("value", 10))
 
 
 @query(f"""SELECT variable, r, c, round(CASE WHEN value BETWEEN -500 AND 9000 THEN value END, 10) AS value FROM ({_bilinear("SELECT 'elevation' AS variable, r, c, code * 200.0 - 700 AS value FROM v_raster", 'variable')})
@@ -84,7 +90,7 @@ UNION ALL SELECT 'aspect', t.r, t.c, CASE WHEN code * 11 BETWEEN 0 AND 360 THEN
 def driver_terrain_values(spark, view):
     r = view("v_raster")
     source = r.select(F.lit("elevation").alias("variable"), "r", "c", (F.col("code") * F.lit(200.0) - 700).alias("value")).unionAll(r.select(F.lit("aspect"), "r", "c", (F.col("code") * 11).cast("double")))
-    return drivers.terrain(source, _target(spark), **_STEPS).select("variable", "r", "c", F.round("value", 10).alias("value"))
+    return drivers.terrain(source, _target(spark, view("v_raster")), **_STEPS).select("variable", "r", "c", F.round("value", 10).alias("value"))
 
 
 _STATS = "'annual_mean', 'gs_mean', 'min', 'max', 'n_severe_drought', 'n_moderate_drought', 'n_wet'"
@@ -93,13 +99,13 @@ FROM (SELECT scale, year, CAST(pixel // 50 AS INT) AS r, CAST(pixel % 50 AS INT)
 FROM (SELECT pixel, year, month, unnest(['spei03', 'spei06', 'spei12']) AS scale, unnest([z, z / 2.0, z - 0.25]) AS v FROM v_monthly) GROUP BY 1, 2, 3, 4)"""
 
 
-@query(f"SELECT variable, year, r, c, round(value, 10) AS value FROM ({_bilinear(_MONTHLY, 'variable, year')})")
+@query(f"SELECT variable, year, r, c, round(value + 1e-9, 6) AS value FROM ({_bilinear(_MONTHLY, 'variable, year', _target_sql('(SELECT pixel // 50 AS r, pixel % 50 AS c FROM v_monthly)'))})")
 def driver_drought_values(spark, view):
     """All seven statistics of three time scales."""
     z = F.col("z")
     scales = F.inline(F.array(F.struct(F.lit("spei03").alias("scale"), z.alias("z")), F.struct(F.lit("spei06").alias("scale"), (z / F.lit(2.0)).alias("z")), F.struct(F.lit("spei12").alias("scale"), (z - F.lit(0.25)).alias("z"))))
     monthly = view("v_monthly").select("year", "month", F.floor(F.col("pixel") / 50).cast("int").alias("r"), (F.col("pixel") % 50).cast("int").alias("c"), scales)
-    return drivers.drought(monthly, _target(spark), **_STEPS).select("variable", "year", "r", "c", F.round("value", 10).alias("value"))
+    return drivers.drought(monthly, _target(spark, monthly), **_STEPS).select("variable", "year", "r", "c", F.round(F.col("value") + 1e-9, 6).alias("value"))
 
 
 @query(f"""SELECT grp AS "group", variable, year, count(*) AS n, count(value) AS n_valid FROM (
@@ -108,7 +114,7 @@ UNION ALL SELECT 'population', * FROM ({_group('population', 'value <> -99999 AN
 def driver_dispatch(spark, view):
     """Groups by name, one year: a group without that year has no rows."""
     sources = {g: _bands(view, g) for g in ("grazing", "phenology", "population", "livestock")}
-    out = drivers.aligned(["grazing", "phenology", "population"], sources, _target(spark), years=[2000], **_STEPS)
+    out = drivers.aligned(["grazing", "phenology", "population"], sources, _target(spark, view("v_raster")), years=[2000], **_STEPS)
     return out.groupBy("group", "variable", "year").agg(F.count("*").alias("n"), F.count("value").alias("n_valid"))
 
 
@@ -161,16 +167,20 @@ def raster_overlap(spark, view):
     return n.select("id", grid.overlaps(F.col("c0"), F.col("r0"), F.col("c0") + 10, F.col("r0") + 10, _EXTENT).alias("overlaps"))
 
 
-@query("SELECT CAST(range // 41 AS INT) AS r, CAST(range % 41 AS INT) AS c, -651000 + (range % 41 + 0.5::DOUBLE) * 1000 AS x, 5901000 - (range // 41 + 0.5::DOUBLE) * 1000 AS y FROM range(1271)")
+@query("""SELECT CAST(k // w AS INT) AS r, CAST(k % w AS INT) AS c, x0 + (k % w + 0.5::DOUBLE) * 25000 AS x, y1 - (k // w + 0.5::DOUBLE) * 25000 AS y
+FROM (SELECT unnest(range(w * h)) AS k, * FROM (SELECT x0, y1, CAST((ceil(xb / 25000) * 25000 - x0) / 25000 AS BIGINT) AS w, CAST((y1 - floor(ya / 25000) * 25000) / 25000 AS BIGINT) AS h
+FROM (SELECT floor(min(x) / 25000) * 25000 AS x0, max(x) AS xb, min(y) AS ya, ceil(max(y) / 25000) * 25000 AS y1 FROM v_grid)))""")
 def target_grid_snapped(spark, view):
-    x0, y1, width, height = grid.snapped_extent(-650400.0, 5870100.0, -610200.0, 5900300.0, 1000.0)
-    return grid.target_grid(spark, x0, y1, width, height, 1000.0)
+    """The least grid of 25 km cells on whole multiples that holds all sites."""
+    x0, y0, x1, y1 = view("v_grid").agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    left, top, width, height = grid.snapped_extent(x0, y0, x1, y1, 25000.0)
+    return grid.target_grid(spark, left, top, width, height, 25000.0)
 
 
-@query("SELECT 39 - r AS row, c AS col, 80 + c * 0.25::DOUBLE - 0.125 AS \"left\", 30 + r * 0.25::DOUBLE + 0.125 AS top, value FROM v_raster WHERE r < 40")
+@query("SELECT (SELECT max(r) FROM v_raster) - r AS row, c AS col, 80 + c * 0.25::DOUBLE - 0.125 AS \"left\", 30 + r * 0.25::DOUBLE + 0.125 AS top, value FROM v_raster")
 def lonlat_north_up(spark, view):
     """A grid whose rows count from the south, written from the north-west corner on, with the cells' edges."""
-    points = view("v_raster").where("r < 40").select((F.lit(80.0) + F.col("c") * F.lit(0.25)).alias("lon"), (F.lit(30.0) + F.col("r") * F.lit(0.25)).alias("lat"), "value")
+    points = view("v_raster").select((F.lit(80.0) + F.col("c") * F.lit(0.25)).alias("lon"), (F.lit(30.0) + F.col("r") * F.lit(0.25)).alias("lat"), "value")
     return grid.north_up(points)
 
 

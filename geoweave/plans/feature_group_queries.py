@@ -12,11 +12,11 @@ from geoweave.plans.registry import query
 _WIDTH = 20
 _CLASSES = range(1, 15)
 _SLOPES, _BASELINE = ((5, 3), (10, 5)), (1990, 2019, 10)
-_CLIMATE = {"CDD": "clim_CDD", "Rx1day": "clim_Rx1day", "TXx": "clim_TXx"}
+_CLIMATE = {v: f"clim_{v}" for v in ("CDD", "CWD", "GSL", "R10", "R20", "Rx1day", "Rx5day", "Tn10p", "Tn90p", "TNn", "TNx", "Tx10p", "Tx90p", "TXn", "TXx")}
 _CLIMATE_STATS = {"state": "", "slope5y": "_slope5y", "slope10y": "_slope10y", "anomaly": "_anomaly"}
 _PHENOLOGY = {"sos": "phen_sos", "eos": "phen_eos", "los": "phen_los"}
-_GRAZING = {"graz_total": "graz_total", "graz_cattle": "graz_cattle", "graz_sheep": "graz_sheep"}
-_DROUGHT = {"spei03_annual_mean": "spei03_annual_mean", "spei12_min": "spei12_min"}
+_GRAZING = {v: v for v in ("graz_total", "graz_cattle", "graz_sheep", "graz_goat", "graz_bigl")}
+_DROUGHT = {v: v for v in (f"{s}_{x}" for s in ("spei03", "spei06", "spei12") for x in ("annual_mean", "gs_mean", "annual_min", "annual_max", "n_severe_drought", "n_severe_wet"))}
 _NDVI = {v: v for v in ("ndvi_annual_mean", "ndvi_gs_mean", "ndvi_gs_max")}
 
 
@@ -162,7 +162,6 @@ def features_coordinates(spark, view):
     return view("v_site").select("pix", F.col("r").alias("row"), F.col("c").alias("col"), "x", "y", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-_BY_YEAR = (features_previous, features_climate, features_drought, features_vegetation, features_phenology, features_grazing, features_cropping, features_population, features_livestock, features_neighbours)
 _STATIC = (features_coordinates, features_terrain, features_roads)
 _YEAR_SQL = (_PREVIOUS, _wide_sql(_CLIMATE, _CLIMATE_STATS), _wide_sql(_DROUGHT, {"state": ""}), _NDVI_SQL, _wide_sql(_PHENOLOGY, {"state": "", "slope5y": "_slope5y"}, True), _wide_sql(_GRAZING, {"state": ""}),
              _wide_sql({"cropping": "cropping_intensity"}, {"state": ""}), _wide_sql({"popdens": "popdens"}, {"state": ""}), _wide_sql({"glw": "glw_density"}, {"state": ""}),
@@ -177,8 +176,18 @@ def _table_sql() -> str:
     return f"SELECT t.pix, t.year, t.class AS lulc_class, t.conf_joint, t.conf_l1, t.conf_l2, t.agreement_count, {columns} FROM v_target t {parts}"
 
 
+_STATE = {"state": ""}
+_BY_ANCHOR = [(_CLIMATE, _CLIMATE_STATS), (_DROUGHT, _STATE), (_GRAZING, _STATE), ({"cropping": "cropping_intensity"}, _STATE), ({"popdens": "popdens"}, _STATE), ({"glw": "glw_density"}, _STATE)]
+_BY_STATE = [(_NDVI, _STATE), ({"ndvi_gs_mean": "ndvi_gs_mean"}, {"slope5y": "_slope5y"}), (_PHENOLOGY, {"state": "", "slope5y": "_slope5y"})]
+
+
 def _table(spark, view):
-    return features.feature_table(features_target(spark, view), [f(spark, view) for f in (*_BY_YEAR, *_STATIC)])
+    """All yearly groups come from two aggregations of the layers, one for either way to end a slope, and one shuffle brings all columns together."""
+    parts = [features_previous(spark, view), features_neighbours(spark, view), *(f(spark, view) for f in _STATIC)]
+    for groups, options in ((_BY_ANCHOR, {"slopes": _SLOPES, "baseline": _BASELINE}), (_BY_STATE, {"slopes": _SLOPES[:1], "at_state": True})):
+        layers = view("v_driver").where(F.col("variable").isin(*{v for names, _ in groups for v in names}))
+        parts.append(_rounded(features.wide_groups(features.long_features(layers, dims.ANCHORS, **options), groups)))
+    return features.assembled(features_target(spark, view), parts)
 
 
 @query(_table_sql())
@@ -187,16 +196,22 @@ def feature_table_wide(spark, view):
     return _table(spark, view)
 
 
-@query("""SELECT unnest(['other', 'geometry', 'target', 'prev_target', 'climate', 'spei', 'ndvi', 'phenology', 'grazing', 'cropping', 'population', 'livestock', 'spatial_ctx', 'terrain', 'roads']) AS "group",
-unnest([1, 7, 5, 2, 12, 2, 4, 6, 3, 1, 1, 1, 14, 4, 1]) AS n""")
+_UNPIVOT = "(UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({0})) ON COLUMNS(*) INTO NAME name VALUE value)"
+
+
+@query(f"""SELECT CASE WHEN name IN ('row', 'col', 'x', 'y', 'lon', 'lat', 'year') THEN 'geometry' WHEN name IN ('lulc_class', 'conf_joint', 'conf_l1', 'conf_l2', 'agreement_count') THEN 'target' WHEN name LIKE 'lulc_%' THEN 'prev_target'
+WHEN name LIKE 'clim_%' THEN 'climate' WHEN name LIKE 'spei%' THEN 'spei' WHEN name LIKE 'ndvi_%' THEN 'ndvi' WHEN name LIKE 'phen_%' THEN 'phenology' WHEN name LIKE 'graz_%' THEN 'grazing' WHEN name LIKE 'cropping_%' THEN 'cropping'
+WHEN name = 'popdens' THEN 'population' WHEN name = 'glw_density' THEN 'livestock' WHEN name LIKE 'nbr3_%' THEN 'spatial_ctx' WHEN name IN ('elevation', 'slope', 'aspect_sin', 'aspect_cos') THEN 'terrain' WHEN name = 'road_distance_km' THEN 'roads' ELSE 'other' END AS "group",
+CAST(count(DISTINCT name) AS INT) AS n, count(*) AS n_given FROM {_UNPIVOT.format(_table_sql())} GROUP BY 1""")
 def feature_group_sizes(spark, view):
-    """Columns of each group, from the wide table's schema alone."""
-    return features.feature_metadata(_table(spark, view)).groupBy("group").agg(F.count("*").cast("int").alias("n"))
+    """Columns of each group in the wide table, and how many values they have."""
+    return features.feature_metadata(_table(spark, view), counted=True).groupBy("group").agg(F.count("*").cast("int").alias("n"), F.sum("n_given").alias("n_given"))
 
 
-@query("SELECT 'lulc_class' AS target, unnest(['clim_CDD', 'clim_Rx1day', 'clim_TXx']) AS feature")
+@query(f"SELECT 'lulc_class' AS target, name AS feature, count(*) AS n_given FROM {_UNPIVOT.format(_wide_sql(_CLIMATE, {'state': ''}))} WHERE name LIKE 'clim_%' GROUP BY 2")
 def feature_split(spark, view):
-    """Names of the features and the target, without columns that are named or share a prefix."""
-    held = features_target(spark, view).join(features_climate(spark, view).select("pix", "year", *_CLIMATE.values()), ["pix", "year"])
+    """The features and the target of a table, without columns that are named or share a prefix, and how many rows have a value of each."""
+    climate = features_climate(spark, view).select("pix", "year", *_CLIMATE.values())
+    held = features_target(spark, view).join(climate, ["pix", "year"])
     names, target = features.split_features(held, "lulc_class", ("pix", "year"), ("conf_", "agreement"))
-    return spark.createDataFrame([(target, n) for n in names], "target string, feature string")
+    return features.given(held.select(*names)).select(F.lit(target).alias("target"), F.col("column").alias("feature"), "n_given")

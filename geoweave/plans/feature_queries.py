@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from geoweave.functions.expressions import Albers, aspect_cos, aspect_sin
 from geoweave.operators import drivers, features, grid
-from geoweave.plans.registry import query
+from geoweave.plans.driver_queries import _TARGET
+from geoweave.plans.registry import ORACLES, query
 
 _W, _H = 125, 120
 
@@ -125,17 +126,17 @@ def node_mask(spark, view):
     return grid.node_mask(cells, 3, _height(view), _W, "inside", "value", 0.5, 0.6)
 
 
-@query("SELECT t.r AS r, t.c AS c, coalesce(s.code, 0) AS code FROM (SELECT CAST(range // 30 AS INT) AS r, CAST(range % 30 AS INT) AS c FROM range(900)) t LEFT JOIN v_raster s ON s.r = CAST(floor((t.r + 0.5) * 1.25) AS INT) AND s.c = CAST(floor((t.c + 0.5) * 1.75) AS INT)")
+@query(f"SELECT t.r AS r, t.c AS c, coalesce(s.code, 0) AS code FROM ({_TARGET}) t LEFT JOIN v_raster s ON s.r = CAST(floor((t.r + 0.5) * 1.25) AS INT) AND s.c = CAST(floor((t.c + 0.5) * 1.75) AS INT)")
 def resample_nearest(spark, view):
-    target = spark.range(900).select((F.col("id") / 30).cast("int").alias("r"), (F.col("id") % 30).cast("int").alias("c"))
+    target = grid.covering(spark, view("v_raster"), 1.25, 1.75)
     return grid.resample_nearest(view("v_raster"), target, 1.25, 1.75).withColumn("code", F.coalesce("code", F.lit(0)))
 
 
-@query("""WITH t AS (SELECT r, c, (r + 0.5::DOUBLE) * 1.25 - 0.5 AS y, (c + 0.5::DOUBLE) * 1.75 - 0.5 AS x FROM (SELECT CAST(range // 30 AS INT) AS r, CAST(range % 30 AS INT) AS c FROM range(900))), o AS (SELECT * FROM (VALUES (0), (1)) q(d)),
+@query(f"""WITH t AS (SELECT r, c, (r + 0.5::DOUBLE) * 1.25 - 0.5 AS y, (c + 0.5::DOUBLE) * 1.75 - 0.5 AS x FROM ({_TARGET})), o AS (SELECT * FROM (VALUES (0), (1)) q(d)),
 k AS (SELECT r, c, CAST(floor(y) AS INT) + i.d AS sr, CAST(floor(x) AS INT) + j.d AS sc, CASE i.d WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE j.d WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS w FROM t CROSS JOIN o i CROSS JOIN o j)
 SELECT k.r AS r, k.c AS c, round(sum(w * value) / sum(CASE WHEN value IS NOT NULL THEN w END), 6) AS value FROM k LEFT JOIN v_raster s ON s.r = sr AND s.c = sc WHERE w > 0 GROUP BY 1, 2""")
 def resample_bilinear(spark, view):
-    target = spark.range(900).select((F.col("id") / 30).cast("int").alias("r"), (F.col("id") % 30).cast("int").alias("c"))
+    target = grid.covering(spark, view("v_raster"), 1.25, 1.75)
     return grid.resample_bilinear(view("v_raster"), target, 1.25, 1.75).select("r", "c", F.round("value", 6).alias("value"))
 
 
@@ -175,9 +176,13 @@ def feature_table(spark, view):
     return features.feature_table(cells, [before, spei, aspect]).na.fill(0, ["lulc_class_prev", "n_months"])
 
 
-@query("SELECT * FROM (VALUES ('pix', 'bigint', 'other'), ('year', 'int', 'geometry'), ('lulc_class', 'int', 'target'), ('conf_joint', 'int', 'target'), ('lulc_class_prev', 'int', 'prev_target'), ('n_months', 'bigint', 'other'), ('spei_annual_mean', 'double', 'spei'), ('aspect_sin', 'double', 'terrain')) AS t(\"column\", \"type\", \"group\")")
+_KINDS = "(VALUES ('pix', 'bigint', 'other'), ('year', 'int', 'geometry'), ('lulc_class', 'int', 'target'), ('conf_joint', 'int', 'target'), ('lulc_class_prev', 'int', 'prev_target'), ('n_months', 'bigint', 'other'), ('spei_annual_mean', 'double', 'spei'), ('aspect_sin', 'double', 'terrain')) AS t(\"column\", \"type\", \"group\")"
+
+
+@query(f"SELECT t.*, n AS n_given FROM {_KINDS} JOIN (SELECT name, count(*) AS n FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({ORACLES['feature_table'].replace('%', '%')})) ON COLUMNS(*) INTO NAME name VALUE value) GROUP BY 1) ON name = t.\"column\"")
 def feature_metadata(spark, view):
-    return features.feature_metadata(feature_table(spark, view))
+    """The column dictionary of the feature table, with how many rows have a value."""
+    return features.feature_metadata(feature_table(spark, view), counted=True)
 
 
 # Driver groups on the grid of the raster view: 40 x 50 source cells, the same target cells.
@@ -222,9 +227,11 @@ def driver_roads(spark, view):
     return drivers.roads(view("v_grid"), view("v_roads"), _height(view), _W).select("r", "c", F.round("road_distance_km", 9).alias("road_distance_km"))
 
 
-@query("SELECT CAST(range // 40 AS INT) AS r, CAST(range % 40 AS INT) AS c, -650000 + (range % 40 + 0.5::DOUBLE) * 1000 AS x, 5900000 - (range // 40 + 0.5::DOUBLE) * 1000 AS y FROM range(1200)")
+@query("SELECT CAST(k // w AS INT) AS r, CAST(k % w AS INT) AS c, x0 + (k % w + 0.5::DOUBLE) * 10000 AS x, y1 - (k // w + 0.5::DOUBLE) * 10000 AS y FROM (SELECT unnest(range(w * h)) AS k, * FROM (SELECT min(x) - 5000 AS x0, max(y) + 5000 AS y1, CAST(max(c) - min(c) + 1 AS BIGINT) AS w, CAST(max(r) - min(r) + 1 AS BIGINT) AS h FROM v_grid))")
 def target_grid(spark, view):
-    return grid.target_grid(spark, -650000.0, 5900000.0, 40, 30, 1000.0)
+    """The cells of the sites' extent, with the coordinates of their centres."""
+    x0, y1, width, height = view("v_grid").agg(F.min("x") - 5000, F.max("y") + 5000, F.max("c") - F.min("c") + 1, F.max("r") - F.min("r") + 1).first()
+    return grid.target_grid(spark, x0, y1, width, height, 10000.0)
 
 
 @query("SELECT b.br AS br, b.bc AS bc, round(n.value, 10) AS value FROM (SELECT DISTINCT br, bc FROM v_blocks) b LEFT JOIN v_nodes n ON n.br = b.br AND n.bc = b.bc")

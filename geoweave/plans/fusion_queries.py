@@ -38,14 +38,16 @@ def product_crosstab(spark, view):
     return harmonize.crosstab(view("v_votes").where("product_id = 2").join(ref, ["pix", "year"]), "native", "ref_class")
 
 
-@query("""WITH y AS (SELECT * FROM (VALUES (1985),(1990),(1995),(1998),(2000),(2005),(2010),(2015),(2020),(2023)) t(year)), f AS (SELECT * FROM (VALUES (0, 1, 3),(1, 0, 23),(2, 0, 11),(3, 1, 7)) t(file, early, bands))
+@query("""WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) - 7 + o_orderkey % 4 * 10 AS INT) AS year FROM orders), f AS (SELECT p_partkey AS file, p_partkey % 2 AS early, CASE p_partkey % 4 WHEN 1 THEN 3 WHEN 3 THEN 7 WHEN 2 THEN 23 ELSE 11 END AS bands FROM part)
 SELECT file, year, CAST(CASE WHEN early = 1 AND bands = 3 THEN CASE year WHEN 1985 THEN 1 WHEN 1990 THEN 2 WHEN 1995 THEN 3 ELSE bands END
  WHEN early = 1 THEN greatest(1, least(bands, round_even(1 + (year - 1985) / 10.0::DOUBLE * (bands - 1), 0)))
  WHEN bands = 23 THEN greatest(1, least(23, year - 1999)) ELSE greatest(1, least(bands, round_even(1 + (year - 2000) / 22.0::DOUBLE * (bands - 1), 0))) END AS INT) AS band FROM y CROSS JOIN f""")
 def catalog_band_lookup(spark, view):
-    years = spark.createDataFrame([(y,) for y in (1985, 1990, 1995, 1998, 2000, 2005, 2010, 2015, 2020, 2023)], "year int")
-    files = spark.createDataFrame([(0, True, 3), (1, False, 23), (2, False, 11), (3, True, 7)], "file int, early boolean, bands int")
-    return years.crossJoin(F.broadcast(files)).select("file", "year", harmonize.band_of(F.col("year"), F.col("bands"), F.col("early")).alias("band"))
+    """The band of every file (early or late, with 3 to 23 bands) for every year that the orders hold; years are a small dimension."""
+    years = view("orders").select((F.year("o_orderdate") - 7 + F.col("o_orderkey") % 4 * 10).cast("int").alias("year")).distinct()
+    k = F.col("p_partkey")
+    files = view("part").select(k.alias("file"), (k % 2 == 1).alias("early"), F.when(k % 4 == 1, 3).when(k % 4 == 3, 7).when(k % 4 == 2, 23).otherwise(11).alias("bands"))
+    return files.crossJoin(F.broadcast(years)).select("file", "year", harmonize.band_of(F.col("year"), F.col("bands"), F.col("early")).alias("band"))
 
 
 @query("""WITH f AS (SELECT 'p' || (o_custkey % 9) AS product, CAST(1990 + o_orderkey % 30 AS INT) AS year, CAST(o_orderkey % 3 AS INT) AS priority, 'tile_' || (1990 + o_orderkey % 30) || '_' || o_orderkey || '.tif' AS path FROM orders)

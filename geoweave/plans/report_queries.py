@@ -47,13 +47,14 @@ def shares_over_limits(spark, view):
     return reports.shares_over(view("v_nodes"), "value", (1.0, 1.5, 2.0))
 
 
-_PHI = "SELECT label AS class, avg(abs(CAST(embedding[{0}] AS DOUBLE))) AS m FROM embeddings WHERE vec_id % {1} = 0 AND label % 3 <> {2} GROUP BY 1"
+_PHI = "SELECT label AS class, avg(abs(CAST(embedding[{0}] AS DOUBLE))) AS m FROM embeddings WHERE embedding[{0}] {1} 0 GROUP BY 1"
 
 
-@query(f"SELECT coalesce(a.class, b.class) AS class, round(coalesce(a.m, 0), 8) AS a, round(coalesce(b.m, 0), 8) AS b FROM ({_PHI.format(1, 2, 0)}) a FULL JOIN ({_PHI.format(2, 3, 1)}) b ON b.class = a.class")
+@query(f"SELECT coalesce(a.class, b.class) AS class, round(coalesce(a.m, 0), 8) AS a, round(coalesce(b.m, 0), 8) AS b FROM ({_PHI.format(1, '>')}) a FULL JOIN ({_PHI.format(2, '<')}) b ON b.class = a.class")
 def attribution_side_by_side(spark, view):
-    mean = lambda i, k, skip: view("embeddings").where((F.col("vec_id") % k == 0) & (F.col("label") % 3 != skip)).groupBy(F.col("label").alias("class")).agg(F.avg(F.abs(F.col("embedding")[i].cast("double"))).alias("m"))
-    out = reports.side_by_side(mean(0, 2, 0), mean(1, 3, 1), ["class"], "m")
+    """Mean attributions of two sets of rows by class: those whose first component is positive, and those whose second is negative."""
+    mean = lambda i, kept: view("embeddings").where(kept(F.col("embedding")[i])).groupBy(F.col("label").alias("class")).agg(F.avg(F.abs(F.col("embedding")[i].cast("double"))).alias("m"))
+    out = reports.side_by_side(mean(0, lambda v: v > 0), mean(1, lambda v: v < 0), ["class"], "m")
     return out.select("class", F.round("a", 8).alias("a"), F.round("b", 8).alias("b"))
 
 
@@ -75,9 +76,15 @@ def point_placemarks(spark, view):
     return reports.placemarks(n, "id", "lon", "lat", "text")
 
 
-@query("SELECT * FROM (VALUES ('A', 'confidence 80 or more at both ends', CAST(3240000 AS BIGINT), 12, 82.2::DOUBLE, 0.597::DOUBLE, 0.813::DOUBLE), ('B', 'all pixels', 4590000, 13, 77.8, 0.6, 0.772)) t(training_set, rows_used, n_rows, n_classes, accuracy_pct, macro_f1, weighted_f1)")
+@query("""SELECT t.*, count(p.pix) AS n_here, CAST(count(DISTINCT p.to_class) AS INT) AS classes_here
+FROM (VALUES ('A', 'confidence 80 or more at both ends', CAST(3240000 AS BIGINT), 12, 82.2::DOUBLE, 0.597::DOUBLE, 0.813::DOUBLE), ('B', 'all pixels', 4590000, 13, 77.8, 0.6, 0.772)) t(training_set, rows_used, n_rows, n_classes, accuracy_pct, macro_f1, weighted_f1)
+LEFT JOIN (SELECT * FROM v_pairs WHERE from_class > 0 AND to_class > 0) p ON t.training_set = 'B' OR p.conf_from >= 80 AND p.conf_to >= 80 GROUP BY ALL""")
 def published_results(spark, view):
-    return reports.published(spark)
+    """The published figures of both training sets beside the rows and classes that the same rules give here."""
+    pairs = view("v_pairs").where("from_class > 0 AND to_class > 0")
+    sets = F.explode(F.when((F.col("conf_from") >= 80) & (F.col("conf_to") >= 80), F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("B"))))
+    here = pairs.select(sets.alias("training_set"), "to_class").groupBy("training_set").agg(F.count("*").alias("n_here"), F.countDistinct("to_class").cast("int").alias("classes_here"))
+    return reports.published(spark).join(here, "training_set", "left").na.fill(0, ["n_here", "classes_here"])
 
 
 # -- Samples by integer draws.

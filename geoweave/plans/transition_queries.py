@@ -161,7 +161,7 @@ def columns_permuted(spark, view):
     return evaluate.permuted(rows, "id", ["u", "v"])
 
 
-@query("SELECT from_year, to_year, from_class, to_class, count(*) AS n, sum(conf_from + conf_to) AS conf FROM v_pairs GROUP BY 1, 2, 3, 4")
+@query("SELECT from_year, to_year, from_class, to_class, count(*) AS n, CAST(sum(conf_from + conf_to) AS BIGINT) AS conf FROM v_pairs GROUP BY 1, 2, 3, 4")
 def transition_pairs_bucketed(spark, view):
     """Pairs of years of a map that is stored in buckets of pixels: joined without an exchange."""
     name = bucketed.write(_maps(view), "pix", 8)
@@ -263,8 +263,9 @@ def stride_sample(spark, view):
     return evaluate.stride_sample(view("v_class2020").select("pix", "r", "c"), 3).select("pix")
 
 
-@query("SELECT year FROM (SELECT year FROM v_anchor INTERSECT SELECT year FROM v_available WHERE product_id = 5) EXCEPT SELECT 2010")
+@query("SELECT year FROM v_unified WHERE product_id = 5 AND unified > 0 INTERSECT SELECT year FROM v_driver WHERE variable = 'popdens' AND value IS NOT NULL EXCEPT SELECT year FROM v_driver WHERE variable = 'glw'")
 def shared_years(spark, view):
-    """Set operations on dimensions: years that two sources share, less one."""
-    a = view("v_anchor").select("year").intersect(view("v_available").where("product_id = 5").select("year"))
-    return a.exceptAll(spark.createDataFrame([(2010,)], "year int"))
+    """Set operations on what the tables hold: years that a product and a driver share, less those of another driver."""
+    of = lambda v: view("v_driver").where(F.col("variable") == v)
+    product = view("v_unified").where("product_id = 5 AND unified > 0").select("year")
+    return product.intersect(of("popdens").where("value IS NOT NULL").select("year")).subtract(of("glw").select("year"))

@@ -32,7 +32,10 @@ _LAYERS = [
     ("sos", 2001, 20, 1), ("eos", 2001, 20, 1), ("los", 2003, 9, 2),
     ("graz_total", 2000, 6, 3), ("graz_cattle", 2000, 6, 3), ("graz_sheep", 2001, 5, 4),
     ("cropping", 2001, 19, 1), ("popdens", 2000, 21, 1), ("glw", 2010, 2, 10),
-    ("spei03_annual_mean", 1990, 30, 1), ("spei12_min", 1990, 30, 1),
+    ("spei03_annual_mean", 1990, 30, 1), ("spei12_annual_min", 1990, 30, 1),
+    *((v, 1982 + k % 4, 36 - k, 1) for k, v in enumerate(("CWD", "GSL", "R10", "R20", "Rx5day", "Tn10p", "Tn90p", "TNn", "TNx", "Tx10p", "Tx90p", "TXn"))),
+    *((f"{s}_{v}", 1990, 30 + k, 1) for s in ("spei03", "spei06", "spei12") for k, v in enumerate(("annual_mean", "gs_mean", "annual_min", "annual_max", "n_severe_drought", "n_severe_wet")) if (s, v) not in (("spei03", "annual_mean"), ("spei12", "annual_min"))),
+    ("graz_goat", 2000, 6, 3), ("graz_bigl", 2001, 5, 4),
 ]
 #: Rasters: (group, variable, year, factor, shift).
 _BANDS = [
