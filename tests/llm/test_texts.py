@@ -5,6 +5,7 @@ import bz2
 import contextlib
 import gzip
 import hashlib
+import math
 import random
 import re
 import urllib.parse
@@ -48,27 +49,102 @@ def slow_statistics(text):
 def test_quality_query_matches_brute_force(spark, data):
     docs = texts(spark, data)
     got = queries.op5_quality(spark, data).collect()
+    limits_of = slow_limits(docs.values())
     assert len(got) == len(docs)
     for r in got:
         n, chars, symbols, dups, repeats = slow_statistics(docs[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dups, repeats)
         assert r.base_failed == (n < 50 or 100 * repeats > 50 * n)
-        assert r.kept == (not r.base_failed and slow_bands(docs[r.doc_id]))
-
-
-def slow_bands(text):
+        assert r.kept == (not r.base_failed and slow_bands(docs[r.doc_id], limits_of))
+
+
+def slow_limits(held):
+    """Limits of a corpus by plain lists: quartiles of steps of the ratio's logarithm, by half octaves of length."""
+    lists = {}
+    for text in {t for t in held if t}:
+        n, *_, repeats = slow_statistics(text)
+        if n < 50 or 100 * repeats > 50 * n:
+            continue
+        b = text.encode()
+        parts = [b] + ([b[i : i + 4096] for i in range(0, len(b), 4096)] if len(b) > 4096 else [])
+        if len(parts) > 2 and len(parts[-1]) < 1024:
+            parts[-2:] = [parts[-2] + parts[-1]]
+        for p in parts:
+            k = sum(len(p) >= 2 ** (j / 2) for j in range(1, 81))
+            lists.setdefault(k, []).append(math.floor(math.log(len(p) / len(zstandard.ZstdCompressor(level=3).compress(p))) / quality.STEP))
+    out = {}
+    for k in range(80):
+        for reach in range(4):
+            pool = sorted(x for j in range(k - reach, k + reach + 1) for x in lists.get(j, []))
+            if len(pool) >= quality.LEAST_TEXTS and k <= max(lists):
+                q1, q2, q3 = ((pool[math.ceil(len(pool) * q / 4) - 1] + 0.5) * quality.STEP for q in (1, 2, 3))
+                s = max((q3 - q1) / 1.349, quality.SPREAD)
+                out[k] = (math.exp(q2 - quality.WIDTH * s), math.exp(q2 + quality.WIDTH * s))
+                break
+
+    def limits_of(n):
+        low, high = out.get(sum(n >= 2 ** (j / 2) for j in range(1, 81)), (0.0, 6.0))
+        return max(low, 1.10 if n < 256 else 1.25 if n < 725 else 1.39), min(high, 6.0)
+
+    return limits_of
+
+
+def slow_bands(text, limits_of):
     b = text.encode()
     parts = [b] + ([b[i : i + 4096] for i in range(0, len(b), 4096)] if len(b) > 4096 else [])
     if len(parts) > 2 and len(parts[-1]) < 1024:
         parts[-2:] = [parts[-2] + parts[-1]]
     for p in parts:
         r = len(p) / len(zstandard.ZstdCompressor(level=3).compress(p))
-        low, high = next((lo, hi) for n, lo, hi in quality.BANDS if len(p) < n)
+        low, high = limits_of(len(p))
         if not low <= r <= high:
             return False
     return True
 
 
+def prose_of(size, half):
+    """Overlapping pieces of one half of the language's own reference, which no part of this repository has to do with; without tables and diagrams."""
+    from pydoc_data.topics import topics
+
+    names = sorted(topics)
+    whole = "\n".join(topics[k] for k in names[half::2])
+    parts = [whole[i : i + size] for i in range(0, len(whole) - size, size // 3)]
+    return [p for p in parts if not re.search(r"[-=+|]{4}| {8}|\.{5}", p)]
+
+
+def test_bands_of_a_corpus_keep_prose_and_reject_what_is_odd_in_it(spark):
+    sizes = (700, 1500, 3000, 5000)
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = [in_words(rng, alphabet, n).decode() for n in (*sizes, 12000) for _ in range(6)]
+    rows = ["\n".join("row %d of the table has the value %d today" % (i, i * k) for i in range(n // 40)) for n in (3000, 6000, 12000) for k in range(2, 8)]
+    learnt = [t for n in sizes for t in prose_of(n, 0)]
+    bands = quality.fit_bands(spark.createDataFrame([(t,) for t in learnt + noise + rows], "text string"))
+    assert [b for b, _, _ in bands] == sorted(b for b, _, _ in bands) and all(low < high for _, low, high in bands)
+    for n in sizes:
+        judged = [v[6] for v in (quality.judge(t.encode(), bands=bands) for t in prose_of(n, 1)) if not v[5]]
+        assert len(judged) >= 20 and judged.count(False) <= 0.02 * len(judged), (n, len(judged), judged.count(False))
+    assert not any(quality.judge(t.encode(), bands=bands)[6] for t in noise)
+    assert not any(quality.judge(t.encode(), bands=bands)[6] for t in rows)
+
+
+def test_bands_of_the_corpus_keep_all_labelled_good_and_reject_long_junk(spark, data):
+    folder = data.rsplit("/", 1)[0] + "/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bands = quality.fit_bands(docs)
+    verdicts = [(labels[r.doc_id], quality.judge((r.text or "").encode(), bands=bands)) for r in docs.collect() if r.doc_id in labels]
+    good, junk = ([v[6] for of, v in verdicts if of == k and not v[5]] for k in (1, 0))
+    assert len(good) > 3000 and all(good)
+    assert junk.count(False) > 0.25 * len(junk)
+
+
+def test_limits_of_few_texts_are_wide():
+    assert quality.limits({}) == quality.UNFITTED
+    few = quality.limits({20: {350: 5}})
+    assert few[-1] == quality.UNFITTED[-1] and {(low, high) for _, low, high in few} == {(1.10, 6.0), (1.25, 6.0), (1.39, 6.0)}
+
+
 def test_quality_rejects_repeats_and_noise():
     rng = random.Random(0)
     noise = base64.b64encode(rng.randbytes(6000)).decode()
