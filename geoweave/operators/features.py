@@ -87,27 +87,30 @@ def long_features(long: DataFrame, anchors: Sequence[int], *, slopes: Sequence[t
     needs 3 values, and that many layers of the variable in the window. The anomaly is the state less
     the mean over the ``baseline`` (first, last, least years with a value).
 
-    One aggregation by key and variable holds all anchors: the rows of a layer are neither joined nor
-    multiplied. Which layers exist is a table of variables x years, the only thing that is collected."""
+    One aggregation by key and variable holds all anchors, so the rows of a layer are not multiplied. Which layers exist is a
+    table of variables x years, the only thing that is collected; it comes back as one row a variable."""
     listed: dict[str, list[int]] = {}
     for r in long.select("variable", "year").distinct().collect():
         listed.setdefault(r.variable, []).append(r.year)
     variables = sorted(listed)
     if not variables:
         return long.sparkSession.createDataFrame([], ", ".join([f"{key} {dict(long.dtypes)[key]}", "year int", "variable string", "state double", *(f"slope{n}y double" for n, _ in slopes), *(["anomaly double"] if baseline else [])]))
-    by_variable = lambda f: F.create_map(*(F.lit(x) for v in variables for x in (v, f(v))))[F.col("variable")]
     value, year = F.col("value").cast("double"), F.col("year").cast("double")
-    parts, rows = [], []
+    parts, rows, dimension = [], [], []
+    for v in variables:
+        nearest = {a: min(listed[v], key=lambda y: (abs(y - a), y)) for a in anchors}
+        ends = {a: nearest[a] if at_state else a for a in anchors}
+        dimension.append((v, *(nearest[a] for a in anchors), *(sum(ends[a] - n < y <= ends[a] for y in set(listed[v])) >= least for a in anchors for n, least in slopes)))
+    names = [*(f"_source{a} int" for a in anchors), *(f"_enough{n}_{a} boolean" for a in anchors for n, _ in slopes)]
+    sources = long.sparkSession.createDataFrame(dimension, ", ".join(["variable string", *names]))
     for a in anchors:
-        nearest = {v: min(listed[v], key=lambda y: (abs(y - a), y)) for v in variables}
-        source = by_variable(nearest.get)
+        source = F.col(f"_source{a}")
         parts.append(F.max(F.when(F.col("year") == source, value)).alias(f"_state{a}"))
         fields = [F.lit(a).alias("year"), F.col(f"_state{a}").alias("state")]
-        for n, least in slopes:
+        for n, _ in slopes:
             last = source if at_state else F.lit(a)
             inside = F.when(F.col("year").between(last - n + 1, last), value)
-            enough = by_variable(lambda v: sum((nearest[v] if at_state else a) - n < y <= (nearest[v] if at_state else a) for y in set(listed[v])) >= least)
-            parts.append(F.when((F.count(inside) >= 3) & F.first(enough), F.regr_slope(inside, year)).alias(f"_slope{n}_{a}"))
+            parts.append(F.when((F.count(inside) >= 3) & F.first(f"_enough{n}_{a}"), F.regr_slope(inside, year)).alias(f"_slope{n}_{a}"))
             fields.append(F.col(f"_slope{n}_{a}").alias(f"slope{n}y"))
         if baseline:
             fields.append(F.when(F.col("_n") >= baseline[2], F.col(f"_state{a}") - F.col("_mean")).alias("anomaly"))
@@ -115,7 +118,7 @@ def long_features(long: DataFrame, anchors: Sequence[int], *, slopes: Sequence[t
     if baseline:
         inside = F.when(F.col("year").between(*baseline[:2]), value)
         parts += [F.avg(inside).alias("_mean"), F.count(inside).alias("_n")]
-    made = long.groupBy(key, "variable").agg(*parts).select(key, "variable", F.inline(F.array(*rows)))
+    made = long.join(F.broadcast(sources), "variable").groupBy(key, "variable").agg(*parts).select(key, "variable", F.inline(F.array(*rows)))
     return made.select(key, "year", "variable", *made.columns[3:])
 
 
