@@ -388,13 +388,13 @@ def rf_importance(spark, view):
     return spark.createDataFrame(models.importance(held, names), "feature string, importance double")
 
 
-_BOOSTED = boosting.Settings(rounds=10, depth=5, rate=0.3, patience=3)
+_BOOSTED = boosting.Settings(rounds=8, depth=4, rate=0.3, patience=3)
 _FEATURES = ["from_class", "conf_from", "nbr3_class", "x", "y"]
 
 
 def _boosted(spark, view, features=_FEATURES):
     data = _training(spark, view).withColumn("row", F.col("pix") * 10000 + F.col("from_year"))
-    return data, boosting.fit(data, features, "to_class", "row", fold="fold", held_out=range(5), settings=_BOOSTED)
+    return data, boosting.fit(data, features, "to_class", "row", fold="fold", held_out=range(5), bins=16, settings=_BOOSTED)
 
 
 @query()
@@ -422,7 +422,7 @@ def boosted_permutation(spark, view):
 def boosted_map(spark, view):
     """The class that one boosted model of all transitions expects five years after 2020, and its probability, for every cell."""
     data = _training(spark, view).withColumn("row", F.col("pix") * 10000 + F.col("from_year"))
-    model = boosting.fit(data, _FEATURES, "to_class", "row", settings=_BOOSTED)
+    model = boosting.fit(data, _FEATURES, "to_class", "row", bins=16, settings=_BOOSTED)
     now = view("v_class2020").select("pix", F.col("class").alias("from_class"), F.col("class").alias("nbr3_class"), "x", "y")
     now = now.join(view("v_map").where("year = 2020").select("pix", F.col("conf").alias("conf_from")), "pix")
     return model.predicted(now).select("pix", "from_class", "predicted", F.round("predicted_p", 6).alias("probability"))
