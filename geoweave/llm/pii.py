@@ -7,12 +7,14 @@ a checksum, a gazetteer, the words before it, and the characters beside it.
 
 The votes of the whole corpus are counted together with what the classifier sees of a span:
 a table bounded by the values of its few small columns and not by the corpus. On it the driver
-runs expectation-maximisation, which estimates from the votes alone how reliable each labeler is,
-and fits a logistic classifier to the resulting probabilities. That classifier sees besides the
-votes the span's own characters (digits, length, signs) and its neighbours (a hash of the word
-before, the kind of character behind), so it also tells spans apart that get the same votes. A
-second pass over the texts adds the candidates that it accepts; base spans always stay. No
-shuffle but that of the small counts.
+runs expectation-maximisation from the majority vote on, with a logistic classifier in the place
+of a constant prior. What that sees is what no labeler votes on: by
+kind, the span's own characters (digits, length, signs) and what stands behind it, and a hash of
+the word before. Every round fits it to the present probabilities and estimates anew how reliable
+each labeler is; a span's log-odds are the classifier's plus those of its votes. So spans that
+get the same votes are told apart by the company they keep, and spans that look alike by their
+votes. A second pass over the texts adds the candidates that are accepted; base spans always stay.
+No shuffle but that of the small counts.
 
 Defined results: a null text is empty; repeated rows give equal rows; ``doc_id`` may be
 null; of candidates that overlap, the first and longest counts; a very long text costs its
@@ -246,72 +248,112 @@ def count_evidence(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Labeler reliabilities and the span classifier."""
+    """Labeler reliabilities, the evidence of their votes, and the span classifier."""
 
-    def __init__(self, weights: np.ndarray, reliability: np.ndarray, prior: np.ndarray):
-        self.weights, self.reliability, self.prior = weights, reliability, prior
+    def __init__(self, weights: np.ndarray, reliability: np.ndarray):
+        self.weights, self.reliability = weights, reliability
+
+    def log_odds(self, e: np.ndarray) -> np.ndarray:
+        return self.weights[_features(e)].sum(axis=1) + _evidence_of_votes(self.reliability, e)
 
     def probability(self, e: Evidence) -> float:
-        return float(1 / (1 + np.exp(-(_features(np.array([e])) @ self.weights)[0])))
+        return float(_logistic(self.log_odds(np.array([e])))[0])
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+_WIDTH = 1 + len(LABELERS) + len(SEEN)
+#: Number of the classifier's features: kinds, what is seen of a span by kind, and words whatever the kind.
+_N_FEATURES = len(KINDS) * (1 + sum(SEEN.values()) - SEEN["word"]) + SEEN["word"]
 
 
 def _features(e: np.ndarray) -> np.ndarray:
-    """One-hot kind, votes and what else is seen, and a constant."""
-    columns = [e[:, 0] == k for k in range(len(KINDS))]
-    columns += [e[:, 1 + j] == v for j in range(len(LABELERS)) for v in (-1, 1)]
-    for j, n in enumerate(SEEN.values()):
-        columns += [e[:, 1 + len(LABELERS) + j] == v for v in range(n)]
-    return np.stack([*columns, np.ones(len(e), bool)], axis=1).astype(float)
+    """The features that each row has, by number: its kind, each thing seen with its kind, the word before."""
+    kind, out, first = e[:, 0], [e[:, 0]], len(KINDS)
+    for j, (name, n) in enumerate(SEEN.items()):
+        value = e[:, 1 + len(LABELERS) + j]
+        if name == "word":
+            out.append(first + value)
+            first += n
+        else:
+            out.append(first + kind * n + value)
+            first += len(KINDS) * n
+    return np.stack(out, axis=1)
+
+
+def _evidence_of_votes(reliability: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Log-odds of each row's votes, given P(vote | class) as [labeler, class, vote + 1]; 0 for a labeler that abstains."""
+    ratio = np.log(reliability[:, 1] / reliability[:, 0])
+    ratio[:, 1] = 0
+    return sum(ratio[j, e[:, 1 + j] + 1] for j in range(len(LABELERS)))
+
 
+def _reliability(e: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """P(vote | class) as [labeler, class, vote + 1] of the labelers that don't abstain (vote 0), with one smoothing count."""
+    seen = np.ones((len(LABELERS), 2, 3))
+    for j in range(len(LABELERS)):
+        seen[j, 1] += np.bincount(e[:, 1 + j] + 1, n * p, 3)
+        seen[j, 0] += np.bincount(e[:, 1 + j] + 1, n * (1 - p), 3)
+    return seen / (seen[:, :, :1] + seen[:, :, 2:])
 
-def expectation_maximisation(e: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(probability of each row, P(vote | class) as [labeler, class, vote + 1], P(class 1 | kind)).
 
-    Starts from the majority vote; one smoothing count for every vote and class."""
-    votes = e[:, 1 : 1 + len(LABELERS)] + 1
-    p = 1 / (1 + np.exp(-1.5 * (votes - 1).sum(axis=1)))
+def majority(e: np.ndarray) -> np.ndarray:
+    return _logistic(1.5 * e[:, 1 : 1 + len(LABELERS)].sum(axis=1))
+
+
+def expectation_maximisation(e: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each row by its kind and votes alone, reliabilities): what the classifier is compared with."""
+    p = majority(e)
+    of_kind = 2 + np.bincount(e[:, 0], n, len(KINDS))
     for _ in range(rounds):
-        prior = np.array([(1 + (n * p)[e[:, 0] == k].sum()) / (2 + n[e[:, 0] == k].sum()) for k in range(len(KINDS))])
-        seen = np.ones((len(LABELERS), 2, 3))
-        for j in range(len(LABELERS)):
-            np.add.at(seen[j, 1], votes[:, j], n * p)
-            np.add.at(seen[j, 0], votes[:, j], n * (1 - p))
-        seen /= seen.sum(axis=2, keepdims=True)
-        log = np.log(np.stack([1 - prior, prior], axis=1))[e[:, 0]]
-        for j in range(len(LABELERS)):
-            log += np.log(seen[j][:, votes[:, j]]).T
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-        if np.abs(new - p).max() < 1e-9:
-            p = new
+        prior = ((1 + np.bincount(e[:, 0], n * p, len(KINDS))) / of_kind)[e[:, 0]]
+        reliability = _reliability(e, n, p)
+        before, p = p, _logistic(np.log(prior / (1 - prior)) + _evidence_of_votes(reliability, e))
+        if np.abs(p - before).max() < 1e-9:
             break
-        p = new
-    return p, seen, prior
+    return p, reliability
+
 
+def classifier(features: np.ndarray, n: np.ndarray, p: np.ndarray, weights: np.ndarray, penalty: float = 1.0, steps: int = 20) -> np.ndarray:
+    """Weights of the penalised logistic regression of ``p`` on the features, by Newton's method from ``weights`` on."""
+    width, each = len(weights), features.shape[1]
+    pairs = (features[:, :, None] * width + features[:, None, :]).reshape(-1)
+    for _ in range(steps):
+        q = _logistic(weights[features].sum(axis=1))
+        gradient = np.bincount(features.reshape(-1), np.repeat(n * (q - p), each), width) + penalty * weights
+        hessian = np.bincount(pairs, np.repeat(n * q * (1 - q), each * each), width * width).reshape(width, width) + penalty * np.eye(width)
+        step = np.linalg.solve(hessian, gradient)
+        weights = weights - step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return weights
 
-def fit(rows: list[tuple[int, ...]]) -> Model:
-    """Model from rows of :func:`count_evidence`; their order has no effect. Votes are pooled for the estimation."""
-    width = 1 + len(LABELERS) + len(SEEN)
+
+def fit(rows: list[tuple[int, ...]], rounds: int = 20) -> Model:
+    """Model from rows of :func:`count_evidence`; their order has no effect.
+
+    It starts from the majority vote, which leaves ties open for the classifier."""
     if not rows:
-        weights = np.zeros(_features(np.zeros((1, width), int)).shape[1])
-        weights[-1] = -20.0
-        return Model(weights, np.full((len(LABELERS), 2, 3), 1 / 3), np.full(len(KINDS), 0.5))
+        weights = np.zeros(_N_FEATURES)
+        weights[: len(KINDS)] = -20.0
+        return Model(weights, np.full((len(LABELERS), 2, 3), 1 / 3))
     table = np.array(sorted(rows), dtype=np.int64)
     e, n = table[:, :-1], table[:, -1].astype(float)
-    votes, of = np.unique(e[:, : 1 + len(LABELERS)], axis=0, return_inverse=True)
-    p, reliability, prior = expectation_maximisation(votes, np.bincount(of.reshape(-1), n))
-    p = p[of.reshape(-1)]
-    x = _features(e)
-    share = np.log1p(n)
-    weights = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton's method on the penalised likelihood
-        q = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        gradient = x.T @ (share * (q - p)) + 0.1 * weights
-        hessian = (x.T * (share * q * (1 - q) + 1e-9)) @ x + 0.1 * np.eye(len(weights))
-        step = np.linalg.solve(hessian, gradient)
-        weights = weights - step
-        if np.abs(step).max() < 1e-8:
+    p = majority(e)
+    # The classifier can't tell rows with equal features apart: they are one, with the mean of their probabilities.
+    features, of = np.unique(_features(e), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    held = np.bincount(of, n)
+    weights = np.zeros(_N_FEATURES)
+    for _ in range(rounds):
+        weights = classifier(features, held, np.bincount(of, n * p) / held, weights)
+        model = Model(weights, _reliability(e, n, p))
+        before, p = p, _logistic(model.log_odds(e))
+        if np.abs(p - before).max() < 1e-6:
             break
-    return Model(weights, reliability, prior)
+    return model
 
 
 def train(docs: DataFrame) -> Model:

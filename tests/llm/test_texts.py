@@ -11,6 +11,7 @@ import re
 import urllib.parse
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 import zstandard
@@ -430,7 +431,80 @@ def test_the_classifier_sees_more_than_votes():
     rows = [row((1, 1, 1, 1, 1), good, 400), row((0, -1, -1, -1, -1), bad, 400), row((0, 1, -1, 0, 1), good, 50), row((0, 1, -1, 0, 1), bad, 50)]
     model = pii.fit(rows)
     undecided = lambda word: model.probability(row((0, 0, 0, 0, 0), word, 0)[:-1])
-    assert undecided(good) > undecided(bad) + 0.02
+    assert undecided(good) > undecided(bad) + 0.2
+
+
+def slow_fit(rows, rounds=20):
+    """The whole estimation by plain loops, the classifier by many small gradient steps; rows to probabilities."""
+    names = lambda e: [("kind", e[0])] + [(name, v) if name == "word" else (name, e[0], v) for name, v in zip(pii.SEEN, e[6:])]
+    odds = lambda x: 1 / (1 + math.exp(-max(-50, min(50, x))))
+    p = {e: odds(1.5 * sum(e[1:6])) for *e, n in map(list, rows) for e in [tuple(e)]}
+    n_of = {tuple(r[:-1]): r[-1] for r in rows}
+
+    def votes():
+        ratio = {}
+        for j in range(5):
+            share = []
+            for c in (0, 1):
+                held = {v: 1 + sum(n * (p[e] if c else 1 - p[e]) for e, n in n_of.items() if e[1 + j] == v) for v in (-1, 1)}
+                share.append({v: x / sum(held.values()) for v, x in held.items()})
+            ratio[j] = {0: 0.0} | {v: math.log(share[1][v] / share[0][v]) for v in (-1, 1)}
+        return {e: sum(ratio[j][e[1 + j]] for j in range(5)) for e in n_of}
+
+    w = {f: 0.0 for e in n_of for f in names(e)}
+    for _ in range(rounds):
+        top = sum(n_of.values()) * 6 / 4 + 1
+        for _ in range(3000):
+            slope = dict(w)
+            for e, n in n_of.items():
+                off = n * (odds(sum(w[f] for f in names(e))) - p[e])
+                for f in names(e):
+                    slope[f] += off
+            w = {f: w[f] - slope[f] / top for f in w}
+        held = votes()
+        p = {e: odds(sum(w[f] for f in names(e)) + held[e]) for e in n_of}
+    return p
+
+
+def test_the_model_equals_plain_loops():
+    row = lambda kind, votes, word, n: (kind, *votes, 1, 3, 2, word, 1, n)
+    rows = [row(3, (1, 1, 1, 1, 1), 5, 12), row(3, (0, -1, -1, 0, -1), 9, 9), row(3, (0, 1, -1, 0, 1), 5, 4), row(3, (0, 1, -1, 0, 1), 9, 4), row(2, (0, 1, 1, 0, 1), 5, 3)]
+    model, want = pii.fit(rows), slow_fit(rows)
+    for r in rows:
+        assert model.probability(r[:-1]) == pytest.approx(want[r[:-1]], abs=2e-3)
+
+
+def test_planted_spans_whose_votes_tie(spark):
+    """National numbers behind a word that also stands before strict ones are found, equal ones behind another word aren't:
+    their votes are the same, two for and two against, and so the votes alone decide both alike."""
+    rng = random.Random(3)
+    number = lambda: f"{rng.randint(210, 989)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    rows, planted, others = [], set(), set()
+    for i in range(500):
+        if i % 5 == 0:
+            text = f"Reach me on ring +1 {number()} today"
+        elif i % 5 == 1:
+            text = f"By order ring #+1 {number()} today"
+        elif i % 5 == 2:
+            text = f"By order ring #{number()} today"
+            planted.add(i)
+        elif i % 5 == 3:
+            text = f"By order lot #{number()} today"
+            others.add(i)
+        else:
+            text = f"By order lot #1{number()[1:]} today"
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(docs)
+    votes = {i: pii.spans_and_evidence(t)[0][1][:6] for i, t in rows if i in planted or i in others}
+    assert len(set(votes.values())) == 1 and sum(votes[2][1:]) == 0
+    found = {r.doc_id for r in pii.personal_data(docs).collect() if r.n_added}
+    assert planted <= found and not others & found
+    table = np.array(sorted(tuple(r) for r in pii.count_evidence(docs).collect()))
+    alone, _ = pii.expectation_maximisation(table[:, :-1], table[:, -1].astype(float))
+    tied = (table[:, :6] == votes[2]).all(axis=1)
+    assert len({a >= pii.ACCEPT for a in alone[tied].tolist()}) == 1
+    assert len({model.probability(e) >= pii.ACCEPT for e in map(tuple, table[tied][:, :-1].tolist())}) == 2
 
 
 def test_added_spans_are_accepted_candidates(spark, data):
