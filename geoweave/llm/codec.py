@@ -1,17 +1,19 @@
 """Token-id files: an adaptive context-mixing range coder.
 
-**Predictions.** The next id is predicted by three orders:
+**Predictions.** Three orders predict the next id:
 
-* *order 2*: the id that followed the last two ids when they last stood in the block;
+* *order 2*: the id that followed the last two ids when they last stood in the block; where none
+  has held yet, the id that followed the last one alone;
 * *order 1*: the frequencies of the ids behind the class of the last id;
-* *order 0*: the frequencies of the ids, by buckets of their frequency ranks (about a quarter
-  of an octave of ranks), all places of a bucket alike.
+* *order 0*: the frequencies of the ids.
 
-Their shares are learnt in the block. That of order 2 mixes two estimates of how often it holds:
-one for the confidence of the prediction (0 to 3, growing with every success) and the last two
-outcomes, one for all together; the evidence behind the first decides how much it counts. The
-rest is shared by orders 1 and 0 as they were needed so far. The share of a distribution is
-spread by it; an id is coded by the highest order that knows it.
+An id's probability is the sum of what the three give it, by shares that are learnt in the block:
+after every id each order's share moves towards its part in the probability that the id had. The
+share of order 2 mixes two estimates, one for the confidence of the prediction (0 to 3, growing
+with every success), its source and the last two outcomes, one for all together; the evidence behind the first
+decides how much it counts. The rest is divided between orders 1 and 0. The mixture's cumulative
+frequency at an id is the same sum of the orders' own, so an id is one interval of the coder, and
+the decoder finds it by bisection.
 
 **Blocks.** Ids are cut into blocks of a fixed length. Every block starts from empty tables,
 even shares and a new coder, and carries the CRC-32 of its ids. What all blocks start with is
@@ -24,13 +26,13 @@ coded in lockstep: each step handles one id of every block with array operations
     magic 8s | documents u64 | ids u64 | block length u32 | slots of order 2 u32 | blocks u32 | ranks u32 | classes u32 | pairs u32 | bytes of the tables u32 | crc32 of all else u32
     doc ids i64[documents] | null flags u8[documents] | lengths u64[documents]
     ids by falling frequency u32[ranks] | words of each block u32[blocks] | crc32 of each block u32[blocks]
-    tables (zstandard): weights of the buckets u8[128] | class of each rank u8[ranks] | pairs of each class u32[classes]
+    tables (zstandard): weights of the ranks u8[ranks] | class of each rank u8[ranks] | pairs of each class u32[classes]
         | ranks of a class as differences u32[pairs], by byte planes | their weights u8[pairs]
     words of the blocks u16[...]
 
 Weights are quarter octaves of counts. Coder: the low end and the width of the interval, the
-width kept from 2**32 to 2**48, so that divisions are exact in double precision; 16-bit words
-leave at the top, and carries are added to the earlier words at the end.
+width kept from 2**32 to 2**48, so that divisions are exact in double precision; frequencies have a
+total of 2**30, shares included; 16-bit words leave at the top, and carries are added to the earlier words at the end.
 """
 
 from __future__ import annotations
@@ -41,18 +43,20 @@ from collections.abc import Sequence
 
 import numpy as np
 
-MAGIC = b"GWTOKEN2"
+MAGIC = b"GWTOKEN3"
 _HEAD = struct.Struct("<8sQQIIIIIIII")
 BLOCK = 2048
 #: Slots of a block's order-2 table, a power of two; one slot means no order 2.
 SLOTS = 2048
-#: Bits of the shares' total and of the total of a class or of the buckets.
-_SHARE = 12
-_TOTAL = 13
-_SYMBOLS = 128
+#: Bits of the mixture's total, and least bits in it for the total of one order; the shares have the rest.
+_TOTAL = 30
+_ORDER = 18
+_WEIGHTS = 128
+#: Entries of order 1's cumulative frequencies in memory; many ids leave room for fewer classes.
+_DENSE = 1 << 23
 #: Greatest number of classes, ids for each of them, and pairs of a class with a weight of their own.
-CLASSES = 64
-IDS_PER_CLASS = 1 << 14
+CLASSES = 128
+IDS_PER_CLASS = 1 << 13
 LISTED = 1 << 12
 #: Blocks coded in lockstep.
 LANES = 4096
@@ -71,17 +75,16 @@ def _bucket(rank: np.ndarray) -> np.ndarray:
     return (e - 2) * 4 + (x >> (e - 2)) - 4
 
 
-_B = np.arange(_SYMBOLS)
-_EXTRA = _B // 4  # bits that tell the place in a bucket
-_FIRST = ((4 + _B % 4).astype(np.int64) << np.minimum(_B // 4, 40)) - 4
+_B = np.arange(_WEIGHTS)
+_FIRST = ((4 + _B % 4).astype(np.int64) << np.minimum(_B // 4, 40)) - 4  # least rank, or count less one, of a bucket
 
 
-def _frequencies(weights: np.ndarray, total: int = 1 << _TOTAL) -> np.ndarray:
+def _frequencies(weights: np.ndarray, total: int) -> np.ndarray:
     """Integers from 1 with the given sum, in proportion to the counts that weights stand for."""
     n = _FIRST[weights] + 1
     whole = int(n.sum())
     room = total - len(n)
-    freq = 1 + (n.astype(object) * room // whole if whole > 1 << 46 else n * room // whole).astype(np.int64)
+    freq = 1 + (n.astype(object) * room // whole if whole > 1 << 32 else n * room // whole).astype(np.int64)
     freq[np.argmax(freq)] += total - int(freq.sum())
     return freq
 
@@ -89,41 +92,37 @@ def _frequencies(weights: np.ndarray, total: int = 1 << _TOTAL) -> np.ndarray:
 class Tables:
     """What all blocks of a frame start with: order 0 and order 1 by class."""
 
-    def __init__(self, buckets: np.ndarray, class_of: np.ndarray, listed: np.ndarray, symbols: np.ndarray, weights: np.ndarray):
-        self.buckets, self.class_of, self.listed, self.symbols, self.weights = buckets, class_of, listed, symbols, weights
-        used = np.flatnonzero(buckets)
-        self.bucket_freq = np.zeros(_SYMBOLS, np.int64)
-        if len(used):
-            self.bucket_freq[used] = _frequencies(buckets[used] - 1)
-        self.bucket_start = np.cumsum(self.bucket_freq) - self.bucket_freq
-        self.bucket_at = np.repeat(np.arange(_SYMBOLS), self.bucket_freq)
+    def __init__(self, counts: np.ndarray, class_of: np.ndarray, listed: np.ndarray, symbols: np.ndarray, weights: np.ndarray):
+        self.counts, self.class_of, self.listed, self.symbols, self.weights = counts, class_of, listed, symbols, weights
+        n, classes = len(counts), len(listed)
+        self.bits = max(_ORDER, n.bit_length() + 1)
+        if self.bits > _TOTAL - 4:
+            raise ValueError("too many different ids for one frame")
+        self.levels = max(1, (n - 1).bit_length())
+        #: Cumulative frequencies at every rank, the whole beyond the last; of all ids, and behind each class, row by row.
+        self.row = (1 << self.levels) + 1
+        self.zero = np.full(self.row, 1 << self.bits, np.int32)
+        self.zero[:n] = np.cumsum(freq := _frequencies(counts, 1 << self.bits)) - freq
+        self.one = np.empty(classes * self.row, np.int32)
         ends = np.cumsum(listed)
-        freq = [_frequencies(weights[e - n : e]) for e, n in zip(ends.tolist(), listed.tolist()) if n]
-        self.freq = np.concatenate([*freq, np.empty(0, np.int64)])
-        owner = np.repeat(np.arange(len(listed)), listed)
-        self.start = np.cumsum(self.freq) - self.freq & (1 << _TOTAL) - 1
-        self.owner = owner
-        self.empty = listed == 0
+        for c, (e, k) in enumerate(zip(ends.tolist(), listed.tolist())):
+            held = np.zeros(self.row, np.int32)
+            if k:
+                held[symbols[e - k : e] + 1] = _frequencies(weights[e - k : e], 1 << self.bits)
+            self.one[c * self.row : (c + 1) * self.row] = np.cumsum(held) if k else self.zero
+        self.row_of = class_of.astype(np.int64) * self.row
 
     @classmethod
-    def of(cls, ranks: np.ndarray, block: int, n_ranks: int, classes: int) -> tuple[Tables, np.ndarray]:
-        """The tables, and the class before each id and the id as one number."""
+    def of(cls, ranks: np.ndarray, block: int, n_ranks: int, classes: int) -> Tables:
         counts = np.bincount(ranks, minlength=n_ranks)
-        b = _bucket(np.arange(n_ranks))
-        held = np.bincount(b, counts, _SYMBOLS).astype(np.int64)
-        buckets = np.where(held > 0, _bucket(np.maximum(held - 1, 0)) + 1, 0).astype(np.uint8)
         before = np.concatenate([np.zeros(1, ranks.dtype), ranks[:-1]])
         before[::block] = 0  # a block doesn't know the id before it
-        class_of = _classes(before, ranks, counts, classes)
+        class_of = _classes(before, ranks, counts, min(classes, _DENSE // n_ranks))
         classes = int(class_of.max()) + 1 if len(class_of) else 1
         key = class_of[before].astype(np.int32 if classes * n_ranks < 1 << 31 else np.int64) * n_ranks + ranks.astype(np.int32 if n_ranks < 1 << 31 else np.int64)
-        if classes * n_ranks <= 1 << 23:
-            n = np.bincount(key, minlength=classes * n_ranks)
-            pairs = np.flatnonzero(n > 1)
-            n = n[pairs]
-        else:
-            pairs, n = np.unique(key, return_counts=True)
-            pairs, n = pairs[n > 1], n[n > 1]
+        n = np.bincount(key, minlength=classes * n_ranks)
+        pairs = np.flatnonzero(n > 1)
+        n = n[pairs]
         of, symbol = pairs // n_ranks, pairs % n_ranks
         order = np.lexsort((symbol, -n, of))
         starts = np.searchsorted(of, np.arange(classes))
@@ -131,7 +130,8 @@ class Tables:
         place[order] = np.arange(len(of)) - starts[of[order]]
         chosen = place < LISTED
         of, symbol, n = of[chosen], symbol[chosen], n[chosen]
-        return cls(buckets, class_of, np.bincount(of, minlength=classes), symbol, _bucket(n - 1).astype(np.uint8)), key
+        weights = _bucket(np.maximum(counts, 1) - 1).astype(np.uint8)
+        return cls(weights, class_of, np.bincount(of, minlength=classes), symbol, _bucket(n - 1).astype(np.uint8))
 
     def to_bytes(self) -> bytes:
         import zstandard
@@ -140,19 +140,19 @@ class Tables:
         steps = np.diff(self.symbols, prepend=0)
         first = (ends - self.listed)[self.listed > 0]
         steps[first] = self.symbols[first]
-        parts = [self.buckets.astype("u1"), self.class_of.astype("u1"), self.listed.astype("<u4"), steps.astype("<u4").view(np.uint8).reshape(-1, 4).T, self.weights.astype("u1")]
+        parts = [self.counts.astype("u1"), self.class_of.astype("u1"), self.listed.astype("<u4"), steps.astype("<u4").view(np.uint8).reshape(-1, 4).T, self.weights.astype("u1")]
         return zstandard.ZstdCompressor(level=9).compress(b"".join(p.tobytes() for p in parts))
 
     @classmethod
     def from_bytes(cls, data: bytes, ranks: int, classes: int, pairs: int) -> Tables:
         import zstandard
 
-        size = _SYMBOLS + ranks + 4 * classes + 5 * pairs
+        size = 2 * ranks + 4 * classes + 5 * pairs
         raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
         if len(raw) != size:
             raise ValueError("the tables of the frame are damaged")
-        buckets, class_of = np.frombuffer(raw, "u1", _SYMBOLS), np.frombuffer(raw, "u1", ranks, _SYMBOLS)
-        at = _SYMBOLS + ranks
+        counts, class_of = np.frombuffer(raw, "u1", ranks), np.frombuffer(raw, "u1", ranks, ranks)
+        at = 2 * ranks
         listed = np.frombuffer(raw, "<u4", classes, at).astype(np.int64)
         steps = np.frombuffer(raw, "u1", 4 * pairs, at + 4 * classes).reshape(4, pairs).T.copy().view("<u4").reshape(-1).astype(np.int64)
         weights = np.frombuffer(raw, "u1", pairs, at + 4 * classes + 4 * pairs)
@@ -161,7 +161,7 @@ class Tables:
         symbols = np.cumsum(steps)
         first = np.cumsum(listed) - listed
         base = np.where(listed > 0, symbols[np.minimum(first, max(0, pairs - 1))] - steps[np.minimum(first, max(0, pairs - 1))], 0) if pairs else np.zeros(classes, np.int64)
-        return cls(buckets.astype(np.int64), class_of, listed, symbols - np.repeat(base, listed), weights.astype(np.int64))
+        return cls(counts.astype(np.int64), class_of, listed, symbols - np.repeat(base, listed), weights.astype(np.int64))
 
 
 def _classes(before: np.ndarray, ranks: np.ndarray, counts: np.ndarray, classes: int) -> np.ndarray:
@@ -192,92 +192,113 @@ def _classes(before: np.ndarray, ranks: np.ndarray, counts: np.ndarray, classes:
 class _Model:
     """What many blocks learn, all at once; the same steps in both directions."""
 
-    def __init__(self, lanes: int, ranks: int, slots: int):
+    def __init__(self, lanes: int, tables: Tables, slots: int):
+        ranks = len(tables.counts)
+        self.tables, self.shares = tables, 1 << _TOTAL - tables.bits
         self.kind = np.uint16 if ranks <= 1 << 14 else np.uint32
         lane = np.arange(lanes, dtype=np.int64)
         self.table, self.row, self.shift = np.zeros(lanes * slots, self.kind), lane * slots, np.uint32(33 - slots.bit_length())
         self.held = slots > 1
-        #: Probability that order 2 holds, in 22 bits, and how often it was asked, in 6; by confidence and last two outcomes.
-        self.states, self.state_row = np.full(lanes * 16, _CHANCE << 6, np.int64), lane * 16
+        #: Share of order 2, in 22 bits, and how often it was asked, in 6; by source, confidence and last two outcomes.
+        self.states, self.state_row = np.full(lanes * 32, _CHANCE << 6, np.int64), lane * 32
+        self.short = np.zeros(lanes * slots, self.kind)
         self.pooled = np.full(lanes, _CHANCE, np.int64)
-        self.unknown = np.full(lanes, _CHANCE, np.int64)  # probability that order 1 doesn't know an id either
+        self.of_one = np.full(lanes, 3 << 20, np.int64)  # order 1's part of the rest, in 22 bits
         self.last = np.zeros(lanes, np.int64)
         self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self._next = np.array([1, 2, 3, 3], self.kind)
 
     def predict(self) -> None:
-        """Order 2's id, and where the shares of orders 2 and 1 end."""
+        """Order 2's id and the shares of the orders; that of order 2 times its whole frequency."""
         h = self.a * np.uint32(2654435761) ^ self.b * np.uint32(2246822519)
         self.at = self.row + (h >> self.shift)
         value = self.table[self.at]
-        self.guess, self.confidence = value >> 2, value & 3
-        self.state_at = self.state_row + (self.confidence << 2 | self.last)
+        self.long = value >> 2, value & 3
+        self.short_at = self.row + (self.b * np.uint32(2654435761) >> self.shift)
+        other = self.short[self.short_at]
+        self.brief = other >> 2, other & 3
+        alone = value & 3 == 0
+        value = np.where(alone, other, value)
+        self.guess, self.confidence = (value >> 2).astype(np.int64), value & 3
+        self.state_at = self.state_row + (alone.astype(np.int64) << 4 | self.confidence << 2 | self.last)
         state = self.states[self.state_at]
         self.seen, self.chance = state & 63, state >> 6
         mixed = self.pooled + ((self.chance - self.pooled) * _EVIDENCE[self.seen] >> 8)
-        self.end2 = 1 + (mixed * ((1 << _SHARE) - 3) >> 22)
-        rest = (1 << _SHARE) - self.end2
-        self.end1 = self.end2 + rest - 1 - (rest * self.unknown >> 23)
-
-    def learn(self, rank: np.ndarray, hit: np.ndarray, unknown: np.ndarray) -> None:
-        """``rank`` in the table's type; whether order 2 held; lanes that order 0 coded."""
+        two = 1 + (mixed * (self.shares - 3) >> 22)
+        rest = self.shares - two
+        self.one = 1 + ((rest - 2) * self.of_one >> 22)
+        self.zero = rest - self.one
+        self.two = two << self.tables.bits
+        self.behind = self.tables.row_of[self.b]
+
+    def interval(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's rank in the mixture."""
+        t = self.tables
+        at = self.behind + rank
+        begin1, begin0 = t.one[at].astype(np.int64), t.zero[rank].astype(np.int64)
+        self.from_one, from_zero = self.one * (t.one[at + 1] - begin1), self.zero * (t.zero[rank + 1] - begin0)
+        self.hit = self.guess == rank
+        self.rest = self.from_one + from_zero
+        self.size = self.rest + self.two * self.hit
+        return self.one * begin1 + self.zero * begin0 + self.two * (self.guess < rank), self.size
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """The rank whose interval holds the target, on each lane."""
+        t = self.tables
+        at = self.behind + self.guess
+        low = self.one * t.one[at] + self.zero * t.zero[self.guess]
+        high = self.one * t.one[at + 1] + self.zero * t.zero[self.guess + 1] + self.two
+        above = target >= high
+        other = np.flatnonzero(above | (target < low))
+        rank = self.guess.copy()
+        if len(other):
+            target = (target[other] - self.two[other] * above[other]).astype(np.int32)
+            one, zero, behind = self.one[other].astype(np.int32), self.zero[other].astype(np.int32), self.behind[other]
+            found = np.zeros(len(other), np.int64)
+            for level in range(t.levels - 1, -1, -1):
+                middle = found + (1 << level)
+                found += (one * t.one[behind + middle] + zero * t.zero[middle] <= target).astype(np.int64) << level
+            rank[other] = found
+        return rank
+
+    def learn(self, rank: np.ndarray) -> None:
+        """Shares move by what each order gave the rank of the last :meth:`interval`."""
+        hit = self.hit
         if self.held:
-            self.table[self.at] = rank << 2 | self._next[self.confidence] * hit
-        target = hit * np.int64((1 << 22) - 1)
+            kept = rank.astype(self.kind)
+            for table, at, (guess, confidence) in ((self.table, self.at, self.long), (self.short, self.short_at, self.brief)):
+                table[at] = kept << 2 | self._next[confidence] * (guess == kept)
+        target = ((self.two * hit) << 22) // self.size
         self.states[self.state_at] = (self.chance + ((target - self.chance) * _RATE[self.seen] >> 16)) << 6 | np.minimum(self.seen + 1, 62)
         self.pooled += (target - self.pooled) >> 5
-        self.unknown -= self.unknown >> 6
-        self.unknown[unknown] += (1 << 22) >> 6
+        self.of_one += (((self.from_one << 22) // self.rest - self.of_one) * ((1 << 22) - target) >> 22) >> 5
         self.last = self.last << 1 & 3 | hit
         self.a, self.b = self.b, rank.astype(np.uint32)
 
 
-def _encode_lanes(grid: np.ndarray, pair: np.ndarray, tables: Tables, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each column of ``grid`` (step, lane) of ranks and their ``pair``s (-1: none): (words end to end, words of each)."""
+def _encode_lanes(grid: np.ndarray, tables: Tables, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each column of ``grid`` (step, lane) of ranks: (words end to end, words of each)."""
     steps, lanes = grid.shape
-    model = _Model(lanes, len(tables.class_of), slots)
-    # Where order 1 puts each id; one that it doesn't know takes all of order 0's share first.
-    start_of, freq_of = np.append(tables.start, 0).astype(np.int16), np.append(tables.freq, 1 << _TOTAL).astype(np.int16)
+    model = _Model(lanes, tables, slots)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, _WHOLE, np.int64)
-    out = np.zeros((3 * steps + 8) * lanes, np.uint32)
+    out = np.zeros((2 * steps + 8) * lanes, np.uint32)  # an id narrows the width by 31 bits at most
     at = np.arange(lanes)
-
-    def emit(some: np.ndarray | None = None) -> None:
-        short = np.flatnonzero(width < _KEEP) if some is None else some[width[some] < _KEEP]
+    for step in range(steps):
+        model.predict()
+        rank = grid[step].astype(np.int64)
+        start, size = model.interval(rank)
+        unit = width >> _TOTAL
+        low += unit * start
+        width = unit * size
+        model.learn(rank)
+        short = np.flatnonzero(width < _KEEP)
         while len(short):
-            i, held, size = at[short], low[short], width[short] << 16
+            i, held, room = at[short], low[short], width[short] << 16
             out[i] = held >> 32  # with the carry into the word before
             at[short] = i + lanes
             low[short] = (held & (_KEEP - 1)) << 16
-            width[short] = size
-            short = short[size < _KEEP]
-
-    for step in range(steps):
-        model.predict()
-        rank, index = grid[step], pair[step]
-        hit = model.guess == rank
-        unknown = np.flatnonzero((index < 0) & ~hit)
-        unit = width >> _SHARE
-        begin, size = model.end2 * ~hit, np.where(hit, model.end2, model.end1 - model.end2)
-        begin[unknown], size[unknown] = model.end1[unknown], (1 << _SHARE) - model.end1[unknown]
-        low += unit * begin
-        unit = unit * size >> _TOTAL
-        index = np.where(hit, -1, index)  # order 2 names one id: no more to tell
-        low += unit * start_of[index]
-        width = unit * freq_of[index]
-        if len(unknown):
-            emit(unknown)
-            r = rank[unknown].astype(np.int64)
-            b = _bucket(r)
-            unit = width[unknown] >> _TOTAL
-            low[unknown] += unit * tables.bucket_start[b]
-            width[unknown] = unit * tables.bucket_freq[b]
-            emit(unknown)
-            unit = width[unknown] >> _EXTRA[b]
-            low[unknown] += unit * (r - _FIRST[b])
-            width[unknown] = unit
-        model.learn(rank, hit, unknown)
-        emit()
+            width[short] = room
+            short = short[room < _KEEP]
     # One more word lies inside the last interval, whatever is read after it.
     low += _KEEP - 1
     out[at] = low >> 32
@@ -294,67 +315,35 @@ def _encode_lanes(grid: np.ndarray, pair: np.ndarray, tables: Tables, slots: int
 def _decode_lanes(words: np.ndarray, sizes: np.ndarray, steps: int, tables: Tables, slots: int) -> np.ndarray:
     """The grid (step, lane) of ranks that ``_encode_lanes`` got. Past its end a block's words are zero."""
     lanes = len(sizes)
-    model = _Model(lanes, len(tables.class_of), slots)
+    model = _Model(lanes, tables, slots)
     most = int(sizes.max()) + 4
     spread = np.zeros((lanes, most), np.uint16)
     spread[np.arange(most) < sizes[:, None]] = words
-    spread = np.ascontiguousarray(spread.T).reshape(-1)
-    lane = np.arange(lanes)
-    spread = np.append(spread, np.uint16(0))
+    spread = np.append(np.ascontiguousarray(spread.T).reshape(-1), np.uint16(0))
     end = most * lanes  # behind all words: zero
-    at = lane.copy()
+    at = np.arange(lanes)
     code = np.zeros(lanes, np.int64)
     for _ in range(3):
         code = code << 16 | spread[at]
         at += lanes
     width = np.full(lanes, _WHOLE, np.int64)
     grid = np.empty((steps, lanes), model.kind)
-    # Place in the total of a class: its pair. What a class without pairs finds is never used.
-    inverse = np.append(np.repeat(np.arange(len(tables.freq), dtype=np.int32), tables.freq), np.zeros(1 << _TOTAL, np.int32))
-    first = (np.where(tables.empty, (~tables.empty).sum(), np.cumsum(~tables.empty) - 1) << _TOTAL)[tables.class_of]
-    packed = np.append(tables.symbols << 30 | tables.start << 15 | tables.freq, 0)
-    top = (1 << _TOTAL) - 1
-
-    def take(some: np.ndarray | None = None) -> None:
-        short = np.flatnonzero(width < _KEEP) if some is None else some[width[some] < _KEEP]
-        while len(short):
-            i, size = at[short], width[short] << 16
-            code[short] = code[short] << 16 | spread[np.minimum(i, end)]
-            at[short] = i + lanes
-            width[short] = size
-            short = short[size < _KEEP]
-
     for step in range(steps):
         model.predict()
-        unit = width >> _SHARE
-        past2, past1 = code >= unit * model.end2, code >= unit * model.end1
-        unknown = np.flatnonzero(past1)
-        begin, size = model.end2 * past2, np.where(past2, model.end1 - model.end2, model.end2)
-        begin[unknown], size[unknown] = model.end1[unknown], (1 << _SHARE) - model.end1[unknown]
-        code -= unit * begin
-        unit = unit * size >> _TOTAL
-        value = np.minimum((code / unit).astype(np.int64), top)
-        found = packed[inverse[first[model.b] + value]]
-        known = past2 ^ past1
-        found = np.where(known, found, 1 << _TOTAL)  # order 2 names one id, and order 0 has its own step
-        code -= unit * (found >> 15 & top)
-        width = unit * (found & 0x7FFF)
-        rank = np.where(known, (found >> 30).astype(model.kind), model.guess)
-        if len(unknown):
-            take(unknown)
-            unit = width[unknown] >> _TOTAL
-            b = tables.bucket_at[np.minimum((code[unknown] / unit).astype(np.int64), top)]
-            code[unknown] -= unit * tables.bucket_start[b]
-            width[unknown] = unit * tables.bucket_freq[b]
-            take(unknown)
-            unit = width[unknown] >> _EXTRA[b]
-            place = np.minimum((code[unknown] / unit).astype(np.int64), (1 << _EXTRA[b]) - 1)
-            code[unknown] -= unit * place
-            width[unknown] = unit
-            rank[unknown] = _FIRST[b] + place
+        unit = width >> _TOTAL
+        rank = model.find(np.minimum((code / unit).astype(np.int64), (1 << _TOTAL) - 1))
+        start, size = model.interval(rank)
+        code -= unit * start
+        width = unit * size
         grid[step] = rank
-        model.learn(rank, ~past2, unknown)
-        take()
+        model.learn(rank)
+        short = np.flatnonzero(width < _KEEP)
+        while len(short):
+            i, room = at[short], width[short] << 16
+            code[short] = code[short] << 16 | spread[np.minimum(i, end)]
+            at[short] = i + lanes
+            width[short] = room
+            short = short[room < _KEEP]
     return grid
 
 
@@ -381,22 +370,9 @@ def encode_frame(doc_ids: Sequence[int | None], documents: Sequence[bytes], bloc
     padded[: len(ids)] = ranks
     if classes is None:
         classes = min(CLASSES, len(ids) // IDS_PER_CLASS)
-    tables, key = Tables.of(padded, block, max(1, len(order)), classes)
-    n = len(tables.class_of)
-    pair_keys = tables.owner * n + tables.symbols
-    if len(tables.listed) * n <= 1 << 23:
-        place = np.full(len(tables.listed) * n, -1, np.int32)
-        place[pair_keys] = np.arange(len(pair_keys))
-        pair = place[key]
-    else:
-        at = np.minimum(np.searchsorted(pair_keys, key), max(0, len(pair_keys) - 1))
-        pair = np.where(pair_keys[at] == key, at, -1).astype(np.int32) if len(pair_keys) else np.full(len(key), -1, np.int32)
-    del key
-    kind = np.uint16 if n <= 1 << 14 else np.uint32
-    rows, pair = padded.astype(kind).reshape(blocks, block), pair.reshape(blocks, block)
-    coded = []
-    for i in range(0, blocks, LANES):
-        coded.append(_encode_lanes(np.ascontiguousarray(rows[i : i + LANES].T), np.ascontiguousarray(pair[i : i + LANES].T), tables, slots))
+    tables = Tables.of(padded, block, max(1, len(order)), classes)
+    rows = padded.astype(np.uint16 if len(tables.counts) <= 1 << 14 else np.uint32).reshape(blocks, block)
+    coded = [_encode_lanes(np.ascontiguousarray(rows[i : i + LANES].T), tables, slots) for i in range(0, blocks, LANES)]
     sums = np.array([zlib.crc32(ids[i : i + block].tobytes()) for i in range(0, len(ids), block)], "<u4")
     packed = tables.to_bytes()
     rest = b"".join(

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -189,7 +190,8 @@ def test_blocks_of_odd_ids_round_trip():
 
 
 def test_blocks_mix_three_orders(data):
-    """Bits an id on the real ids of a scale ten times the other tests', tables and all, against the entropy of order 0 (8.4)."""
+    """Bits an id on the real ids of a scale ten times the other tests', tables and all, against the entropy of order 0 (8.4)
+    and zstandard's highest ordinary level on the same ids as 16-bit numbers."""
     import pyarrow.parquet as pq
 
     folder = data.replace("sf0.001", "sf0.01")
@@ -208,6 +210,35 @@ def test_blocks_mix_three_orders(data):
     if len(ids) > 500_000:  # a frame of some size: its tables pay
         assert mixed < entropy - 1.2
         assert bits(slots=1) > mixed + 0.1 and bits(classes=1) > mixed + 1
+        ids_alone = codec.encode_frame([0], [b"".join(docs)])
+        assert len(ids_alone) < len(zstandard.ZstdCompressor(level=19).compress(ids.astype("<u2").tobytes()))
+
+
+def test_an_id_has_the_sum_of_what_the_orders_give():
+    """Every rank's interval in the mixture, on the way through a block: none overlap, they fill the total, and each is
+    as long as the shares times the orders' own frequencies; the decoder's bisection finds each from both its ends."""
+    rng = np.random.default_rng(5)
+    ranks = rng.zipf(1.5, 4000).clip(1, 40).astype(np.uint32) - 1
+    values = np.unique(ranks, return_inverse=True)[1].astype(np.uint32)
+    tables = codec.Tables.of(values, 1000, int(values.max()) + 1, 4)
+    n = len(tables.counts)
+    whole = 1 << tables.bits
+    zero = np.diff(tables.zero[: n + 1])
+    assert zero.sum() == whole and zero.min() >= 1
+    model = codec._Model(1, tables, 64)
+    for step in range(300):
+        model.predict()
+        one = np.diff(tables.one[int(model.behind[0]) : int(model.behind[0]) + n + 1])
+        at = 0
+        for r in range(n):
+            start, size = model.interval(np.array([r]))
+            assert (start[0], size[0]) == (at, model.one[0] * one[r] + model.zero[0] * zero[r] + model.two[0] * (model.guess[0] == r))
+            assert model.find(start)[0] == r == model.find(start + size - 1)[0]
+            at += int(size[0])
+        assert at == 1 << codec._TOTAL
+        rank = values[step : step + 1].astype(np.int64)
+        model.interval(rank)
+        model.learn(rank)
 
 
 def whole_ids(docs, end):
