@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from geoweave.operators import grid
+from geoweave.operators import boosting, grid
 
 
 def plan_of(df):
@@ -21,3 +21,24 @@ def test_distances_take_one_step_a_row_of_a_tall_column(spark):
     assert "unboundedpreceding$(), currentrow$()" in plan
     assert "unboundedfollowing" not in plan  # Spark computes such a frame from its end for every row: the square of a column
     assert {x.d2 for x in grid.distance_squared(cells, roads.where(F.lit(False)), 300, 3).collect()} == {None}
+
+
+def test_boosting_reads_rows_of_equal_bins_once(spark):
+    rng = np.random.default_rng(6)
+    distinct = [(float(x), float(y)) for x in range(4) for y in range(3)]
+    picked = rng.integers(len(distinct), size=3000)
+    data = [(i, *distinct[k], int((k + (rng.random() < 0.2)) % 3), i % 2) for i, k in enumerate(picked.tolist())]
+    df = spark.createDataFrame(data, "id long, x double, y double, label int, fold int")
+    s = boosting.Settings(rounds=2, depth=2, rate=0.3)
+    model = boosting.fit(df.repartition(3), ["x", "y"], "label", "id", fold="fold", held_out=[0, 1], bins=8, settings=s)
+    step = boosting._Pass([0, 1], 3, 2, s)
+    table = boosting.prepared(df, ["x", "y"], "label", "id", "fold", model.edges, model.classes, step)
+    packs = table.select("bins", "counts", F.length("keys").alias("bytes")).collect()
+    # As many packs as there are different bins, full packs and ends of tasks; not as many as there are rows.
+    assert len(packs) <= len(distinct) + len(data) // boosting.PACK + 8 * len(distinct)
+    assert sum(p.bytes for p in packs) == 8 * len(data) and len({bytes(p.bins) for p in packs}) == len(distinct)
+    # A pack counts the rows that each model learns from.
+    key, fold = (np.array([r[0] for r in df.select(c).orderBy("id").collect()]) for c in (F.xxhash64("id"), "fold"))
+    drawn = boosting._mixed(key, s.seed * 31 + 7919) < s.rows
+    want = [int((step.learns(m, key, fold)[0] & drawn).sum()) for m in (0, 1)]
+    assert np.sum([np.frombuffer(bytes(p.counts), np.int32).reshape(2, 3).sum(axis=1) for p in packs], axis=0).tolist() == want
