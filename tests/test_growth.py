@@ -1,9 +1,13 @@
 """What a step costs must not grow faster than its input."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from geoweave.operators import boosting, grid
+from geoweave.operators import boosting, fusion, grid
+from geoweave.plans.queries import QUERIES
+from geoweave.plans.views import spark_view
+from geoweave.sources import catalog
 
 
 def plan_of(df):
@@ -42,3 +46,24 @@ def test_boosting_reads_rows_of_equal_bins_once(spark):
     drawn = boosting._mixed(key, s.seed * 31 + 7919) < s.rows
     want = [int((step.learns(m, key, fold)[0] & drawn).sum()) for m in (0, 1)]
     assert np.sum([np.frombuffer(bytes(p.counts), np.int32).reshape(2, 3).sum(axis=1) for p in packs], axis=0).tolist() == want
+
+
+def test_votes_are_dealt_before_they_are_multiplied(spark):
+    plan = spark_view(spark, "/root/testdata/sf0.001", "v_votes")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and all("orderkey" in line and "year" not in line for line in dealt)
+
+
+def test_class_areas_fuse_a_cell_once(spark):
+    fused = spark.range(60).selectExpr("CAST(id % 2 AS INT) AS year", "CAST(id % 3 AS INT) AS fused", "CAST(id % 50 AS INT) AS conf_joint", "CAST(id % 4 AS INT) AS agreement")
+    out = fusion.class_area(fused)
+    assert plan_of(out).count("range (0, 60") == 1
+    assert {(r.year, r["class"]): (r.n, r.area_pct) for r in out.collect()} == {(y, k): (10, 33.333) for y in (0, 1) for k in (0, 1, 2)}
+
+
+@pytest.mark.parametrize(("name", "held"), [("manifest_runs", "inputs"), ("spillover_gap", "neighbours")])
+def test_what_is_read_several_times_is_made_once(spark, monkeypatch, name, held):
+    made, stored = [], catalog.stored
+    monkeypatch.setattr(catalog, "stored", lambda df, n: made.append(n) or stored(df, n))
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert made == [held]
