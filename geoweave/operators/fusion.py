@@ -141,8 +141,8 @@ def shannon_entropy(rows: DataFrame, prefix: str, classes: Sequence[int]) -> Col
 def class_area(fused: DataFrame) -> DataFrame:
     """(year, class, n, area_pct, mean_conf, mean_agreement): a pixel is one unit of area."""
     by = fused.groupBy("year", F.col("fused").alias("class")).agg(F.count("*").alias("n"), F.sum("conf_joint").alias("c"), F.sum("agreement").alias("a"))
-    total = by.groupBy("year").agg(F.sum("n").alias("total"))
-    return by.join(F.broadcast(total), "year").select(
+    held = by.withColumn("total", F.sum("n").over(Window.partitionBy("year")))  # a join with the totals would fuse every cell twice
+    return held.select(
         "year", "class", "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 3).alias("area_pct"), F.round(F.col("c") / F.col("n"), 6).alias("mean_conf"), F.round(F.col("a") / F.col("n"), 6).alias("mean_agreement")
     )
 
