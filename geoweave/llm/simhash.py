@@ -1,8 +1,8 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints at distance 3 or less have a point between them: one within 1 bit of one
-and within 2 bits of the other. Every fingerprint therefore emits the variants around it,
-variants are shuffled, and fingerprints that meet at a variant are verified and linked.
+and within 2 bits of the other. Every fingerprint therefore has the variants around it,
+and fingerprints that meet at a variant are verified and linked.
 
 Two observations shorten the balls and lose no link:
 
@@ -11,7 +11,9 @@ Two observations shorten the balls and lose no link:
 * Of three differing bits, two lie in the same 32-bit half. The odd side flips those two
   and the even side the third, so pairs of flips across halves are not needed.
 
-An even fingerprint emits 65 variants and an odd one 1,057. Equal fingerprints are one
+An even fingerprint has 65 variants and an odd one 1,057. They are not shuffled one by one:
+the space of variants is cut into slices by parities of bits, so that a ball lies in few of
+them; a fingerprint goes to these, and all variants of a slice are made and met there. Equal fingerprints are one
 row before anything is emitted, so the members of a variant are at most the fingerprints
 of its ball (2,081): copies make no group larger. Members within 1 bit of the variant are
 within 3 bits of every other member, so linking all members to the least of those yields
@@ -35,8 +37,12 @@ SEED = 42
 WIDTH = 3
 RADIUS = 3
 _STEP = 1 << 16
-#: Variants that a task sorts.
+#: Variants that a task meets, those of a slice on average, and those that are held at once.
 TASK_VARIANTS = 1 << 21
+SLICE_VARIANTS = 1 << 17
+SLICE_MOST = 1 << 22
+#: Bits of a slice's number at most: 211 slices for a ball.
+MOST_BITS = 20
 
 
 def _signed(x: int) -> int:
@@ -90,40 +96,108 @@ def _meet(variant: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([fp[linked], hubs[linked]], axis=1), axis=0)
 
 
-def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition sorted by variant; only the group that a batch cuts is carried on."""
-    variant, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+def _flips(bits: int) -> dict[int, list[list[int]]]:
+    """For every way in which flips move a fingerprint between slices: the masks of near balls and of far ones that do so."""
+    by: dict[int, list[list[int]]] = {}
+    for far, masks in enumerate((NEAR, [*NEAR, *FAR])):
+        for mask in masks:
+            moved = 0
+            for i in range(64):
+                if bits and mask >> i & 1:
+                    moved ^= 1 << i % bits
+            by.setdefault(moved, [[], []])[far].append(mask)
+    return by
+
+
+def _slice_masks(bits: int) -> list[int]:
+    """The bits of a fingerprint whose parity is each bit of its slice's number."""
+    return [_signed(sum(1 << i for i in range(k, 64, bits))) for k in range(bits)]
+
+
+def _slice_links(fp: np.ndarray, number: int, bits: int, flips: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Links (member, hub) of all variant groups of a slice, from the fingerprints that have a variant in it.
+
+    A slice with very many variants is met in several passes, each with the variants of one remainder."""
+    own = np.zeros(len(fp), np.int64)
+    for k, mask in enumerate(_slice_masks(bits)):
+        own |= np.bitwise_count((fp & np.int64(mask)).view(np.uint64)).astype(np.int64) % 2 << k
+    moved, far = own ^ number, np.bitwise_count(fp.view(np.uint64)) % 2
+    order = np.lexsort((far, moved))
+    fp, code = fp[order], moved[order] * 2 + far[order]
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    lots = [(fp[lo:hi], flips[int(code[lo]) >> 1][int(code[lo]) & 1]) for lo, hi in zip(starts, [*starts[1:], len(fp)])]
+    passes = sum(len(f) * len(m) for f, m in lots) // SLICE_MOST + 1
+    found = []
+    for turn in range(passes):
+        variants, members = [], []
+        for f, m in lots:
+            step = max(1, SLICE_MOST // max(1, len(m)))
+            for lo in range(0, len(f), step):
+                part = f[lo : lo + step]
+                variant, member = (part[:, None] ^ m).ravel(), np.repeat(part, len(m))
+                if passes > 1:
+                    here = (variant.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(passes) == turn
+                    variant, member = variant[here], member[here]
+                variants.append(variant)
+                members.append(member)
+        variant, member = np.concatenate(variants), np.concatenate(members)
+        order = np.argsort(variant, kind="stable")
+        found.append(_meet(variant[order], member[order]))
+    return np.concatenate(found)
+
+
+def _links(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Links of a partition whose rows (slice, fp) are sorted by slice; variants are made slice by slice."""
+    flips = {k: tuple(np.array(m, np.int64) for m in both) for k, both in _flips(bits).items()}
+    number, held = None, []
     found: list[np.ndarray] = []
 
-    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+    def out() -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(found), axis=0)
+        found.clear()
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
     for batch in batches:
-        variant = np.concatenate([variant, batch.column(0).to_numpy()])
-        fp = np.concatenate([fp, batch.column(1).to_numpy()])
-        if len(variant) < _STEP:
-            continue
-        cut = int(np.searchsorted(variant, variant[-1], "left"))
-        found.append(_meet(variant[:cut], fp[:cut]))
-        variant, fp = variant[cut:], fp[cut:]
-        if sum(map(len, found)) > _STEP:
-            yield out(found)
-            found = []
-    yield out([*found, _meet(variant, fp)])
+        slices, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        starts = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1]]) if len(slices) else []
+        for lo, hi in zip(starts, [*starts[1:], len(slices)]):
+            if number is not None and slices[lo] != number:
+                found.append(_slice_links(np.concatenate(held), number, bits, flips))
+                held = []
+                if sum(map(len, found)) > _STEP:
+                    yield out()
+            number = int(slices[lo])
+            held.append(fps[lo:hi])
+    if held:
+        found.append(_slice_links(np.concatenate(held), number, bits, flips))
+    if found:
+        yield out()
+
+
+def dealt(distinct: DataFrame, bits: int) -> DataFrame:
+    """(slice, fp): every fingerprint of ``distinct`` (fp) in each of the 2 ** ``bits`` slices of the space that hold a variant of it.
+
+    A bit of a slice's number is the parity of the variant's bits whose place leaves the same remainder, so a flip changes one bit of it, and a
+    ball of 1,057 variants lies in 1 + bits * (bits + 1) / 2 slices at most."""
+    own = F.lit(0)
+    for k, mask in enumerate(_slice_masks(bits)):
+        own = own.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseAND(F.lit(mask))) % 2, k))
+    near, far = (F.array(*(F.lit(k) for k, both in sorted(_flips(bits).items()) if both[i])) for i in (0, 1))
+    moves = F.when(F.bit_count("fp") % 2 == 0, near).otherwise(far)
+    return distinct.select("fp", own.alias("own"), F.explode(moves).alias("move")).select(F.col("own").bitwiseXOR(F.col("move")).alias("slice"), "fp")
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """(u, v) between different fingerprints of ``distinct`` (fp) at 3 bits or less.
 
     Connected exactly as all such pairs are; not every pair of a group has a row."""
-    near, far = F.array(*map(F.lit, NEAR)), F.array(*map(F.lit, [*NEAR, *FAR]))
-    masks = F.when(F.bit_count("fp") % 2 == 0, near).otherwise(far)
-    # As many tasks as the variants need, which are 561 for each fingerprint on average.
-    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() * (len(NEAR) + len(FAR) // 2) // TASK_VARIANTS + 1)
-    # Few bytes of fingerprints become many of variants: spread them over all tasks first (by another key than theirs, by which few tasks may hold them).
-    balls = distinct.select("fp").repartition(parts, F.hash("fp")).select("fp", F.explode(masks).alias("mask")).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp")
-    met = balls.repartition(parts, "variant").sortWithinPartitions("variant").mapInArrow(_links, "u long, v long")
+    # As many slices and tasks as the variants need, which are 561 for each fingerprint on average.
+    variants = distinct.count() * (len(NEAR) + len(FAR) // 2)
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), variants // TASK_VARIANTS + 1)
+    bits = min(MOST_BITS, (variants // SLICE_VARIANTS).bit_length())
+    # Few bytes of fingerprints become more of slices: spread them over all tasks first (by another key than theirs, by which few tasks may hold them).
+    balls = dealt(distinct.select("fp").repartition(parts, F.hash("fp")), bits)
+    met = balls.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda batches: _links(batches, bits), "u long, v long")
     return met.distinct()
 
 
