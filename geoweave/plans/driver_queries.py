@@ -8,6 +8,7 @@ from geoweave.functions import dims
 from geoweave.functions.expressions import Albers
 from geoweave.operators import drivers, grid
 from geoweave.plans.registry import query
+from geoweave.plans.views import tasks
 
 # A target cell is 1.25 x 1.75 source cells, so bilinear weights and nearest cells are no identity. The target covers the whole source.
 _STEPS = {"step_r": 1.25, "step_c": 1.75}
@@ -104,8 +105,10 @@ def driver_drought_values(spark, view):
     """All seven statistics of three time scales."""
     z = F.col("z")
     scales = F.inline(F.array(F.struct(F.lit("spei03").alias("scale"), z.alias("z")), F.struct(F.lit("spei06").alias("scale"), (z / F.lit(2.0)).alias("z")), F.struct(F.lit("spei12").alias("scale"), (z - F.lit(0.25)).alias("z"))))
-    monthly = view("v_monthly").select("year", "month", F.floor(F.col("pixel") / 50).cast("int").alias("r"), (F.col("pixel") % 50).cast("int").alias("c"), scales)
-    return drivers.drought(monthly, _target(spark, monthly), **_STEPS).select("variable", "year", "r", "c", F.round(F.col("value") + 1e-9, 6).alias("value"))
+    cells = view("v_monthly").select("year", "month", F.floor(F.col("pixel") / 50).cast("int").alias("r"), (F.col("pixel") % 50).cast("int").alias("c"), "z")
+    # Dealt by number before the scales multiply the months: the statistics of a cell are made in one task and meet the target there.
+    monthly = cells.repartition(tasks(view("orders"), 50_000), "r", "c").select("year", "month", "r", "c", scales)
+    return drivers.drought(monthly, _target(spark, cells), **_STEPS).select("variable", "year", "r", "c", F.round(F.col("value") + 1e-9, 6).alias("value"))
 
 
 @query(f"""SELECT grp AS "group", variable, year, count(*) AS n, count(value) AS n_valid FROM (
