@@ -8,6 +8,7 @@ from geoweave.functions.expressions import Albers, aspect_cos, aspect_sin
 from geoweave.operators import drivers, features, grid
 from geoweave.plans.driver_queries import _TARGET
 from geoweave.plans.registry import ORACLES, query
+from geoweave.plans.views import tasks
 
 _W, _H = 125, 120
 
@@ -205,6 +206,7 @@ def driver_climate(spark, view):
 @query("SELECT r, c, variable, round(CASE WHEN v * 0.0001::DOUBLE BETWEEN -0.2 AND 1.0 THEN v * 0.0001::DOUBLE END, 8) AS value FROM (SELECT r, c, unnest(['ndvi_annual_mean', 'ndvi_gs_mean', 'ndvi_gs_max']) AS variable, unnest([code * 100, code * 150, code * 300]) AS v FROM v_raster)")
 def driver_vegetation(spark, view):
     bands = view("v_raster").select(F.lit(2001).alias("year"), "r", "c", (F.col("code") * 100).alias("band1"), (F.col("code") * 150).alias("band2"), (F.col("code") * 300).alias("band3"))
+    bands = bands.repartition(tasks(view("part"), 20_000), "r", "c")  # before the bands are multiplied: a small file is read by one task
     return drivers.vegetation(bands, view("v_raster").select("r", "c")).select("r", "c", "variable", F.round("value", 8).alias("value"))
 
 
