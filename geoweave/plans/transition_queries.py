@@ -164,7 +164,7 @@ def columns_permuted(spark, view):
 @query("SELECT from_year, to_year, from_class, to_class, count(*) AS n, CAST(sum(conf_from + conf_to) AS BIGINT) AS conf FROM v_pairs GROUP BY 1, 2, 3, 4")
 def transition_pairs_bucketed(spark, view):
     """Pairs of years of a map that is stored in buckets of pixels: joined without an exchange."""
-    name = bucketed.write(_maps(view), "pix", 8)
+    name = bucketed.write(_maps(view), "pix", max(8, view("orders").count() // 50_000))  # a bucket is a task, so their number grows with the map
     return bucketed.year_pairs(spark, name).groupBy("from_year", "to_year", "from_class", "to_class").agg(F.count("*").alias("n"), F.sum(F.col("conf_from") + F.col("conf_to")).alias("conf"))
 
 

@@ -67,3 +67,32 @@ def test_what_is_read_several_times_is_made_once(spark, monkeypatch, name, held)
     monkeypatch.setattr(catalog, "stored", lambda df, n: made.append(n) or stored(df, n))
     assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
     assert made == [held]
+
+
+def test_votes_are_those_of_their_sql(spark):
+    from geoweave.plans import views
+
+    folder = "/root/testdata/sf0.001"
+    tables = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("lineitem", "orders")}
+    odd = tables["lineitem"].withColumn("l_linenumber", F.when(F.col("l_orderkey") % 50 == 0, F.lit(9)).when(F.col("l_orderkey") % 50 == 1, F.lit(1)).otherwise(F.col("l_linenumber")).cast(tables["lineitem"].schema["l_linenumber"].dataType))
+    odd = odd.withColumn("l_quantity", F.when(F.col("l_orderkey") % 31 == 0, F.lit(None)).otherwise(F.col("l_quantity"))).withColumn("l_partkey", F.when(F.col("l_orderkey") % 37 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")))
+    for lines in (tables["lineitem"], odd):
+        needs = {n: spark_view(spark, folder, n) for n in ("v_anchor", "v_code_counts", "v_available", "v_codes")}
+        want = spark.sql(views.VIEWS["v_votes"], lineitem=lines, orders=tables["orders"], **needs)
+        got = views._votes(lines, tables["orders"])
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert plan_of(got).count("join") == 0  # codes are looked up, and a line is grouped once for all years
+
+
+@pytest.mark.parametrize("name", ["feature_table_wide", "driver_drought_values", "driver_vegetation"])
+def test_wide_groups_are_dealt_by_number(spark, name):
+    """Adaptive execution joins partitions by their bytes, one for each core, whatever their groups take; a dealt table keeps its tasks."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_tasks_grow_with_the_table(spark):
+    from geoweave.plans.views import tasks
+
+    assert tasks(spark.range(100), 10) == 11 and tasks(spark.range(10), 10) == 4
