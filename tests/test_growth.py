@@ -96,3 +96,18 @@ def test_tasks_grow_with_the_table(spark):
     from geoweave.plans.views import tasks
 
     assert tasks(spark.range(100), 10) == 11 and tasks(spark.range(10), 10) == 4
+
+
+def test_windows_are_packed_into_lots_that_rounds_read(spark):
+    from geoweave.operators import networks
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 2))
+    rows = spark.createDataFrame([(float(a), float(b), float(a - b), bool(i % 5 == 0)) for i, (a, b) in enumerate(x)], "x_2 double, x_1 double, _y double, _judged boolean")
+    lots = networks.packed(rows.repartition(2), ["x_2", "x_1"], 64).collect()
+    assert len(lots) <= 700 // 64 + 4  # not a row for each window; ends of two tasks
+    for away in (False, True):
+        got = np.concatenate([np.frombuffer(r.data).reshape(-1, 3) for r in lots if r.judged == away])
+        want = [(a, b, a - b) for i, (a, b) in enumerate(x) if (i % 5 == 0) == away]
+        assert sorted(map(tuple, got.tolist())) == sorted((float(a), float(b), float(c)) for a, b, c in want)
+    assert networks.packed(rows.where(F.lit(False)), ["x_2", "x_1"]).count() == 0
