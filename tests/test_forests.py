@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweave.operators import forests
+from geoweave.plans.queries import QUERIES
+from geoweave.sources import catalog
 
 
 def table(spark, n=3000):
@@ -61,3 +63,11 @@ def test_bins_hold_values_up_to_their_ends(spark):
     assert forests.fit(none).feature.max() == -1
     same = forests.packed(df.withColumn("z", F.lit(2)), ["z"], "b", 2, trees=2)
     assert forests.fit(same).feature.max() == -1
+
+
+@pytest.mark.parametrize("name", ["rf_spatial_cv", "rf_importance"])
+def test_forests_of_queries_are_fitted_on_counts(spark, monkeypatch, name):
+    made, stored = [], catalog.stored
+    monkeypatch.setattr(catalog, "stored", lambda df, n: made.append(n) or stored(df, n))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert made == ["training", "packs"]
