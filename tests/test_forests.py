@@ -65,7 +65,17 @@ def test_bins_hold_values_up_to_their_ends(spark):
     assert forests.fit(same).feature.max() == -1
 
 
-@pytest.mark.parametrize("name", ["rf_spatial_cv", "rf_importance"])
+def test_features_can_be_left_out(spark):
+    packs = forests.packed(table(spark), ["x", "y"], "label", 3, fold="fold", trees=3, key=["id"])
+    only = forests.fit(packs, held_out=range(3), depth=3, use=["y"])
+    assert set(np.unique(only.feature)) == {-1, 1} and [f for f, _ in only.importance()] == ["y"]
+    every = forests.fit(packs, held_out=range(3), depth=3)
+    assert sum(g for _, g in every.importance()) == pytest.approx(1, abs=1e-6)
+    got = {r.features: r.accuracy for r in forests.ablation(table(spark), ["x", "y"], ["y"], "label", 3, 3, 5, 4, ["id"]).collect()}
+    assert got["all"] > got["without y"] + 0.1
+
+
+@pytest.mark.parametrize("name", ["rf_spatial_cv", "rf_importance", "ablation_without_neighbours"])
 def test_forests_of_queries_are_fitted_on_counts(spark, monkeypatch, name):
     made, stored = [], catalog.stored
     monkeypatch.setattr(catalog, "stored", lambda df, n: made.append(n) or stored(df, n))
