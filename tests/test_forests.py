@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoweave.operators import forests
+from geoweave.operators import forests, models
 from geoweave.plans.queries import QUERIES
 from geoweave.sources import catalog
 
@@ -65,6 +65,20 @@ def test_bins_hold_values_up_to_their_ends(spark):
     assert forests.fit(same).feature.max() == -1
 
 
+def test_exported_trees_are_those_of_the_forest(spark):
+    df = table(spark, 900)
+    forest = forests.fit(forests.packed(df, ["x", "y"], "label", 3, trees=3, key=["id"]), depth=3)
+    trees = forest.exported()
+    for x in (0.0, 2.0, 3.0, 5.0):
+        for y in (0.0, 1.0, 3.0):
+            bins = [np.array([sum(v > e for e in edges)]) for v, edges in zip((x, y), forest.edges)]
+            assert int(sum(t.predict((x, y)) for t in trees).argmax()) == forest.predicted(0, bins)[0]
+    phi = models.attributions(df.where("id < 20"), trees, ["x", "y"], "id").groupBy("id", "class").agg(F.sum("phi").alias("phi")).collect()
+    at = {r.id: (r.x, r.y) for r in df.where("id < 20").collect()}
+    for r in phi:
+        assert r.phi == pytest.approx(sum((t.predict(at[r.id]) - t.expected())[r["class"]] for t in trees) / 3)
+
+
 def test_features_can_be_left_out(spark):
     packs = forests.packed(table(spark), ["x", "y"], "label", 3, fold="fold", trees=3, key=["id"])
     only = forests.fit(packs, held_out=range(3), depth=3, use=["y"])
@@ -75,7 +89,7 @@ def test_features_can_be_left_out(spark):
     assert got["all"] > got["without y"] + 0.1
 
 
-@pytest.mark.parametrize("name", ["rf_spatial_cv", "rf_importance", "ablation_without_neighbours"])
+@pytest.mark.parametrize("name", ["rf_spatial_cv", "rf_importance", "tree_shap", "ablation_without_neighbours"])
 def test_forests_of_queries_are_fitted_on_counts(spark, monkeypatch, name):
     made, stored = [], catalog.stored
     monkeypatch.setattr(catalog, "stored", lambda df, n: made.append(n) or stored(df, n))
