@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from geoweave.llm import simhash
+from geoweave.llm import divergence, simhash
 
 
 def near_prints(n, seed):
@@ -43,3 +43,17 @@ def test_every_variant_lies_in_the_slice_that_its_print_goes_to():
         for moved, both in flips.items():
             for mask in both[0] + both[1]:
                 assert sum(((mask & m) & (1 << 64) - 1).bit_count() % 2 << k for k, m in enumerate(masks)) == moved
+
+
+def test_tries_are_built_in_the_order_of_their_terms():
+    """One pass over sorted terms gives the leaves of single insertions, and looks for no term from the root."""
+    rng = np.random.default_rng(12)
+    terms = {bytes(rng.integers(97, 100, rng.integers(0, 9)).tolist()) for _ in range(3000)} | {b"", "é".encode(), "éa".encode()}
+    assert divergence.shared([b"", b"ab", b"abc", b"abd", b"b", b"b\xc3"]) == [0, 0, 2, 2, 0, 1]
+    found = {t: {"s": len(t), "u": 1} if t else {"s": 0} for t in terms}
+    docs = {t: len(t) + 1 for t in terms if t}
+    plain = divergence.Trie()
+    for t, counts in found.items():
+        plain.add(t, docs.get(t, 0), counts.items())
+    assert list(divergence.Trie.of(found, docs).leaves()) == list(plain.leaves()) == [(t, docs.get(t, 0), found[t]) for t in sorted(terms)]
+    assert list(divergence.Trie.of({}, {}).leaves()) == []
