@@ -43,7 +43,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-MAGIC = b"GWTOKEN3"
+MAGIC = b"GWTOKEN4"
 _HEAD = struct.Struct("<8sQQIIIIIIII")
 BLOCK = 2048
 #: Slots of a block's order-2 table, a power of two; one slot means no order 2.
@@ -60,10 +60,8 @@ IDS_PER_CLASS = 1 << 13
 LISTED = 1 << 12
 #: Blocks coded in lockstep.
 LANES = 4096
-_CHANCE = 1 << 16  # where probabilities of 22 bits start
-#: Weight of what a context has seen against all contexts, in 256ths, and how far one outcome moves it, in 65,536ths.
-_EVIDENCE = (256 * np.arange(64) / (np.arange(64) + 3.0)).astype(np.int64)
-_RATE = (65536 / (np.arange(64) + 1.5)).astype(np.int64)
+_CHANCE = 1 / 64  # where shares of order 2 start
+_ASKED = np.uint32(63)  # the bits of a state that count how often it was asked
 _KEEP = 1 << 32
 _WHOLE = 1 << 48
 
@@ -124,12 +122,13 @@ class Tables:
         pairs = np.flatnonzero(n > 1)
         n = n[pairs]
         of, symbol = pairs // n_ranks, pairs % n_ranks
-        order = np.lexsort((symbol, -n, of))
-        starts = np.searchsorted(of, np.arange(classes))
-        place = np.empty(len(of), np.int64)
-        place[order] = np.arange(len(of)) - starts[of[order]]
-        chosen = place < LISTED
-        of, symbol, n = of[chosen], symbol[chosen], n[chosen]
+        if n_ranks > LISTED:  # else no class has more pairs
+            order = np.lexsort((symbol, -n, of))
+            starts = np.searchsorted(of, np.arange(classes))
+            place = np.empty(len(of), np.int64)
+            place[order] = np.arange(len(of)) - starts[of[order]]
+            chosen = place < LISTED
+            of, symbol, n = of[chosen], symbol[chosen], n[chosen]
         weights = _bucket(np.maximum(counts, 1) - 1).astype(np.uint8)
         return cls(weights, class_of, np.bincount(of, minlength=classes), symbol, _bucket(n - 1).astype(np.uint8))
 
@@ -174,8 +173,11 @@ def _classes(before: np.ndarray, ranks: np.ndarray, counts: np.ndarray, classes:
         return out
     column = np.arange(n)
     column[96:] = 96 + column[96:] % 32
-    some = before < rows
-    x = np.bincount(before[some].astype(np.int64) * 128 + column[ranks[some]], minlength=rows * 128).reshape(rows, 128).astype(np.float32)
+    key = np.minimum(before, rows).astype(np.int64)
+    key <<= 7
+    key += column[ranks]
+    x = np.bincount(key, minlength=(rows + 1) * 128)[: rows * 128].reshape(rows, 128).astype(np.float32)
+    del key
     x = np.sqrt(x / np.maximum(1, x.sum(axis=1, keepdims=True)))
     weight = counts[:rows].astype(np.float32)
     centres = x[:classes].copy()
@@ -190,90 +192,147 @@ def _classes(before: np.ndarray, ranks: np.ndarray, counts: np.ndarray, classes:
 
 
 class _Model:
-    """What many blocks learn, all at once; the same steps in both directions."""
+    """What many blocks learn, all at once; the same steps in both directions.
+
+    Numbers are no wider than they must be, as most of the time goes into passes over the lanes. Shares are
+    single-precision: both directions take the same operations, each rounded alike on every machine."""
 
     def __init__(self, lanes: int, tables: Tables, slots: int):
         ranks = len(tables.counts)
         self.tables, self.shares = tables, 1 << _TOTAL - tables.bits
         self.kind = np.uint16 if ranks <= 1 << 14 else np.uint32
         lane = np.arange(lanes, dtype=np.int64)
-        self.table, self.row, self.shift = np.zeros(lanes * slots, self.kind), lane * slots, np.uint32(33 - slots.bit_length())
-        self.held = slots > 1
-        #: Share of order 2, in 22 bits, and how often it was asked, in 6; by source, confidence and last two outcomes.
-        self.states, self.state_row = np.full(lanes * 32, _CHANCE << 6, np.int64), lane * 32
-        self.short = np.zeros(lanes * slots, self.kind)
-        self.pooled = np.full(lanes, _CHANCE, np.int64)
-        self.of_one = np.full(lanes, 3 << 20, np.int64)  # order 1's part of the rest, in 22 bits
-        self.last = np.zeros(lanes, np.int64)
-        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self._next = np.array([1, 2, 3, 3], self.kind)
+        #: Behind two ids, and behind the last one alone: an id and its confidence in the last 2 bits.
+        self.table, self.row, self.shift = np.zeros(2 * lanes * slots, self.kind), np.arange(2 * lanes, dtype=np.int64) * slots, np.uint32(33 - slots.bit_length())
+        self.hashes, self.held = np.zeros((2, lanes), np.uint32), slots > 1
+        #: Share of order 2, with how often it was asked in its last 6 bits; by source, confidence and last two outcomes.
+        self.states, self.state_row = np.full(lanes * 32, _CHANCE, np.float32).view(np.uint32) & ~_ASKED, lane * 32
+        self.pooled = np.full(lanes, _CHANCE, np.float32)
+        self.of_one = np.full(lanes, 0.75, np.float32)  # order 1's part of the rest
+        self.last = np.zeros(lanes, np.uint8)
+        self.b = np.zeros(lanes, np.uint32)
+        self.behind = tables.row_of[self.b]
 
     def predict(self) -> None:
         """Order 2's id and the shares of the orders; that of order 2 times its whole frequency."""
-        h = self.a * np.uint32(2654435761) ^ self.b * np.uint32(2246822519)
-        self.at = self.row + (h >> self.shift)
-        value = self.table[self.at]
-        self.long = value >> 2, value & 3
-        self.short_at = self.row + (self.b * np.uint32(2654435761) >> self.shift)
-        other = self.short[self.short_at]
-        self.brief = other >> 2, other & 3
-        alone = value & 3 == 0
-        value = np.where(alone, other, value)
-        self.guess, self.confidence = (value >> 2).astype(np.int64), value & 3
-        self.state_at = self.state_row + (alone.astype(np.int64) << 4 | self.confidence << 2 | self.last)
-        state = self.states[self.state_at]
-        self.seen, self.chance = state & 63, state >> 6
-        mixed = self.pooled + ((self.chance - self.pooled) * _EVIDENCE[self.seen] >> 8)
-        two = 1 + (mixed * (self.shares - 3) >> 22)
+        of_two, of_last = self.hashes
+        np.bitwise_xor(of_last, self.b * np.uint32(2246822519), out=of_two)  # until here, that of the id before the last
+        np.multiply(self.b, np.uint32(2654435761), out=of_last)
+        self.at = (self.hashes >> self.shift).reshape(-1).astype(np.int64)
+        self.at += self.row
+        self.values = self.table.take(self.at).reshape(2, -1)
+        alone = self.values[0] & 3 == 0
+        value = self.values[0].copy()
+        np.putmask(value, alone, self.values[1])
+        self.guess = value >> 2
+        state = (value & 3).astype(np.uint8)
+        state <<= 2
+        state |= alone.view(np.uint8) << 4
+        state |= self.last
+        self.state_at = state.astype(np.int64)
+        self.state_at += self.state_row
+        held = self.states.take(self.state_at)
+        self.chance, self.seen = held.view(np.float32), held & _ASKED
+        self.asked = self.seen.astype(np.float32)
+        mixed = self.chance - self.pooled
+        mixed *= self.asked / (self.asked + np.float32(3))  # what the context has seen against all contexts
+        mixed += self.pooled
+        mixed *= np.float32(self.shares - 3)
+        two = mixed.astype(np.int32)
+        two += 1
         rest = self.shares - two
-        self.one = 1 + ((rest - 2) * self.of_one >> 22)
+        self.one = ((rest - 2).astype(np.float32) * self.of_one).astype(np.int32)
+        self.one += 1
         self.zero = rest - self.one
         self.two = two << self.tables.bits
-        self.behind = self.tables.row_of[self.b]
 
     def interval(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's rank in the mixture."""
         t = self.tables
         at = self.behind + rank
-        begin1, begin0 = t.one[at].astype(np.int64), t.zero[rank].astype(np.int64)
-        self.from_one, from_zero = self.one * (t.one[at + 1] - begin1), self.zero * (t.zero[rank + 1] - begin0)
-        self.hit = self.guess == rank
-        self.rest = self.from_one + from_zero
-        self.size = self.rest + self.two * self.hit
-        return self.one * begin1 + self.zero * begin0 + self.two * (self.guess < rank), self.size
+        begin1, begin0 = t.one.take(at), t.zero.take(rank)
+        self.from_one = t.one[1:].take(at)
+        self.from_one -= begin1
+        self.from_one *= self.one
+        size0 = t.zero[1:].take(rank)
+        size0 -= begin0
+        size0 *= self.zero
+        self.rest = self.from_one + size0
+        self.kept = rank.astype(self.kind)
+        self.hit = self.guess == self.kept
+        self.given = self.two * self.hit
+        begin1 *= self.one
+        begin0 *= self.zero
+        begin1 += begin0
+        begin1 += self.two * (self.guess < self.kept)
+        self.size = self.rest + self.given
+        return begin1, self.size
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The rank whose interval holds the target, on each lane."""
         t = self.tables
-        at = self.behind + self.guess
-        low = self.one * t.one[at] + self.zero * t.zero[self.guess]
-        high = self.one * t.one[at + 1] + self.zero * t.zero[self.guess + 1] + self.two
+        guess = self.guess.astype(np.int64)
+        at = self.behind + guess
+        low = self.one * t.one.take(at) + self.zero * t.zero.take(guess)
+        high = self.one * t.one[1:].take(at) + self.zero * t.zero[1:].take(guess) + self.two
         above = target >= high
-        other = np.flatnonzero(above | (target < low))
-        rank = self.guess.copy()
-        if len(other):
-            target = (target[other] - self.two[other] * above[other]).astype(np.int32)
-            one, zero, behind = self.one[other].astype(np.int32), self.zero[other].astype(np.int32), self.behind[other]
-            found = np.zeros(len(other), np.int64)
-            for level in range(t.levels - 1, -1, -1):
-                middle = found + (1 << level)
-                found += (one * t.one[behind + middle] + zero * t.zero[middle] <= target).astype(np.int64) << level
-            rank[other] = found
-        return rank
+        other = (target < low) | above
+        target = (target - self.two * above).astype(np.int32)
+        if 2 * np.count_nonzero(other) > len(other):
+            return np.where(other, self._bisect(target, self.one, self.zero, self.behind), guess)
+        other = np.flatnonzero(other)
+        guess[other] = self._bisect(target[other], self.one[other], self.zero[other], self.behind[other])
+        return guess
+
+    def _bisect(self, target: np.ndarray, one: np.ndarray, zero: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """The last rank that orders 1 and 0 begin at the target or before it."""
+        t = self.tables
+        found, at = np.zeros(len(target), np.int64), behind.copy()
+        for level in range(t.levels - 1, -1, -1):
+            begin = t.one[1 << level :].take(at)
+            begin *= one
+            begin0 = t.zero[1 << level :].take(found)
+            begin0 *= zero
+            begin += begin0
+            step = (begin <= target).astype(np.int64)
+            step <<= level
+            found += step
+            at += step
+        return found
 
     def learn(self, rank: np.ndarray) -> None:
         """Shares move by what each order gave the rank of the last :meth:`interval`."""
         hit = self.hit
         if self.held:
-            kept = rank.astype(self.kind)
-            for table, at, (guess, confidence) in ((self.table, self.at, self.long), (self.short, self.short_at, self.brief)):
-                table[at] = kept << 2 | self._next[confidence] * (guess == kept)
-        target = ((self.two * hit) << 22) // self.size
-        self.states[self.state_at] = (self.chance + ((target - self.chance) * _RATE[self.seen] >> 16)) << 6 | np.minimum(self.seen + 1, 62)
-        self.pooled += (target - self.pooled) >> 5
-        self.of_one += (((self.from_one << 22) // self.rest - self.of_one) * ((1 << 22) - target) >> 22) >> 5
-        self.last = self.last << 1 & 3 | hit
-        self.a, self.b = self.b, rank.astype(np.uint32)
+            fresh = self.kept << 2
+            same = self.values | 3
+            right = same == fresh | 3
+            self.values += 1
+            np.minimum(same, self.values, out=same)  # confidence grows to 3
+            same &= 3
+            same *= right.view(np.uint8)
+            same |= fresh
+            self.table[self.at] = same.reshape(-1)
+        target = self.given.astype(np.float32)
+        target /= self.size.astype(np.float32)
+        move = target - self.chance
+        move /= self.asked + np.float32(1.5)
+        move += self.chance
+        state = move.view(np.uint32)
+        state &= ~_ASKED
+        state |= np.minimum(self.seen + np.uint32(1), np.uint32(62))
+        self.states[self.state_at] = state
+        self.pooled += (target - self.pooled) * np.float32(1 / 32)
+        share = self.from_one.astype(np.float32)
+        share /= self.rest.astype(np.float32)
+        share -= self.of_one
+        np.subtract(np.float32(1), target, out=target)
+        share *= target
+        share *= np.float32(1 / 32)
+        self.of_one += share
+        self.last = self.last << 1 & 3 | hit.view(np.uint8)
+        self.b = rank.astype(np.uint32)
+        self.behind = self.tables.row_of.take(rank)
 
 
 def _encode_lanes(grid: np.ndarray, tables: Tables, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,18 +346,24 @@ def _encode_lanes(grid: np.ndarray, tables: Tables, slots: int) -> tuple[np.ndar
         model.predict()
         rank = grid[step].astype(np.int64)
         start, size = model.interval(rank)
-        unit = width >> _TOTAL
-        low += unit * start
-        width = unit * size
+        width >>= _TOTAL
+        low += width * start.astype(np.int64)
+        width *= size.astype(np.int64)
         model.learn(rank)
-        short = np.flatnonzero(width < _KEEP)
-        while len(short):
-            i, held, room = at[short], low[short], width[short] << 16
-            out[i] = held >> 32  # with the carry into the word before
+        # Every lane puts down its word, with the carry into the word before; those that are not short do it again.
+        out[at] = low >> 32
+        short = (width < _KEEP).astype(np.int64)
+        low &= _KEEP - 1 | short - 1
+        at += short * lanes
+        short <<= 4
+        low <<= short
+        width <<= short
+        while len(short := np.flatnonzero(width < _KEEP)):  # few: of rare ids
+            i, held = at[short], low[short]
+            out[i] = held >> 32
             at[short] = i + lanes
             low[short] = (held & (_KEEP - 1)) << 16
-            width[short] = room
-            short = short[room < _KEEP]
+            width[short] <<= 16
     # One more word lies inside the last interval, whatever is read after it.
     low += _KEEP - 1
     out[at] = low >> 32
@@ -330,20 +395,26 @@ def _decode_lanes(words: np.ndarray, sizes: np.ndarray, steps: int, tables: Tabl
     grid = np.empty((steps, lanes), model.kind)
     for step in range(steps):
         model.predict()
-        unit = width >> _TOTAL
-        rank = model.find(np.minimum((code / unit).astype(np.int64), (1 << _TOTAL) - 1))
+        width >>= _TOTAL
+        # below 2**31: the code is below the width, of which the shift cost a fifth at most
+        rank = model.find(np.minimum((code / width).astype(np.int32), np.int32((1 << _TOTAL) - 1)))
         start, size = model.interval(rank)
-        code -= unit * start
-        width = unit * size
+        code -= width * start.astype(np.int64)
+        width *= size.astype(np.int64)
         grid[step] = rank
         model.learn(rank)
-        short = np.flatnonzero(width < _KEEP)
-        while len(short):
-            i, room = at[short], width[short] << 16
-            code[short] = code[short] << 16 | spread[np.minimum(i, end)]
-            at[short] = i + lanes
-            width[short] = room
-            short = short[room < _KEEP]
+        word = spread.take(at, mode="clip").astype(np.int64)
+        short = (width < _KEEP).astype(np.int64)
+        word &= -short
+        at += short * lanes
+        short <<= 4
+        code <<= short
+        code |= word
+        width <<= short
+        while len(short := np.flatnonzero(width < _KEEP)):  # few: of rare ids
+            code[short] = code[short] << 16 | spread.take(at[short], mode="clip")
+            at[short] += lanes
+            width[short] <<= 16
     return grid
 
 
