@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoweave.llm.codec import BLOCK, decode_frame, encode_frame
-from geoweave.llm.common import picked, prepare, stored
+from geoweave.llm.common import picked, prepare, release_memory, stored
 from geoweave.llm.tokens import lots, tokenizer_path, word_tokenizer
 
 END_ID = 1
 #: Ids from which a frame is closed.
 FRAME_IDS = 1 << 23
+#: Bytes of text whose words are looked up together: the text of one range or so, as the same words come again in its lots.
+TEXT_BYTES = 24 << 20
 FRAME_SCHEMA = "part int, frame int, n_docs long, n_ids long, data binary"
 
 
@@ -51,7 +53,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
             )
 
         words = word_tokenizer(path)
-        for doc_ids, texts in lots(batches):
+        for doc_ids, texts in lots(batches, size=TEXT_BYTES):
             for doc_id, coded in zip(doc_ids.to_pylist(), words.encode(texts)):
                 ids.append(doc_id)
                 held.append(coded + end)
@@ -59,8 +61,11 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                 if n_ids >= frame_ids:
                     yield close()
                     frame, n_ids, ids, held = frame + 1, 0, [], []
+            del doc_ids, texts
         if ids:
             yield close()
+            ids, held = [], []
+            release_memory()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = picked(docs, "doc_id", "text").select("doc_id", F.col("text").cast("string").alias("text"))
@@ -119,7 +124,9 @@ def summarise(frames: DataFrame) -> DataFrame:
                     before.append(seen)
                     seen += len(d) // 4
                 columns = [[row["part"]] * len(ids), [row["frame"]] * len(ids), ids, before, [len(d) // 4 for d in documents], [zlib.crc32(d) for d in documents]]
+                del documents
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("part", "frame") else pa.int64()) for n, c in zip(names, columns)], names=names)
+                release_memory()
 
     found = frames.select("part", "frame", "data").mapInArrow(run, "part int, frame int, doc_id long, before long, n_tokens long, ids_crc32 long")
     sizes = frames.select("part", "frame", "n_ids")

@@ -241,6 +241,21 @@ def test_an_id_has_the_sum_of_what_the_orders_give():
         model.learn(rank)
 
 
+def test_models_pass_over_narrow_numbers_and_rare_ids_round_trip():
+    """Most of a frame's time is passes over its blocks, so intervals have 32 bits and shares single precision; ids that
+    no order expects take more than one word at a step, on some blocks only."""
+    ids = np.zeros(400_000, np.uint32)
+    ids[777::40_009] = np.arange(10) + 1
+    frame = codec.encode_frame([1], [ids.astype("<u4").tobytes()])
+    assert codec.decode_frame(frame) == ([1], [ids.astype("<u4").tobytes()]) and len(frame) < 3000
+    model = codec._Model(4, codec.Tables.of(ids[:4096], 1024, 11, 1), 64)
+    model.predict()
+    rank = np.arange(4)
+    start, size = model.interval(rank)
+    model.learn(rank)
+    assert start.dtype == size.dtype == np.int32 and model.pooled.dtype == model.of_one.dtype == np.float32 and model.states.itemsize == 4
+
+
 def whole_ids(docs, end):
     t = tokenizer()
     return {d: [*t.encode(x or "", add_special_tokens=False).ids, end] for d, x in docs.items()}
