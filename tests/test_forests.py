@@ -95,3 +95,11 @@ def test_forests_of_queries_are_fitted_on_counts(spark, monkeypatch, name):
     monkeypatch.setattr(catalog, "stored", lambda df, n: made.append(n) or stored(df, n))
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert made == ["training", "packs"]
+
+
+def test_importance_takes_every_fold(spark, monkeypatch):
+    made, fit = [], forests.fit
+    monkeypatch.setattr(forests, "fit", lambda packs, **k: made.append((packs, list(k["held_out"]))) or fit(packs, **k))
+    assert QUERIES["rf_importance"](spark, "/root/testdata/sf0.01").count() == 4
+    [(packs, held_out)] = made
+    assert held_out == sorted(r.fold for r in packs.table.select("fold").distinct().collect())
