@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweave.operators import forests, models
+from geoweave.plans import views
 from geoweave.plans.queries import QUERIES
 from geoweave.sources import catalog
 
@@ -103,3 +104,23 @@ def test_importance_takes_every_fold(spark, monkeypatch):
     assert QUERIES["rf_importance"](spark, "/root/testdata/sf0.01").count() == 4
     [(packs, held_out)] = made
     assert held_out == sorted(r.fold for r in packs.table.select("fold").distinct().collect())
+
+
+def test_the_ablation_takes_every_fold_and_the_cells_around(spark, monkeypatch):
+    """Shares of classes around a cell in the year a transition starts from, against plain loops over a mirrored map."""
+    made, stored, fits, fit = {}, catalog.stored, [], forests.fit
+    monkeypatch.setattr(catalog, "stored", lambda df, n: made.setdefault(n, stored(df, n)))
+    monkeypatch.setattr(forests, "fit", lambda packs, **k: fits.append((list(k["held_out"]), k["use"])) or fit(packs, **k))
+    folder = "/root/testdata/sf0.001"
+    assert QUERIES["ablation_without_neighbours"](spark, folder).count() == 2
+    assert [f for f, _ in fits] == [[0, 1, 2, 3, 4]] * 2 and len(fits[0][1]) == 16 and fits[1][1] == ["from_class", "conf_from"]
+    held = {}
+    view = lambda n: views.spark_view(spark, folder, n, held)
+    cells = view("v_map").join(view("v_grid"), "pix").select("year", "r", "c", "class").collect()
+    height, at = view("v_grid").agg(F.max("r")).first()[0] + 1, {(x.year, x.r, x.c): x["class"] for x in cells}
+    near = lambda i, size: -i - 1 if i < 0 else 2 * size - 1 - i if i >= size else i
+    rows = made["training"].collect()
+    assert len(rows) == view("v_pairs").where("from_class > 0 AND to_class > 0").count()
+    for x in rows:
+        seen = [at.get((x.from_year, near(x.r + i, height), near(x.c + j, 125)), 0) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        assert [x[f"nbr3_class{k}_frac"] for k in range(1, 15)] == [seen.count(k) / 9 for k in range(1, 15)]
