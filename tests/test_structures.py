@@ -171,3 +171,32 @@ def test_accuracy_by_area_on_a_published_example(spark):
         other = right**2 * sum(w[i] ** 2 * n[i, k] / m[i] * (1 - n[i, k] / m[i]) / (m[i] - 1) for i in range(4) if i != k)
         assert got[k].producer_se == pytest.approx(math.sqrt(own + other) / share)
     assert round(got[0].area) == 235086 and round(1.96 * got[0].area_se) == 68418 and sum(r.area for r in got.values()) == pytest.approx(10_000_000)
+
+
+def test_permuting_shuffles_rows_once_and_predicts_them_once(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "LOT", 100)
+    df = spark.range(1000).select("id", (F.col("id") * 1.0).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("b"), (F.col("id") % 3).cast("int").alias("y"), (F.col("id") % 5).alias("fold"))
+    made = evaluate.permuted(df, "id", ["a", "b"], "y", "fold")
+    rows = made.collect()
+    assert len(rows) == 3000 and all(r.y == r.id % 3 and r.fold == r.id % 5 for r in rows)
+    for c in (None, "a", "b"):
+        own = [r for r in rows if r.permuted == c]
+        assert sorted(r.id for r in own) == sorted(int(r.a) for r in own) == list(range(1000))
+        assert sorted(r.b for r in own if r.b is not None) == list(range(0, 1000, 2)) and sum(r.b is None for r in own) == 500
+        assert sum(r.a == r.id for r in own) == (0 if c == "a" else 1000)
+    assert sorted(map(str, rows)) == sorted(map(str, evaluate.permuted(df.repartition(7), "id", ["a", "b"], "y", "fold").collect()))
+    seen = spark.sparkContext.accumulator(0)
+
+    def predicted(d):
+        def run(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b.assign(predicted=(b["a"] % 3).astype("int32"))
+
+        return d.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", predicted int")
+
+    got = evaluate.permutation_importance(df, "id", ["a", "b"], "y", predicted, "fold")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_h") == 1 and "Join" not in plan
+    by = {r.feature: r for r in got.collect()}
+    assert seen.value == 3000 and by["b"].importance == 0 and 0.5 < by["a"].importance < 0.8
