@@ -36,6 +36,9 @@ class DenseNode(RecurrentNode):
         top = np.concatenate([c, one], axis=1)
         return (top @ self.p["o"])[:, 0], (u, c), top
 
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self._run(x)[0]
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         out, (u, c), top = self._run(x)
         error = ((out - y) / len(y))[:, None]
@@ -50,46 +53,32 @@ class AttentiveNode(RecurrentNode):
         super().__init__(inputs, hidden, seed)
         self.p["a"] = np.random.default_rng(seed + 1).normal(0, 0.3, (hidden, 1))
 
-    def _states(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        _, saved, top = super()._run(x)
-        states = np.stack([*(h for *_, h in saved[1:]), top[:, :-1]], axis=1)
-        score = (states @ self.p["a"])[:, :, 0]
-        weights = np.exp(score - score.max(axis=1, keepdims=True))
-        return states, weights / weights.sum(axis=1, keepdims=True), saved
+    def _weighed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """(states (step, hidden, row), their weights (step, row), what the head sees, what each step saw)."""
+        states, saved = self._unrolled(x)
+        score = self.p["a"][:, 0] @ states
+        weights = np.exp(score - score.max(axis=0))
+        weights /= weights.sum(axis=0)
+        return states, weights, (weights[:, None] * states).sum(axis=0), saved
 
     def attention(self, x: np.ndarray) -> np.ndarray:
         """(row, step): what each step weighs."""
-        return self._states(x)[1]
+        return self._weighed(x)[1].T
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        states, weights, _ = self._states(x)
-        seen = (weights[:, :, None] * states).sum(axis=1)
-        return seen @ self.p["o"][:-1, 0] + self.p["o"][-1, 0]
+        return self.p["o"][:-1, 0] @ self._weighed(x)[2] + self.p["o"][-1, 0]
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        states, weights, saved = self._states(x)
-        seen = (weights[:, :, None] * states).sum(axis=1)
-        out = seen @ self.p["o"][:-1, 0] + self.p["o"][-1, 0]
-        error = ((out - y) / len(y))[:, None]
+        states, weights, seen, saved = self._weighed(x)
+        out = self.p["o"][:-1, 0] @ seen + self.p["o"][-1, 0]
+        error = (out - y) / len(y)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["o"] = np.concatenate([seen, np.ones((len(x), 1))], axis=1).T @ error
-        dseen = error @ self.p["o"][:-1].T
-        dweight = (states * dseen[:, None]).sum(axis=2)
-        dscore = weights * (dweight - (weights * dweight).sum(axis=1, keepdims=True))
-        g["a"] = np.einsum("nth,nt->h", states, dscore)[:, None]
-        from_head = weights[:, :, None] * dseen[:, None] + dscore[:, :, None] * self.p["a"][:, 0]
-        dh, k = np.zeros_like(dseen), x.shape[2]
-        for t in range(len(saved) - 1, -1, -1):
-            u, v, z, r, c, h = saved[t]
-            dh = dh + from_head[:, t]
-            dz, dc = dh * (c - h) * z * (1 - z), dh * z * (1 - c * c)
-            dv = dc @ self.p["h"].T
-            drh = dv[:, k : k + self.hidden]
-            dr = drh * h * r * (1 - r)
-            g["z"] += u.T @ dz
-            g["r"] += u.T @ dr
-            g["h"] += v.T @ dc
-            dh = dh * (1 - z) + drh * r + (dz @ self.p["z"].T + dr @ self.p["r"].T)[:, k : k + self.hidden]
+        g["o"] = np.append(seen @ error, error.sum())[:, None]
+        dseen = self.p["o"][:-1] * error
+        dweight = (states * dseen).sum(axis=1)
+        dscore = weights * (dweight - (weights * dweight).sum(axis=0))
+        g["a"] = sum(h @ d for h, d in zip(states, dscore))[:, None]
+        self._backwards(saved, weights[:, None] * dseen + dscore[:, None] * self.p["a"], g)
         return float(((out - y) ** 2).mean() / 2), g
 
 
@@ -112,8 +101,8 @@ def with_propagated(adjacency: DataFrame, panel: DataFrame, columns: Sequence[st
     return panel.join(moved, [node, time], "left").na.fill(0.0, [f"nbr_{c}" for c in columns])
 
 
-#: Windows in a lot: the arrays of a step then take about 100 KB each.
-LOT = 2048
+#: Windows in a lot: the arrays of a step then take about 32 KB each.
+LOT = 512
 KINDS = {"dense": DenseNode, "recurrent": RecurrentNode, "attentive": AttentiveNode}
 
 

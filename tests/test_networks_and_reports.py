@@ -30,6 +30,23 @@ def test_gradients_and_fit(kind):
     assert ((m.fit(x, target, 300).predict(x) - target) ** 2).mean() < 0.3 * before
 
 
+@pytest.mark.parametrize("kind", ["recurrent", "attentive"])
+def test_rows_lie_along_the_last_axis(kind):
+    """States and outputs against the equations row by row; every array of a step has its rows in one line."""
+    rng = np.random.default_rng(2)
+    x, m = 3 * rng.normal(size=(20, 3, 2)), networks.KINDS[kind](2, 4, 5)
+    states, saved = m._unrolled(x)
+    assert states.shape == (3, 4, 20) and all(a.shape[-1] == 20 and a.flags.c_contiguous for step in saved for a in step)
+    for i in range(20):
+        h, one = np.zeros(4), np.ones(1)
+        for t in range(3):
+            u = np.concatenate([x[i, t], h, one])
+            z, r = (1 / (1 + np.exp(-u @ m.p[g])) for g in "zr")
+            h = (1 - z) * h + z * np.tanh(np.concatenate([x[i, t], r * h, one]) @ m.p["h"])
+            assert states[t, :, i] == pytest.approx(h, abs=1e-12)
+    assert m.predict(x[:0]).shape == (0,)
+
+
 def test_attention_adds_up():
     x = np.random.default_rng(1).normal(size=(9, 5, 2))
     weights = networks.AttentiveNode(2, 4).attention(x)
